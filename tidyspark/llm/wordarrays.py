@@ -17,6 +17,7 @@ import pyarrow as pa
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+_STEP = 1 << 16  # words
 _BYTE_ROOT = 0x9E3779B97F4A7C15
 _WORD_ROOTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _BYTE_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,12 +90,17 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _byte_powers.get(len(self.data) + 1)
-        prefix = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_TABLE[self.data] * up[: len(self.data)], out=prefix[1:])
-        return mix64((prefix[self.end] - prefix[self.start]) * down[self.start])
+        out = np.empty(len(self.start), np.uint64)
+        for lo in range(0, len(out), _STEP):  # a stretch at a time: eight bytes a byte of text are needed several times over
+            start, end = self.start[lo : lo + _STEP], self.end[lo : lo + _STEP]
+            base = start[0]
+            part = _BYTE_TABLE[self.data[base : end[-1]]]
+            up, down = _byte_powers.get(len(part) + 1)
+            part *= up[: len(part)]
+            prefix = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part, out=prefix[1:])
+            out[lo : lo + _STEP] = mix64((prefix[end - base] - prefix[start - base]) * down[start - base])
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
