@@ -123,15 +123,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself, in the columns of ``docs``: a document taken k times and a part is k whole rows and one row with
     the first words of its text; documents that are not taken go."""
     keys = ["__id", "__text_hash"]
-    counted = mix(docs, id_col, text_col, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), "__text_hash", F.col("size").alias("__size"), "taken")
+    counted = mix(docs, id_col, text_col, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), "__text_hash", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     nth = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))  # noqa: E731  repeated rows are alike, so any order of them will do
-    counted = counted.withColumn("__nth", nth(F.col("taken").desc()))
+    counted = counted.withColumn("__nth", nth(F.col("__taken").desc()))
     rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__nth", nth(F.lit(1)))
     same = rows["__id"].eqNullSafe(counted["__id"]) & (rows["__text_hash"] == counted["__text_hash"]) & (rows["__nth"] == counted["__nth"])
-    rows = rows.join(counted, same).select(*(rows[c] for c in docs.columns), counted["__size"], counted["taken"])
-    rest = (F.col("taken") % F.col("__size")).cast("int")
+    rows = rows.join(counted, same).select(*(rows[c] for c in docs.columns), counted["__size"], counted["__taken"])
+    rest = (F.col("__taken") % F.col("__size")).cast("int")
     first_words = F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("__part")), ""))
-    copies = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("taken") / F.col("__size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    copies = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("__taken") / F.col("__size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("__part", F.explode(copies))
     rows = rows.withColumn(text_col, F.when(F.col("__part") > 0, first_words).otherwise(F.col(text_col)))
     if chars_col in docs.columns:

@@ -9,7 +9,8 @@ deterministic parser looks for the bounds of an address, number or account and v
 * a phone number is parsed from its plus sign.
 
 Added kinds: ``iban`` (checked modulo 97), ``ssn``, ``account`` (a number behind a cue), ``secret`` (a value behind a cue, or a
-key of a known form), ``url`` (with user and password) and ``masked_email`` (``name [at] host [dot] org``).
+key of a known form), ``url`` (with user and password), ``masked_email`` (``name [at] host [dot] org``), and ``card_inside`` and
+``phone_inside``: numbers that stand whole inside a longer run of digit groups, which the base patterns drop.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "account", "secret", "url", "masked_email")
+KINDS = (*BASE, "iban", "ssn", "account", "secret", "url", "masked_email", "card_inside", "phone_inside")
 _NTH = {k: i for i, k in enumerate(KINDS)}
 Span = tuple[int, int, str]
 
@@ -32,6 +33,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_CARD_INSIDE = re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])")
+_PHONE_INSIDE = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -100,6 +103,8 @@ def find(text: str | None) -> list[Span]:
                 digits = _NOT_DIGIT.sub("", m[0])
                 if 14 <= len(digits) <= 19 and luhn(digits):
                     out.append((start, m.end(), "card"))
+                elif len(digits) > 14:
+                    out += [(start + i.start(), start + i.end(), "card_inside") for i in _CARD_INSIDE.finditer(m[0]) if luhn(_NOT_DIGIT.sub("", i[0]))]
             if start >= done["ssn"] and not (start and text[start - 1] in "-.") and (m := _SSN.match(text, start)) and m[1] not in ("000", "666") and m[1][0] != "9" and m[2] != "00" and m[3] != "0000":
                 put("ssn", start, m.end())
             if start - 2 >= done["iban"] and text[start - 2 : start].isupper() and not text[start - 3 : start - 2].isalnum() and (m := _IBAN.match(text, start - 2)):
@@ -113,8 +118,11 @@ def find(text: str | None) -> list[Span]:
             if left < start and (m := _DOMAIN.match(text, start + 1)):
                 put("email", left, m.end())
         elif kind == "plus":
-            if (m := _PHONE.match(text, start)) and 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
-                put("phone", start, m.end())
+            if m := _PHONE.match(text, start):
+                if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
+                    put("phone", start, m.end())
+                elif (m := _PHONE_INSIDE.match(text, start)) and 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
+                    put("phone_inside", start, m.end())
         elif kind == "url":
             left = start
             while left and text[left - 1].isascii() and text[left - 1].isalnum():
@@ -150,7 +158,7 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
         while i + 1 < len(spans) and spans[i + 1][0] < end:
             i += 1
             end = max(end, spans[i][1])
-        out += [text[last:start], f"[{kind.upper()}]"]
+        out += [text[last:start], f"[{kind.removesuffix('_inside').upper()}]"]
         last, i = end, i + 1
     return "".join(out) + text[last:]
 
