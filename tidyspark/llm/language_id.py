@@ -203,27 +203,46 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     """
     if model is None:
         model = fit(docs, id_col, text_col, lang_col, **how)
-    names = model.languages if model else []
-
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= batch_chars):
-                    chars += len(texts[hi] or "")
-                    hi += 1
-                out = []
-                entropy, size = model.entropies(texts[lo:hi]) if model else (None, np.zeros(hi - lo))
-                for i in range(hi - lo):
-                    if size[i] <= 0:
-                        out.append((ids[lo + i], held[lo + i], "und", 0.0, None, True))
-                        continue
-                    k = int(entropy[i].argmin())
-                    score = 1 / float(np.exp(-model.sharpness * (entropy[i] - entropy[i, k])).sum())
-                    out.append((ids[lo + i], held[lo + i], names[k], score, float(entropy[i, k]), bool(entropy[i, k] > model.limits[k])))
+            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            out = [(doc, h, *told) for doc, h, told in zip(ids, held, _predictions(model, batch.column(1).to_pylist(), batch_chars))]
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
-                lo = hi
 
     return _prepared(docs, id_col, text_col, lang_col).select("doc_id", "__text", "held_out").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def _predictions(model: Model | None, texts: list[str | None], batch_chars: int) -> Iterator[tuple[str, float, float | None, bool]]:
+    """(language, score, cross-entropy, rejected) of each text."""
+    lo = 0
+    while lo < len(texts):
+        hi, chars = lo, 0
+        while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= batch_chars):
+            chars += len(texts[hi] or "")
+            hi += 1
+        entropy, size = model.entropies(texts[lo:hi]) if model else (None, np.zeros(hi - lo))
+        for i in range(hi - lo):
+            if size[i] <= 0:
+                yield "und", 0.0, None, True
+                continue
+            k = int(entropy[i].argmin())
+            score = 1 / float(np.exp(-model.sharpness * (entropy[i] - entropy[i, k])).sum())
+            yield model.languages[k], score, float(entropy[i, k]), bool(entropy[i, k] > model.limits[k])
+        lo = hi
+
+
+def accepted_documents(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_chars: int = 1 << 20, **how) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with ``lang_col`` set to the prediction; the columns stay."""
+    if model is None:
+        model = fit(docs, id_col, text_col, lang_col, **how)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = list(_predictions(model, batch.column(text_at).to_pylist(), batch_chars))
+            arrays = list(batch.columns)
+            arrays[lang_at] = pa.array([t[0] for t in told], batch.schema.field(lang_at).type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array([not t[3] for t in told], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
