@@ -75,7 +75,7 @@ _FIELDS = pa.schema(
 
 
 def pack_sequences(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, pad_id: int = 0, group_tokens: int = 8 << 20, batch_bytes: int = 2 << 20
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, pad_id: int = 0, group_tokens: int = 8 << 20, batch_bytes: int = 1 << 20
 ) -> DataFrame:
     """One row per sequence of a packed id matrix.
 

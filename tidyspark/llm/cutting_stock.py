@@ -25,7 +25,7 @@ from .wordarrays import row_groups, utf8
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, batch_bytes: int = 2 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """Cut each document's ids, with ``end_id`` behind them, at multiples of ``width``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

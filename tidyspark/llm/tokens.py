@@ -34,7 +34,7 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,8 +48,22 @@ class WordEncoder:
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.count, self.flat, self.filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.hits = np.zeros(0, np.int64)
         self.stems: dict[str, list[int]] = {}
 
+    def shrink(self) -> None:
+        """Keep the words that more batches had than the median word."""
+        kept = np.flatnonzero(self.hits > np.median(self.hits))
+        number = np.full(len(self.hits), -1)
+        number[kept] = np.arange(len(kept))
+        alive = number[self.slot] >= 0
+        begin, count = self.begin[kept], self.count[kept]
+        ends = np.cumsum(count)
+        self.filled = int(ends[-1]) if len(ends) else 0
+        self.flat = np.append(self.flat[np.arange(self.filled) + np.repeat(begin - (ends - count), count)], np.uint32(0))
+        self.keys, self.slot = self.keys[alive], number[self.slot[alive]]
+        self.begin, self.count, self.hits = ends - count, count, np.zeros(len(kept), np.int64)
+
     def slow(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -60,7 +74,7 @@ class WordEncoder:
         stem = simple[1].lower()
         ids = self.stems.get(stem)
         if ids is None:
-            if len(self.stems) > 300_000:
+            if len(self.stems) > 100_000:
                 self.stems.clear()
             mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.as_bytes)
             ids = self.stems[stem] = [t.id for t in self.model.tokenize(mapped)]
@@ -75,6 +89,7 @@ class WordEncoder:
         self.flat[self.filled : need] = [i for ids in found for i in ids]
         self.begin = np.concatenate([self.begin, self.filled + np.cumsum(count) - count])
         self.count, self.filled = np.concatenate([self.count, count]), need
+        self.hits = np.concatenate([self.hits, np.zeros(len(count), np.int64)])
         keys, slot = np.concatenate([self.keys, keys]), np.concatenate([self.slot, np.arange(len(self.count) - len(count), len(self.count))])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slot = keys[order], slot[order]
@@ -85,13 +100,14 @@ class WordEncoder:
         rows = len(offsets) - 1
         keys, first, where = np.unique(w.hashes(), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.most_words and len(self.keys):
-            self.clear()
+            self.shrink()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), dtype=bool)
         if new.any():
             text = data.tobytes()
             self._learn(keys[new], [text[s:e] for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
+        self.hits[self.slot[at]] += 1
         slot = self.slot[at][where] if len(keys) else np.zeros(0, np.int64)
         count = self.count[slot]
         ends = np.cumsum(count)
