@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -16,12 +17,17 @@ TEXTS = ["Hello, World. It's A TEST's don't", None, "", " \n\t", "naïve CAFÉ,
 SCHEMA = "doc_id long, text string, length string, start int"
 
 
-def reference_ids(text, end=True):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1] * end
+    return t
+
+
+def reference_ids(text, end=True):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1] * end
 
 
 def test_encoder_equals_tokenizer():

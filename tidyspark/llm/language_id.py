@@ -174,7 +174,7 @@ def training_rows(docs: DataFrame, most_per_language: int) -> DataFrame:
     """At most so many rows of each language, those with the smallest hash; nothing is sorted but about twice as many."""
     labelled = docs.filter("__lang IS NOT NULL AND __text IS NOT NULL AND NOT held_out").withColumn("__draw", (F.xxhash64(F.col("doc_id"), F.lit(17)) / F.lit(2.0**64)) + 0.5)
     shares = labelled.groupBy("__lang").agg((F.lit(2.0 * most_per_language) / F.count("*")).alias("__share"))
-    few = labelled.join(shares, "__lang").filter("__draw <= __share OR __share >= 1")
+    few = labelled.join(F.broadcast(shares), "__lang")  # one row per language, for each of which the driver builds a model.filter("__draw <= __share OR __share >= 1")
     return few.withColumn("__nth", F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "doc_id"))).filter(F.col("__nth") <= most_per_language).select("__text", "__lang", "__nth")
 
 
