@@ -2,8 +2,8 @@
 
 1. Every document gets a class (digest of its words) and MinHash values of its word n-grams, from which 36 bands of five
    values are hashed.  A pair with Jaccard 0.8 shares no band with probability ``(1 - 0.8 ** 5) ** 36``, below 1e-6.
-2. Classes that share a band are linked to the smallest class of the band, never to each other; connected
-   components of these stars hold every candidate pair.
+2. Classes that share a band are linked to the smallest class of the band, never to each other, and these to the smallest of
+   them; connected components of these stars hold every candidate pair.
 3. A component's texts meet once.  Its pairs compare MinHash values a few at a time; with a uniform prior the posterior
    probability that the similarity reaches the threshold after m of n matches is ``P(Binomial(n + 1, t) <= m)``, and a pair below the
    tolerance is dropped.  All that remain are verified on their whole n-gram sets.
@@ -205,11 +205,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     classes = scratch.table(classes, "classes")
     keyed = classes.select("cid", F.explode("bands").alias("key")).repartition("key")
     bucket = keyed.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least <> most").drop("most")
-    stars = keyed.join(bucket, "key").filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    # A class points at the smallest of all its bands' smallest classes, and so do those: one edge a class, and few between the smallest.
+    heads = keyed.join(bucket, "key").groupBy("cid").agg(F.collect_set("least").alias("heads")).withColumn("b", F.array_min("heads"))
+    stars = heads.select(F.explode(F.array_union("heads", F.array("cid"))).alias("a"), "b").filter("a <> b").distinct()
     members = components(stars).select(F.col("id").alias("cid"), "component").join(classes.drop("bands"), "cid")
     members = scratch.table(members, "members")
     # A component's text decides into how many tiles it is cut; a row goes to each pair of tiles that has its own.
-    texts = docs.join(members, docs["doc_id"] == members["class_id"]).select("cid", "component", "copies", "__text")
+    # Both sides grow with the corpus: neither is ever broadcast.
+    texts = docs.join(members.hint("merge"), docs["doc_id"] == members["class_id"]).select("cid", "component", "copies", "__text")
     texts = scratch.table(texts, "texts")
     weight = texts.groupBy("component").agg(F.ceil(F.sum(F.octet_length("__text")) / task_bytes).cast("int").alias("tiles"))
     tiled = texts.join(weight, "component").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
