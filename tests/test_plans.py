@@ -1,0 +1,73 @@
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tidyspark.functions import columns as C
+from tidyspark.functions import digests
+from tidyspark.plans import parsing as P
+from tidyspark.plans import query_language as Q
+from tidyspark.plans.config import Config
+
+
+def test_sizes():
+    assert [P.size(x) for x in ("7", "1b", "1w", "2c", "1k", "1KB", "1.5kb", "2 M", "1e")] == [7, 512, 2, 2, 1000, 1024, 1536, 2_000_000, 10**18]
+    for bad in ("", "-1", "x", "1q", "99999999999999999999", "1.2.3"):
+        with pytest.raises(P.ParseError):
+            P.size(bad)
+    assert P.size_range("512-1kb") == (512, 1024) and P.size_range("10") == (10, P.LONG_MAX) and P.size_range("-10") == (0, 10) and P.size_range("18446744073709551615")[0] == P.LONG_MAX
+    for bad in ("--17", "10-9", "10--10", "-", "1-99999999999999999999"):
+        with pytest.raises(P.ParseError):
+            P.size_range(bad)
+
+
+@given(st.integers(0, 2**62))
+def test_plain_sizes(n):
+    assert P.size(str(n)) == n
+
+
+def test_rank_and_sort_grammar():
+    got = P.rank("r<d/e>x<f$>A")
+    assert [(c.letter, c.reverse, c.pattern) for c in got] == [("r", False, "d/e"), ("x", False, "f$"), ("a", True, None)]
+    assert len(P.rank("x<.>" * 8)) == 8
+    for bad in ("x<.>" * 9, "x<>", "x", "x<(>", "z", "", "x<a"):
+        with pytest.raises(P.ParseError):
+            P.rank(bad)
+    assert P.group_sort("aS") == [("a", False), ("s", True)]
+    with pytest.raises(P.ParseError):
+        P.group_sort("q")
+
+
+def test_types_outputs_roots():
+    assert P.lint_types("df,dd") == {"duplicate_file", "duplicate_dir"} and "emptyfile" not in P.lint_types("defaults -ef") and "nonstripped" in P.lint_types("+ns") and P.lint_types("none") == frozenset()
+    assert P.output("json:x.json") == ("json", "x.json") and P.output("csv") == ("csv", "stdout") and P.output("out.sh") == ("sh", "out.sh")
+    assert P.output_setting("json:unique") == ("json", "unique", "1")
+    for bad in (P.output, P.output_setting, P.lint_types):
+        with pytest.raises(P.ParseError):
+            bad("nothing:known")
+    assert P.roots(["a", "//", "b", "//", "c"]) == [("a", 0, False), ("b", 1, True), ("c", 2, False)] and P.roots([]) == [(".", 0, False)]
+    assert P.stamp("12.5") == 12.5 and P.stamp("1970-01-01T00:01:00+00:00") == 60
+    assert P.clamp("25%").share == 0.25 and P.clamp(".5").share == 0.5 and P.clamp("1kb").offset == 1024
+
+
+def test_config_conflicts():
+    for bad in (dict(keep_all_tagged=True, keep_all_untagged=True), dict(keep_all_tagged=True, must_match_untagged=True), dict(keep_all_untagged=True, must_match_tagged=True), dict(size=(2, 1)), dict(rank="?"), dict(clamp_low=P.clamp("9"), clamp_high=P.clamp("9"))):
+        with pytest.raises(P.ParseError):
+            Config(**bad)
+    for bad in ("nope", "highway"):
+        with pytest.raises(ValueError):
+            Config(algorithm=bad)
+    assert digests.level(-9) == "xxhash" and digests.level(0) == "blake2b" and digests.level(5) == "paranoid"
+
+
+def test_filter_language():
+    q = Q.parse("size:0-3M,7 count:2,4-10 mtime:1970-01-02 Some Text")
+    assert (q.size, q.count, q.mtime, q.text) == (((0, 3 << 20), (7,)), ((2,), (4, 10)), ((86400,),), "Some Text")
+    assert Q.parse("abc").narrows(Q.parse("ab")) and not Q.parse("ab size:1").narrows(Q.parse("a")) and Q.parse("size:x").size == ()
+
+
+def test_streaming_law_of_digests():
+    whole = b"1" * 10000
+    for name in ("md5", "sha256", "blake2b", "sha3-256"):
+        assert len({digests.streamed([whole[i : i + n] for i in range(0, 10000, n)], name) for n in (1, 1024, 4096, 20000)}) == 1
+    assert digests.xor_words(b"abcdefgh12345678") == digests.xor_words(b"12345678abcdefgh")
+    assert C.elapsed(90061.5) == "1d 1h 1m 1.500s"
