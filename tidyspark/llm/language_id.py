@@ -9,6 +9,7 @@ cross-entropy per character wins; a text whose cross-entropy is beyond what held
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,7 +65,11 @@ class Model:
     weights: list[np.ndarray]  # log of the weight that goes to the shorter model
     floor: np.ndarray  # log-probability of an unknown character
     sharpness: float = 1.0
-    limits: np.ndarray | None = None  # largest cross-entropy that is not rejected
+    limits: np.ndarray | None = None  # (languages, 2): what a long text's cross-entropy may be, and how much more by the root of the length
+
+    def accepts(self, language: int, entropy: float, size: int) -> bool:
+        """Whether a cross-entropy is no stranger than the language's own texts of that length are."""
+        return entropy <= self.limits[language, 0] + self.limits[language, 1] / math.sqrt(size)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character (texts, languages), and how many characters that are."""
@@ -107,7 +112,7 @@ def _find(pool: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, pool[at] == key
 
 
-def train(texts: list[str | None], languages: list[str], false_rejections: float = 0.001, slack: float = 1.15) -> Model | None:
+def train(texts: list[str | None], languages: list[str], false_rejections: float = 0.001, slack: float = 1.6) -> Model | None:
     """Fit on four fifths of the texts, then sharpness and limits on the rest; the final model has all texts."""
     names = sorted(set(languages))
     if not names:
@@ -121,11 +126,13 @@ def train(texts: list[str | None], languages: list[str], false_rejections: float
     real = size > 0
     entropy, own = entropy[real], own[real]
     final = _fit(texts, languages, names)
-    final.limits = np.full(len(names), np.inf)
+    final.limits = np.full((len(names), 2), np.inf)
     if len(entropy):
         final.sharpness = min((float(s) for s in np.geomspace(0.5, 64, 15)), key=lambda s: float(np.mean(np.log(np.exp(-s * (entropy - entropy[np.arange(len(own)), own][:, None])).sum(axis=1)))))
         for k in set(own.tolist()):
-            final.limits[k] = slack * float(np.quantile(entropy[own == k, k], 1 - false_rejections))
+            mine, length = entropy[own == k, k], np.sqrt(size[real][own == k])
+            centre = float(np.average(mine, weights=length**2))
+            final.limits[k] = slack * centre, slack * max(float(np.quantile((mine - centre) * length, 1 - false_rejections)), centre)
     return final
 
 
@@ -228,7 +235,7 @@ def _predictions(model: Model | None, texts: list[str | None], batch_chars: int)
                 continue
             k = int(entropy[i].argmin())
             score = 1 / float(np.exp(-model.sharpness * (entropy[i] - entropy[i, k])).sum())
-            yield model.languages[k], score, float(entropy[i, k]), bool(entropy[i, k] > model.limits[k])
+            yield model.languages[k], score, float(entropy[i, k]), not model.accepts(k, float(entropy[i, k]), int(size[i]))
         lo = hi
 
 
