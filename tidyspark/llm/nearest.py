@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_WIDER = 1.15
-_FIRST_COVER = 0.35  # share of a block that the first windows cover
+_WIDER = 1.05
+_FIRST_COVER = 0.4  # share of a block that the first windows cover
 
 
 def _directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
@@ -109,7 +109,7 @@ def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, projections: int = 128, share: float = 0.2, least: int = 1000, block_rows: int = 16384, query_rows: int = 1024
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, projections: int = 96, share: float = 0.15, least: int = 1000, block_rows: int = 16384, query_rows: int = 1024
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``query_every`` the ``k`` rows found with the largest inner product.
 
