@@ -27,8 +27,16 @@ from .graph import components, local_roots
 _TINY = 1e-9
 
 
+def unpack(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors as doubles; each is stored in single precision if that loses nothing."""
+    joined = b"".join(raw)
+    if all(len(r) == 4 * dim for r in raw):
+        return np.frombuffer(joined, "<f4").reshape(-1, dim).astype(float)
+    return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(float) for r in raw])
+
+
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, cid, dim, vec``: class (digest of the components) and components as doubles; null for vectors that take no part."""
+    """``vec_id, cid, dim, vec``: class (digest of the components) and components; null for vectors that take no part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,7 +46,8 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 norm = math.sqrt(float(vec @ vec)) if np.isfinite(vec).all() else 0.0
                 if norm > 0 and math.isfinite(norm):
                     raw = (vec + 0.0).astype("<f8").tobytes()  # + 0.0 makes -0.0 equal to 0.0
-                    out.append((vec_id, hashlib.blake2b(raw, digest_size=16).digest(), len(vec), raw))
+                    short = np.abs(vec).max() < 3e38 and (vec.astype("<f4") == vec).all()
+                    out.append((vec_id, hashlib.blake2b(raw, digest_size=16).digest(), len(vec), vec.astype("<f4").tobytes() if short else raw))
                 else:
                     out.append((vec_id, None, None, None))
             if out:
@@ -89,29 +98,39 @@ class Grid:
             yield k, rows, cell, own
 
 
-def _compare(threshold: float, blocks: int, axes: int, chunk: int = 512):
+def _compare(threshold: float, blocks: int, axes: int, chunk: int = 128):
     schema = pa.schema([("cid", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def rows(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
         grid = Grid.of(dim, threshold, blocks, axes)
-        raw = np.frombuffer(b"".join(table["vec"].to_pylist()), "<f8").reshape(-1, dim)
+        raw = unpack(table["vec"].to_pylist(), dim)
         copies, home = table["copies"].to_numpy(), np.flatnonzero(table["home"].to_numpy())
         length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         turned = grid.turn(raw)
-        part = turned[:, grid.edges[block] : grid.edges[block + 1]].astype(np.float32)
-        square = np.einsum("ij,ij->i", part, part)
+        part = turned[:, grid.edges[block] : grid.edges[block + 1]]
         limit = np.float32(grid.budget[block] + 1e-5)
+        # Sorted by a coordinate that the grid has not used, only a window of the vectors can be near a stretch of homes.
+        axis = part[:, min(axes, part.shape[1] - 1)]
+        order, home = np.argsort(axis, kind="stable"), home[np.argsort(axis[home], kind="stable")]
+        along, reach = axis[order], math.sqrt(float(limit))
+        square = np.einsum("ij,ij->i", part, part)
+        one = np.ones(len(part))
+        mine = np.column_stack([-2 * part, square, one]).astype(np.float32)  # their product with the others is the squared distance
+        others = np.column_stack([part, one, square])[order].astype(np.float32)
         links = np.zeros(len(raw), np.int64)
         left, right = [], []
         for lo in range(0, len(home), chunk):
             own = home[lo : lo + chunk]
-            near = part[own] @ part.T
-            near *= -2
-            near += square[own, None]
-            near += square
-            i, j = np.nonzero(near <= limit)
-            i = own[i]
+            begin, end = np.searchsorted(along, [axis[own[0]] - reach, axis[own[-1]] + reach])
+            found = []
+            for at in range(begin, end, 4096):
+                near = mine[own] @ others[at : min(at + 4096, end)].T <= limit
+                hit = np.flatnonzero(near)
+                if len(hit):
+                    i, j = np.divmod(hit, near.shape[1])
+                    found.append((own[i], order[at + j]))
+            i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             i, j = i[i != j], j[i != j]
             for at in range(0, len(i), 1 << 16):  # candidates: exact test, and whether an earlier block had the pair
                 a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
@@ -152,7 +171,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
-                raw = np.frombuffer(b"".join(batch.column(2).take(pa.array(mine)).to_pylist()), "<f8").reshape(-1, int(dim))
+                raw = unpack(batch.column(2).take(pa.array(mine)).to_pylist(), int(dim))
                 grid = Grid.of(int(dim), threshold, blocks, axes)
                 for block, rows, cell, own in grid.cells(grid.turn(raw)):
                     if tiles is None:
