@@ -111,3 +111,17 @@ def test_labels_of_held_out_rows_play_no_part(spark):
 @pytest.mark.parametrize("data", [[], [(1, "abc", None, None, 0, 0)]])
 def test_nothing_to_learn(spark, data):
     assert [x.lang_pred for x in L.identify(spark.createDataFrame(data, SCHEMA)).collect()] == ["und"] * len(data)
+
+
+@pytest.mark.parametrize("most_languages", [1000, 1])
+def test_draw_keeps_few_rows_and_the_smallest_hashes(spark, most_languages):
+    docs = L._prepared(spark.range(9000).selectExpr("id AS doc_id", "'t' || id AS text", "if(id % 10 < 9, 'aa', 'bb') AS lang"), "doc_id", "text", "lang")
+    drawn = L.drawn_rows(docs, 50, most_languages)
+    by = Counter(r["__lang"] for r in drawn.collect())
+    assert 50 <= by["aa"] <= 200 and 50 <= by["bb"] <= 200
+    assert "__share" not in drawn.columns
+    taken = L.training_rows(docs, 50).collect()
+    every = docs.filter("NOT held_out").selectExpr("__lang", "__text", "xxhash64(doc_id, 17) AS h").collect()
+    for lang in ("aa", "bb"):
+        least = sorted((r["h"], r["__text"]) for r in every if r["__lang"] == lang)[:50]
+        assert sorted(r["__text"] for r in taken if r["__lang"] == lang) == sorted(t for _, t in least)

@@ -177,11 +177,19 @@ def _fit(texts: list[str | None], languages: list[str], names: list[str]) -> Mod
     return Model(names, grams, logs, contexts, weights, floor)
 
 
-def training_rows(docs: DataFrame, most_per_language: int) -> DataFrame:
-    """At most so many rows of each language, those with the smallest hash; nothing is sorted but about twice as many."""
+def drawn_rows(docs: DataFrame, most_per_language: int, most_languages: int = 1000) -> DataFrame:
+    """About twice as many labelled rows of each language as are wanted, those with the smallest hash; all of a rarer language."""
     labelled = docs.filter("__lang IS NOT NULL AND __text IS NOT NULL AND NOT held_out").withColumn("__draw", (F.xxhash64(F.col("doc_id"), F.lit(17)) / F.lit(2.0**64)) + 0.5)
     shares = labelled.groupBy("__lang").agg((F.lit(2.0 * most_per_language) / F.count("*")).alias("__share"))
-    few = labelled.join(F.broadcast(shares), "__lang")  # one row per language, for each of which the driver builds a model.filter("__draw <= __share OR __share >= 1")
+    known = shares.limit(most_languages + 1).collect()
+    if len(known) <= most_languages:  # few enough to travel to the texts; else the texts are dealt by language
+        shares = F.broadcast(docs.sparkSession.createDataFrame(known, shares.schema))
+    return labelled.join(shares, "__lang").filter("__draw <= __share OR __share >= 1").drop("__share")
+
+
+def training_rows(docs: DataFrame, most_per_language: int) -> DataFrame:
+    """At most so many rows of each language, those with the smallest hash; nothing is sorted but about twice as many."""
+    few = drawn_rows(docs, most_per_language)
     return few.withColumn("__nth", F.row_number().over(Window.partitionBy("__lang").orderBy("__draw", "doc_id"))).filter(F.col("__nth") <= most_per_language).select("__text", "__lang", "__nth")
 
 
