@@ -40,10 +40,11 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(_NONE).to_numpy().astype(np.int64)
 
 
-def _deal(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the parts in sorted hashes: part = high 32 bits * parts / 2**32."""
-    edges = [min(-(-(p << 32) // parts) << 32, (1 << 64) - 1) for p in range(parts)]
-    return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
+def _deal(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted hashes for the parts that get any: part = high 32 bits * parts / 2**32."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    at = _runs(part)
+    return list(zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)]))
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -65,10 +66,9 @@ def _anchor_rows(block: int, parts: int):
             shared = np.maximum.reduceat(row, at) != np.minimum.reduceat(row, at)
             flags = np.logical_or.reduceat(aligned, at) * np.uint64(1) + shared * _TWO
             coded = (key[at] << _TWO) | flags
-            bounds, chunk = _deal(coded, parts), docs["chunk"][0].as_py()
-            for p in range(parts):
-                if bounds[p] < bounds[p + 1]:
-                    out["part"].append(p), out["chunk"].append(chunk), out["keys"].append(pack_sorted(coded[bounds[p] : bounds[p + 1]]))
+            chunk = docs["chunk"][0].as_py()
+            for p, lo, hi in _deal(coded, parts):
+                out["part"].append(p), out["chunk"].append(chunk), out["keys"].append(pack_sorted(coded[lo:hi]))
         return pa.table(out, schema=pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary())]))
 
     return rows
@@ -123,12 +123,10 @@ def _extension_rows(block: int, width: int, parts: int):
         a, b, ids = a[order], b[order], ids[order]
         at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         a, b, least = a[at], b[at], np.minimum.reduceat(ids, at)
-        bounds, chunk = _deal(a, parts), docs["chunk"][0].as_py()
-        for p in range(parts):
-            lo, hi = bounds[p], bounds[p + 1]
-            if lo < hi:
-                for k, v in zip(schema.names, (p, chunk, pack_sorted(a[lo:hi]), b[lo:hi].tobytes(), least[lo:hi].tobytes())):
-                    out[k].append(v)
+        chunk = docs["chunk"][0].as_py()
+        for p, lo, hi in _deal(a, parts):
+            for k, v in zip(schema.names, (p, chunk, pack_sorted(a[lo:hi]), b[lo:hi].tobytes(), least[lo:hi].tobytes())):
+                out[k].append(v)
         return pa.table(out, schema=schema)
 
     return rows
