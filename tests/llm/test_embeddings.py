@@ -77,6 +77,23 @@ def test_search_recall(spark, n, how, least):
     assert set(got) <= set(range(0, n, 20))
 
 
+@pytest.mark.parametrize("kind", ["unit", "one large vector", "skewed"])
+def test_search_recall_with_uneven_norms(spark, kind):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "one large vector":
+        x[4321] *= 3
+    if kind == "skewed":
+        x *= r.lognormal(0, 0.5, (len(x), 1))
+    x = x.astype(np.float32)
+    got = {}
+    for row in nearest.search(table(spark, x), query_every=200, least=100).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    hit = sum(len(got[q] & {i for _, i in brute_search(x, list(range(len(x))), q, 20)}) for q in range(0, len(x), 200))
+    assert hit >= 0.95 * 20 * 30
+
+
 def test_search_small(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.5]), (2, [0.5, 0.5]), (40, None)]
     got = nearest.search(spark.createDataFrame([(k, v, 0, 1, 2, 3.0) for k, v in rows], SCHEMA)).collect()

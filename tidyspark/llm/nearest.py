@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by collision counting.
 
-Largest inner products become smallest distances by one more coordinate, ``sqrt(M**2 - |x|**2)`` with the largest norm M; a query has 0
-there and norm M.  Vectors are projected on many single directions (orthonormal in groups, which evens out the counts), and each
-projection of a data block is kept as a sorted array.  A query opens a window around its own projection in each array
-and counts in how many windows a vector lies.  Virtual rehashing widens all windows step by step until enough vectors lie
-in at least half of them; those are verified by their exact inner product.
+A data block is cut into ranges of norms, so that the norms of a range hardly differ.  In a range, largest inner products become smallest
+distances by one more coordinate, ``sqrt(M**2 - |x|**2)`` with the range's largest norm M; a query has 0 there and norm M.  Vectors are
+projected on many single directions (orthonormal in groups, which evens out the counts), and each projection of a range is
+kept as a sorted array.  A query opens a window around its own projection in each array and counts in how many windows a
+vector lies.  Virtual rehashing widens all windows step by step until enough vectors lie in at least half of them; those are
+verified by their exact inner product.  Ranges are searched from the largest norm down, and the rest is left out only
+once no vector of their norms can have an inner product among the ``k`` largest.
 
 Queries and data are dealt to blocks by hash, and each pair of blocks is a task.  A task sends ``k`` rows per query.
 """
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _WIDER = 1.05
-_FIRST_COVER = 0.4  # share of a block that the first windows cover
+_FIRST_COVER = 0.4  # share of a range that the first windows cover
+_NORM_RATIO = 1.1  # of the largest norm of a range to its least
 
 
 def _directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
@@ -29,7 +32,7 @@ def _directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
 
 
 class SortedProjections:
-    """One data block: sorted projections and which vector each entry is."""
+    """One range of norms: sorted projections and which vector each entry is."""
 
     def __init__(self, data: np.ndarray, largest: float, m: int):
         self.data, self.largest = data, largest
@@ -64,7 +67,39 @@ class SortedProjections:
             width *= _WIDER
 
 
-def _search(k: int, m: int, share: float, least: int, largest: float):
+class NormRanges:
+    """One data block: its ranges of norms, each with the sorted projections of its vectors unless it is small enough to verify them all."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, m: int, share: float, least: int):
+        self.k = k
+        norms = np.sqrt(np.einsum("ij,ij->i", data, data))
+        down = np.argsort(-norms, kind="stable")
+        norms, self.ids, self.data = norms[down], ids[down], data[down]
+        self.ranges: list[tuple[float, int, int, int, SortedProjections | None]] = []
+        lo = 0
+        while lo < len(norms):
+            largest = float(norms[lo])
+            hi = max(lo + 1, int(np.searchsorted(-norms, -largest / _NORM_RATIO, "right")))
+            want = max(least, math.ceil(share * (hi - lo))) + k
+            self.ranges.append((largest, lo, hi, want, SortedProjections(self.data[lo:hi], largest, m) if want < hi - lo else None))
+            lo = hi
+
+    def best(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the ``k`` best vectors found, best first."""
+        length = math.sqrt(float(query @ query))
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        for largest, lo, hi, want, index in self.ranges:
+            if len(best) == self.k and score[-1] > largest * length * (1 + 1e-9):
+                break
+            found = np.arange(lo, hi) if index is None else lo + index.frequent(query, want)
+            found = found[self.ids[found] != query_id]
+            best, score = np.concatenate([best, self.ids[found]]), np.concatenate([score, (self.data[found] * query).sum(axis=1)])
+            top = np.lexsort((best, -score))[: self.k]
+            best, score = best[top], score[top]
+        return best, score
+
+
+def _search(k: int, m: int, share: float, least: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def unpack(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,21 +111,17 @@ def _search(k: int, m: int, share: float, least: int, largest: float):
             dim = data["dim"][0].as_py()
             query_ids, query_vectors = unpack(queries, dim)
             ids, vectors = unpack(data, dim)
-            index = SortedProjections(vectors, largest, m)
-            want = min(len(ids), max(least, math.ceil(share * len(ids))) + k)
+            index = NormRanges(ids, vectors, k, m, share, least)
             for query_id, query in zip(query_ids.tolist(), query_vectors):
-                found = index.frequent(query, want)
-                found = found[ids[found] != query_id]
-                score = (vectors[found] * query).sum(axis=1)
-                best = np.lexsort((ids[found], -score))[:k]
-                out[0].append(np.full(len(best), query_id)), out[1].append(ids[found][best]), out[2].append(score[best])
+                best, score = index.best(query_id, query)
+                out[0].append(np.full(len(best), query_id)), out[1].append(best), out[2].append(score)
         return pa.table([np.concatenate(c) if c else [] for c in out], schema=schema)
 
     return rows
 
 
 def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, dim, vec`` (doubles) and the norm; vectors that take no part are left out."""
+    """``vec_id, dim, vec`` (doubles); vectors that take no part are left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,31 +132,32 @@ def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 vec = np.array(values, "<f8")
                 norm = math.sqrt(float(vec @ vec)) if np.isfinite(vec).all() else 0.0
                 if 0 < norm < math.inf:
-                    out.append((vec_id, len(vec), vec.tobytes(), norm))
+                    out.append((vec_id, len(vec), vec.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.float64()))], names=["vec_id", "dim", "vec", "norm"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], names=["vec_id", "dim", "vec"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(rows, "vec_id long, dim int, vec binary, norm double")
+    return df.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(rows, "vec_id long, dim int, vec binary")
 
 
 def search(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, projections: int = 96, share: float = 0.15, least: int = 1000, block_rows: int = 16384, query_rows: int = 1024
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, projections: int = 128, share: float = 0.2, least: int = 1000, block_rows: int = 16384, query_rows: int = 1024
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``query_every`` the ``k`` rows found with the largest inner product.
 
-    At least ``share`` of each block (and ``least`` rows of it) are verified, which holds recall above 0.9 even for vectors without any
-    structure; blocks up to ``least`` rows are searched exactly.  Ties go to the smaller id.  Null, empty, zero and non-finite vectors and null ids
+    Of each range of norms of a block at least ``share`` (and ``least`` rows) is verified, unless a bound shows that none of its vectors
+    can be among the ``k``.  In 64 dimensions that held recall above 0.95 for random vectors with even and uneven norms; ranges up to ``least``
+    rows are searched exactly.  Ties go to the smaller id.  Null, empty, zero and non-finite vectors and null ids
     take no part; vectors of another length are no candidates of a query.  Rows with the query's id are not its candidates; other
     repeated rows count singly.  Other columns play no part.
     """
     base = _usable(df, id_col, vector_col)
-    n, largest = base.agg(F.count("*"), F.max("norm")).first()
+    n = base.count()
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n // (query_every * query_rows)))
     block = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     keys = ["dim", "__block", "__group"]
     data = base.withColumn("__block", block(blocks, 1)).withColumn("__group", each(groups)).select(*keys, "vec_id", "vec")
     queries = base.filter(F.col("vec_id") % query_every == 0).withColumn("__group", block(groups, 2)).withColumn("__block", each(blocks)).select(*keys, "vec_id", "vec")
-    found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_search(k, projections, share, least, largest or 1.0), "query_id long, vec_id long, score double")
+    found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_search(k, projections, share, least), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
