@@ -125,3 +125,38 @@ def test_draw_keeps_few_rows_and_the_smallest_hashes(spark, most_languages):
     for lang in ("aa", "bb"):
         least = sorted((r["h"], r["__text"]) for r in every if r["__lang"] == lang)[:50]
         assert sorted(r["__text"] for r in taken if r["__lang"] == lang) == sorted(t for _, t in least)
+
+
+LETTERS = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst", "ee": "uvwxy"}
+
+
+def turns(texts_of):
+    """Texts and languages as fit() sorts them: the languages take turns."""
+    r = random.Random(7)
+    rows = [(n, lang, " ".join("".join(r.choice(LETTERS[lang]) for _ in range(r.randint(2, 6))) for _ in range(30))) for lang, many in texts_of.items() for n in range(many)]
+    rows.sort(key=lambda x: x[:2])
+    return [x[2] for x in rows], [x[1] for x in rows]
+
+
+@pytest.mark.parametrize("texts_of", [dict.fromkeys(LETTERS, 40), {**dict.fromkeys(LETTERS, 40), "cc": 3}, {"aa": 40, "bb": 40, "cc": 1}, dict.fromkeys(LETTERS, 4)])
+def test_every_language_has_limits_that_keep_its_texts_and_reject_junk(texts_of):
+    model = L.train(*turns(texts_of))
+    assert np.isfinite(model.limits).all()
+    r = random.Random(8)
+    fresh, languages = turns({k: n + 10 for k, n in texts_of.items()})
+    told = list(L._predictions(model, fresh, 1 << 20))
+    assert [x[0] for x in told] == languages and not any(x[3] for x in told)
+    junk = ["".join(r.choice("éèàùçñöüß ") for _ in range(150)) for _ in range(20)]
+    assert all(x[3] for x in L._predictions(model, junk, 1 << 20))
+
+
+def test_five_languages_hold_back_texts_of_each(monkeypatch):
+    fitted = []
+    monkeypatch.setattr(L, "_fit", lambda texts, languages, names, fit=L._fit: fitted.append(Counter(languages)) or fit(texts, languages, names))
+    L.train(*turns(dict.fromkeys(LETTERS, 40)))
+    assert fitted == [dict.fromkeys(LETTERS, 32), dict.fromkeys(LETTERS, 40)]
+
+
+def test_no_letters_to_learn_from():
+    model = L.train(["12", None, "?"], ["aa", "aa", "bb"])
+    assert list(L._predictions(model, ["1"], 1 << 20)) == [("und", 0.0, None, True)]

@@ -113,11 +113,20 @@ def _find(pool: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str | None], languages: list[str], false_rejections: float = 0.001, slack: float = 1.6) -> Model | None:
-    """Fit on four fifths of the texts, then sharpness and limits on the rest; the final model has all texts."""
+    """Fit on four fifths of each language's texts, then sharpness and limits on the rest; the final model has all texts.
+
+    A language too rare to hold back any of its texts gets the limits that the held-back texts of all languages give together; if all
+    are so rare, each holds back its last text, unless it is the only one.
+    """
     names = sorted(set(languages))
     if not names:
         return None
-    fold = np.arange(len(texts)) % 5 == 4
+    of: dict[str, list[int]] = {}
+    for i, (text, name) in enumerate(zip(texts, languages)):
+        if any(map(str.isalpha, text or "")):
+            of.setdefault(name, []).append(i)
+    fold = np.zeros(len(texts), dtype=bool)
+    fold[[i for own in of.values() for i in own[4::5]] or [own[-1] for own in of.values() if len(own) > 1]] = True
     kept = [i for i in range(len(texts)) if not fold[i]]
     model = _fit([texts[i] for i in kept], [languages[i] for i in kept], names)
     back = [i for i in range(len(texts)) if fold[i]] or kept
@@ -129,10 +138,11 @@ def train(texts: list[str | None], languages: list[str], false_rejections: float
     final.limits = np.full((len(names), 2), np.inf)
     if len(entropy):
         final.sharpness = min((float(s) for s in np.geomspace(0.5, 64, 15)), key=lambda s: float(np.mean(np.log(np.exp(-s * (entropy - entropy[np.arange(len(own)), own][:, None])).sum(axis=1)))))
-        for k in set(own.tolist()):
-            mine, length = entropy[own == k, k], np.sqrt(size[real][own == k])
-            centre = float(np.average(mine, weights=length**2))
-            final.limits[k] = slack * centre, slack * max(float(np.quantile((mine - centre) * length, 1 - false_rejections)), centre)
+        best, length = entropy[np.arange(len(own)), own], np.sqrt(size[real])
+        for k in range(len(names)):
+            mine = own == k if (own == k).any() else np.ones(len(own), dtype=bool)
+            centre = float(np.average(best[mine], weights=length[mine] ** 2))
+            final.limits[k] = slack * centre, slack * max(float(np.quantile((best[mine] - centre) * length[mine], 1 - false_rejections)), centre)
     return final
 
 
