@@ -58,6 +58,17 @@ def test_added_kinds():
     assert find("the token was spent, at 10:30, see https://example.org/a?b=c") == []
 
 
+def test_long_secrets_are_found_whole():
+    for n in (8, 512, 513, 600, 5000):
+        value = "x9" * (n // 2) + "x" * (n % 2)
+        for quote in ("'", '"'):
+            text = f"a token = {quote}{value}{quote} b"
+            assert redact(text, find(text)) == f"a token = {quote}[SECRET]{quote} b"
+        if n >= 12:
+            text = f"a token: {value} b"
+            assert redact(text, find(text)) == "a token: [SECRET] b"
+
+
 def test_redaction():
     text = "a me@x.org b +1 (988) 555-2485 c"
     assert redact(text, find(text)) == "a [EMAIL] b [PHONE] c"

@@ -39,7 +39,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SSN = re.compile(r"([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20(?:number|no\.?|nr\.?|id))?\x20?[#:=]?\x20?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
-_SECRET = re.compile(r"\x20{0,2}[:=]\x20{0,2}(?:([\"'])([^\"'\s]{8,512})\1|([A-Za-z0-9_\-/+=.]{12,512}))")
+_SECRET = re.compile(r"\x20{0,2}[:=]\x20{0,2}(?:([\"'])([^\"'\s]{8,}+)\1|([A-Za-z0-9_\-/+=.]{12,}+))")
 _CLOUD_KEY = re.compile(r"[A-Z0-9]{16}(?![A-Z0-9])")
 _USER_INFO = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
 _MASKED = re.compile(r"\x20?([A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]+)+)", re.IGNORECASE)
