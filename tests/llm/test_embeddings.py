@@ -99,3 +99,15 @@ def test_search_small(spark):
     got = nearest.search(spark.createDataFrame([(k, v, 0, 1, 2, 3.0) for k, v in rows], SCHEMA)).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 2, 0.5), (0, 3, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 2, 0.5), (20, 3, 3, 0.5)]
     assert nearest.search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_search_with_repeated_query_rows(spark):
+    x = data(300, 6)
+    told = lambda extra: sorted(tuple(r) for r in nearest.search(table(spark, x, extra)).collect() if r.query_id == 0)
+    once = told([])
+    assert [r[1] for r in once] == list(range(1, 21))
+    assert told([(0, x[0].tolist())] * 2) == once
+    other = [(0, (-x[0]).tolist())]  # another vector of that id: its own ranks
+    both = told(other)
+    far = [(rank + 1, i) for rank, (_, i) in enumerate(brute_search(np.vstack([x, -x[:1]]), [*range(300), 0], 300, 20))]
+    assert sorted((r[1], r[2]) for r in both) == sorted([(r[1], r[2]) for r in once] + far)
