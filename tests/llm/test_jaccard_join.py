@@ -62,6 +62,22 @@ def test_kept_documents(spark):
     assert J.kept_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_kept_documents_of_ids_with_several_texts(spark):
+    long = [f"a{i}" for i in range(100)]
+    a, near, b, c = " ".join(long), " ".join([*long[:99], "x"]), " ".join(f"b{i}" for i in range(30)), " ".join(f"c{i}" for i in range(30))
+    texts = [
+        (1, a), (2, near), (1, b),  # id 1 has a linked and a clean text
+        (3, c), (4, c), (4, "clean text of id four"),  # the linked text of id 4 goes, the clean one stays
+        (5, "d d d e f g h"), (6, "d d d e f g h"), (5, "p q r s t u v"), (7, "p q r s t u v"),  # two groups begin with id 5
+        (8, None), (8, "eight"), (None, "null id"), (None, "null id"),
+    ]
+    kept = J.kept_documents(spark.createDataFrame([(d, t, "c", 1, 2) for d, t in texts], SCHEMA)).collect()
+    want = [(1, a), (1, b), (3, c), (4, "clean text of id four"), (5, "d d d e f g h"), (5, "p q r s t u v"), (8, None), (8, "eight"), (None, "null id"), (None, "null id")]
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted(want, key=str)
+    both = J.kept_documents(spark.createDataFrame([(1, a, "c", 1, 2), (1, near, "c", 1, 2), (1, a, "c", 1, 2)], SCHEMA)).collect()
+    assert len(both) == 1 and both[0].text in (a, near)
+
+
 def test_many_near_copies_of_one_text(spark):
     base = [f"b{i}" for i in range(200)]
     rows = [(d, " ".join([*base[:50], f"x{d}", *base[51:]])) for d in range(300)]

@@ -197,14 +197,14 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
     return assemble(base.select("vec_id", "cid"), classes, found, "vec_id")
 
 
-def assemble(rows: DataFrame, classes: DataFrame, found: DataFrame, id_name: str) -> DataFrame:
-    """From classes and what tasks found (``cid, links, root``) to one row per input row."""
+def assemble(rows: DataFrame, classes: DataFrame, found: DataFrame, id_name: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """From classes and what tasks found (``cid, links, root``) to one row per input row; ``extra`` may name ``cid`` and ``component``, a class that stands for all that links reach."""
     links = found.groupBy("cid").agg(F.sum("links").alias("__links"))
     joined = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     least = joined.join(classes.select(F.col("cid").alias("id"), "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("__least"))
-    roots = joined.join(least, "component").select(F.col("id").alias("cid"), "__least")
+    roots = joined.join(least, "component").select(F.col("id").alias("cid"), "__least", "component")
     told = classes.select("cid", "class_id", "copies").join(links, "cid", "left").join(roots, "cid", "left")
-    told = told.select("cid", "class_id", (F.coalesce("__links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("__least", "class_id").alias("component_id"))
+    told = told.select("cid", "class_id", (F.coalesce("__links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("__least", "class_id").alias("component_id"), F.coalesce("component", "cid").alias("component"))
     out = rows.join(told, "cid", "left")
     component = F.coalesce("component_id", id_name)
-    return out.select(id_name, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_name) == component, F.lit(True)).alias("kept"), F.coalesce("class_id", id_name).alias("class_id"))
+    return out.select(id_name, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_name) == component, F.lit(True)).alias("kept"), F.coalesce("class_id", id_name).alias("class_id"), *extra)

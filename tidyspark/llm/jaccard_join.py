@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 from .embedding_dedup import assemble
@@ -199,6 +200,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     A text with fewer words has one n-gram of all its words; a null, empty or blank text links with nothing.  Rows may repeat:
     each row counts.  A row with a null id links with nothing.  Other columns play no part.
     """
+    return _linked(docs, id_col, text_col, width, threshold, tolerance, task_bytes)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, task_bytes: int = 3 << 20, extra: tuple[str, ...] = ()) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
     base = scratch.table(fingerprints(docs, width), "fingerprints")
     classes = base.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -218,12 +223,36 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     tiled = texts.join(weight, "component").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("first", F.least("tile", "other")).withColumn("second", F.greatest("tile", "other")).drop("other", "tiles")
     found = pairs.groupBy("component", "first", "second").applyInArrow(_compare(width, threshold, tolerance), "cid binary, links long, root binary")
-    return assemble(base.select("doc_id", "cid"), classes.select("cid", "class_id", "copies"), scratch.table(found, "links"), "doc_id")
+    return assemble(base.select("doc_id", "cid"), classes.select("cid", "class_id", "copies"), scratch.table(found, "links"), "doc_id", extra)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = 1 << 19) -> DataFrame:
+    """``docs`` with ``__id`` and ``__cid``, as fingerprints() has them."""
+    docs = docs.withColumn("__id", F.col(id_col).cast("long"))
+    text_at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(text_at))
+            cids: list[bytes | None] = []
+            for lo, hi in row_groups(offsets, batch_bytes):
+                _, bounds, a, b = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], 1)
+                cids += _cids(a, b, np.diff(bounds) * batch.column(batch.num_columns - 1).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cids, pa.binary())], names=[*batch.schema.names, "__cid"])
+
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("__cid", T.BinaryType())]))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group of linked documents the one with the smallest id stays, once."""
-    found = link(docs, id_col, text_col, **how).filter("kept").select(F.col("doc_id").alias("__id"), (F.col("n_links") > 0).alias("__linked")).groupBy("__id").agg(F.max("__linked").alias("__linked"))
-    out = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    """The rows of ``docs`` without near copies: of each group of linked documents the one with the smallest id stays, once.
+
+    Rows are told apart by id and words, as rows may share an id but not a text; of linked texts with one id the one with the smallest class stays.
+    """
+    found = _linked(docs, id_col, text_col, extra=("cid", "component"), **how).filter("kept")
+    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("cid").alias("__cid")).agg(F.max(F.col("n_links") > 0).alias("__linked"), F.first("component").alias("component"))
+    one = found.filter("__linked").groupBy("__id", "component").agg(F.min("__cid").alias("__cid")).select("__id", "__cid", F.lit(True).alias("__linked"))
+    stays = found.filter("NOT __linked").select("__id", "__cid", "__linked").unionByName(one).select(F.col("__id").alias("__kept_id"), F.col("__cid").alias("__kept_cid"), "__linked")
+    classed = _classed(docs, id_col, text_col)
+    out = classed.join(stays, F.col("__id").eqNullSafe(F.col("__kept_id")) & F.col("__cid").eqNullSafe(F.col("__kept_cid")))
     single = out.filter("NOT __linked").select(*docs.columns)
-    return single.unionByName(out.filter("__linked").dropDuplicates(["__id"]).select(*docs.columns))
+    return single.unionByName(out.filter("__linked").dropDuplicates(["__id", "__cid"]).select(*docs.columns))
