@@ -51,6 +51,25 @@ def test_link_equals_brute_force(spark, how):
     assert got[2].class_id == 1 and got[2].n_links >= 4
 
 
+def test_tasks_of_a_dense_cell_are_bounded(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = (np.ones(16) + r.standard_normal((400, 16)) * 0.15).astype(np.float32)
+
+    def bounded(*args, make=embedding_dedup._compare):
+        compare = make(*args)
+
+        def rows(table):
+            assert table.num_rows <= 200, table.num_rows
+            return compare(table)
+
+        return rows
+
+    monkeypatch.setattr(embedding_dedup, "_compare", bounded)
+    got = {row.vec_id: row for row in embedding_dedup.link(table(spark, x), blocks=4, task_homes=50, task_rows=50).collect()}
+    links, part = brute_links(x, 0.95)
+    assert [(got[k].n_links, got[k].component_id) for k in range(400)] == list(zip(links, part))
+
+
 def test_link_of_empty_table(spark):
     assert embedding_dedup.link(spark.createDataFrame([], SCHEMA)).count() == 0
 

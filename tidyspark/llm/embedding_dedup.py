@@ -7,7 +7,8 @@ its own radius: vectors go to the grid cell of their first block coordinates (ho
 double precision.  A pair counts in the first block that brings it together, once for each of its two vectors, so link
 counts need no pair to leave the task; what leaves is a spanning forest of the links.
 
-Equal vectors are one class from the start.  Homes of a large cell are split over several tasks.
+Equal vectors are one class from the start.  Homes of a large cell are split into tiles, and all its vectors into slices; each pair of a tile and a
+slice is a task.
 """
 
 from __future__ import annotations
@@ -112,7 +113,8 @@ def _compare(threshold: float, blocks: int, axes: int, chunk: int = 128):
         limit = np.float32(grid.budget[block] + 1e-5)
         # Sorted by a coordinate that the grid has not used, only a window of the vectors can be near a stretch of homes.
         axis = part[:, min(axes, part.shape[1] - 1)]
-        order, home = np.argsort(axis, kind="stable"), home[np.argsort(axis[home], kind="stable")]
+        order = np.flatnonzero(table["other"].to_numpy())
+        order, home = order[np.argsort(axis[order], kind="stable")], home[np.argsort(axis[home], kind="stable")]
         along, reach = axis[order], math.sqrt(float(limit))
         square = np.einsum("ij,ij->i", part, part)
         one = np.ones(len(part))
@@ -152,7 +154,7 @@ def _compare(threshold: float, blocks: int, axes: int, chunk: int = 128):
     return rows
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, blocks: int = 8, cell_rows: int = 8192, task_homes: int = 8192) -> DataFrame:
+def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, blocks: int = 8, cell_rows: int = 8192, task_homes: int = 8192, task_rows: int = 32768) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept, class_id``.
 
     ``n_links`` counts the other rows with cosine >= threshold, equal vectors among them.  A null, empty or zero vector and one with
@@ -166,7 +168,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
     axes = max(1, min(4, round(math.log(max(n / cell_rows, 1), 3))))
 
     def spread(batches: Iterator[pa.RecordBatch], tiles: dict | None):
-        """Rows of the range join; without tiles, only how many homes each cell has."""
+        """Rows of the range join; without tiles, only how many homes and rows each cell has."""
         for batch in batches:
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
@@ -175,24 +177,30 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
                 grid = Grid.of(int(dim), threshold, blocks, axes)
                 for block, rows, cell, own in grid.cells(grid.turn(raw)):
                     if tiles is None:
-                        found, count = np.unique(cell[own], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x), pa.int32()) for x in (dim, block)] + [pa.array(found), pa.array(count)], names=["dim", "block", "cell", "homes"])
+                        found, where, count = np.unique(cell, return_inverse=True, return_counts=True)
+                        homes = np.bincount(where, own, len(found)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x), pa.int32()) for x in (dim, block)] + [pa.array(found), pa.array(homes), pa.array(count)], names=["dim", "block", "cell", "homes", "rows"])
                         continue
-                    parts = np.array([tiles.get((int(dim), block, c), 1) for c in cell.tolist()], np.int64)
-                    again = np.repeat(np.arange(len(rows)), parts)
-                    tile = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-                    at = rows[again]
+                    parts, slices = np.array([tiles.get((int(dim), block, c), (1, 1)) for c in cell.tolist()], np.int64).reshape(-1, 2).T
+                    times = parts + (slices - 1) * own  # its slice meets each tile; a home's tile meets the other slices as well
+                    again = np.repeat(np.arange(len(rows)), times)
+                    nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                    at, parts, slices = rows[again], parts[again], slices[again]
+                    my_tile, my_slice = at % parts, at // parts % slices
+                    other = nth < parts
+                    mine_home = own[again] & (~other | (nth == my_tile))
+                    further = nth - parts
+                    tile = np.where(other, nth * slices + my_slice, my_tile * slices + further + (further >= my_slice))
                     taken = batch.take(pa.array(mine[at]))
-                    mine_home = own[again] & (at % parts[again] == tile)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), x), pa.int32()) for x in (dim, block)] + [pa.array(cell[again]), pa.array(tile), pa.array(mine_home), taken.column(0), taken.column(3), taken.column(2)],
-                        names=["dim", "block", "cell", "tile", "home", "cid", "copies", "vec"],
+                        [pa.array(np.full(len(at), x), pa.int32()) for x in (dim, block)] + [pa.array(cell[again]), pa.array(tile), pa.array(mine_home), pa.array(other), taken.column(0), taken.column(3), taken.column(2)],
+                        names=["dim", "block", "cell", "tile", "home", "other", "cid", "copies", "vec"],
                     )
 
     ready = classes.select("cid", "dim", "vec", "copies")
-    counts = ready.mapInArrow(lambda b: spread(b, None), "dim int, block int, cell long, homes long").groupBy("dim", "block", "cell").agg(F.sum("homes").alias("homes"))
-    tiles = {(r["dim"], r["block"], r["cell"]): -(-r["homes"] // task_homes) for r in counts.filter(F.col("homes") > task_homes).collect()}  # bounded by the number of cells
-    joined = ready.mapInArrow(lambda b: spread(b, tiles), "dim int, block int, cell long, tile long, home boolean, cid binary, copies long, vec binary")
+    counts = ready.mapInArrow(lambda b: spread(b, None), "dim int, block int, cell long, homes long, rows long").groupBy("dim", "block", "cell").agg(F.sum("homes").alias("homes"), F.sum("rows").alias("rows"))
+    tiles = {(r["dim"], r["block"], r["cell"]): (max(1, -(-r["homes"] // task_homes)), -(-r["rows"] // task_rows)) for r in counts.filter((F.col("homes") > task_homes) | (F.col("rows") > task_rows)).collect()}  # bounded by the number of cells
+    joined = ready.mapInArrow(lambda b: spread(b, tiles), "dim int, block int, cell long, tile long, home boolean, other boolean, cid binary, copies long, vec binary")
     found = scratch.table(joined.groupBy("dim", "block", "cell", "tile").applyInArrow(_compare(threshold, blocks, axes), "cid binary, links long, root binary"), "links")
     return assemble(base.select("vec_id", "cid"), classes, found, "vec_id")
 
