@@ -2,13 +2,16 @@
 
 A data block is cut into ranges of norms, so that the norms of a range hardly differ.  In a range, largest inner products become smallest
 distances by one more coordinate, ``sqrt(M**2 - |x|**2)`` with the range's largest norm M; a query has 0 there and norm M.  Vectors are
-projected on many single directions (orthonormal in groups, which evens out the counts), and each projection of a range is
-kept as a sorted array.  A query opens a window around its own projection in each array and counts in how many windows a
-vector lies.  Virtual rehashing widens all windows step by step until enough vectors lie in at least half of them; those are
-verified by their exact inner product.  Ranges are searched from the largest norm down, and the rest is left out only
-once no vector of their norms can have an inner product among the ``k`` largest.
-
-Queries and data are dealt to blocks by hash, and each pair of blocks is a task.  A task sends ``k`` rows per query.
+projected on many single directions (orthonormal in groups, which evens out the counts).  Each projection is sorted and its array cut into
+runs of one width, the same in all projections.  The query-centred window of radius r has the runs up to r away from the query's run;
+virtual rehashing widens r from 0 until a window has the whole array.  A vector collides with the query once for each projection and radius
+whose window holds it.  In a projection that is the number of radii less the distance of the two runs, so the collisions of all radii are
+counted in one pass over run numbers, kept in bytes, and no window is read twice.  Vectors whose count reaches a threshold, which falls until
+enough do, are verified by their exact inner product.  Ranges are searched from the largest norm down, and the rest is left out only once no vector of
+their norms can have an inner product among the ``k`` largest.
+
+Each row of the data goes to one block, by hash, and each block is indexed once, by one task; all queries pass through it as a stream, a batch
+at a time, and leave with ``k`` rows each.  So a task holds one block, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -21,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_WIDER = 1.05
-_FIRST_COVER = 0.4  # share of a range that the first windows cover
 _NORM_RATIO = 1.1  # of the largest norm of a range to its least
+_TAIL = 0.002  # share of a projection at either end that counts to the outermost runs
 
 
 def _directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
@@ -32,46 +34,59 @@ def _directions(dim: int, m: int, seed: int = 11) -> np.ndarray:
 
 
 class SortedProjections:
-    """One range of norms: sorted projections and which vector each entry is."""
+    """One range of norms: in which run of each sorted projection a vector lies."""
 
-    def __init__(self, data: np.ndarray, largest: float, m: int):
-        self.data, self.largest = data, largest
+    def __init__(self, data: np.ndarray, largest: float, m: int, runs: int):
+        self.largest, self.runs, n = largest, runs, len(data)
         extra = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", data, data), 0))
         self.directions = _directions(data.shape[1] + 1, m)
         placed = (np.column_stack([data, extra]) @ self.directions).T
-        self.order = np.argsort(placed, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(placed, self.order, axis=1)
+        order = np.sort(placed, axis=1)
+        low, high = order[:, int(_TAIL * n)], order[:, min(n - 1, math.ceil((1 - _TAIL) * n))]
+        self.step = max(float(np.median(high - low)) / runs, 1e-300)
+        self.low = (low + high) / 2 - self.step * runs / 2
+        self.run = self._runs(placed.T).T.copy()
+
+    def _runs(self, placed: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((placed - self.low) / self.step), 0, self.runs - 1).astype(np.int8)
+
+    def misses(self, query: np.ndarray) -> np.ndarray:
+        """For each vector, in how many windows of all projections and radii it is not: the fewer, the more collisions."""
+        own = self._runs((query * (self.largest / max(math.sqrt(float(query @ query)), 1e-300))) @ self.directions[:-1])
+        m, n = self.run.shape
+        each = 255 // (self.runs - 1)  # so many projections add up in a byte
+        total, away, some = np.zeros(n, np.uint16 if m * self.runs < 1 << 16 else np.uint32), np.empty((each, n), np.int8), np.empty(n, np.uint8)
+        for lo in range(0, m, each):
+            part = away[: min(each, m - lo)]
+            np.subtract(self.run[lo : lo + each], own[lo : lo + each, None], out=part)
+            np.abs(part, out=part)
+            np.add.reduce(part.view(np.uint8), axis=0, out=some)
+            total += some
+        return total
 
     def frequent(self, query: np.ndarray, want: int) -> np.ndarray:
-        """At least ``want`` vectors that collide with the query in half of the windows (all, if there are fewer)."""
-        m, n = self.sorted.shape
-        if want >= n:
-            return np.arange(n)
-        at = (query * (self.largest / max(math.sqrt(float(query @ query)), 1e-300))) @ self.directions[:-1]
-        spots = [int(self.sorted[j].searchsorted(at[j])) for j in range(m)]
-        half = int(n * _FIRST_COVER / 2)
-        width = float(np.median([self.sorted[j, min(spots[j] + half, n - 1)] - self.sorted[j, max(spots[j] - half, 0)] for j in range(m)])) / 2
-        width = width or 1e-12
-        counts = np.zeros(n, np.int64)
-        low, high = spots.copy(), spots.copy()
-        while True:
-            new = []
-            for j in range(m):
-                a, b = int(self.sorted[j].searchsorted(at[j] - width)), int(self.sorted[j].searchsorted(at[j] + width, "right"))
-                new += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            found = np.flatnonzero(2 * counts >= m)
-            if len(found) >= want:
-                return found
-            width *= _WIDER
+        """The vectors whose collisions reach the highest threshold that at least ``want`` reach."""
+        misses = self.misses(query)
+        return np.flatnonzero(misses <= np.partition(misses, want - 1)[want - 1])
 
 
 class NormRanges:
-    """One data block: its ranges of norms, each with the sorted projections of its vectors unless it is small enough to verify them all."""
+    """One data block: its ranges of norms, each with its sorted projections.
+
+    Of equal vectors only the ``k + 1`` smallest ids are kept, each ``k`` times at most: ties go to smaller ids and a query leaves out its own, so no
+    others can be among its ``k``.
+    """
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, m: int, share: float, least: int):
-        self.k = k
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, m: int, runs: int, share: float, least: int):
+        self.k, self.verified = k, 0
+        order = np.lexsort((ids, *data.T))
+        ids, data, nth = ids[order], data[order], np.arange(len(order))
+        other = np.concatenate(([True], (data[1:] != data[:-1]).any(axis=1)))
+        new = np.concatenate(([True], ids[1:] != ids[:-1])) | other
+        copy = nth - np.maximum.accumulate(np.where(new, nth, 0))
+        place = np.cumsum(new)
+        kept = (copy < k) & (place - np.maximum.accumulate(np.where(other, place, 0)) <= k)
+        ids, data = ids[kept], data[kept]
         norms = np.sqrt(np.einsum("ij,ij->i", data, data))
         down = np.argsort(-norms, kind="stable")
         norms, self.ids, self.data = norms[down], ids[down], data[down]
@@ -80,8 +95,8 @@ class NormRanges:
         while lo < len(norms):
             largest = float(norms[lo])
             hi = max(lo + 1, int(np.searchsorted(-norms, -largest / _NORM_RATIO, "right")))
-            want = max(least, math.ceil(share * (hi - lo))) + k
-            self.ranges.append((largest, lo, hi, want, SortedProjections(self.data[lo:hi], largest, m) if want < hi - lo else None))
+            want = math.ceil(share * (hi - lo)) + least
+            self.ranges.append((largest, lo, hi, want, SortedProjections(self.data[lo:hi], largest, m, runs) if want < hi - lo else None))
             lo = hi
 
     def best(self, query_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +107,7 @@ class NormRanges:
             if len(best) == self.k and score[-1] > largest * length * (1 + 1e-9):
                 break
             found = np.arange(lo, hi) if index is None else lo + index.frequent(query, want)
+            self.verified += len(found)
             found = found[self.ids[found] != query_id]
             best, score = np.concatenate([best, self.ids[found]]), np.concatenate([score, (self.data[found] * query).sum(axis=1)])
             top = np.lexsort((best, -score))[: self.k]
@@ -99,24 +115,41 @@ class NormRanges:
         return best, score
 
 
-def _search(k: int, m: int, share: float, least: int):
-    schema = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def unpack(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        return table["vec_id"].to_numpy(), np.frombuffer(b"".join(table["vec"].to_pylist()), "<f8").reshape(-1, dim)
 
-    def rows(queries: pa.Table, data: pa.Table) -> pa.Table:
-        out = ([], [], [], [])
-        if queries.num_rows and data.num_rows:
-            dim = data["dim"][0].as_py()
-            query_ids, query_vectors = unpack(queries, dim)
-            ids, vectors = unpack(data, dim)
-            index = NormRanges(ids, vectors, k, m, share, least)
-            for query_id, row, query in zip(query_ids.tolist(), queries["query_row"].to_pylist(), query_vectors):
+def _search(k: int, **how):
+    """Over rows sorted by block and dimension, a block's data before the queries."""
+
+    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, bool], pa.RecordBatch]]:
+        for batch in batches:
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                if b > a:
+                    yield tuple(c[a].item() for c in keys), batch.slice(a, b - a)
+
+    def vectors(rows: pa.RecordBatch, dim: int) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(4).to_pylist()), "<f8").reshape(-1, dim)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, index = None, [], None
+        for (block, dim, asked), some in runs_of(batches):
+            if at != (block, dim):
+                at, parts, index = (block, dim), [], None
+            if not asked:
+                parts.append((some.column(3).to_numpy(), vectors(some, dim)))
+                continue
+            if index is None and parts:
+                index, parts = NormRanges(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k, **how), []
+            if index is None:
+                continue
+            out = ([], [], [], [])
+            for query_id, row, query in zip(some.column(3).to_pylist(), some.column(5).to_pylist(), vectors(some, dim)):
                 best, score = index.best(query_id, query)
                 for column, values in zip(out, (np.full(len(best), query_id), np.full(len(best), row), best, score)):
                     column.append(values)
-        return pa.table([np.concatenate(c) if c else [] for c in out], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, _FOUND.types)], schema=_FOUND)
 
     return rows
 
@@ -141,25 +174,25 @@ def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(
-    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, projections: int = 128, share: float = 0.2, least: int = 1000, block_rows: int = 16384, query_rows: int = 1024
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, projections: int = 128, runs: int = 32, share: float = 0.01, least: int = 100, block_rows: int = 16384, most_block_rows: int = 262144
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``query_every`` the ``k`` rows found with the largest inner product.
 
-    Of each range of norms of a block at least ``share`` (and ``least`` rows) is verified, unless a bound shows that none of its vectors
-    can be among the ``k``.  In 64 dimensions that held recall above 0.95 for random vectors with even and uneven norms; ranges up to ``least``
-    rows are searched exactly.  Ties go to the smaller id.  Null, empty, zero and non-finite vectors and null ids
+    Of each range of norms of a block at least ``share`` of the rows and ``least`` more are verified (all, if it has no more), unless a bound shows
+    that none of its vectors can be among the ``k``.  In 64 dimensions that held recall above 0.97 for random vectors with even and uneven norms.  Ties go to the smaller id.  Null, empty, zero and non-finite vectors and null ids
     take no part; vectors of another length are no candidates of a query.  Rows with the query's id are not its candidates; other
     repeated rows count singly.  Copies of a query row are one query; different vectors of one id are ranked each on its own.  Other columns play no part.
+
+    Blocks have ``block_rows`` rows, and grow to ``most_block_rows`` once there are more than 64.
     """
-    base = _usable(df, id_col, vector_col)
-    n = base.count()
-    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n // (query_every * query_rows)))
-    block = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    keys = ["dim", "__block", "__group"]
-    data = base.withColumn("__block", block(blocks, 1)).withColumn("__group", each(groups)).select(*keys, "vec_id", "vec")
-    asked = base.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "vec"]).withColumn("query_row", F.xxhash64("vec"))
-    queries = asked.withColumn("__group", block(groups, 2)).withColumn("__block", each(blocks)).select(*keys, "vec_id", "vec", "query_row")
-    found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_search(k, projections, share, least), "query_id long, query_row long, vec_id long, score double")
+    runs = min(max(runs, 2), 128)
+    n = df.count()
+    blocks = max(1, -(-n // min(most_block_rows, max(block_rows, n // 64))))
+    columns = ["block", "dim", "asked", "vec_id", "vec", "query_row"]
+    data = _usable(df, id_col, vector_col).withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(blocks)).cast("int")).withColumn("asked", F.lit(False)).withColumn("query_row", F.lit(None).cast("long"))
+    asked = _usable(df.filter(F.col(id_col).cast("long") % query_every == 0), id_col, vector_col).dropDuplicates(["vec_id", "vec"]).withColumn("query_row", F.xxhash64("vec"))
+    queries = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asked", F.lit(True))
+    dealt = data.select(*columns).unionByName(queries.select(*columns)).repartitionById(blocks, "block").sortWithinPartitions("block", "dim", "asked")
+    found = dealt.mapInArrow(_search(k, m=projections, runs=runs, share=share, least=least), "query_id long, query_row long, vec_id long, score double")
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
