@@ -23,6 +23,7 @@ _SYNONYMS = {"sha3": "sha3-256", "sha-1": "sha1", "sha-256": "sha256", "sha-512"
 UNSUPPORTED = ("blake2bp", "blake2sp", "murmur", "metro", "metro256", "metrocrc", "metrocrc256", "highway", "highway64", "highway128", "highway256")
 ALGORITHMS = (*_NATIVE, *_HASHLIB, "paranoid", "cumulative", "ext")
 #: From -PPP to -ppp: the digest for each level of caution.
+LANES = 8  # words of eight bytes in the cumulative digest
 LEVELS = {-3: "xxhash", -2: "xxhash", -1: "sha256", 0: "blake2b", 1: "paranoid", 2: "paranoid"}
 
 
@@ -60,12 +61,13 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
 
 
 def xor_words(raw: bytes) -> str:
-    words = np.frombuffer(raw + b"\0" * (-len(raw) % 8), ">u8")
-    return f"{int(np.bitwise_xor.reduce(words)) if len(words) else 0:016x}"
+    state = _Words()
+    state.update(raw)
+    return state.hexdigest()
 
 
 def cumulative(raw: Column) -> Column:
-    """Exclusive or of the eight-byte words of the content, the last one filled with zeros: independent of the order of words."""
+    """Exclusive or of the content's 64-byte stretches, the last one filled with zeros: independent of the order of stretches."""
 
     @F.pandas_udf(StringType())
     def mixed(values: pd.Series) -> pd.Series:
@@ -74,10 +76,39 @@ def cumulative(raw: Column) -> Column:
     return mixed(raw)
 
 
+class _Words:
+    """The cumulative digest of a content that comes in chunks."""
+
+    def __init__(self):
+        self.lanes, self.rest = np.zeros(LANES, np.uint64), b""
+
+    def update(self, chunk: bytes) -> None:
+        raw = self.rest + chunk
+        whole = len(raw) - len(raw) % (8 * LANES)
+        if whole:
+            self.lanes ^= np.bitwise_xor.reduce(np.frombuffer(raw[:whole], ">u8").reshape(-1, LANES), axis=0).astype(np.uint64)
+        self.rest = raw[whole:]
+
+    def hexdigest(self) -> str:
+        last = np.frombuffer(self.rest + b"\0" * (8 * LANES - len(self.rest)), ">u8").astype(np.uint64)
+        return "".join(f"{x:016x}" for x in (self.lanes ^ last).tolist())
+
+
+def new_state(algorithm: str):
+    """An object with ``update`` and ``hexdigest``."""
+    name = canonical_name(algorithm)
+    if name == "cumulative":
+        return _Words()
+    if name == "xxhash":
+        import xxhash
+
+        return xxhash.xxh64(seed=42)  # the seed of the column function
+    return hashlib.new(_HASHLIB.get(name, name))
+
+
 def streamed(chunks, algorithm: str = "blake2b") -> str:
     """Digest of a content that comes in chunks; equals the digest of the whole."""
-    name = canonical_name(algorithm)
-    state = hashlib.new(_HASHLIB.get(name, name))
+    state = new_state(algorithm)
     for chunk in chunks:
         state.update(chunk)
     return state.hexdigest()

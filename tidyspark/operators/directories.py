@@ -1,12 +1,19 @@
 """Duplicate directories: directories all of whose files have a duplicate and whose contents are the same multiset.
 
 Every file is exploded to its ancestors, so counts and signatures of all levels come from one aggregation and no level-by-level
-roll-up.  A signature is the hash of the sorted list of digests (with relative paths where the layout counts), an exact multiset.
+roll-up.  A signature is the number of files and the sums of two independent 64-bit hashes of their digests (with relative paths where the
+layout counts): it tells multisets apart whatever the order, combines before the shuffle, and never gathers the files of a directory.
+
+Which directories are reported is settled from the top down, as the originals of a group stay open to further reports while its other
+directories are closed.  A round settles all groups that have no unsettled directory above theirs, so there are as many rounds as reported
+candidates are nested; without nesting there is one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -33,13 +40,15 @@ def signatures(files: DataFrame, members: DataFrame, cfg: Config, roots: list[st
     ``files`` has every non-empty file; ``members`` path and checksum of those with a duplicate.
     """
     relative = F.substring(F.col("path"), F.length("dir") + 2, F.length("path"))
-    item: Column = F.struct(relative.alias("name"), "checksum") if cfg.honour_layout else F.struct("checksum")
+    item: list[Column] = [F.col("checksum"), *([relative] if cfg.honour_layout else [])]
+    halves = [half for salt in (0, 1) for h in [F.xxhash64(F.lit(salt), *item)] for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]  # sums of 32 bits can't overflow
+    sums = [F.sum(F.when(F.col("checksum").isNotNull(), half)).alias(f"__s{i}") for i, half in enumerate(halves)]
     joined = below(files.select("path", "size", "is_tagged", "mtime").join(members.select("path", "checksum"), "path", "left"), roots)
     found = joined.groupBy("dir").agg(
-        F.count("*").alias("files"), F.count("checksum").alias("dupes"), F.sum("size").alias("size"), F.sum(F.col("is_tagged").cast("long")).alias("tagged"), F.min("is_tagged").alias("all_tagged"), F.max("mtime").alias("mtime"),
-        F.sha2(F.to_json(F.sort_array(F.collect_list(item))), 256).alias("signature"),
+        F.count("*").alias("files"), F.count("checksum").alias("dupes"), F.sum("size").alias("size"), F.sum(F.col("is_tagged").cast("long")).alias("tagged"), F.min("is_tagged").alias("all_tagged"), F.max("mtime").alias("mtime"), *sums,
     )
-    return found.filter("files = dupes").drop("dupes")
+    signature = F.sha2(F.concat_ws("/", "files", *(f"__s{i}" for i in range(len(sums)))), 256)
+    return found.filter("files = dupes").withColumn("signature", signature).drop("dupes", *(f"__s{i}" for i in range(len(sums))))
 
 
 def qualified(dirs: DataFrame, cfg: Config) -> DataFrame:
@@ -60,33 +69,45 @@ def qualified(dirs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def marked(dirs: DataFrame, cfg: Config) -> DataFrame:
-    """Adds ``is_original`` and ``rank_in_group``: most tagged files first (fewest where untagged ones are kept), then the rank criteria."""
+    """Groups of two or more in a written table, with ``twins``, ``is_original`` and ``rank_in_group``: most tagged files first (fewest where untagged ones are kept), then the rank criteria."""
     as_record = dirs.withColumn("path", F.col("dir")).withColumn("is_symlink", F.lit(False)).withColumn("is_tagged", F.col("tagged") > 0).withColumn("depth", C.path_depth(F.col("dir"))).withColumn("link_count", F.lit(1)).withColumn("outer_link_count", F.lit(0)).withColumn("path_index", F.lit(0))
     first = F.col("tagged") if cfg.keep_all_untagged else -F.col("tagged")
-    place = Window.partitionBy("signature").orderBy(F.struct(first.alias("t"), rank.order(cfg).alias("o")))
-    out = as_record.withColumn("rank_in_group", F.row_number().over(place).cast("long"))
+    out = rank.numbered(as_record.drop("twins"), ["signature"], F.struct(first.alias("t"), rank.order(cfg).alias("o")), dirs).filter("twins >= 2")
     protected = F.col("all_tagged") if cfg.keep_all_tagged else (F.col("tagged") == 0) if cfg.keep_all_untagged else F.lit(False)
-    return out.withColumn("is_original", (F.col("rank_in_group") == 1) | protected).select(*dirs.columns, "depth", "rank_in_group", "is_original")
+    return out.withColumn("is_original", (F.col("rank_in_group") == 1) | protected).select(*(c for c in dirs.columns if c != "twins"), "twins", "depth", "rank_in_group", "is_original")
 
 
-def topmost(dirs: DataFrame) -> DataFrame:
-    """Directories with no non-original reported directory above them, and whose twins are not all inside reported ones.
+def settled(dirs: DataFrame, cfg: Config) -> DataFrame:
+    """The reported directories of a written table of candidates.
 
-    The originals of a group stay open: what is duplicate inside them is reported too.
+    All but the first of a reported group are closed: no directory below them is reported.  What is left of a group is ranked anew, so
+    every group has an original; a group with fewer than two left is none.
     """
-    closed = dirs.filter("NOT is_original").select(F.col("dir").alias("__above"))
-    inside = dirs.select("dir", F.explode(C.ancestors(F.col("dir"))).alias("__above")).join(closed, "__above", "left_semi").select("dir").distinct()
-    left = dirs.join(inside, "dir", "left_anti")
-    alone = left.groupBy("signature").agg(F.count("*").alias("__n")).filter("__n < 2").select("signature")
-    return left.join(alone, "signature", "left_anti").withColumn("twins", F.count("*").over(Window.partitionBy("signature")))
+    above = dirs.select(F.col("dir").alias("above"))
+    nested = once(dirs.select("dir", "signature", F.explode(C.ancestors(F.col("dir"))).alias("above")).join(above, "above"), "nested")
+    if not nested.limit(1).count():
+        return marked(dirs, cfg)
+    found = []
+    left = dirs
+    while left.limit(1).count():
+        waiting = nested.join(left.select(F.col("dir").alias("above")), "above", "left_semi").join(left.select("dir"), "dir", "left_semi").select("signature").distinct()
+        ready = once(left.join(waiting, "signature", "left_anti"), "ready")
+        done = once(marked(ready, cfg), "settled")
+        found.append(done)
+        closed = done.filter("rank_in_group > 1").select(F.col("dir").alias("above"))
+        inside = nested.join(closed, "above", "left_semi").select("dir").distinct()
+        left = once(left.join(waiting, "signature", "left_semi").join(inside, "dir", "left_anti"), "left")
+    return reduce(DataFrame.unionByName, found)
 
 
 def duplicate_dirs(files: DataFrame, members: DataFrame, cfg: Config, roots: list[str] | None = None) -> DataFrame:
     """Reported directories: ``dir, signature, n_children, size, twins, rank_in_group, is_original, type``."""
-    twins = qualified(once(signatures(files, members, cfg, roots)), cfg)
-    found = topmost(once(marked(twins, cfg)))
-    if cfg.hidden == "partial":
-        found = found.filter(~C.is_hidden(F.col("dir")))
+    twins = once(qualified(once(signatures(files, members, cfg, roots), "signatures"), cfg), "twins")
+    if cfg.hidden == "partial":  # hidden directories are not reported, and what is left of their groups is ranked without them
+        twins = once(twins.filter(~F.startswith(C.basename(F.col("dir")), F.lit("."))), "twins")
+    found = settled(twins, cfg)
+    some = found.groupBy("signature").agg(F.min("is_original").alias("__all")).filter("NOT __all").select("signature")  # groups of protected directories alone go
+    found = found.join(some, "signature", "left_semi")
     return found.select("dir", "signature", F.col("files").alias("n_children"), "size", "mtime", "depth", "twins", "rank_in_group", "is_original", F.lit("duplicate_dir").alias("type"))
 
 
@@ -97,12 +118,12 @@ def parts(files: DataFrame, dirs: DataFrame) -> DataFrame:
 
 
 def leftovers(members: DataFrame, dirs: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
-    """Duplicate files outside reported non-original directories, grouped and ranked anew; hidden ones go in partial mode."""
-    closed = dirs.filter("NOT is_original").select("dir")
+    """Duplicate files outside the reported directories that are closed, grouped and ranked anew; hidden ones go in partial mode."""
+    closed = dirs.filter("rank_in_group > 1").select("dir")
     covered = below(members.select("path")).join(closed, "dir", "left_semi").select("path").distinct()
     left = members.join(covered, "path", "left_anti")
     if cfg.hidden == "partial":
         left = left.filter(~F.col("is_hidden"))
     few = left.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n >= 2").select(*group)
-    left = left.join(few, group, "left_semi")
-    return rank.ranked(rank.mark_originals(left, cfg, group), cfg, group).withColumn("type", F.lit("duplicate_file"))
+    left = once(left.join(few, group, "left_semi"), "leftovers")
+    return rank.ranked(rank.mark_originals(left, cfg, group), cfg, group, left).withColumn("type", F.lit("duplicate_file"))

@@ -1,8 +1,8 @@
 """Ranking inside groups: criteria as sort keys, originals, and totals.
 
 Every criterion becomes a key whose ascending order is wanted, descending text among them.  So the head of a group is ``min_by``
-over a struct, which aggregates before the shuffle: a group that holds a third of all records is no hot task.  Only where
-each member's place is asked for does a window sort the group.
+over a struct, which aggregates before the shuffle: a group that holds a third of all records is no hot task.  Where each member's place
+is asked for, a window sorts the group; groups beyond ``HOT_ROWS`` are sorted in ranges across tasks instead, and places are prefix sums.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..plans import parsing
 from ..plans.config import Config
+from .stage import once
+
+HOT_ROWS = 200_000  # a group up to this size is sorted by one task
 
 
 def _key(c: parsing.Criterion) -> Column:
@@ -43,10 +46,47 @@ def with_outer_links(records: DataFrame, group: list[str]) -> DataFrame:
     return records.withColumn("outer_link_count", F.col("link_count") - F.count("*").over(Window.partitionBy("dev", "inode", *group)).cast("int"))
 
 
-def ranked(members: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
-    """Adds ``rank_in_group`` (from 1) and ``twins``."""
+def in_ranges(rows: DataFrame, by: list[Column]) -> DataFrame:
+    """Rows written once in the order of ``by``, with ``__part`` and ``__at``: part before part, and place after place within a part."""
+    spread = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    return once(spread.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+
+
+def has_hot_group(table: DataFrame, group: list[str]) -> bool:
+    """Whether a written table has a group beyond ``HOT_ROWS``; its number of rows, known without a scan, mostly tells."""
+    if table.count() <= HOT_ROWS:
+        return False
+    return bool(table.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT_ROWS).limit(1).count())
+
+
+def sized(members: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Members with ``twins``, written once: those of groups that one task can sort, and those of larger groups."""
+    both = once(members.join(members.groupBy(*group).agg(F.count("*").alias("twins")), group), "sized")
+    return both.filter(F.col("twins") <= HOT_ROWS), both.filter(F.col("twins") > HOT_ROWS)
+
+
+def numbered(members: DataFrame, group: list[str], by: Column, bound: DataFrame) -> DataFrame:
+    """Adds ``rank_in_group`` (from 1, by ``by``, which has to tell members apart) and ``twins``.  Groups have no null keys.
+
+    ``bound`` is a written table whose groups are no smaller.
+    """
     own = Window.partitionBy(*group)
-    return members.withColumn("rank_in_group", F.row_number().over(own.orderBy(order(cfg))).cast("long")).withColumn("twins", F.count("*").over(own))
+    place = F.row_number().over(own.orderBy(by)).cast("long")
+    if not has_hot_group(bound, group):
+        return members.withColumn("rank_in_group", place).withColumn("twins", F.count("*").over(own))
+    few, many = sized(members, group)
+    placed = in_ranges(many, [*map(F.col, group), by])
+    ends = placed.groupBy(*group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part that the group has
+    ends = ends.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    far = (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long")
+    placed = placed.join(ends, [*group, "__part"]).withColumn("rank_in_group", far).drop("__part", "__at", "__first", "__before")
+    return few.withColumn("rank_in_group", place).unionByName(placed)
+
+
+def ranked(members: DataFrame, cfg: Config, group: list[str], bound: DataFrame) -> DataFrame:
+    """Adds ``rank_in_group`` (from 1) and ``twins``."""
+    return numbered(members, group, order(cfg), bound)
 
 
 def mark_originals(members: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
@@ -83,15 +123,19 @@ def totals(members: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
 def order_groups(members: DataFrame, spec: str, group: list[str]) -> DataFrame:
     """Adds ``group_rank``: groups by type and then by the letters of ``spec``, read off each group's head.
 
-    One row per group is ordered, in ranges of the first key and so without a single sorting task, and joined back.
+    One row per group is ordered, in ranges across tasks, written once with its part and place, and joined back.
     """
     kind = F.when(F.col("type") == "part_of_directory", 1).when(F.col("type") == "duplicate_dir", 2).when(F.col("type") == "duplicate_file", 3).otherwise(0)
     name = C.fold_case(C.basename(F.col("path")))
     order_key = F.col("rank_in_group")
     heads = members.groupBy(*group).agg(F.min_by(F.struct(kind.alias("kind"), "mtime", name.alias("name"), "size", "path_index", "path"), order_key).alias("h"), F.count("*").alias("n"))
     parts = {"m": F.col("h.mtime"), "o": F.col("h.path"), "a": F.col("h.name"), "n": F.col("n"), "s": F.col("h.size") * (F.col("n") - 1), "p": F.col("h.path_index")}
-    by = [F.col("h.kind").asc(), *((parts[c].desc() if down else parts[c].asc()) for c, down in parsing.group_sort(spec)), F.col("h.path").asc()]
-    ordered = heads.orderBy(*by).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    counts = ordered.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ordered.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy("__at"))).join(counts, "__part")
-    return members.join(numbered.select(*group, (F.col("__before") + F.col("__nth")).cast("long").alias("group_rank")), group)
+    letters = parsing.group_sort(spec)
+    by = [F.col("h.kind"), *(parts[c] for c, _ in letters), F.col("h.path")]
+    descends = [False, *(down for _, down in letters), False]
+    ordered = in_ranges(heads.select(*group, *(c.alias(f"__k{i}") for i, c in enumerate(by))), [F.col(f"__k{i}").desc() if down else F.col(f"__k{i}").asc() for i, down in enumerate(descends)])
+    ends = ordered.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    ends = ends.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = ordered.join(ends, "__part").select(*group, (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long").alias("group_rank"))
+    return members.join(place, group)

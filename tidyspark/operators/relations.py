@@ -33,10 +33,16 @@ def in_both(rows: DataFrame, side: Column, group: list[str]) -> DataFrame:
 
 
 def equal_verdict(records: DataFrame, asked: int) -> DataFrame:
-    """One row ``n, contents, is_equal``: whether all ``asked`` (two or more) records are there and have one content (or are links of one file)."""
-    key = F.struct(F.col("is_symlink"), F.col("size"), digest(F.col("content"), "sha256"))
-    found = records.agg(F.count("*").alias("n"), F.count_distinct(key).alias("contents"), F.count_distinct("dev", "inode").alias("__files"))
-    good = (F.col("n") == asked) & F.lit(asked >= 2) & ((F.col("contents") == 1) | (F.col("__files") == 1))
+    """One row ``n, contents, is_equal``: whether all ``asked`` (two or more) records are there and have one content (or are links of one file).
+
+    A content that can't be read (null) equals none, not even another such; ``contents`` counts those that can be read.
+    """
+    known = digest(F.col("content"), "sha256")
+    key = F.when(known.isNotNull(), F.struct(F.col("is_symlink"), F.col("size"), known))
+    found = records.agg(F.count("*").alias("n"), F.count(key).alias("__read"), F.count_distinct(key).alias("contents"), F.count_distinct("dev", "inode").alias("__files"), F.count("inode").alias("__known"))
+    one_content = (F.col("contents") == 1) & (F.col("__read") == F.col("n"))
+    one_file = (F.col("__files") == 1) & (F.col("__known") == F.col("n"))
+    good = (F.col("n") == asked) & F.lit(asked >= 2) & (one_content | one_file)
     return found.select("n", "contents", good.alias("is_equal"))
 
 

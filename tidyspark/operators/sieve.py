@@ -1,7 +1,8 @@
 """The equality sieve: records group by size and names, then by a digest of a prefix, then by the whole content.
 
-Each stage sends only metadata and digests through the shuffle, and a semi join keeps the next stage from reading what has
-no partner any more.
+Only metadata and digests go through a shuffle: the records without content are written once, and the stages work on that table.
+Contents are read where they are, in a column (two scans) or in files (only those that still have a partner); see ``contents``.
+Byte comparison alone moves contents, of records whose digest has a partner.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..functions import columns as C
 from ..functions.digests import digest
 from ..plans.config import Config
 from . import rank
+from .contents import InColumn, InFile
 from .records import effective, newer, one_per_inode
 from .stage import once
 
@@ -37,59 +39,66 @@ def size_keys(cfg: Config) -> list[str]:
 
 def qualified(records: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
     """Records of groups that have two members and the (un)tagged and new members that are asked for."""
-    counts = records.groupBy(*group).agg(F.count("*").alias("__n"), F.max("is_tagged").alias("__tagged"), F.min("is_tagged").alias("__all_tagged"), F.max("is_new").alias("__new"), F.count_distinct(C.fold_case(C.basename(F.col("path")))).alias("__names"))
+    asked = [F.count("*").alias("__n"), F.max("is_new").alias("__new")]
     rule = (F.col("__n") >= 2) & F.col("__new")
     if cfg.needs_tagged:
+        asked.append(F.max("is_tagged").alias("__tagged"))
         rule &= F.col("__tagged")
     if cfg.needs_untagged:
+        asked.append(F.min("is_tagged").alias("__all_tagged"))
         rule &= ~F.col("__all_tagged")
     if cfg.differing_basename:
-        rule &= F.col("__names") > 1
+        name = C.fold_case(C.basename(F.col("path")))
+        asked += [F.min(name).alias("__low"), F.max(name).alias("__high")]
+        rule &= F.col("__low") != F.col("__high")
+    counts = records.groupBy(*group).agg(*asked)
     return records.join(counts.filter(rule).select(*group), group, "left_semi")
 
 
 def prepared(records: DataFrame, cfg: Config) -> DataFrame:
     """Records with effective sizes, name keys and outer link counts."""
-    out = newer(effective(records, cfg), cfg)
-    for name, key in name_keys(cfg).items():
-        out = out.withColumn(name, key)
-    if cfg.hardlinks:
-        return rank.with_outer_links(out, size_keys(cfg))
-    return one_per_inode(out.withColumn("outer_link_count", F.col("link_count") - 1), F.col("path_index"))
+    return _described(newer(effective(records, cfg), cfg), cfg)
 
 
-def _slice(most: int | None = None) -> Column:
-    """The part of the content that counts, as bytes; of that the first ``most``."""
-    length = F.col("eff_size") - F.col("start")
-    length = length if most is None else F.least(F.lit(most), length)
-    return F.substring(F.col("content").cast("binary"), (F.col("start") + 1).cast("int"), length.cast("int"))
+def _described(records: DataFrame, cfg: Config) -> DataFrame:
+    for name, key in name_keys(cfg).items():
+        records = records.withColumn(name, key)
+    if cfg.hardlinks:
+        return rank.with_outer_links(records, size_keys(cfg))
+    return one_per_inode(records.withColumn("outer_link_count", F.col("link_count") - 1), F.col("path_index"))
 
 
 def sieve(records: DataFrame, cfg: Config) -> DataFrame:
     """Members of groups of equal content: the records without content, and with ``checksum``.
 
+    Contents are in the column ``content``; records without that column are files, read by path.  Records have a path each.
     A null content, as of a record that can't be read, leaves the record out.  With a cached checksum in every member of a size
     group nothing is read for it.  ``paranoid`` groups by the content itself and shows its sha256.
     """
     group = size_keys(cfg)
-    members = qualified(prepared(records, cfg), cfg, group)
-    if cfg.prefix_bytes and cfg.algorithm != "paranoid":
-        prefix = F.when(F.col("cached_checksum").isNull(), F.xxhash64(_slice(cfg.prefix_bytes)))
-        # Only sizes beyond the prefix need the stage, and only records without a cached checksum can take part.
-        members = members.withColumn("__prefix", F.when(F.col("eff_size") - F.col("start") > cfg.prefix_bytes, prefix))
-        counts = members.groupBy(*group).agg(F.count("cached_checksum").alias("__cached"))
-        members = members.join(counts, group)
-        members = members.withColumn("__prefix", F.when(F.col("__cached") == 0, F.col("__prefix"))).drop("__cached")
-        members = members.withColumn("__prefix", F.coalesce("__prefix", F.lit(0)))  # sizes within the prefix share one
-        alive = members.groupBy(*group, "__prefix").agg(F.count("*").alias("__n")).filter("__n >= 2").drop("__n")
-        members = members.join(alive, [*group, "__prefix"], "left_semi").drop("__prefix")
-    if cfg.algorithm == "paranoid":
-        members = members.withColumn("__content", _slice()).filter("__content IS NOT NULL")
-        alive = members.groupBy(*group, "__content").agg(F.count("*").alias("__n")).filter("__n >= 2").drop("__n")
-        members = members.join(alive, [*group, "__content"], "left_semi").withColumn("checksum", F.sha2("__content", 256)).drop("__content")
+    paranoid = cfg.algorithm == "paranoid"
+    ready = newer(effective(records, cfg), cfg)
+    source = (InColumn if "content" in records.columns else InFile)(ready, cfg.prefix_bytes)
+    rows = once(_described(source.rows(), cfg), "records")
+    some_cached = bool(rows.filter("cached_checksum IS NOT NULL").limit(1).count())
+
+    def alive(members: DataFrame, beginning: Column) -> DataFrame:
+        """Members that share size, names and beginning with another one."""
+        members = members.withColumn("__begin", beginning.cast("string"))
+        if some_cached:  # a group in which a checksum is cached can't be told apart by beginnings: its members share one
+            cached = members.groupBy(*group).agg(F.count("cached_checksum").alias("__cached"))
+            members = members.join(cached, group).withColumn("__begin", F.when(F.col("__cached") > 0, F.lit("")).otherwise(F.col("__begin"))).drop("__cached")
+        few = members.groupBy(*group, "__begin").agg(F.count("*").alias("__n")).filter("__n >= 2").drop("__n")
+        return members.join(few, [*group, "__begin"], "left_semi").drop("__begin")
+
+    members = source.staged(qualified(rows, cfg, group) if source.reads_files else rows, alive)
+    if paranoid:
+        members = source.compared(members, group)
     else:
-        members = members.withColumn("checksum", F.coalesce(F.col("cached_checksum"), digest(_slice(), cfg.algorithm))).filter("checksum IS NOT NULL")
-    return split(qualified(members.drop("content"), cfg, _content_keys(cfg)), cfg)
+        found = source.digests(members, F.col("cached_checksum").isNull(), cfg.algorithm)
+        members = found.withColumn("checksum", F.coalesce("cached_checksum", "checksum")).filter("checksum IS NOT NULL")
+    members = once(members.drop("prefix"), "digests")  # what follows reads it several times, and the contents should be read once
+    return split(qualified(members, cfg, _content_keys(cfg)), cfg, rows)
 
 
 def _content_keys(cfg: Config) -> list[str]:
@@ -101,8 +110,8 @@ def group_keys(cfg: Config) -> list[str]:
     return [*_content_keys(cfg), *(["island"] if cfg.mtime_window >= 0 else [])]
 
 
-def split(members: DataFrame, cfg: Config) -> DataFrame:
-    """Groups of equal content, cut by differing basenames and by gaps in time, and qualified again."""
+def split(members: DataFrame, cfg: Config, rows: DataFrame) -> DataFrame:
+    """Groups of equal content, cut by differing basenames and by gaps in time, and qualified again.  ``rows`` is the written table that the members are of."""
     keys = _content_keys(cfg)
     if cfg.differing_basename:
         heads = members.groupBy(*keys).agg(F.min_by(F.struct("path"), rank.order(cfg)).alias("__head"))
@@ -110,18 +119,41 @@ def split(members: DataFrame, cfg: Config) -> DataFrame:
         same = (C.fold_case(C.basename(F.col("path"))) == C.fold_case(C.basename(F.col("__head.path")))) & (F.col("path") != F.col("__head.path"))
         members = members.filter(~same).drop("__head")
     if cfg.mtime_window >= 0:
-        by_time = Window.partitionBy(*keys).orderBy("mtime", "path")
-        gap = F.col("mtime") - F.lag("mtime").over(by_time) > cfg.mtime_window + TOLERANCE
-        members = members.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+        members = islands(members, keys, cfg.mtime_window, rows.count() > rank.HOT_ROWS)
     if cfg.differing_basename or cfg.mtime_window >= 0:
         members = qualified(members, cfg, group_keys(cfg))
     return members
 
 
+def islands(members: DataFrame, keys: list[str], window: float, many_rows: bool = True) -> DataFrame:
+    """Adds ``island``: how many gaps in time beyond the window lie before a member, in its group."""
+    by_time = Window.partitionBy(*keys).orderBy("mtime", "path")
+    far = lambda a, b: F.when(a - b > window + TOLERANCE, 1).otherwise(0)
+    gap = far(F.col("mtime"), F.lag("mtime").over(by_time))
+    summed = lambda rows, step, over: rows.withColumn("__gap", step).withColumn("island", F.sum("__gap").over(over).cast("long")).drop("__gap")
+    upto = Window.unboundedPreceding, Window.currentRow
+    if many_rows:
+        members = once(members, "members")
+    if not many_rows or not rank.has_hot_group(members, keys):
+        return summed(members, gap, by_time.rowsBetween(*upto))
+    few, many = rank.sized(members, keys)
+    # A group that is sorted across tasks: gaps within a part, gaps between parts, and their sums over the parts before.
+    placed = rank.in_ranges(many, [*map(F.col, keys), F.col("mtime"), F.col("path")])
+    inside = Window.partitionBy(*keys, "__part").orderBy("__at")
+    local = summed(placed, far(F.col("mtime"), F.lag("mtime").over(inside)), inside.rowsBetween(*upto))
+    ends = once(local, "islands").groupBy(*keys, "__part").agg(F.min("mtime").alias("__from"), F.max("mtime").alias("__to"), F.max("island").alias("__gaps"))
+    parts = Window.partitionBy(*keys).orderBy("__part")
+    ends = ends.withColumn("__gap", far(F.col("__from"), F.lag("__to").over(parts)))
+    ends = ends.withColumn("__before", F.sum(F.col("__gap") + F.col("__gaps")).over(parts.rowsBetween(*upto)) - F.col("__gaps")).select(*keys, "__part", "__before")
+    many = local.join(ends, [*keys, "__part"]).withColumn("island", F.col("island") + F.col("__before")).drop("__part", "__at", "__before")
+    return summed(few, gap, by_time.rowsBetween(*upto)).unionByName(many).drop("twins")
+
+
 def duplicates(records: DataFrame, cfg: Config) -> DataFrame:
     """Members of duplicate groups with checksum, rank, twins and original flag."""
     group = group_keys(cfg)
-    return rank.ranked(rank.mark_originals(once(sieve(records, cfg)), cfg, group), cfg, group).withColumn("type", F.lit("duplicate_file"))
+    members = once(sieve(records, cfg), "members")
+    return rank.ranked(rank.mark_originals(members, cfg, group), cfg, group, members).withColumn("type", F.lit("duplicate_file"))
 
 
 def uniques(records: DataFrame, cfg: Config, members: DataFrame | None = None) -> DataFrame:

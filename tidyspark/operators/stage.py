@@ -1,7 +1,9 @@
 """Points at which a plan that is read several times is computed once.
 
-The rows, metadata only, are written below ``spark.checkpoint.dir``, the folder that all machines of a cluster see, so neither a long
-lineage nor a lost executor makes earlier stages run again.  A session without the setting gets a folder of its own.
+The rows are written below ``spark.checkpoint.dir``, the folder that all machines of a cluster see, so neither a long
+lineage nor a lost executor makes earlier stages run again.  A session on one machine without the setting gets a folder of its own; on a
+cluster that would be a different disk on each machine, so there the setting has to be made.  The files go when the application ends, and
+earlier where ``forget`` is called.
 """
 
 from __future__ import annotations
@@ -9,18 +11,42 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_unset: list[str] = []
+_own: list[str] = []
 
 
-def once(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get(_SETTING, None)
-    if not folder:
-        if not _unset:
-            _unset.append(tempfile.mkdtemp(prefix="tidyspark-"))
-        folder = _unset[0]
-    place = f"{folder}/stage-{uuid.uuid4()}"
+def shared_dir(spark: SparkSession) -> str:
+    folder = spark.conf.get(_SETTING, None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"{_SETTING} has to name a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tidyspark-"))
+    return _own[0]
+
+
+def _path(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def once(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute ``df`` once; returns the written table."""
+    spark = df.sparkSession
+    place = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    path, system = _path(spark, place)
+    system.deleteOnExit(path)
+    return spark.read.schema(schema).parquet(place)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``once`` wrote and nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        path, system = _path(df.sparkSession, file.rpartition("/")[0])
+        system.delete(path, True)

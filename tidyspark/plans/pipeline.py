@@ -28,7 +28,7 @@ def run(source: DataFrame, cfg: Config, roots: list[str] | None = None) -> Repor
     files = records.selected(source, cfg)
     group = sieve.group_keys(cfg)
     members = once(sieve.sieve(files, cfg))  # read by all parts of the report
-    found = rank.ranked(rank.mark_originals(members, cfg, group), cfg, group).withColumn("type", F.lit("duplicate_file"))
+    found = rank.ranked(rank.mark_originals(members, cfg, group), cfg, group, members).withColumn("type", F.lit("duplicate_file"))
     dirs = parts = None
     if cfg.merge_directories:
         dirs = directories.duplicate_dirs(files, members, cfg, roots)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import directories, rank, relations, sieve
+from ..operators.stage import once
 from .config import Config
 
 GROUP = ["type", "checksum"]
@@ -59,7 +60,8 @@ def requery(results: list[DataFrame], cfg: Config, roots: list[tuple[str, int, b
         rows = rows.withColumn(name, key)
         group.append(name)
     dupes = sieve.qualified(rows.filter(F.col("type").isin("duplicate_file", "duplicate_dir")), cfg, group)
-    return rank.ranked(rank.mark_originals(dupes.drop("is_original"), cfg, group), cfg, group)
+    dupes = once(dupes.drop("is_original"), "requery")
+    return rank.ranked(rank.mark_originals(dupes, cfg, group), cfg, group, dupes)
 
 
 def packed(files: DataFrame, results: DataFrame, cfg: Config) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions.digests import digest
 from .operators import directories, lint, rank, records, relations, sieve, tree
+from .operators.stage import once
 from .plans import parsing, pipeline, query_language, requery
 from .plans.config import Config
 from .sinks import formats
@@ -289,8 +290,8 @@ CAST(sum(strlen(content)) FILTER (rk > 1) AS BIGINT) AS duplicate_bytes, CAST(co
 
 @query(_FOOTER.format(base=f"SELECT DISTINCT path, content, inode FROM ({_LINE})"))
 def footer_metrics_lines(spark, sf_dir):
-    once = lines(spark, sf_dir).dropDuplicates(["path"])
-    return rank.totals(rank.mark_originals(sieve.sieve(once, _NAMED), _NAMED, _group()), _NAMED, _group())
+    single = lines(spark, sf_dir).dropDuplicates(["path"])
+    return rank.totals(rank.mark_originals(sieve.sieve(single, _NAMED), _NAMED, _group()), _NAMED, _group())
 
 
 # Directories.
@@ -353,10 +354,14 @@ def group_order_documents(spark, sf_dir):
     return found.filter("rank_in_group = 1").select("checksum", "group_rank")
 
 
-def _result(spark, sf_dir, english: bool) -> DataFrame:
-    """What a run over one of two path sets reports."""
-    found = sieve.duplicates(documents(spark, sf_dir).filter(F.contains("path", F.lit("/en/")) == F.lit(english)), _NAMED)
-    return found.select("type", "path", "size", "depth", "mtime", "checksum", "is_original")
+def _results(spark, sf_dir) -> list[DataFrame]:
+    """What earlier runs over English and over other documents reported: groups of equal checksums on each side."""
+    known = documents(spark, sf_dir).select("path", "size", "depth", "mtime", digest(F.col("content"), "sha256").alias("checksum")).filter("size >= 1")
+    known = known.withColumn("en", F.contains("path", F.lit("/en/")))
+    heads = known.groupBy("en", "checksum").agg(F.count("*").alias("n"), F.min("path").alias("head")).filter("n >= 2")
+    found = known.join(heads, ["en", "checksum"]).select(F.lit("duplicate_file").alias("type"), "path", "size", "depth", "mtime", "checksum", (F.col("path") == F.col("head")).alias("is_original"), "en")
+    stored = once(found, "results")
+    return [stored.filter("en").drop("en"), stored.filter("NOT en").drop("en")]
 
 
 _TWO_RESULTS = f"WITH d AS ({_DOC}), e AS (SELECT *, lang = 'en' AS en FROM d), r AS (SELECT *, count(*) OVER (PARTITION BY en, text) AS n FROM e)"
@@ -364,14 +369,14 @@ _TWO_RESULTS = f"WITH d AS ({_DOC}), e AS (SELECT *, lang = 'en' AS en FROM d),
 
 @query(f"{_TWO_RESULTS}, k AS (SELECT * FROM r WHERE n > 1), m AS (SELECT *, count(*) OVER (PARTITION BY text) AS twins, row_number() OVER (PARTITION BY text ORDER BY base, path) AS rk FROM k) SELECT path, sha256(text) AS checksum, twins, rk AS rank_in_group, rk = 1 AS is_original FROM m")
 def requery_union_documents(spark, sf_dir):
-    found = requery.requery([_result(spark, sf_dir, True), _result(spark, sf_dir, False)], _NAMED)
+    found = requery.requery(_results(spark, sf_dir), _NAMED)
     return found.select("path", "checksum", "twins", "rank_in_group", "is_original")
 
 
 @query(f"{_TWO_RESULTS}, k AS (SELECT * FROM r WHERE n > 1 AND size BETWEEN 500 AND 4000), m AS (SELECT *, count(*) OVER (PARTITION BY text) AS twins FROM k) SELECT path, twins FROM m WHERE twins > 1")
 def requery_filter_documents(spark, sf_dir):
     cfg = Config(rank="a", size=parsing.size_range("500-4k"))
-    return requery.requery([_result(spark, sf_dir, True), _result(spark, sf_dir, False)], cfg).select("path", "twins")
+    return requery.requery(_results(spark, sf_dir), cfg).select("path", "twins")
 
 
 @query(f"""WITH d AS ({_DOC}) SELECT path, CASE WHEN starts_with(path, 'src1/en/') THEN 2 WHEN starts_with(path, 'src1/') THEN 0 ELSE 1 END AS path_index, starts_with(path, 'src1/en/') AS is_tagged
