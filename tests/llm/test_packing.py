@@ -8,7 +8,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 from tidyspark.llm.best_fit import RoomTree, best_fit_decreasing, pack_sequences, write_matrices
-from tidyspark.llm.cutting_stock import _knapsack, pack, plan
+from tidyspark.llm.cutting_stock import Knapsack, pack, plan, solve
 from tidyspark.llm.tokens import WordEncoder
 from tidyspark.llm.wordarrays import utf8
 
@@ -77,8 +77,10 @@ def test_knapsack_and_plan():
         best = [0.0] * 41
         for c in range(1, 41):
             best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes.tolist(), value) if s <= c)])
-        worth, amounts = _knapsack(value, sizes, 40)
-        assert abs(worth - best[40]) < 1e-9 and amounts @ sizes <= 40 and abs(amounts @ value - worth) < 1e-9
+        sack = Knapsack(value, sizes, 40)
+        for c in range(41):
+            amounts = sack.amounts(c)
+            assert abs(sack.best[c] - best[c]) < 1e-9 and amounts @ sizes <= c and abs(amounts @ value - best[c]) < 1e-9
     histogram = Counter(r.randint(1, 200) for _ in range(5000))
     patterns = plan(histogram, 200)
     packed = Counter()
@@ -91,11 +93,31 @@ def test_knapsack_and_plan():
     assert plan({}, 10) == [] and plan({10: 3}, 10) == [(((10, 1),), 3)]
 
 
-@pytest.mark.parametrize("bucket_rows", [3, 50_000])
-def test_cutting_stock(spark, bucket_rows):
+def test_columns_enter_and_the_bound_is_proven():
+    """No cap on columns: the program ends by pricing or by the bound."""
+    # Halves and thirds by hand: 10 of size 6, 10 of 4 and 20 of 5 fill 20 sequences of 10; one pattern a size needs 10 + 5 + 10.
+    hand = solve(np.array([4, 5, 6]), np.array([10.0, 20.0, 10.0]), 10, gap=0)
+    assert hand.entered > 0 and abs(hand.value - 20) < 1e-6 and abs(hand.bound - 20) < 1e-6
+    # Sizes of which no two fit: the bound comes from the prices, as the room alone would allow 6 sequences for 10.
+    alone = solve(np.array([6]), np.array([10.0]), 10, gap=0)
+    assert alone.value == alone.bound == 10
+    r = random.Random(8)
+    for width, n in ((64, 3000), (256, 20_000)):
+        histogram = Counter(min(width - 1, 1 + int(r.lognormvariate(3, 1.2))) for _ in range(n))
+        sizes = np.array(sorted(histogram))
+        demand = np.array([float(histogram[s]) for s in sizes])
+        found = solve(sizes, demand, width, gap=1e-3)
+        assert found.entered > len(sizes) and found.value <= (1 + 1e-3) * found.bound + 1e-6
+        assert found.bound <= sum(c for _, c in plan(histogram, width))
+        assert all(p @ sizes <= width for p, _ in found.patterns)
+        assert (sum(p * u for p, u in found.patterns) >= demand * (1 - 1e-6)).all()
+
+
+@pytest.mark.parametrize("how", [{"bucket_rows": 3}, {}, {"bins": 100}, {"bins": 2048}])
+def test_cutting_stock(spark, how):
     r = random.Random(4)
     rows = list(enumerate(TEXTS)) + [(100 + k, "word " * r.randint(0, 300)) for k in range(200)] + [(500, "same text"), (500, "same text"), (None, "no id")]
-    got = pack(spark.createDataFrame([(d, t, "clash", 0) for d, t in rows], SCHEMA), PATH, bucket_rows=bucket_rows).collect()
+    got = pack(spark.createDataFrame([(d, t, "clash", 0) for d, t in rows], SCHEMA), PATH, **how).collect()
     ids = defaultdict(list)
     for d, t in rows:
         ids[d].append(reference_ids(t))

@@ -1,10 +1,12 @@
 """Packing by cutting-stock column generation.
 
 Documents are tokenised once and cut at multiples of the sequence length, which leaves one tail each.  Only the
-histogram of tail lengths (at most ``width`` numbers) reaches the driver.  There a linear program chooses how often to
-use each pattern (a multiset of lengths that fits one sequence); an unbounded knapsack, solved by dynamic programming,
-prices new patterns until none improves it or the bound is near.  Patterns are rounded down and what is left over is packed
-best fit first.  Tails are ranked within their length on the cluster, and the rank tells pattern, copy and place.
+histogram of tail lengths reaches the driver, in at most ``bins`` bins, each as long as its longest.  There a linear program
+chooses how often to use each pattern (a multiset of bins that fits one sequence), by the revised simplex method from one pattern a bin.  An
+unbounded knapsack, solved by dynamic programming, prices new patterns: the best one with each bin; those that improve the program enter it.
+The prices also give a lower bound of the program, and it ends once no pattern improves it or the bound proves it within ``gap``.
+Patterns are rounded down and what is left over is packed best fit first.  Tails are ranked within their bin on the cluster, and the
+rank tells pattern, copy and place; offsets are sums of true lengths.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,80 +50,89 @@ def pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, batch_
     return docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def _knapsack(value: np.ndarray, sizes: np.ndarray, width: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits ``width``: its value and how often it has each size."""
-    worth, best, pick = np.zeros(width + 1), np.zeros(width + 1), np.full(width + 1, -1)
-    index = np.full(width + 1, -1)
-    worth[sizes], index[sizes] = value, np.arange(len(sizes))
-    smallest = int(sizes[0])
-    for c in range(1, width + 1):
-        best[c] = best[c - 1]
-        if c >= smallest:
-            gain = best[c - smallest :: -1][: c - smallest + 1] + worth[smallest : c + 1]
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-12:
-                best[c], pick[c] = gain[k], smallest + k
-    amounts, c = np.zeros(len(sizes)), width
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            amounts[index[pick[c]]] += 1
-            c -= int(pick[c])
-    return float(best[width]), amounts
-
-
-def _first_basis(sizes: np.ndarray, demand: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns by the size that each exhausts, and how often to use them.
-
-    Largest sizes first, each sequence is filled with the largest size left that fits, and used until one of its sizes is
-    exhausted.  That size is in no later column, so the columns are independent.
+class Knapsack:
+    """The most valuable multisets of sizes for every capacity up to ``width``."""
+
+    def __init__(self, value: np.ndarray, sizes: np.ndarray, width: int):
+        worth, self.best, self._pick = np.zeros(width + 1), np.zeros(width + 1), np.full(width + 1, -1)
+        self._index, self._m = np.full(width + 1, -1), len(sizes)
+        worth[sizes], self._index[sizes] = value, np.arange(len(sizes))
+        smallest = int(sizes[0])
+        for c in range(1, width + 1):
+            self.best[c] = self.best[c - 1]
+            if c >= smallest:
+                gain = self.best[: c - smallest + 1][::-1] + worth[smallest : c + 1]
+                k = int(gain.argmax())
+                if gain[k] > self.best[c] + 1e-12:
+                    self.best[c], self._pick[c] = gain[k], smallest + k
+
+    def amounts(self, capacity: int) -> np.ndarray:
+        """How often the best multiset for the capacity has each size."""
+        out, c = np.zeros(self._m), capacity
+        while c > 0:
+            if self._pick[c] < 0:
+                c -= 1
+            else:
+                out[self._index[self._pick[c]]] += 1
+                c -= int(self._pick[c])
+        return out
+
+
+@dataclass
+class Solution:
+    patterns: list[tuple[np.ndarray, float]]  # how often each size is in it, and how often it is used
+    value: float  # of the linear program
+    bound: float  # proven: no fractional packing needs fewer sequences
+    entered: int  # patterns that pricing has brought in
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 1e-3, columns: int = 20, refresh: int = 100) -> Solution:
+    """Fewest sequences, in fractions, whose patterns hold each size as often as demanded, or more often.
+
+    Up to ``columns`` patterns are taken from one knapsack; the inverse of the basis is worked out afresh after every ``refresh`` of them.
     """
-    left = demand.astype(float).copy()
-    basis, use = np.diag(np.floor(width / sizes).astype(float)), np.zeros(len(sizes))
-    while (alive := np.flatnonzero(left > 0)).size:
-        column, room, k = np.zeros(len(sizes)), width, len(alive) - 1
-        while k >= 0 and room >= sizes[alive[0]]:
-            k = min(k, int(np.searchsorted(sizes[alive], room, side="right")) - 1)
-            i = alive[k]
-            column[i] = min(room // sizes[i], max(1, int(left[i])))
-            room -= int(column[i]) * int(sizes[i])
-            k -= 1
-        used = np.flatnonzero(column)
-        often = left[used] / column[used]
-        end = used[int(often.argmin())]
-        basis[:, end], use[end] = column, often.min()
-        left[used] -= use[end] * column[used]
-        left[end] = 0
-        left[left < 1e-9] = 0
-    return basis, use
-
-
-def solve(sizes: np.ndarray, demand: np.ndarray, width: int, most_columns: int = 300, gap: float = 2e-3) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each, by the revised simplex method with columns priced by a knapsack."""
     m = len(sizes)
-    basis, use = _first_basis(sizes, demand, width)
-    inverse = np.linalg.inv(basis)
-    least = float(sizes @ demand) / width
-    for _ in range(most_columns):
-        dual = inverse.sum(axis=0)
-        worth, column = _knapsack(np.maximum(dual, 0), sizes, width)
-        if worth <= 1 + 1e-9:
-            break
-        least = max(least, float(np.maximum(dual, 0) @ demand) / worth)
-        if use.sum() <= (1 + gap) * least:
+    fits = np.floor(width / sizes)
+    basis, inverse, use, cost = np.diag(fits), np.diag(1 / fits), demand / fits, np.ones(m)
+    bound, entered = float(sizes @ demand) / width, 0
+    while True:
+        dual = cost @ inverse
+        worst = int(dual.argmin())
+        if dual[worst] < -1e-9:  # more of that size than demanded would save sequences
+            new = [(-np.eye(m)[worst], 0.0)]
+        else:
+            price = np.maximum(dual, 0)
+            sack = Knapsack(price, sizes, width)
+            bound = max(bound, float(price @ demand) / max(float(sack.best[width]), 1.0))
+            if sack.best[width] <= 1 + 1e-9 or cost @ use <= (1 + gap) * bound:
+                break
+            value = price + sack.best[width - sizes]
+            new = []
+            for i in np.argsort(-value, kind="stable")[:columns]:
+                if value[i] > 1 + 1e-9:
+                    new.append((sack.amounts(width - int(sizes[i])) + np.eye(m)[i], 1.0))
+        before = entered
+        for column, price in new:
+            if (cost @ inverse) @ column <= price + 1e-9:
+                continue  # one that has entered before makes it useless
+            step = inverse @ column
+            ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
+            leave = int(ratio.argmin())
+            if not np.isfinite(ratio[leave]):
+                continue
+            amount = ratio[leave]
+            use = np.maximum(use - amount * step, 0)
+            use[leave], cost[leave], basis[:, leave] = amount, price, column
+            row = inverse[leave] / step[leave]
+            inverse -= np.outer(step, row)
+            inverse[leave] = row
+            entered += 1
+            if entered % refresh == 0:
+                inverse = np.linalg.inv(basis)
+                use = np.maximum(inverse @ demand, 0)
+        if entered == before:  # nothing improves it within rounding
             break
-        step = inverse @ column
-        ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
-        leave = int(ratio.argmin())
-        amount = ratio[leave]
-        use = np.maximum(use - amount * step, 0)
-        use[leave] = amount
-        row = inverse[leave] / step[leave]
-        inverse -= np.outer(step, row)
-        inverse[leave] = row
-        basis[:, leave] = column
-    return [(basis[:, k].astype(np.int64), float(use[k])) for k in range(m) if use[k] > 1e-9]
+    return Solution([(basis[:, k].astype(np.int64), float(use[k])) for k in range(m) if use[k] > 1e-9 and cost[k]], float(cost @ use), bound, entered)
 
 
 def plan(histogram: dict[int, int], width: int, **how) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -132,7 +144,7 @@ def plan(histogram: dict[int, int], width: int, **how) -> list[tuple[tuple[tuple
     if left:
         sizes = np.array(sorted(left))
         demand = np.array([left[s] for s in sizes.tolist()])
-        for column, use in sorted(solve(sizes, demand.astype(float), width, **how), key=lambda x: (-(x[0] @ sizes), -x[1])):
+        for column, use in sorted(solve(sizes, demand.astype(float), width, **how).patterns, key=lambda x: (-(x[0] @ sizes), -x[1])):
             used = np.flatnonzero(column)
             times = min(int(use + 1e-9), *(left[int(sizes[i])] // int(column[i]) for i in used))
             if times > 0:
@@ -154,46 +166,51 @@ def plan(histogram: dict[int, int], width: int, **how) -> list[tuple[tuple[tuple
     return found
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, bucket_rows: int = 50_000, **how) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, bins: int = 256, bucket_rows: int = 50_000, **how) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A null or empty text has the end id alone.  Rows with the same id are documents of their own.  Other columns of the input
-    play no part, whatever their names.  Sequence ids run from 0 without gaps.
+    A null or empty text has the end id alone; a text of any length is cut into pieces.  Rows with the same id are documents of their own.  Other columns of the input
+    play no part, whatever their names.  An empty table has no rows.  Sequence ids run from 0 without gaps.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
+    grain = max(1, width // bins)
     cut = scratch.table(pieces(docs, tokenizer_path, width, end_id), "pieces")
-    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `width` rows
-    # The rank within a length: buckets keep a length that many documents share from meeting in one task.
+    room = width // grain
+    cut = cut.withColumn("__bin", F.least(F.ceil(F.col("length") / grain), F.lit(room)).cast("int"))  # the last bin fills a sequence
+    histogram = {r["__bin"]: r["count"] for r in cut.groupBy("__bin").count().collect()}  # at most width / grain rows
+    # The rank within a bin: buckets keep a bin that many documents share from meeting in one task; the row's place in its file parts repeated rows.
     buckets = max(1, sum(histogram.values()) // bucket_rows)
-    cut = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = cut.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("__rank", F.row_number().over(inside) - 1).join(start, ["length", "__bucket"])
-    # For each length: first rank, sequence, offset and times of each pattern that holds it.  Patterns are at most a few per length.
+    cut = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_metadata.row_index"), F.lit(buckets)))
+    before = Window.partitionBy("__bin").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = cut.groupBy("__bin", "__bucket").agg(F.count("*").alias("__n")).select("__bin", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__bin", "__bucket").orderBy("doc_id", "start", "ids_crc32")
+    ranked = cut.withColumn("__rank", F.row_number().over(inside) - 1).join(start, ["__bin", "__bucket"])
+    # For each bin: first rank, sequence, first place in the sequence, and times of each pattern that holds it.  Patterns are at most a few per bin.
     places: dict[int, list[tuple[int, int, int, int]]] = {}
     taken: Counter = Counter()
     sequence = 0
-    for pattern, copies in plan(histogram, width, **how):
-        offset = 0
+    for pattern, copies in plan(histogram, room, **how):
+        place = 0
         for size, times in pattern:
-            places.setdefault(size, []).append((taken[size], sequence, offset, times))
+            places.setdefault(size, []).append((taken[size], sequence, place, times))
             taken[size] += copies * times
-            offset += size * times
+            place += times
         sequence += copies
     tables = {size: np.array(rows, dtype=np.int64).T for size, rows in places.items()}
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("__at").to_numpy()
-            ids, offsets = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for size in np.unique(length):
-                mine = np.flatnonzero(length == size)
-                first, seq, off, times = tables[int(size)]
+            size, rank = batch.column("__bin").to_numpy(), batch.column("__at").to_numpy()
+            ids, spots = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            for one in np.unique(size):
+                mine = np.flatnonzero(size == one)
+                first, seq, spot, times = tables[int(one)]
                 k = np.searchsorted(first, rank[mine], side="right") - 1
                 inner = rank[mine] - first[k]
-                ids[mine], offsets[mine] = seq[k] + inner // times[k], off[k] + inner % times[k] * size
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECES.names), pa.array(ids), pa.array(offsets)], names=[*_PIECES.names, "sequence_id", "offset"])
+                ids[mine], spots[mine] = seq[k] + inner // times[k], spot[k] + inner % times[k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECES.names), pa.array(ids), pa.array(spots)], names=[*_PIECES.names, "sequence_id", "place"])
 
-    placed = ranked.select(*_PIECES.names, (F.col("__rank") + F.col("__before")).cast("long").alias("__at"))
-    return placed.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = ranked.select(*_PIECES.names, "__bin", (F.col("__rank") + F.col("__before")).cast("long").alias("__at"))
+    placed = placed.mapInArrow(put, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
+    ahead = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has ``width`` pieces at most
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long")).drop("place")
