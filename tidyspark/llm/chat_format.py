@@ -3,16 +3,19 @@
 A message's text is plain, or a JSON object: an assistant's ``{"content": ..., "tool_calls": [{"id", "name", "arguments"}, ...]}``, a tool's
 ``{"tool_call_id": ..., "content": ...}``.  Calls and results are linked by a hash join on conversation and identifier.  A call may use
 earlier results (``{"$result": "<id>"}`` anywhere in its arguments).  Messages are put in topological order: each at its own turn
-or behind all that it needs, whichever is later; calls that need each other are marked as a cycle and keep their turn.  Arguments are
-validated against JSON schemas, and each message is serialised as canonical JSON (sorted keys, no blanks, shortest numbers).
+or behind all that it needs, whichever is later; a call needs the answers to the calls it uses.  Calls in or behind a cycle are marked and keep their turn.  Arguments are
+validated against JSON schemas, and each message is serialised as canonical JSON (sorted keys, no blanks, shortest numbers, lone surrogates escaped).
 
-Conversations are never gathered: a message is a row throughout, and places in a conversation are prefix sums over turn ranges.
+Conversations are never gathered: a message is a row throughout, and places in a conversation are prefix sums over turn ranges.  Calls are
+ordered in rounds: a task takes the open calls of a stretch of turns and settles all that need nothing open elsewhere; from round to round the
+stretches double, so chains settle in a few rounds however long they are.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+DEEPEST = 200  # levels of nesting; a text with more is plain
+_LONE = re.compile("[\ud800-\udfff]")
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def _is(kind: str, value) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _KINDS.get(kind, object))
 
 
@@ -39,9 +44,9 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
     if kinds and not any(_is(k, value) for k in kinds):
         return [f"{path}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{path}: not in enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{path}: not the constant")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -70,7 +75,12 @@ def canonical(value) -> str:
             return [plain(v) for v in x]
         return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return printable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def printable(text: str) -> str:
+    """Lone surrogates, which UTF-8 can't hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _needs(value) -> set[str]:
@@ -85,13 +95,35 @@ def _constant(name: str):
     raise ValueError(name)  # NaN and the infinities are no JSON
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if math.isinf(value):
+        raise ValueError(digits)
+    return value
+
+
+def _loaded(text: str):
+    """The JSON value of a text; a ValueError if it is none, has numbers beyond the range of doubles, or is nested too deeply."""
+    try:
+        value = json.loads(text, parse_constant=_constant, parse_float=_finite)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+    layer, depth = [value], 0
+    while layer:
+        depth += 1
+        if depth > DEEPEST:
+            raise ValueError("nested too deeply")
+        layer = [y for x in layer if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x) if isinstance(y, (dict, list))]
+    return value
+
+
 def parse(role: str | None, text: str | None) -> tuple[str | None, list[dict], str | None]:
     """Content, calls and the identifier of the call that a tool message answers."""
     if role not in ("assistant", "tool") or not text or not text.lstrip().startswith("{"):
         return text, [], None
     try:
-        found = json.loads(text, parse_constant=_constant)
-    except (ValueError, RecursionError):
+        found = _loaded(text)
+    except ValueError:
         return text, [], None
     if role == "tool" and isinstance(found.get("tool_call_id"), str):
         content = found.get("content")
@@ -105,8 +137,8 @@ def parse(role: str | None, text: str | None) -> tuple[str | None, list[dict], s
         arguments = c.get("arguments", {})
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments, parse_constant=_constant)
-            except (ValueError, RecursionError):
+                arguments = _loaded(arguments)
+            except ValueError:
                 pass
         out.append({"id": c["id"], "name": c["name"], "arguments": arguments})
     return content if isinstance(content, str) or content is None else canonical(content), out, None
@@ -123,10 +155,10 @@ def _parsed(df: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 content, calls, answers = parse(role, text)
                 message = {"role": role, "content": content} | ({"tool_calls": calls} if calls else {}) | ({"tool_call_id": answers} if answers is not None else {})
                 told = [
-                    {"call_id": c["id"], "needs": sorted(_needs(c["arguments"])), "problems": violations(c["arguments"], schemas[c["name"]]) if c["name"] in schemas else ["$: unknown tool"] if schemas else []}
+                    {"call_id": canonical(c["id"]), "needs": sorted(map(canonical, _needs(c["arguments"]))), "problems": [printable(x) for x in violations(c["arguments"], schemas[c["name"]])] if c["name"] in schemas else ["$: unknown tool"] if schemas else []}
                     for c in calls
                 ]
-                out.append((conv, turn, role, canonical(message), name, len(calls), answers, told))
+                out.append((conv, turn, role, canonical(message), name, len(calls), None if answers is None else canonical(answers), told))
             if out:
                 call = pa.struct([("call_id", pa.string()), ("needs", pa.list_(pa.string())), ("problems", pa.list_(pa.string()))])
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(call))
@@ -135,64 +167,121 @@ def _parsed(df: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return df.mapInArrow(rows, _MESSAGE)
 
 
-def format_chats(df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", bucket_turns: int = 10_000) -> DataFrame:
+_SETTLED = pa.schema([("__conv", pa.string()), ("message_id", pa.string()), ("time", pa.int64()), ("level", pa.int32())])
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """The messages of one stretch that can be settled: times and levels.
+
+    A row is a message with calls and one message it needs, with the time of the answer it waits for (null for none); ``need_time`` is null if that one is not
+    settled, and ``near`` tells whether it is among the messages of this table then.
+    """
+    time: dict[str, int] = {}
+    level: dict[str, int] = {}
+    behind: dict[str, list[tuple[str, int | None]]] = {}
+    unmet: dict[str, int] = {}
+    for message, own, need, answer, need_time, need_level, near in zip(*(table[c].to_pylist() for c in ("message_id", "time", "need", "answer_at", "need_time", "need_level", "near"))):
+        time.setdefault(message, own)
+        level.setdefault(message, 0)
+        unmet.setdefault(message, 0)
+        if need_time is not None:
+            time[message] = max(time[message], need_time, need_time if answer is None else answer)
+            level[message] = max(level[message], need_level + 1)
+        else:
+            unmet[message] += 1
+            if near:
+                behind.setdefault(need, []).append((message, answer))
+    ready = [m for m, n in unmet.items() if not n]
+    for message in ready:  # grows while it is read
+        for other, answer in behind.get(message, ()):
+            time[other] = max(time[other], time[message], time[message] if answer is None else answer)
+            level[other] = max(level[other], level[message] + 1)
+            unmet[other] -= 1
+            if not unmet[other]:
+                ready.append(other)
+    return pa.table([[table["__conv"][0].as_py()] * len(ready), ready, [time[m] for m in ready], [level[m] for m in ready]], schema=_SETTLED)
+
+
+def _ordered(nodes: DataFrame, edges: DataFrame, stretch: int, most_nodes: int) -> DataFrame:
+    """``__conv, message_id, time, level, late``: when each message is ready, how many stand behind one another until it, and whether it waits for a cycle.
+
+    ``nodes`` has ``__conv, message_id, time``; ``edges`` ``__conv, message_id, need, answer_at``: the message that it needs, and when the answer is there.
+    """
+    keys = ["__conv", "message_id"]
+    needy = edges.select(*keys).distinct()
+    state = nodes.join(needy, keys, "left_anti").withColumn("level", F.lit(0))
+    if not edges.limit(1).count():
+        return state.withColumn("late", F.lit(False))
+    state = scratch.table(state, "settled")
+    at = F.floor(F.col("time") / stretch)
+    waiting = nodes.join(needy, keys, "left_semi").withColumn("__stretch", at).withColumn("__width", F.lit(0))
+    crowd = waiting.groupBy("__conv", "__stretch").agg(F.ceil(F.count("*") / most_nodes).alias("__parts"))
+    waiting = scratch.table(waiting.join(crowd, ["__conv", "__stretch"]).withColumn("__part", F.pmod(F.xxhash64("message_id"), F.col("__parts"))).drop("__parts"), "waiting")
+    place = ["__stretch", "__width", "__part"]
+    for rounds in range(1, 1 << 62):
+        done = state.select("__conv", F.col("message_id").alias("need"), F.col("time").alias("need_time"), F.col("level").alias("need_level"))
+        where = waiting.select("__conv", F.col("message_id").alias("need"), F.struct(*place).alias("__there"))
+        pairs = waiting.join(edges, keys).join(done, ["__conv", "need"], "left").join(where, ["__conv", "need"], "left")
+        pairs = pairs.withColumn("near", F.coalesce(F.struct(*place) == F.col("__there"), F.lit(False))).drop("__there")
+        new = scratch.table(pairs.groupBy("__conv", *place).applyInArrow(_settle, "__conv string, message_id string, time long, level int"), "new")
+        if not new.limit(1).count():  # what waits for no cycle has something among it that needs nothing open
+            break
+        state = scratch.table(state.unionByName(new), "settled")
+        left = waiting.join(new.select(*keys), keys, "left_anti")
+        if rounds < 48:  # stretches double, but for those that would hold too many calls
+            wide = F.floor(F.col("time") / (stretch << rounds))
+            many = left.groupBy("__conv", wide.alias("__wide")).agg((F.count("*") <= most_nodes).alias("__fits"))
+            left = left.withColumn("__wide", wide).join(many, ["__conv", "__wide"])
+            left = left.select(*nodes.columns, *(F.when(F.col("__fits"), new_place).otherwise(F.col(old)).alias(old) for old, new_place in zip(place, (F.col("__wide"), F.lit(rounds), F.lit(0)))))
+        waiting = scratch.table(left, "waiting")
+        if not waiting.limit(1).count():
+            break
+    late = waiting.select(*keys, "time", F.lit(0).alias("level"), F.lit(True).alias("late"))
+    return state.select(*keys, "time", "level", F.lit(False).alias("late")).unionByName(late)
+
+
+def format_chats(
+    df: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", bucket_turns: int = 10_000, most_calls: int = 1 << 17
+) -> DataFrame:
     """One row per input row: ``conv_id, turn, place, role, message, n_calls, n_linked, status, problems``.
 
     ``place`` counts from 0 in topological order, ties by turn and then message; ``status`` is ``ok``, or the first that holds of ``cycle``, ``duplicate_id`` (two
     calls of the conversation have the identifier), ``orphan`` (a result without call), ``invalid_arguments``, ``unknown_need`` and ``unanswered``.
-    Null texts have null content; null roles and turns are kept, a null turn stands first; rows with a null conversation are one conversation.
-    Repeated rows stay and are told apart by nothing but their number.
+    Null texts have null content, empty ones empty content; null roles and turns are kept, a null turn stands first; rows with a null conversation are one conversation.
+    Repeated rows stay, each with its own calls and links, and are told apart by nothing but their place.  Texts of any length are read whole.  A text that is no
+    JSON object, has numbers beyond doubles, or is nested deeper than ``DEEPEST`` levels is plain.  An empty table has no rows; other columns play no part,
+    whatever their names.
     """
-    key = F.xxhash64(conv_col, turn_col, role_col, text_col).cast("string")
+    columns = (conv_col, turn_col, role_col, text_col)
+    key = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)).cast("string")
     picked = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), key.alias("message_id"))
     messages = scratch.table(_parsed(picked, schemas or {}), "messages")
     # Only messages with calls or answers take part in linking; conversations are joined null-safe through a key that is never null.
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("__conv")
     start = F.coalesce("turn", F.lit(-(1 << 62)))
-    calls = messages.filter("n_calls > 0").select(conv, "message_id", start.alias("at"), F.explode("calls").alias("c")).select("__conv", "message_id", "at", "c.*")
+    callers = messages.filter("n_calls > 0").groupBy(conv, "message_id").agg(F.min(start).alias("at"), F.count("*").alias("copies"), F.first("calls").alias("calls"))  # repeated rows are one message here
+    calls = callers.select("__conv", "message_id", "at", "copies", F.explode("calls").alias("c")).select("__conv", "message_id", "at", "copies", "c.*")
     calls = scratch.table(calls, "calls")
     answers = messages.filter("answers IS NOT NULL").select(conv, "message_id", start.alias("at"), F.col("answers").alias("call_id"))
-    first = calls.groupBy("__conv", "call_id").agg(F.min("at").alias("at"), F.count("*").alias("times"), F.min("message_id").alias("owner"))
-    linked = answers.join(first.select("__conv", "call_id", "times"), ["__conv", "call_id"], "left")
-    answered = answers.select("__conv", "call_id").distinct().withColumn("answered", F.lit(True))
-
-    # Topological time: a call is ready behind the answers to the calls it needs, an answer behind its call.
-    needs = calls.select("__conv", "call_id", F.explode("needs").alias("need")).distinct()
-    known = needs.join(first.select("__conv", F.col("call_id").alias("need")), ["__conv", "need"]).select("__conv", "call_id", "need")
-    known = scratch.table(known, "needs")
-    ready = scratch.table(first.select("__conv", "call_id", F.col("at").alias("time"), F.lit(False).alias("late")), "ready")
-    rounds = 0
-    if known.limit(1).count():
-        # Kahn's order, one level of calls at a time: settled calls are those all of whose needs are settled.
-        waiting = known.select("__conv", "call_id").distinct()
-        settled = scratch.table(ready.join(waiting, ["__conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "settled")
-        while True:
-            rounds += 1
-            met = known.join(settled.select("__conv", F.col("call_id").alias("need"), "time"), ["__conv", "need"], "left").groupBy("__conv", "call_id").agg(F.max("time").alias("after"), F.count(F.when(F.col("time").isNull(), 1)).alias("open"))
-            new = met.filter("open = 0").join(settled.select("__conv", "call_id"), ["__conv", "call_id"], "left_anti").join(ready.select("__conv", "call_id", "time", "late"), ["__conv", "call_id"])
-            new = new.select("__conv", "call_id", F.greatest("time", "after").alias("time"), "late", F.lit(rounds).alias("level"))
-            grown = scratch.table(settled.unionByName(new), "settled")
-            if not grown.filter(F.col("level") == rounds).limit(1).count():
-                break
-            settled = grown
-        stuck = ready.join(settled.select("__conv", "call_id"), ["__conv", "call_id"], "left_anti").select("__conv", "call_id", "time", F.lit(True).alias("late"), F.lit(rounds).alias("level"))
-        ready = settled.unionByName(stuck)
-    else:
-        ready = ready.withColumn("level", F.lit(0))
-    ready = scratch.table(ready, "ready")
-
-    facts = (
-        calls.join(first.select("__conv", "call_id", "times"), ["__conv", "call_id"])
-        .join(answered, ["__conv", "call_id"], "left")
-        .join(ready.select("__conv", "call_id", "time", "late", "level"), ["__conv", "call_id"])
-        .join(needs.join(known, ["__conv", "call_id", "need"], "left_anti").select("__conv", "call_id", F.lit(True).alias("unknown")).distinct(), ["__conv", "call_id"], "left")
-    )
-    of_calls = facts.groupBy("__conv", "message_id").agg(
-        F.max("time").alias("time"), F.max("level").alias("level"), F.count("answered").alias("linked"), F.max("late").alias("cycle"), F.max("times").alias("times"),
-        F.flatten(F.sort_array(F.collect_set("problems"))).alias("problems"), F.max("unknown").alias("unknown"), F.max(F.col("answered").isNull()).alias("open"),
-    )
-    of_answers = linked.join(ready.select("__conv", "call_id", "time", "level", "late"), ["__conv", "call_id"], "left").groupBy("__conv", "message_id").agg(F.max("time").alias("a_time"), F.max("level").alias("a_level"), F.max("times").alias("a_times"))
-    joined = messages.withColumn("__conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).join(of_calls, ["__conv", "message_id"], "left").join(of_answers, ["__conv", "message_id"], "left")
+    answered = answers.groupBy("__conv", "call_id").agg(F.max("at").alias("answer_at"), F.lit(True).alias("answered"))
+    first = calls.groupBy("__conv", "call_id").agg(F.sum("copies").alias("times"), F.min(F.struct("at", "message_id")).getField("message_id").alias("owner")).join(answered, ["__conv", "call_id"], "left")
+    first = scratch.table(first, "first")
+    linked = answers.dropDuplicates(["__conv", "message_id"]).join(first.select("__conv", "call_id", "times", "owner"), ["__conv", "call_id"], "left")
+
+    # A message is ready behind the answers to all calls that its own calls use, an answer behind the message with its call.
+    needs = calls.select("__conv", "message_id", F.explode("needs").alias("need")).distinct()
+    target = first.select("__conv", F.col("call_id").alias("need"), "owner", "answer_at")
+    known = needs.join(target, ["__conv", "need"]).groupBy("__conv", "message_id", F.col("owner").alias("need")).agg(F.max("answer_at").alias("answer_at"))
+    unknown = needs.join(target, ["__conv", "need"], "left_anti").select("__conv", "message_id", F.lit(True).alias("unknown")).distinct()
+    nodes = scratch.table(callers.select("__conv", "message_id", F.col("at").alias("time")), "nodes")
+    ready = scratch.table(_ordered(nodes, scratch.table(known, "needs"), bucket_turns, most_calls), "ready")
+
+    facts = calls.join(first.select("__conv", "call_id", "times", "answered"), ["__conv", "call_id"])
+    of_calls = facts.groupBy("__conv", "message_id").agg(F.count("answered").alias("linked"), F.max("times").alias("times"), F.flatten(F.sort_array(F.collect_set("problems"))).alias("problems"), F.max(F.col("answered").isNull()).alias("open"))
+    of_calls = of_calls.join(ready.withColumnRenamed("late", "cycle"), ["__conv", "message_id"]).join(unknown, ["__conv", "message_id"], "left")
+    owners = ready.select("__conv", F.col("message_id").alias("owner"), F.col("time").alias("a_time"), F.col("level").alias("a_level"))
+    of_answers = linked.join(owners, ["__conv", "owner"], "left").select("__conv", "message_id", "a_time", "a_level", F.col("times").alias("a_times"))
+    joined = messages.withColumn("__conv", conv).join(of_calls, ["__conv", "message_id"], "left").join(of_answers, ["__conv", "message_id"], "left")
     status = (
         F.when(F.col("cycle"), "cycle").when(F.greatest("times", "a_times") > 1, "duplicate_id").when(F.col("answers").isNotNull() & F.col("a_times").isNull(), "orphan")
         .when(F.size("problems") > 0, "invalid_arguments").when(F.col("unknown"), "unknown_need").when(F.col("open"), "unanswered").otherwise("ok")
