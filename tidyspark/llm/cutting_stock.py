@@ -166,7 +166,7 @@ def plan(histogram: dict[int, int], width: int, **how) -> list[tuple[tuple[tuple
     return found
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, bins: int = 256, bucket_rows: int = 50_000, **how) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, bins: int = 256, bucket_rows: int = 4096, **how) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A null or empty text has the end id alone; a text of any length is cut into pieces.  Rows with the same id are documents of their own.  Other columns of the input
@@ -179,8 +179,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     cut = cut.withColumn("__bin", F.least(F.ceil(F.col("length") / grain), F.lit(room)).cast("int"))  # the last bin fills a sequence
     histogram = {r["__bin"]: r["count"] for r in cut.groupBy("__bin").count().collect()}  # at most width / grain rows
     # The rank within a bin: buckets keep a bin that many documents share from meeting in one task; the row's place in its file parts repeated rows.
-    buckets = max(1, sum(histogram.values()) // bucket_rows)
-    cut = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_metadata.row_index"), F.lit(buckets)))
+    buckets = F.array(*(F.lit(-(-histogram.get(b, 1) // bucket_rows)) for b in range(room + 1)))
+    cut = cut.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_metadata.row_index"), buckets[F.col("__bin")]))
     before = Window.partitionBy("__bin").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = cut.groupBy("__bin", "__bucket").agg(F.count("*").alias("__n")).select("__bin", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__bin", "__bucket").orderBy("doc_id", "start", "ids_crc32")
