@@ -62,12 +62,12 @@ def test_model_equals_formula():
         grams = plain_model(texts[lang])
         for row, text in enumerate(asked):
             s = [int(c) for c in L.characters([text])[0]]
-            logs = [math.log(plain_probability(grams, tuple(s[i - L.ORDER + 1 : i + 1]), len(model.grams[0]) + 1)) for i in range(L.ORDER - 1, len(s))]
+            logs = [math.log(plain_probability(grams, tuple(s[i - L.ORDER + 1 : i + 1]), len(model.parts[0].grams[0]) + 1)) for i in range(L.ORDER - 1, len(s))]
             assert len(logs) == size[row] and abs(entropy[row, k] + sum(logs) / len(logs)) < 1e-5
 
 
 def test_probabilities_add_to_one():
-    model = L._fit(["thaing ouwer tha"], ["aa"], ["aa"])
+    model = L._fit(["thaing ouwer tha"], ["aa"], ["aa"]).parts[0]
     letters = [int(k) for k in model.grams[0]]
     for context in ((116, 104), (0, 0), (1, 2)):
         keys = np.array([sum(c << (16 * (2 - i)) for i, c in enumerate((*context, k))) for k in letters], np.uint64)
@@ -120,7 +120,7 @@ def test_draw_keeps_few_rows_and_the_smallest_hashes(spark, most_languages):
     by = Counter(r["__lang"] for r in drawn.collect())
     assert 50 <= by["aa"] <= 200 and 50 <= by["bb"] <= 200
     assert "__share" not in drawn.columns
-    taken = L.training_rows(docs, 50).collect()
+    taken = L.training_rows(docs, 50, 10**6).collect()
     every = docs.filter("NOT held_out").selectExpr("__lang", "__text", "xxhash64(doc_id, 17) AS h").collect()
     for lang in ("aa", "bb"):
         least = sorted((r["h"], r["__text"]) for r in every if r["__lang"] == lang)[:50]
@@ -141,7 +141,7 @@ def turns(texts_of):
 @pytest.mark.parametrize("texts_of", [dict.fromkeys(LETTERS, 40), {**dict.fromkeys(LETTERS, 40), "cc": 3}, {"aa": 40, "bb": 40, "cc": 1}, dict.fromkeys(LETTERS, 4)])
 def test_every_language_has_limits_that_keep_its_texts_and_reject_junk(texts_of):
     model = L.train(*turns(texts_of))
-    assert np.isfinite(model.limits).all()
+    assert np.isfinite(model.limits.centres).all() and (model.limits.most > 0).all() and (model.limits.most < 100).all()
     r = random.Random(8)
     fresh, languages = turns({k: n + 10 for k, n in texts_of.items()})
     told = list(L._predictions(model, fresh, 1 << 20))
@@ -154,9 +154,54 @@ def test_five_languages_hold_back_texts_of_each(monkeypatch):
     fitted = []
     monkeypatch.setattr(L, "_fit", lambda texts, languages, names, fit=L._fit: fitted.append(Counter(languages)) or fit(texts, languages, names))
     L.train(*turns(dict.fromkeys(LETTERS, 40)))
-    assert fitted == [dict.fromkeys(LETTERS, 32), dict.fromkeys(LETTERS, 40)]
+    assert fitted == [dict.fromkeys(LETTERS, 40), *[dict.fromkeys(LETTERS, 32)] * 5]
 
 
 def test_no_letters_to_learn_from():
     model = L.train(["12", None, "?"], ["aa", "aa", "bb"])
     assert list(L._predictions(model, ["1"], 1 << 20)) == [("und", 0.0, None, True)]
+
+
+def test_rejection_rates_are_as_asked():
+    """Of fresh texts of known languages about the share asked for is rejected, of an unknown language that shares half its letters nearly all are."""
+    texts, languages = turns({k: 200 for k in ("aa", "bb", "cc", "dd")})
+    fresh, _ = turns({k: 700 for k in ("aa", "bb", "cc", "dd")})
+    fresh = fresh[800:]
+    for asked in (0.05, 0.001):
+        model = L.train(texts, languages, false_rejections=asked)
+        share = np.mean([x[3] for x in L._predictions(model, fresh, 1 << 20)])
+        assert share <= 2.5 * asked + 2 / len(fresh) and (asked < 0.01 or share >= asked / 5), (asked, share)
+        r = random.Random(9)
+        other = [" ".join("".join(r.choice("abfvwxyz") for _ in range(r.randint(2, 6))) for _ in range(30)) for _ in range(100)]
+        assert np.mean([x[3] for x in L._predictions(model, other, 1 << 20)]) >= 0.95
+
+
+def test_parts_change_nothing(monkeypatch):
+    texts, languages = turns(dict.fromkeys(LETTERS, 8))
+    whole = L._fit(texts, languages, sorted(LETTERS)).entropies(texts[:9] + ["éñ x"])
+    monkeypatch.setattr(L, "TOGETHER", 2)
+    parted = L._fit(texts, languages, sorted(LETTERS))
+    assert len(parted.parts) == 3 and parted.languages == sorted(LETTERS)
+    for a, b in zip(whole, parted.entropies(texts[:9] + ["éñ x"])):
+        assert np.allclose(a, b, atol=1e-5)
+
+
+def test_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(d, "x" * 100, "aa") for d in range(200)] + [(1000, "y" * 5000, "bb")], "doc_id long, text string, lang string")
+    rows = L.training_rows(L._prepared(docs, "doc_id", "text", "lang"), 50, 1000).collect()
+    by = Counter(r["__lang"] for r in rows)
+    assert by["aa"] == 10 and by["bb"] <= 1
+
+
+def test_accepted_documents(spark):
+    data = rows()
+    junk = "zzzxx kkqq jjvv pppz " * 5
+    odd = [(1000, None, "aa"), (1001, "", "aa"), (1002, " 12 !", None), (1003, junk, None), (1003, junk, None), (1004, data[0][1], None), (1004, data[0][1], None), (None, data[1][1], "zz"), (1005, "tha " * 200_000, None)]
+    df = spark.createDataFrame([(d, t, k, "s", 1, 7) for d, t, k in data + odd], SCHEMA)
+    out = L.accepted_documents(df)
+    assert out.schema == df.schema
+    got = sorted(((r.doc_id, r.text, r.lang) for r in out.collect() if r.doc_id is None or r.doc_id >= 1000), key=str)
+    assert got == sorted([(1004, data[0][1], data[0][2])] * 2 + [(None, data[1][1], data[1][2]), *[(1005, "tha " * 200_000, "aa")] * any(g[0] == 1005 for g in got)], key=str)
+    kept = {r.doc_id for r in out.collect()}
+    assert len(kept & set(range(240))) >= 237
+    assert L.accepted_documents(spark.createDataFrame([], SCHEMA)).count() == 0
