@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -85,18 +88,59 @@ def test_many_near_copies_of_one_text(spark):
     assert {(x.n_links, x.component_id) for x in got} == {(299, 0)}
 
 
-def test_overlaps_agree():
+def test_shared_grams():
     r = random.Random(9)
-    sets = [np.unique(np.array([r.randint(0, 60) for _ in range(40)], np.uint64)) for _ in range(30)]
-    i, j = np.triu_indices(30, 1)
-    few = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
-    assert J._overlaps(sets, i, j).tolist() == few
-    twice = np.tile(i, 3), np.tile(j, 3)
-    assert J._overlaps(sets, *twice).tolist() == few * 3
+    lists = [[r.randint(0, 60) for _ in range(r.randint(0, 40))] for _ in range(30)]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    rows = [k for k in range(30) if k % 4]
+    sets = J._Grams(np.array(sum(lists, []), np.uint64), bounds, rows)
+    for at, k in enumerate(rows):
+        got = sets.shared_with(at)
+        assert [int(x) for i, x in enumerate(got) if i != at] == [len(set(lists[k]) & set(lists[o])) for o in rows if o != k]
+
+
+def test_chains_do_not_meet_whole(spark, monkeypatch):
+    """A long chain of overlapping texts is one component, but a task gets texts with a common head alone."""
+    words = [f"v{i}" for i in range(4000)]
+    rows = [(d, " ".join(words[8 * d : 8 * d + 200])) for d in range(400)]
+    met = []
+
+    def counted(*args, make=J._compare):
+        compare = make(*args)
+
+        def run(table):
+            assert table.num_rows <= 120, table.num_rows
+            return compare(table)
+
+        return run
+
+    monkeypatch.setattr(J, "_compare", counted)
+    got = {x.doc_id: x for x in J.link(spark.createDataFrame(rows, "doc_id long, text string"), task_bytes=30_000).collect()}
+    links, part = brute(rows)
+    assert [(got[d].n_links, got[d].component_id) for d, _ in rows] == list(zip(links, part)) and max(links) > 0 and not met
+
+
+def test_a_task_of_many_near_copies_is_bounded_in_memory():
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tidyspark.llm import jaccard_join as J
+n = 6000
+texts = [" ".join([f"b{i}" for i in range(12)] + [f"x{d}"] + [f"c{i}" for i in range(90)]) for d in range(n)]
+from tidyspark.llm.wordarrays import utf8
+_, bounds, a, b = J.shingles(*utf8(pa.array(texts)), 5)
+cid = J._cids(a, b, np.diff(bounds))
+table = pa.table({"cid": pa.array(cid, pa.binary()), "copies": [1] * n, "heads": pa.array([None] * n, pa.list_(pa.binary())), "__text": texts, "unit": pa.array([min(cid)] * n, pa.binary()), "tile": [0] * n, "first": [0] * n, "second": [0] * n})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = J._compare(5, 0.8, 1e-6)(table)
+assert out.num_rows == n and set(out["links"].to_pylist()) == {n - 1} and len(set(out["root"].to_pylist())) == 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout)
+    assert grown < 250, grown
 
 
 def test_pruning_is_rare():
     """A pair at the threshold itself is lost with less than some times the tolerance."""
-    for n, m in J.least_matches(0.8, 1e-6, 20):
+    for n, m, e in J.least_matches(0.8, 1e-6, 20):
         draws = np.random.default_rng(1).binomial(n, 0.8, 200_000)
-        assert (draws < m).mean() < 1e-4 and m > 0
+        assert (draws < m).mean() < 1e-4 and 0 < m < e

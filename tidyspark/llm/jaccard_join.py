@@ -2,14 +2,17 @@
 
 1. Every document gets a class (digest of its words) and MinHash values of its word n-grams, from which 36 bands of five
    values are hashed.  A pair with Jaccard 0.8 shares no band with probability ``(1 - 0.8 ** 5) ** 36``, below 1e-6.
-2. Classes that share a band are linked to the smallest class of the band, never to each other, and these to the smallest of
-   them; connected components of these stars hold every candidate pair.
-3. A component's texts meet once.  Its pairs compare MinHash values a few at a time; with a uniform prior the posterior
+2. Classes that share a band are linked to the smallest class of the band, its head, never to each other, and heads to the smallest of
+   a class's heads; connected components of these stars hold every candidate pair.
+3. A component's texts meet once, in one task.  A component too large for that is not gathered: there classes meet by head, as two
+   classes with a band in common have its head in common, and a pair counts at the smallest head that both have.  Only what has a head in
+   common is compared, however long the chains are.  A head with too much text is cut into tiles and each pair of tiles is a task.
+4. Pairs compare MinHash values a few at a time; with a uniform prior the posterior
    probability that the similarity reaches the threshold after m of n matches is ``P(Binomial(n + 1, t) <= m)``, and a pair below the
    tolerance is dropped.  All that remain are verified on their whole n-gram sets.
 
-A component too large for a task is cut into tiles and each pair of tiles is a task.  What leaves a task is the number of
-links of each class and a spanning forest, never the pairs.
+A task compares one class with the others at a time and keeps no pairs: what it holds, and what leaves it, is the number of
+links of each class and which classes they connect.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import scratch
 from .embedding_dedup import assemble
-from .graph import components, local_roots
+from .graph import components
 from .wordarrays import mix64, row_groups, utf8, window_hashes, window_starts, words
 
 BANDS, ROWS = 36, 5
@@ -106,46 +109,42 @@ def fingerprints(docs: DataFrame, width: int, batch_bytes: int = 1 << 19) -> Dat
     return docs.mapInArrow(rows, "doc_id long, cid binary, bands array<long>")
 
 
-def least_matches(threshold: float, tolerance: float, step: int) -> list[tuple[int, int]]:
-    """(n, m): after n values a pair with fewer than m matches is dropped."""
+def least_matches(threshold: float, tolerance: float, step: int) -> list[tuple[int, int, int]]:
+    """(n, m, e): after n values a pair with fewer than m matches is dropped; one with e is so likely near that it is verified at once."""
     out = []
     for n in range(step, HASHES + 1, step):
-        below, m = 0.0, 0
-        while m <= n:
-            below += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-            if below >= tolerance:
+        below, m, e = 0.0, -1, n + 1
+        for k in range(n + 1):
+            below += math.comb(n + 1, k) * threshold**k * (1 - threshold) ** (n + 1 - k)  # the posterior after k matches
+            if m < 0 and below >= tolerance:
+                m = k
+            if below >= 0.99:
+                e = k
                 break
-            m += 1
-        out.append((n, m))
+        out.append((n, m, e))
     return out
 
 
-def _overlaps(grams: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Size of the intersection of each pair of sorted, distinct n-gram sets."""
-    out = np.zeros(len(i), np.int64)
-    if len(i) <= 20 * len(grams):
-        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-            a, b = grams[a], grams[b]
-            at = np.searchsorted(a, b)
-            at[at == len(a)] = 0
-            out[k] = np.count_nonzero(a[at] == b)
-        return out
-    # Very many pairs of few documents: products of 0/1 matrices over the n-grams that at least two of them have.
-    n = len(grams)
-    row = np.repeat(np.arange(n), [len(g) for g in grams])
-    _, column, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    number = np.cumsum(often > 1) - 1
-    shared = often[column] > 1
-    row, column = row[shared], number[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    total = np.zeros((n, n), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-        a, b = np.searchsorted(column, [lo, lo + 2048])
-        dense = np.zeros((n, 2048), np.float32)
-        dense[row[a:b], column[a:b] - lo] = 1
-        total += dense @ dense.T
-    return total[i, j].astype(np.int64)
+class _Grams:
+    """The distinct n-grams of some rows, and which rows have each of those that several have."""
+
+    def __init__(self, grams: np.ndarray, bounds: np.ndarray, rows: list[int]):
+        sets = [np.unique(grams[bounds[k] : bounds[k + 1]]) for k in rows]
+        self.size = np.array([len(x) for x in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), self.size)
+        _, code, often = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        shared = often[code] > 1
+        row, code = row[shared], (np.cumsum(often > 1) - 1)[code[shared]]
+        self._codes, self._first = code, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(sets)))))
+        self._rows = row[np.argsort(code, kind="stable")]
+        self._begin = np.concatenate(([0], np.cumsum(np.bincount(code))))
+
+    def shared_with(self, k: int) -> np.ndarray:
+        """How many n-grams each row has in common with row ``k``."""
+        code = self._codes[self._first[k] : self._first[k + 1]]
+        many = self._begin[code + 1] - self._begin[code]
+        at = np.repeat(self._begin[code] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(code) else np.zeros(0, np.int64)
+        return np.bincount(self._rows[at], minlength=len(self.size))
 
 
 def _compare(width: int, threshold: float, tolerance: float, step: int = 20):
@@ -160,50 +159,72 @@ def _compare(width: int, threshold: float, tolerance: float, step: int = 20):
         seen: set = set()
         rows = [k for k in range(len(cid)) if own[k] == cid[k] and cid[k] not in seen and not seen.add(cid[k])]  # a row with the id of a class but another text, or a copy, goes
         cid = [cid[k] for k in rows]
-        tile, copies = table["tile"].to_numpy()[rows], table["copies"].to_numpy()[rows]
-        first, second = table["first"][0].as_py(), table["second"][0].as_py()
-        values = signatures(grams, bounds)[rows]
-        sets = [np.unique(grams[bounds[k] : bounds[k + 1]]) for k in rows]
-        size = np.array([len(s) for s in sets], np.int64)
-        left, right = [], []
+        n, tile, copies = len(rows), table["tile"].to_numpy()[rows], table["copies"].to_numpy()[rows]
+        first, second, unit = (table[c][0].as_py() for c in ("first", "second", "unit"))
+        values = np.ascontiguousarray(signatures(grams, bounds)[rows].T)
+        sets = _Grams(grams, bounds, rows)
+        # Smaller heads: a pair that has one in common counts there.
+        heads = table["heads"].take(pa.array(rows)).to_pylist()
+        smaller = [[h for h in x or () if h < unit] for x in heads]
+        members: dict[bytes, list[int]] = {}
+        for k, x in enumerate(smaller):
+            for h in x:
+                members.setdefault(h, []).append(k)
+        size, links, root = sets.size, np.zeros(n, np.int64), np.arange(n)
+        in_second = np.flatnonzero(tile == second)
+        elsewhere = np.zeros(n, dtype=bool)
         for k in np.flatnonzero(tile == first).tolist():
-            others = np.flatnonzero(tile == second)
-            others = others[others > k] if first == second else others
+            others = in_second[in_second > k] if first == second else in_second
             others = others[np.minimum(size[others], size[k]) >= threshold * np.maximum(size[others], size[k])]
-            match = np.zeros(len(others), np.int32)
-            for n, m in tests:
+            if smaller[k]:
+                counted = [members[h] for h in smaller[k]]
+                for x in counted:
+                    elsewhere[x] = True
+                others = others[~elsewhere[others]]
+                for x in counted:
+                    elsewhere[x] = False
+            match, sure = np.zeros(len(others), np.int32), []
+            for m, least, enough in tests:
                 if not len(others):
                     break
-                match += (values[others, n - step : n] == values[k, n - step : n]).sum(axis=1, dtype=np.int32)
-                others, match = others[match >= m], match[match >= m]
-            if len(others):
-                left.append(np.full(len(others), k)), right.append(others)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        both = _overlaps(sets, i, j)
-        good = both >= threshold * (size[i] + size[j] - both) - 1e-9
-        i, j = i[good], j[good]
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        root = local_roots(len(rows), i, j)
-        told = np.unique(np.concatenate([i, j]))
+                some = values[m - step : m]
+                if 4 * len(others) > n:  # most of them: read in a stretch
+                    match += (some == some[:, k, None]).sum(axis=0, dtype=np.int32)[others]
+                else:
+                    match += (some[:, others] == some[:, k, None]).sum(axis=0, dtype=np.int32)
+                sure.append(others[match >= enough])
+                stay = (match >= least) & (match < enough)
+                others, match = others[stay], match[stay]
+            others = np.concatenate([others, *sure])
+            if not len(others):
+                continue
+            both = sets.shared_with(k)[others]
+            others = others[both >= threshold * (size[k] + size[others] - both) - 1e-9]
+            links[k] += copies[others].sum()
+            links[others] += copies[k]
+            labels = root[others]
+            if (labels != root[k]).any():
+                labels = np.unique(np.append(labels, root[k]))
+                root[np.isin(root, labels)] = labels[0]
+        told = np.flatnonzero(links)
         return pa.table([[cid[k] for k in told], links[told], [cid[root[k]] for k in told]], schema=schema)
 
     return rows
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, task_bytes: int = 3 << 20) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, task_bytes: int = 3 << 20) -> DataFrame:
     """One row per input row: ``doc_id, n_links, component_id, kept, class_id``.
 
     ``n_links`` counts the other rows whose set of ``width``-word n-grams has Jaccard >= threshold, copies among them.  Texts with the same
     words are one class, ``class_id`` its smallest id; ``component_id`` is the smallest id that links reach and ``kept`` marks its row.
     A text with fewer words has one n-gram of all its words; a null, empty or blank text links with nothing.  Rows may repeat:
-    each row counts.  A row with a null id links with nothing.  Other columns play no part.
+    each row counts.  A row with a null id links with nothing.  Texts of any length are read whole; a task holds two tiles of ``task_bytes`` of text, or a longer text.
+    An empty table has no rows.  Other columns play no part, whatever their names.
     """
     return _linked(docs, id_col, text_col, width, threshold, tolerance, task_bytes)
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, task_bytes: int = 3 << 20, extra: tuple[str, ...] = ()) -> DataFrame:
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, task_bytes: int = 3 << 20, extra: tuple[str, ...] = ()) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
     base = scratch.table(fingerprints(docs, width), "fingerprints")
     classes = base.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -211,18 +232,25 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int = 5, thresho
     keyed = classes.select("cid", F.explode("bands").alias("key")).repartition("key")
     bucket = keyed.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least <> most").drop("most")
     # A class points at the smallest of all its bands' smallest classes, and so do those: one edge a class, and few between the smallest.
-    heads = keyed.join(bucket, "key").groupBy("cid").agg(F.collect_set("least").alias("heads")).withColumn("b", F.array_min("heads"))
+    heads = keyed.join(bucket, "key").groupBy("cid").agg(F.collect_set("least").alias("heads")).withColumn("b", F.array_min("heads"))  # at most a head a band
+    heads = scratch.table(heads, "heads")
     stars = heads.select(F.explode(F.array_union("heads", F.array("cid"))).alias("a"), "b").filter("a <> b").distinct()
-    members = components(stars).select(F.col("id").alias("cid"), "component").join(classes.drop("bands"), "cid")
+    members = components(stars).select(F.col("id").alias("cid"), "component").join(classes.drop("bands"), "cid").join(heads.drop("b"), "cid")
     members = scratch.table(members, "members")
-    # A component's text decides into how many tiles it is cut; a row goes to each pair of tiles that has its own.
     # Both sides grow with the corpus: neither is ever broadcast.
-    texts = docs.join(members.hint("merge"), docs["doc_id"] == members["class_id"]).select("cid", "component", "copies", "__text")
+    texts = docs.join(members.hint("merge"), docs["doc_id"] == members["class_id"]).select("cid", "component", "copies", "heads", "__text")
     texts = scratch.table(texts, "texts")
-    weight = texts.groupBy("component").agg(F.ceil(F.sum(F.octet_length("__text")) / task_bytes).cast("int").alias("tiles"))
-    tiled = texts.join(weight, "component").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    # What meets in a task: the whole component, or of one that is too large the classes with a common head.
+    large = texts.groupBy("component").agg((F.sum(F.octet_length("__text")) > task_bytes).alias("__large"))
+    texts = texts.join(large, "component")
+    whole = texts.filter("NOT __large").select("cid", "copies", F.lit(None).cast("array<binary>").alias("heads"), "__text", F.col("component").alias("unit"), F.lit(1).alias("tiles"))
+    by_head = texts.filter("__large").withColumn("unit", F.explode("heads")).select("cid", "copies", "heads", "__text", "unit")
+    weight = texts.filter("__large").select(F.explode("heads").alias("unit"), F.octet_length("__text").alias("__bytes")).groupBy("unit").agg(F.ceil(F.sum("__bytes") / task_bytes).cast("int").alias("tiles"), F.count("*").alias("__n"))
+    by_head = by_head.join(weight.filter("__n >= 2").drop("__n"), "unit")
+    # The text of a unit decides into how many tiles it is cut; a row goes to each pair of tiles that has its own.
+    tiled = whole.unionByName(by_head).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("first", F.least("tile", "other")).withColumn("second", F.greatest("tile", "other")).drop("other", "tiles")
-    found = pairs.groupBy("component", "first", "second").applyInArrow(_compare(width, threshold, tolerance), "cid binary, links long, root binary")
+    found = pairs.groupBy("unit", "first", "second").applyInArrow(_compare(width, threshold, tolerance), "cid binary, links long, root binary")
     return assemble(base.select("doc_id", "cid"), classes.select("cid", "class_id", "copies"), scratch.table(found, "links"), "doc_id", extra)
 
 
@@ -247,6 +275,8 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` without near copies: of each group of linked documents the one with the smallest id stays, once.
 
     Rows are told apart by id and words, as rows may share an id but not a text; of linked texts with one id the one with the smallest class stays.
+    Rows with a null id, and null, empty or blank texts, stay as they are; repeated rows of such a text stay, too.  An empty table stays empty.  Columns may have any names but
+    ``__id``, ``__cid``, ``__kept_id``, ``__kept_cid`` and ``__linked``.
     """
     found = _linked(docs, id_col, text_col, extra=("cid", "component"), **how).filter("kept")
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("cid").alias("__cid")).agg(F.max(F.col("n_links") > 0).alias("__linked"), F.first("component").alias("component"))
