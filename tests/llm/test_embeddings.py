@@ -38,7 +38,7 @@ def brute_links(x, threshold):
         part = new
 
 
-@pytest.mark.parametrize("how", [{}, {"cell_rows": 30, "task_homes": 20, "blocks": 4}, {"blocks": 100}])
+@pytest.mark.parametrize("how", [{}, {"cell_rows": 30, "task_homes": 20, "blocks": 4}, {"blocks": 100}, {"cell_rows": 5}])
 def test_link_equals_brute_force(spark, how):
     x = data(400, 3)
     got = {r.vec_id: r for r in embedding_dedup.link(table(spark, x, [*ODD, (1, x[1].tolist())]), **how).collect() if r.vec_id != 1}
@@ -70,6 +70,37 @@ def test_tasks_of_a_dense_cell_are_bounded(spark, monkeypatch):
     assert [(got[k].n_links, got[k].component_id) for k in range(400)] == list(zip(links, part))
 
 
+def test_block_distances_are_the_same_in_any_batch():
+    r = np.random.default_rng(11)
+    x = r.standard_normal((700, 64)).astype(np.float32).astype(float)
+    grid = embedding_dedup.Grid(64, 0.95, 8, 2)
+    whole = grid.turn(x)
+    assert (whole == np.round(whole)).all()
+    for lo, hi in ((0, 1), (3, 20), (100, 613)):
+        assert (grid.turn(x[lo:hi]) == whole[lo:hi]).all()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit[:350] + r.standard_normal((350, 64)) * 0.039
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    close = np.einsum("ij,ij->i", unit[:350], near) >= 0.95
+    gap = (grid.turn(unit[:350]) - grid.turn(near)) ** 2
+    within = np.array([gap[:, a:b].sum(axis=1) <= w for a, b, w in zip(grid.edges, grid.edges[1:], grid.whole)])
+    assert 50 < close.sum() < 340 and within.any(axis=0)[close].all()  # the pigeonhole
+
+
+def test_fewer_comparisons_than_pairs(monkeypatch):
+    """Random vectors: candidates of all blocks that are compared are below n * n, and none is kept."""
+    r = np.random.default_rng(12)
+    x = r.standard_normal((20_000, 64)).astype(np.float32)
+    grid = embedding_dedup.Grid.of(64, 0.95, 8, 2)
+    part = grid.turn(x.astype(float))[:, :8]
+    reach = np.sqrt(grid.whole[0]) + 1
+    compared = 0
+    for own in embedding_dedup._boxes(part, np.arange(len(x)), 128):
+        low, high = part[own].min(axis=0) - reach, part[own].max(axis=0) + reach
+        compared += len(own) * int(((part >= low) & (part <= high)).all(axis=1).sum())
+    assert 8 * compared < 4 * len(x) ** 2  # of eight coordinates each: half of what all pairs of whole vectors take
+
+
 def test_link_of_empty_table(spark):
     assert embedding_dedup.link(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -3,9 +3,10 @@
 Unit vectors with cosine >= t lie within squared distance ``2 - 2t``.  A random rotation spreads that distance over all
 dimensions; split into blocks, some block's part is within the block's share of it.  So each block is range-joined with
 its own radius: vectors go to the grid cell of their first block coordinates (home) and to every further cell within the radius
-(guest).  A cell's task compares its homes with all vectors there by block distance, and verifies the candidates exactly, in
-double precision.  A pair counts in the first block that brings it together, once for each of its two vectors, so link
-counts need no pair to leave the task; what leaves is a spanning forest of the links.
+(guest).  A cell's task parts its homes into small boxes by halving, compares each box with the vectors that lie within the radius of it in every
+block coordinate, and verifies the candidates exactly, in double precision.  A pair counts in the first block that brings it together, once for
+each of its two vectors, so link counts need no pair to leave the task, nor to be kept in it: what leaves is which vectors the links connect.
+Rotated coordinates are whole numbers, so that every task comes to the same block distances whatever the order of summation.
 
 Equal vectors are one class from the start.  Homes of a large cell are split into tiles, and all its vectors into slices; each pair of a tile and a
 slice is a task.
@@ -61,12 +62,17 @@ class Grid:
     """Blocks, radii and cells for vectors of one dimension.  Cells are at most ``blocks * (2 / step + 2) ** axes``, as unit vectors lie in [-1, 1]."""
 
     _kept: dict[tuple, Grid] = {}
+    _UNIT = 1 << 20  # rotated coordinates are whole multiples of its inverse
 
     def __init__(self, dim: int, threshold: float, blocks: int, axes: int, seed: int = 7):
         blocks = max(1, min(blocks, dim))
-        self.rotation = np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))[0]
+        self._exact = 1 << min(20, (50 - dim.bit_length()) // 2)  # products and their sums stay below 2 ** 53
+        self._rotation = np.round(np.linalg.qr(np.random.default_rng(seed + dim).standard_normal((dim, dim)))[0] * self._exact)
         self.edges = [round(dim * k / blocks) for k in range(blocks + 1)]
-        self.budget = [(2 - 2 * threshold) * (b - a) / dim + _TINY for a, b in zip(self.edges, self.edges[1:])]
+        away = (dim + math.sqrt(dim)) / self._exact + math.sqrt(dim) / self._UNIT  # what rounding may move a vector, at most
+        apart = (math.sqrt(2 - 2 * threshold + _TINY) + 2 * away) ** 2
+        self.budget = [apart * (b - a) / dim for a, b in zip(self.edges, self.edges[1:])]
+        self.whole = [math.ceil(x * self._UNIT**2) for x in self.budget]  # budgets of whole numbers
         self.axes, self.threshold = axes, threshold
 
     @classmethod
@@ -76,7 +82,9 @@ class Grid:
         return cls._kept[args]
 
     def turn(self, raw: np.ndarray) -> np.ndarray:
-        return (raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]) @ self.rotation
+        """Rotated unit vectors in whole multiples of 1 / ``_UNIT``: sums of whole numbers, the same in any order."""
+        unit = raw / np.sqrt((raw * raw).sum(axis=1))[:, None]
+        return np.round((np.round(unit * self._exact) @ self._rotation) * (self._UNIT / self._exact**2))
 
     def cells(self, turned: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each block and shift: block, rows, their cell number, whether it is their home."""
@@ -84,7 +92,7 @@ class Grid:
             radius = math.sqrt(self.budget[k]) + _TINY
             step = max(2.5 * radius, 1e-3)
             axes = min(self.axes, b - a)
-            at = turned[:, a : a + axes]
+            at = turned[:, a : a + axes] / self._UNIT
             home, low, high = (np.floor(x / step).astype(np.int64) for x in (at, at - radius, at + radius))
             rows, cell = np.arange(len(at)), np.zeros(len(at), np.int64)
             own = np.ones(len(at), dtype=bool)
@@ -99,7 +107,19 @@ class Grid:
             yield k, rows, cell, own
 
 
-def _compare(threshold: float, blocks: int, axes: int, chunk: int = 128):
+def _boxes(part: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rows in small boxes: halved along the longest side until a box has at most ``most``."""
+    todo = [rows] if len(rows) else []
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            yield own
+            continue
+        own = own[np.argpartition(part[own, int(np.ptp(part[own], axis=0).argmax())], len(own) // 2)]
+        todo += [own[: len(own) // 2], own[len(own) // 2 :]]
+
+
+def _compare(threshold: float, blocks: int, axes: int, box: int = 128, pairs: int = 1 << 16):
     schema = pa.schema([("cid", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def rows(table: pa.Table) -> pa.Table:
@@ -110,44 +130,45 @@ def _compare(threshold: float, blocks: int, axes: int, chunk: int = 128):
         length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         turned = grid.turn(raw)
         part = turned[:, grid.edges[block] : grid.edges[block + 1]]
-        limit = np.float32(grid.budget[block] + 1e-5)
-        # Sorted by a coordinate that the grid has not used, only a window of the vectors can be near a stretch of homes.
-        axis = part[:, min(axes, part.shape[1] - 1)]
-        order = np.flatnonzero(table["other"].to_numpy())
-        order, home = order[np.argsort(axis[order], kind="stable")], home[np.argsort(axis[home], kind="stable")]
-        along, reach = axis[order], math.sqrt(float(limit))
-        square = np.einsum("ij,ij->i", part, part)
+        reach, limit = math.sqrt(grid.whole[block]) + 1, np.float32(grid.budget[block] + 1e-5)
+        others = np.flatnonzero(table["other"].to_numpy())
+        others = others[np.argsort(part[others, 0], kind="stable")]
+        sides = np.ascontiguousarray(part[others].T)
+        scaled = part / grid._UNIT
+        square = np.einsum("ij,ij->i", scaled, scaled)
         one = np.ones(len(part))
-        mine = np.column_stack([-2 * part, square, one]).astype(np.float32)  # their product with the others is the squared distance
-        others = np.column_stack([part, one, square])[order].astype(np.float32)
-        links = np.zeros(len(raw), np.int64)
-        left, right = [], []
-        for lo in range(0, len(home), chunk):
-            own = home[lo : lo + chunk]
-            begin, end = np.searchsorted(along, [axis[own[0]] - reach, axis[own[-1]] + reach])
-            found = []
-            for at in range(begin, end, 4096):
-                near = mine[own] @ others[at : min(at + 4096, end)].T <= limit
-                hit = np.flatnonzero(near)
-                if len(hit):
-                    i, j = np.divmod(hit, near.shape[1])
-                    found.append((own[i], order[at + j]))
-            i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-            i, j = i[i != j], j[i != j]
-            for at in range(0, len(i), 1 << 16):  # candidates: exact test, and whether an earlier block had the pair
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                close = np.einsum("ij,ij->i", raw[a], raw[b]) / (length[a] * length[b]) >= threshold
-                a, b = a[close], b[close]
-                gap = (turned[a] - turned[b]) ** 2
-                first = gap[:, grid.edges[block] : grid.edges[block + 1]].sum(axis=1) <= grid.budget[block]
-                for k in range(block):
-                    first &= gap[:, grid.edges[k] : grid.edges[k + 1]].sum(axis=1) > grid.budget[k]
-                a, b = a[first], b[first]
-                np.add.at(links, a, copies[b])
-                left.append(a), right.append(b)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        root = local_roots(len(raw), i, j)
-        told = np.unique(np.concatenate([i, j]))
+        mine = np.column_stack([-2 * scaled, square, one]).astype(np.float32)  # their product with the others is the squared distance
+        theirs = np.column_stack([scaled, one, square]).astype(np.float32)
+        links, root = np.zeros(len(raw), np.int64), np.arange(len(raw))
+        for own in _boxes(part, home, box):
+            low, high = part[own].min(axis=0) - reach, part[own].max(axis=0) + reach
+            a, b = np.searchsorted(sides[0], [low[0], high[0]], side="left")[0], np.searchsorted(sides[0], high[0], side="right")
+            near = np.arange(a, b)
+            for x in range(1, len(sides)):  # within the radius of the box in every coordinate
+                along = sides[x][near] if len(near) < b - a else sides[x][a:b]
+                near = near[(along >= low[x]) & (along <= high[x])]
+            near = others[near]
+            step = max(1, pairs // len(own))
+            for at in range(0, len(near), step):
+                some = near[at : at + step]
+                i, j = np.nonzero(mine[own] @ theirs[some].T <= limit)
+                i, j = own[i], some[j]
+                apart = i != j
+                i, j = i[apart], j[apart]
+                close = np.einsum("ij,ij->i", raw[i], raw[j]) / (length[i] * length[j]) >= threshold
+                i, j = i[close], j[close]
+                gap = (turned[i] - turned[j]) ** 2
+                first = gap[:, grid.edges[block] : grid.edges[block + 1]].sum(axis=1) <= grid.whole[block]
+                for k in range(block):  # whether an earlier block has the pair
+                    first &= gap[:, grid.edges[k] : grid.edges[k + 1]].sum(axis=1) > grid.whole[k]
+                i, j = i[first], j[first]
+                np.add.at(links, i, copies[j])
+                if (root[i] != root[j]).any():
+                    root = local_roots(len(raw), np.concatenate([np.arange(len(raw)), i]), np.concatenate([root, j]))
+        told = np.flatnonzero(links)
+        # A vector may be joined by another one's link alone: it is told for its root, too.
+        told = np.union1d(told, np.flatnonzero(root != np.arange(len(raw))))
+        told = np.union1d(told, root[told])
         cid = table["cid"].to_pylist()
         return pa.table([[cid[k] for k in told], links[told], [cid[root[k]] for k in told]], schema=schema)
 
@@ -165,7 +186,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
     classes = base.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     classes = scratch.table(classes, "classes")
     n = classes.count()
-    axes = max(1, min(4, round(math.log(max(n / cell_rows, 1), 3))))
+    axes = max(2, round(math.log(max(n / cell_rows, 1), 3)))  # a block's dimensions at most
 
     def spread(batches: Iterator[pa.RecordBatch], tiles: dict | None):
         """Rows of the range join; without tiles, only how many homes and rows each cell has."""
