@@ -89,6 +89,8 @@ def test_tables(spark):
         b = base_by_patterns(t)
         want.append((d, *(sum(s[2] == k for s in b) for k in BASE), hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, z, k in b).encode()).hexdigest()))
     assert sorted((tuple(x)[:6] for x in scan(df).collect()), key=str) == sorted(want, key=str)
+    assert all(x.n_added == len([k for k in x.spans.split(",") if k and k.split(":")[0] not in BASE]) for x in scan(df).collect())
+    assert scan(spark.createDataFrame([(1, "password: hunter2hunter2", "en", "s", 1, 1, 1)], SCHEMA)).first().n_added == 1
     clean = redacted_documents(df)
     assert clean.schema == df.schema
     for x in clean.collect():

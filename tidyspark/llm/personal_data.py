@@ -167,13 +167,14 @@ def told(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
+_RESULT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("redacted", pa.string())])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted``.
+    """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, redacted``.
 
-    A null or empty text has no spans; a null text stays null when redacted.  Other columns play no part, whatever their names.
+    ``n_added`` counts the spans of other kinds than the four.  A null or empty text has no spans; a null text stays null when redacted.  A text of any length is read whole;
+    rows with the same or a null id are documents of their own.  An empty table has no rows.  Other columns play no part, whatever their names.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +184,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
                 spans = find(text)
                 base = [s for s in spans if s[2] in BASE]
                 counts = [sum(s[2] == k for s in base) for k in BASE]
-                out.append((doc, *counts, hashlib.sha256(told(base).encode()).hexdigest(), told(spans), redact(text, spans) if with_text else None))
+                out.append((doc, *counts, hashlib.sha256(told(base).encode()).hexdigest(), told(spans), len(spans) - len(base), redact(text, spans) if with_text else None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
