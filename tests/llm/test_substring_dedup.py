@@ -40,7 +40,7 @@ def corpus(seed, width):
             w += r.choice(passages)[r.randint(0, 3) :] if r.random() < 0.6 else [r.choice(vocab) for _ in range(r.randint(0, width))]
         rows.append((d, r.choice([" ", "\n", " \t "]).join(w)))
     w = passages[0]
-    return rows + [(100, None), (101, ""), (102, " \n"), (3, rows[3][1]), (None, rows[5][1]), (None, rows[5][1]), (103, " ".join(w[:width] * 4)), (104, "long " * 3000), (105, "long " * 3000)]
+    return rows + [(100, None), (101, ""), (102, " \n"), (3, rows[3][1]), *((7, f"{rows[k][1]} {k}") for k in range(20)), (None, rows[5][1]), (None, rows[5][1]), (103, " ".join(w[:width] * 4)), (104, "long " * 3000), (105, "long " * 3000)]
 
 
 @pytest.mark.parametrize("width, chunk_bytes", [(50, 1 << 20), (50, 3000), (7, 2000), (6, 1 << 20)])
@@ -64,3 +64,9 @@ def test_shared_by_many_documents(spark):
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=40_000)
     assert {(x.n_removed, x.repeats[0][1] if x.repeats else 0) for x in got.filter("doc_id > 0").collect()} == {(60, 60)}
     assert got.filter("doc_id = 0").first().n_removed == 0
+
+
+def test_largest_id_stays(spark):
+    rows = [(2**63 - 1, "a b c"), (None, "a b c"), (-(2**63), "a b c")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted(((x.doc_id, x.n_removed) for x in got), key=str) == sorted([(2**63 - 1, 3), (None, 3), (-(2**63), 0)], key=str)

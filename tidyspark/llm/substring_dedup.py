@@ -164,7 +164,7 @@ def _cover_rows(width: int, with_text: bool):
         if not docs.num_rows:
             return pa.table(out, schema=_RESULT)
         w = words(*utf8(docs["__text"]))
-        ids = _ids(docs["doc_id"])
+        ids, given = _ids(docs["doc_id"]), docs["doc_id"].to_pylist()
         gone = np.zeros(len(w) + 1, np.int32)
         starts = window_starts(w.first, width)
         if len(starts):
@@ -199,7 +199,7 @@ def _cover_rows(width: int, with_text: bool):
             n_kept = int(left[d]) if hi > lo else 0
             rest = b" ".join([raw[s:e] for s, e in zip(w.start[lo:hi][kept[lo:hi]].tolist(), w.end[lo:hi][kept[lo:hi]].tolist())])
             edge = np.flatnonzero(np.diff(np.concatenate(([1], kept[lo:hi], [1])))).reshape(-1, 2).tolist() if n_kept < hi - lo else []
-            for k, v in zip(_RESULT.names, (None if ids[d] == _NONE else int(ids[d]), hi - lo, hi - lo - n_kept, rest.decode() if with_text else None, hashlib.sha256(rest).hexdigest(), edge)):
+            for k, v in zip(_RESULT.names, (given[d], hi - lo, hi - lo - n_kept, rest.decode() if with_text else None, hashlib.sha256(rest).hexdigest(), edge)):
                 out[k].append(v)
         return pa.table(out, schema=_RESULT)
 
@@ -212,16 +212,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns one row per input row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space, null
     unless ``with_text``), ``kept_sha256`` and ``repeats``, the maximal repeated word ranges ``[from, to)``.
 
-    Null, empty and short texts keep all words.  Rows with the same id do not remove each other's words.  A null id is
-    larger than every other.  Other columns of the input play no part, whatever their names.
+    Null, empty and short texts keep all words; a text of any length is read whole.  Rows with the same id do not remove each other's words, whether their texts are equal or
+    not.  A null id is larger than every other but 2**63 - 1, with which it counts as one.  An empty table has no rows.  Other columns of the input play no part, whatever their names.
     """
     block = (width + 1) // 2
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
     total = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
     parts = max(1, chunks // 2)
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("__text")).otherwise(F.xxhash64("doc_id"))
-    docs = docs.withColumn("chunk", F.pmod(salt, F.lit(chunks)))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "__text"), F.lit(chunks)))  # rows that share an id spread, too
     by_chunk = docs.groupBy("chunk")
     anchors = by_chunk.applyInArrow(_anchor_rows(block, parts), "part int, chunk long, keys binary").groupBy("part").applyInArrow(_anchor_match, "chunk long, anchors binary")
     windows = by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(_extension_rows(block, width, parts), "part int, chunk long, a binary, b binary, least binary")
