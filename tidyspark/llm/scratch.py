@@ -1,37 +1,8 @@
-"""Shared tables that cut lineage.
-
-They are written as Parquet below ``spark.checkpoint.dir``, which all executors of a cluster see, so that a lost
-executor loses nothing.  Where the setting is unset (tests, a single machine) a temporary folder takes its place.
-"""
+"""Shared tables that cut lineage, below ``spark.checkpoint.dir`` as all written stages of the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    return _own.setdefault("dir", tempfile.mkdtemp(prefix="corpus-"))
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once; returns the written table."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
+from ..operators.stage import forget as drop
+from ..operators.stage import once as table
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``table`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "table"]
