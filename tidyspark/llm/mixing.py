@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_passes:
     return leveled.select("__source", "source", "source_size", F.least(F.col("__limit"), F.col("__final") * F.col("__weight")).alias("target"))
 
 
-def _buckets(n: int, rows: int = 50_000) -> int:
+def _buckets(n: int, rows: int = 8192) -> int:
     return max(1, -(-n // rows))
 
 
@@ -121,7 +121,11 @@ def mix(
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document taken k times and a part is k whole rows and one row with
-    the first words of its text; documents that are not taken go."""
+    the first words of its text; documents that are not taken go, as do null, empty and blank texts, which have no words.
+
+    Null ids, sources and character counts stay null.  Repeated rows are taken each on its own.  An empty table stays empty.  Columns may have any names but ``__id``,
+    ``__text_hash``, ``__nth``, ``__size``, ``__taken`` and ``__part``.
+    """
     keys = ["__id", "__text_hash"]
     counted = mix(docs, id_col, text_col, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), "__text_hash", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     nth = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))  # noqa: E731  repeated rows are alike, so any order of them will do
