@@ -29,11 +29,13 @@ from .graph import components, local_roots
 _TINY = 1e-9
 
 
-def unpack(raw: list[bytes], dim: int) -> np.ndarray:
+def unpack(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Vectors as doubles; each is stored in single precision if that loses nothing."""
-    joined = b"".join(raw)
-    if all(len(r) == 4 * dim for r in raw):
-        return np.frombuffer(joined, "<f4").reshape(-1, dim).astype(float)
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if pa.types.is_binary(column.type) else None
+    if ends is not None and (np.diff(ends) == 4 * dim).all():
+        return np.frombuffer(column.buffers()[2], "<f4", count=len(column) * dim, offset=int(ends[0])).reshape(-1, dim).astype(float)
+    raw = column.to_pylist()
     return np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(float) for r in raw])
 
 
@@ -125,7 +127,7 @@ def _compare(threshold: float, blocks: int, axes: int, box: int = 128, pairs: in
     def rows(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
         grid = Grid.of(dim, threshold, blocks, axes)
-        raw = unpack(table["vec"].to_pylist(), dim)
+        raw = unpack(table["vec"], dim)
         copies, home = table["copies"].to_numpy(), np.flatnonzero(table["home"].to_numpy())
         length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         turned = grid.turn(raw)
@@ -175,7 +177,7 @@ def _compare(threshold: float, blocks: int, axes: int, box: int = 128, pairs: in
     return rows
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, blocks: int = 8, cell_rows: int = 8192, task_homes: int = 8192, task_rows: int = 32768) -> DataFrame:
+def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, blocks: int = 8, cell_rows: int = 32768, task_homes: int = 16384, task_rows: int = 65536) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept, class_id``.
 
     ``n_links`` counts the other rows with cosine >= threshold, equal vectors among them.  A null, empty or zero vector and one with
@@ -186,7 +188,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
     classes = base.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     classes = scratch.table(classes, "classes")
     n = classes.count()
-    axes = max(2, round(math.log(max(n / cell_rows, 1), 3)))  # a block's dimensions at most
+    axes = max(1, round(math.log(max(n / cell_rows, 1), 3)))  # a block's dimensions at most
 
     def spread(batches: Iterator[pa.RecordBatch], tiles: dict | None):
         """Rows of the range join; without tiles, only how many homes and rows each cell has."""
@@ -194,7 +196,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", t
             dims = batch.column(1).to_numpy()
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
-                raw = unpack(batch.column(2).take(pa.array(mine)).to_pylist(), int(dim))
+                raw = unpack(batch.column(2).take(pa.array(mine)), int(dim))
                 grid = Grid.of(int(dim), threshold, blocks, axes)
                 for block, rows, cell, own in grid.cells(grid.turn(raw)):
                     if tiles is None:
