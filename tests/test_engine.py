@@ -9,7 +9,7 @@ from tidyspark.operators import directories, lint, rank, records, relations, sie
 from tidyspark.plans import parsing, query_language, requery
 from tidyspark.plans.config import Config
 from tidyspark.plans.pipeline import run
-from tidyspark.sinks import formats
+from tidyspark.sinks import formats, scripts
 
 SCHEMA = "path string, content string, mtime double, inode long, is_tagged boolean, link_count int, is_symlink boolean, extra int"
 
@@ -147,7 +147,7 @@ def test_reports_and_sinks(spark, tmp_path):
     formats.write_csv(out, str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).count() == out.count()
     group = sieve.group_keys(Config())
-    assert any("odd" in r.value for r in formats.script_lines(formats.actions(out, group)).collect())
+    assert any("odd" in r.value for r in scripts.script_lines(formats.actions(out, group)).collect())
     assert formats.summary(out, group, 10).first().duplicates == 6 and len(list(formats.pretty(out))) == out.count() + 1
     assert query_language.query(out, "size:3 count:2").count() == 2
     assert sorted(r.path for r in formats.unique_paths(report.uniques).withColumnRenamed("value", "path").collect()) == ["back/y"]

@@ -52,11 +52,82 @@ def test_cache_and_stamp(spark, tmp_path):
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     rows = [("b", "x", 0), ("a", "x", 1), ("c", "y", 2)]
-    spark.createDataFrame(rows, "path string, content string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(str(source))
+    spark.createDataFrame(rows, "path string, content string, s int").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.parquet(str(source))
     stream = spark.readStream.schema("path string, content string, ts timestamp").parquet(str(source))
-    for name, plan, mode in (("first", incremental.first_seen(stream, "content", "ts"), "append"), ("running", incremental.running_groups(stream, "path", "content"), "update")):
+    for name, plan, mode in (("first", incremental.first_seen(stream, "content", "ts"), "append"), ("running", incremental.running_groups(stream, "path", "content", "ts"), "update")):
         query = plan.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
         query.processAllAvailable()
         query.stop()
     assert spark.table("first").count() == 2
     assert sorted((r.original, r.twins) for r in spark.table("running").collect()) == [("a", 2), ("c", 1)]
+
+
+def test_forgotten_groups_and_sessions(spark, tmp_path):
+    """Contents that have not come for long leave the state; chains of equal content end at gaps; lines of a result become rows."""
+    schema = "path string, content string, ts timestamp"
+    source = tmp_path / "in"
+
+    def add(rows):
+        spark.createDataFrame(rows, "path string, content string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.mode("append").parquet(str(source))
+
+    add([("a", "x", 0), ("b", "x", 5), ("c", "y", 9)])
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    running = incremental.running_groups(stream, "path", "content", "ts", keep_seconds=100).writeStream.format("memory").queryName("kept").outputMode("update").option("checkpointLocation", str(tmp_path / "k")).start()
+    chains = incremental.sessions(stream, "ts", ["content"], "10 seconds").writeStream.format("memory").queryName("chains").outputMode("append").option("checkpointLocation", str(tmp_path / "s")).start()
+    for rows in ([("d", "z", 1000)], [("e", "z", 2000)], [("f", "x", 2001)], [("g", "w", 3000)]):
+        for query in (running, chains):
+            query.processAllAvailable()
+        add(rows)
+    for query in (running, chains):
+        query.processAllAvailable()
+        query.stop()
+    told = [(r.original, r.twins) for r in spark.table("kept").collect()]
+    assert ("a", 2) in told and ("f", 1) in told  # the x of old is forgotten
+    assert {(r.content, r.n) for r in spark.table("chains").collect()} >= {("x", 2), ("y", 1), ("z", 1), ("x", 1)}
+
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "r.txt").write_text('{"description": "head"}\n{"type": "duplicate_file", "path": "p", "size": 3, "checksum": "aa", "is_original": true, "twins": 2, "mtime": 1.5}\n{"aborted": false}\n')
+    query = incremental.result_lines(spark.readStream.text(str(lines))).writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "l")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert [tuple(r) for r in spark.table("lines").collect()] == [("duplicate_file", "p", 3, "aa", True, 2, 1.5)]
+    assert incremental.metrics(query)
+
+
+def test_roots(tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    os.symlink(tmp_path / "a", tmp_path / "link")
+    os.symlink(tmp_path / "nowhere", tmp_path / "bad")
+    found, unread = fs.registered([str(tmp_path / "link"), "//", str(tmp_path / "bad"), str(tmp_path / "none"), "//", "/" + str(tmp_path / "a")])
+    assert unread == [str(tmp_path / "none")]
+    assert [tuple(r) for r in found] == [(str(tmp_path / "a"), 0, False, False, True), (str(tmp_path / "bad"), 1, True, False, False), (str(tmp_path / "a"), 2, False, True, True)]
+    monkeypatch.chdir(tmp_path)
+    assert fs.registered([])[0][0].path == str(tmp_path)
+
+
+def test_file_tree_as_a_run(spark, tmp_path):
+    """Places that several roots lead to count once; empty directories by what the walk met; unread entries spoil directories."""
+    from tidyspark.operators import directories, lint
+    from tidyspark.plans.pipeline import run
+
+    for name, text in (("t/a/x", "xxx"), ("t/b/y", "xxx"), ("t/c/.z", "1"), ("t/d/e/deep", "")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    os.makedirs(tmp_path / "t/none/in")
+    roots = [(str(tmp_path / "t"), 0, False), (str(tmp_path / "t/a"), 1, False)]
+    tree = fs.read_tree(spark, roots)
+    files = tree.filter("kind = 'file' AND size > 0")
+    assert files.count() == 3
+    report = run(files, Config(rank="a"))
+    assert sorted(os.path.relpath(r.path, tmp_path) for r in report.duplicates.collect()) == ["t/a/x", "t/b/y"]
+    empty = [os.path.relpath(r.path, tmp_path) for r in lint.empty_dirs_of_tree(tree).collect()]
+    assert empty == ["t/none/in", "t/none"]
+    members = sieve.sieve(files.filter("path_index = 0"), Config(rank="a"))
+    own = files.filter("path_index = 0")
+    assert directories.duplicate_dirs(own, members, Config(rank="a"), [str(tmp_path / "t")]).count() == 2
+    errors = spark.createDataFrame([(str(tmp_path / "t/b/locked"),)], "path string")
+    assert directories.duplicate_dirs(own, members, Config(rank="a"), [str(tmp_path / "t")], errors).count() == 0
+    times = spark.createDataFrame([(str(tmp_path / "t/a"), 9.0), (str(tmp_path / "t/b"), 1.0)], "path string, mtime double")
+    first = {os.path.relpath(r["dir"], tmp_path): r.is_original for r in directories.duplicate_dirs(own, members, Config(rank="m"), None, None, times).collect()}
+    assert first == {"t/a": False, "t/b": True}

@@ -34,11 +34,15 @@ def below(files: DataFrame, roots: list[str] | None = None) -> DataFrame:
     return out
 
 
-def signatures(files: DataFrame, members: DataFrame, cfg: Config, roots: list[str] | None = None) -> DataFrame:
+def signatures(files: DataFrame, members: DataFrame, cfg: Config, roots: list[str] | None = None, errors: DataFrame | None = None) -> DataFrame:
     """``dir, files, size, tagged, all_tagged, mtime, signature`` of directories all of whose files are in ``members``.
 
-    ``files`` has every non-empty file; ``members`` path and checksum of those with a duplicate.
+    ``files`` has every non-empty file; ``members`` path and checksum of those with a duplicate.  Nothing is known of what lies behind a path of ``errors``, so that no
+    directory above it is a duplicate.
     """
+    if errors is not None:
+        unread = errors.select("path", F.lit(0).cast("long").alias("size"), F.lit(False).alias("is_tagged"), F.lit(None).cast("double").alias("mtime"))
+        files = files.select("path", "size", "is_tagged", "mtime").unionByName(unread.dropDuplicates(["path"]))  # a file without a checksum is no duplicate
     relative = F.substring(F.col("path"), F.length("dir") + 2, F.length("path"))
     item: list[Column] = [F.col("checksum"), *([relative] if cfg.honour_layout else [])]
     halves = [half for salt in (0, 1) for h in [F.xxhash64(F.lit(salt), *item)] for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]  # sums of 32 bits can't overflow
@@ -100,9 +104,13 @@ def settled(dirs: DataFrame, cfg: Config) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def duplicate_dirs(files: DataFrame, members: DataFrame, cfg: Config, roots: list[str] | None = None) -> DataFrame:
+def duplicate_dirs(files: DataFrame, members: DataFrame, cfg: Config, roots: list[str] | None = None, errors: DataFrame | None = None, dir_times: DataFrame | None = None) -> DataFrame:
     """Reported directories: ``dir, signature, n_children, size, twins, rank_in_group, is_original, type``."""
-    twins = once(qualified(once(signatures(files, members, cfg, roots), "signatures"), cfg), "twins")
+    found = signatures(files, members, cfg, roots, errors)
+    if dir_times is not None:  # the rank criteria look at a directory's own time where it is known (``path, mtime``)
+        own = dir_times.select(F.col("path").alias("dir"), F.col("mtime").alias("__own")).dropDuplicates(["dir"])
+        found = found.join(own, "dir", "left").withColumn("mtime", F.coalesce("__own", "mtime")).drop("__own")
+    twins = once(qualified(once(found, "signatures"), cfg), "twins")
     if cfg.hidden == "partial":  # hidden directories are not reported, and what is left of their groups is ranked without them
         twins = once(twins.filter(~F.startswith(C.basename(F.col("dir")), F.lit("."))), "twins")
     found = settled(twins, cfg)
@@ -127,3 +135,11 @@ def leftovers(members: DataFrame, dirs: DataFrame, cfg: Config, group: list[str]
     few = left.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n >= 2").select(*group)
     left = once(left.join(few, group, "left_semi"), "leftovers")
     return rank.ranked(rank.mark_originals(left, cfg, group), cfg, group, left).withColumn("type", F.lit("duplicate_file"))
+
+
+def unfinished(members: DataFrame, reported: DataFrame) -> DataFrame:
+    """Duplicates that are no row of the result, as ``unique_file`` rows with their checksums: those inside closed directories, and those whose partners all are.
+
+    ``reported`` has the paths of duplicate files in the result.
+    """
+    return members.join(reported.select("path").distinct(), "path", "left_anti").withColumn("type", F.lit("unique_file")).withColumn("is_original", F.lit(True))

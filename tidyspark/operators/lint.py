@@ -47,6 +47,15 @@ def empty_dirs(dirs: DataFrame, files: DataFrame) -> DataFrame:
     return dirs.join(full, "path", "left_anti").withColumn("type", F.lit("emptydir"))
 
 
+def empty_dirs_of_tree(tree: DataFrame) -> DataFrame:
+    """Empty directories of a scanned tree (``path, kind``), children before their parents.
+
+    Any entry but a directory makes those above it non-empty: files, links, entries that were skipped (hidden, of another device, not permitted) and such as can't be read.
+    """
+    found = empty_dirs(tree.filter("kind = 'dir'").dropDuplicates(["path"]), tree.filter("kind <> 'dir'"))
+    return found.orderBy(F.desc("path"))
+
+
 _SECTION_SYMBOLS = 2  # type of a section with a symbol table
 
 

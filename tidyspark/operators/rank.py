@@ -7,6 +7,8 @@ is asked for, a window sorts the group; groups beyond ``HOT_ROWS`` are sorted in
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,10 @@ def keys(cfg: Config, after_sieve: bool = True) -> list[Column]:
     return [F.col("is_symlink"), first, *map(_key, parsing.rank(cfg.rank)), F.col("path")]
 
 
-def order(cfg: Config) -> Column:
-    return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys(cfg))))
+def order(cfg: Config, found: bool = True) -> Column:
+    """The sort keys as one; before the sieve has ``found`` groups, nothing is known of outer links."""
+    own = keys(cfg, found) if found or not any(c.letter == "o" for c in parsing.rank(cfg.rank)) else keys(replace(cfg, rank="p"), False)
+    return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(own)))
 
 
 def with_outer_links(records: DataFrame, group: list[str]) -> DataFrame:

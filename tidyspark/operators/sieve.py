@@ -14,7 +14,7 @@ from ..functions import columns as C
 from ..functions.digests import digest
 from ..plans.config import Config
 from . import rank
-from .contents import InColumn, InFile
+from .contents import InColumn, InFile, sliced
 from .records import effective, newer, one_per_inode
 from .stage import once
 
@@ -156,9 +156,31 @@ def duplicates(records: DataFrame, cfg: Config) -> DataFrame:
     return rank.ranked(rank.mark_originals(members, cfg, group), cfg, group, members).withColumn("type", F.lit("duplicate_file"))
 
 
+def _hashed(records: DataFrame, cfg: Config) -> DataFrame:
+    """Records without content, with ``checksum`` where another record has the size: those are the ones that a run comes to read."""
+    ready = effective(records, cfg)
+    shared = ready.drop("content").groupBy("eff_size", "start", "is_symlink").agg((F.count("*") > 1).alias("__shared"))
+    algorithm = "sha256" if cfg.algorithm == "paranoid" else cfg.algorithm
+    if "content" in records.columns:
+        told = ready.withColumn("checksum", F.coalesce("cached_checksum", digest(sliced(F.col("content")), algorithm))).drop("content")
+    else:
+        sized = ready.join(shared.filter("__shared").drop("__shared"), ["eff_size", "start", "is_symlink"], "left_semi")
+        read = InFile(ready, 0).digests(sized, F.col("cached_checksum").isNull(), algorithm).select("path", F.coalesce("cached_checksum", "checksum").alias("checksum"))
+        told = ready.join(read.dropDuplicates(["path"]), "path", "left")
+    told = told.join(shared, ["eff_size", "start", "is_symlink"])
+    return told.withColumn("checksum", F.when(F.col("__shared"), F.col("checksum"))).drop("__shared", "start", "eff_size")
+
+
 def uniques(records: DataFrame, cfg: Config, members: DataFrame | None = None) -> DataFrame:
-    """Records without a partner; with ``keep_all_tagged`` (``_untagged``) those of the other side are no originals."""
+    """Records without a partner; with ``keep_all_tagged`` (``_untagged``) those of the other side are no originals.
+
+    With ``write_unfinished`` they have a checksum if they had to be read.
+    """
     members = sieve(records, cfg) if members is None else members
-    out = records.drop("content").join(members.select("path").distinct(), "path", "left_anti").withColumn("type", F.lit("unique_file"))
+    others = members.select("path").distinct()
+    if cfg.write_unfinished:
+        out = _hashed(records, cfg).join(others, "path", "left_anti").withColumn("type", F.lit("unique_file"))
+    else:
+        out = records.drop("content").join(others, "path", "left_anti").withColumn("type", F.lit("unique_file"))
     original = F.lit(True) if not (cfg.keep_all_tagged or cfg.keep_all_untagged) else (F.col("is_tagged") if cfg.keep_all_tagged else ~F.col("is_tagged"))
     return out.withColumn("is_original", original)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -14,22 +14,46 @@ GROUP = ["type", "checksum"]
 
 
 def still_there(rows: DataFrame, now: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Rows whose path exists with about the same time in ``now`` (path, mtime)."""
-    current = now.select("path", F.col("mtime").alias("__now"))
-    return rows.join(current, "path").filter(F.abs(F.col("mtime") - F.col("__now")) <= tolerance).drop("__now")
+    """Rows whose path exists with about the same time in ``now`` (path, mtime; mode, dev and root_dev are taken over if it has them)."""
+    further = [c for c in ("mode", "dev", "root_dev") if c in now.columns]
+    current = now.select("path", F.col("mtime").alias("__now"), *further)
+    return rows.drop(*further).join(current, "path").filter(F.abs(F.col("mtime") - F.col("__now")) <= tolerance).drop("__now")
 
 
 def filtered(rows: DataFrame, cfg: Config, types: list[str] | None = None) -> DataFrame:
-    """Depth, size (of duplicates only), hidden and type filters."""
+    """Depth, size (of duplicates only), hidden, permission, device and type filters.
+
+    Permissions need ``mode`` bits and devices need ``root_dev`` in the rows, as ``still_there`` takes them from a scan.
+    """
     dupes = F.col("type").isin("duplicate_file", "duplicate_dir")
     out = rows.filter(~dupes | F.col("size").between(*cfg.size))
     if cfg.max_depth is not None:
         out = out.filter(F.col("depth") <= cfg.max_depth)
     if cfg.hidden == "ignore":
         out = out.filter(~C.is_hidden(F.col("path")))
+    if cfg.permissions:
+        bits = sum({"r": 0o4, "w": 0o2, "x": 0o1}[c] for c in cfg.permissions)
+        out = out.filter(F.col("mode").bitwiseAND(F.lit(bits)) == bits)
+    if not cfg.cross_devices:
+        out = out.filter("dev = root_dev")
     return out.filter(F.col("type").isin(*types)) if types else out
 
 
+def with_groups(rows: DataFrame) -> DataFrame:
+    """Rows with ``checksum`` in each: those of a result that has none are grouped as they stand, a group from each original on.
+
+    Needs ``position``, the row's place in its result, where checksums are missing; without it such rows are groups of their own.
+    """
+    if "position" not in rows.columns:
+        return rows.withColumn("checksum", F.coalesce("checksum", F.concat(F.lit("none "), F.xxhash64("type", "path").cast("string"))))
+    bare, known = rows.filter("checksum IS NULL"), rows.filter("checksum IS NOT NULL")
+    # The last original before a row: one for all rows of a group, found in the order of positions.
+    order = Window.partitionBy("source_idx", "type").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.last(F.when(F.col("is_original"), F.col("position")), ignorenulls=True).over(order)
+    named = F.concat_ws(" ", F.lit("none"), "source_idx", F.coalesce(begin, F.lit(-1)))
+    return known.unionByName(bare.withColumn("checksum", named))
+
+
 def assigned(rows: DataFrame, roots: list[tuple[str, int, bool]]) -> DataFrame:
     """Rows below a root, with ordinal and tag of the longest root above; component bounds count.
 
@@ -48,7 +72,7 @@ def requery(results: list[DataFrame], cfg: Config, roots: list[tuple[str, int, b
     rows = relations.union_results(results)
     if now is not None:
         rows = still_there(rows, now)
-    rows = filtered(rows, cfg, types)
+    rows = filtered(with_groups(rows), cfg, types)
     rows = assigned(rows, roots) if roots else rows.withColumn("path_index", F.col("source_idx")).withColumn("is_tagged", F.lit(False))
     rows = relations.distinct_entries(rows, GROUP)
     for name, default in (("is_symlink", F.lit(False)), ("outer_link_count", F.lit(0)), ("link_count", F.lit(1)), ("dev", F.lit(0)), ("inode", F.xxhash64("path"))):

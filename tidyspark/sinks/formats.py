@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,14 @@ def json_lines(rows: DataFrame, unique: bool = False) -> DataFrame:
     return elements(rows, unique).select(F.to_json(F.struct(*_ELEMENT)).alias("value"))
 
 
-def write_json(rows: DataFrame, path: str, header: dict | None = None, footer: dict | None = None, oneline: bool = False, unique: bool = False) -> None:
-    """``oneline``: a directory of documents, one a line, written by the tasks.  Otherwise one array in one local file, streamed by the driver."""
-    lines = json_lines(rows, unique)
+def write_json(rows: DataFrame, path: str, header: dict | None = None, footer: dict | None = None, oneline: bool = False, unique: bool = False, no_body: bool = False) -> None:
+    """``oneline``: a directory of documents, one a line, written by the tasks.  Otherwise one array in one local file, streamed by the driver.
+
+    With ``rank_in_group`` and ``group_rank`` in the rows the array has them in that order.  ``no_body`` leaves the elements out.
+    """
+    lines = json_lines(rows.orderBy(*order) if (order := [c for c in ("group_rank", "checksum", "rank_in_group") if c in rows.columns]) and not oneline else rows, unique)
+    if no_body:
+        lines = lines.limit(0)
     if oneline:
         lines.write.mode("overwrite").text(path)
         return
@@ -88,13 +94,16 @@ def blocks(members: DataFrame, group: list[str], omit_first: bool = False, same_
 PRESETS = {"clone": ("clone", "reflink", "hardlink", "symlink"), "link": ("reflink", "hardlink", "symlink"), "reflink": ("reflink", "hardlink", "symlink"), "hardlink": ("hardlink", "symlink"), "symlink": ("symlink",), "default": ("cmd", "remove")}
 
 
-def actions(members: DataFrame, group: list[str], handlers: tuple[str, ...] = PRESETS["default"], command: str | None = None, reflink_devices: DataFrame | None = None) -> DataFrame:
+def actions(members: DataFrame, group: list[str], handlers: tuple[str, ...] = PRESETS["default"], command: str | None = None, reflink_devices: DataFrame | None = None, can_clone: bool = True) -> DataFrame:
     """Adds ``action`` and ``original_path``: what a script would do with each row.  Nothing is done to a file here.
 
-    The first handler that accepts a row wins: clone and reflink need a capable device on both sides (``reflink_devices``: dev), hardlink the
-    original's device and another inode, cmd a command; symlink and remove always accept.
+    The first handler that accepts a row wins: clone and reflink need a capable device on both sides (``reflink_devices``: dev), clone a kernel that can, too; hardlink the
+    original's device; cmd a command; symlink and remove always accept.  A row that shares the original's extents already (``extents``) needs no clone or reflink, and one that
+    is a link of the original's file no hardlink: these handlers accept it and skip it.
     """
-    head = members.filter("is_original").groupBy(*group).agg(F.min_by(F.struct("path", "dev", "inode"), "rank_in_group").alias("__o"))
+    extents = F.col("extents") if "extents" in members.columns else F.lit(None).cast("string")
+    members = members.withColumn("__extents", extents)
+    head = members.filter("is_original").groupBy(*group).agg(F.min_by(F.struct("path", "dev", "inode", "__extents"), "rank_in_group").alias("__o"))
     out = members.join(head, group, "left")
     if reflink_devices is not None:
         out = out.join(reflink_devices.select("dev", F.lit(True).alias("__can")).distinct(), "dev", "left")
@@ -102,10 +111,12 @@ def actions(members: DataFrame, group: list[str], handlers: tuple[str, ...] = PR
         out = out.withColumn("__can", F.lit(False))
     same_device = F.col("dev") == F.col("__o.dev")
     same_file = same_device & (F.col("inode") == F.col("__o.inode"))
-    sharing = F.coalesce(F.col("__can"), F.lit(False)) & same_device & ~same_file
-    accepts: dict[str, Column] = {"cmd": F.lit(command is not None), "clone": sharing, "reflink": sharing, "hardlink": same_device & ~same_file, "symlink": F.lit(True), "remove": F.lit(True)}
-    chain = F.coalesce(*(F.when(accepts[h], h) for h in handlers), F.lit("skip"))
-    return out.withColumn("action", F.when(F.col("is_original"), "keep").otherwise(chain)).withColumn("original_path", F.col("__o.path")).drop("__o", "__can")
+    sharing = F.coalesce(F.col("__can"), F.lit(False)) & same_device
+    shared = same_file | F.coalesce(F.col("__extents") == F.col("__o.__extents"), F.lit(False))
+    accepts: dict[str, Column] = {"cmd": F.lit(command is not None), "clone": sharing & F.lit(can_clone), "reflink": sharing, "hardlink": same_device, "symlink": F.lit(True), "remove": F.lit(True)}
+    done = {"clone": shared, "reflink": shared, "hardlink": same_file}
+    chain = F.coalesce(*(F.when(accepts[h], F.when(done[h], "skip").otherwise(h) if h in done else F.lit(h)) for h in handlers), F.lit("skip"))
+    return out.withColumn("action", F.when(F.col("is_original"), "keep").otherwise(chain)).withColumn("original_path", F.col("__o.path")).drop("__o", "__can", "__extents")
 
 
 #: Actions for other lint.
@@ -117,11 +128,6 @@ def lint_actions(lint: DataFrame) -> DataFrame:
     return lint.withColumn("action", table[F.col("type")])
 
 
-def script_lines(planned: DataFrame) -> DataFrame:
-    """One shell call a row: action, path and original in quotes."""
-    return planned.select(F.concat_ws(" ", F.col("action"), C.shell_quote(F.col("path")), C.shell_quote(F.coalesce("original_path", F.lit("")))).alias("value"))
-
-
 def pretty(rows: DataFrame) -> Iterator[str]:
     """Text for people: a headline per type, then the rows; streamed by the driver."""
     last = None
@@ -132,10 +138,11 @@ def pretty(rows: DataFrame) -> Iterator[str]:
         yield f"    {'ls' if r['is_original'] else 'rm'} {r['path']}"
 
 
-def summary(members: DataFrame, group: list[str], total_files: int) -> DataFrame:
-    """One row: files, duplicates, sets and the size of the duplicates for people."""
+def summary(members: DataFrame, group: list[str], total_files: int, outputs: list[tuple[str, str]] = ()) -> DataFrame:
+    """One row: files, duplicates, sets, the size of the duplicates for people, and which results were written where (``format: path``)."""
+    written = F.array(*(F.lit(f"{kind}: {path}") for kind, path in outputs if path not in ("stdout", "stderr"))).cast("array<string>")
     extra = F.sum(F.when(~F.col("is_original"), F.col("size")).otherwise(0))
-    return members.agg(F.lit(total_files).cast("long").alias("total_files"), F.sum((~F.col("is_original")).cast("long")).alias("duplicates"), F.count_distinct(*group).alias("duplicate_sets"), C.human_size(F.coalesce(extra, F.lit(0))).alias("size"))
+    return members.agg(F.lit(total_files).cast("long").alias("total_files"), F.sum((~F.col("is_original")).cast("long")).alias("duplicates"), F.count_distinct(*group).alias("duplicate_sets"), C.human_size(F.coalesce(extra, F.lit(0))).alias("size")).withColumn("outputs", written)
 
 
 def stats(members: DataFrame, uniques: DataFrame, read_bytes: DataFrame) -> DataFrame:
@@ -172,3 +179,26 @@ def progress(spark) -> dict[str, int]:
     tracker = spark.sparkContext.statusTracker()
     stages = [s for i in tracker.getActiveStageIds() if (s := tracker.getStageInfo(i))]
     return {"done": sum(s.numCompletedTasks for s in stages), "total": sum(s.numTasks for s in stages)}
+
+
+class Pace:
+    """Time to go from the mean speed of the last samples: what remains by what was done a second."""
+
+    def __init__(self, samples: int = 10):
+        self._seen: deque[tuple[float, float]] = deque(maxlen=samples + 1)
+
+    def sample(self, done: float, total: float, now: float | None = None) -> float | None:
+        """Seconds to go, once there are two samples with progress between them."""
+        self._seen.append((time.monotonic() if now is None else now, done))
+        (then, before), (at, upto) = self._seen[0], self._seen[-1]
+        if upto <= before or at <= then:
+            return None
+        return max(total - done, 0) * (at - then) / (upto - before)
+
+
+def progress_line(done: int, total: int, to_go: float | None, width: int = 30, ascii_only: bool = False) -> str:
+    """A bar with the share that is done and the time to go."""
+    share = min(done / total, 1.0) if total else 1.0
+    full = int(share * width)
+    bar = ("#" if ascii_only else "█") * full + ("-" if ascii_only else "░") * (width - full)
+    return f"[{bar}] {100 * share:3.0f}%" + ("" if to_go is None else f", {C.elapsed(to_go)} to go")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.digests import canonical_name, streamed
+from ..plans import parsing
 
 SCHEMA = (
     "path string, size long, mtime double, depth int, path_index int, dev long, inode long, parent_inode long, link_count int, is_symlink boolean, is_tagged boolean, is_hidden boolean, "
@@ -26,6 +28,32 @@ SCHEMA = (
 IGNORED_FILE_SYSTEMS = ("bindfs", "nullfs", "proc", "cgroup", "configfs", "sys", "devtmpfs", "debugfs")
 
 
+class Root(NamedTuple):
+    """A path to scan: ``path, ordinal, tagged`` as the scan takes them, whether all below counts as one volume, and whether its real path is known."""
+
+    path: str
+    ordinal: int
+    tagged: bool
+    one_volume: bool
+    resolved: bool
+
+
+def registered(arguments: list[str], default: str = ".") -> tuple[list[Root], list[str]]:
+    """Roots with their real paths, and arguments that can't be read.
+
+    ``//`` alone switches the tag; a path that begins with ``//`` is one volume.  A link that leads nowhere stays as it is; it is reported as a bad link.
+    """
+    found, unread = [], []
+    for path, _, tagged in parsing.roots(arguments, default):
+        if not os.access(path, os.R_OK) and not os.path.islink(path):
+            unread.append(path)
+            continue
+        real = os.path.realpath(path)
+        resolved = os.path.exists(real)
+        found.append(Root(real if resolved else os.path.abspath(path), len(found), tagged, path.startswith("//"), resolved))
+    return found, unread
+
+
 class _Walk(InputPartition):
     def __init__(self, path: str, root: str, index: int, tagged: bool, depth: int, only: bool):
         self.path, self.root, self.index, self.tagged, self.depth, self.only = path, root, index, tagged, depth, only

@@ -20,8 +20,8 @@ def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The elements of a result."""
-    return read_document(spark, path, lines).filter("path IS NOT NULL").select(*_ELEMENT)
+    """The elements of a result, with their place in it."""
+    return read_document(spark, path, lines).filter("path IS NOT NULL").select(*_ELEMENT, F.monotonically_increasing_id().alias("position"))
 
 
 def read_header(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -24,10 +24,13 @@ def since(cfg: Config, stamp_file: str) -> Config:
         return cfg
 
 
-def write_cache(members: DataFrame, path: str, algorithm: str, cfg: Config) -> bool:
-    """Append checksums to a cache; a clamped run has none that are worth keeping."""
+def write_cache(members: DataFrame, path: str, algorithm: str, cfg: Config, uniques: DataFrame | None = None) -> bool:
+    """Append checksums to a cache; a clamped run has none that are worth keeping.  Those of unique files are kept with ``write_unfinished`` alone."""
     if cfg.clamp_low or cfg.clamp_high:
         return False
+    if uniques is not None and cfg.write_unfinished:
+        columns = ["dev", "inode", "checksum", "mtime"]
+        members = members.select(*columns).unionByName(uniques.select(*columns))
     members.filter("checksum IS NOT NULL").select("dev", "inode", F.lit(algorithm).alias("algorithm"), "checksum", "mtime").dropDuplicates(["dev", "inode"]).write.mode("append").parquet(path)
     return True
 
@@ -49,20 +52,29 @@ def first_seen(stream: DataFrame, content: str, time: str, delay: str = "1 hour"
     return keyed.dropDuplicatesWithinWatermark(["checksum"])
 
 
-def running_groups(stream: DataFrame, path: str, content: str) -> DataFrame:
-    """Updates ``checksum, original, twins, changed`` of each content: the smallest path is the original, so a later record may take over."""
+def running_groups(stream: DataFrame, path: str, content: str, time: str, keep_seconds: int = 86400) -> DataFrame:
+    """Updates ``checksum, original, twins, changed`` of each content: the smallest path is the original, so a later record may take over.
+
+    A content that has not come for ``keep_seconds`` of event time is forgotten, so that the state holds no more than such a stretch brings.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best, n = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, n, latest = state.get if state.exists else (None, 0, 0)
         before = best
         for pdf in batches:
             low = pdf["path"].min()
             best, n = low if best is None else min(best, low), n + len(pdf)
-        state.update((best, n))
+            latest = max(latest, int(pdf["at"].max()))
+        state.update((best, n, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1000 * keep_seconds)
         yield pd.DataFrame([(key[0], best, n, before is not None and before != best)], columns=["checksum", "original", "twins", "changed"])
 
-    keyed = stream.select(F.col(path).alias("path"), digest(F.col(content), "sha256").alias("checksum"))
-    return keyed.groupBy("checksum").applyInPandasWithState(update, "checksum string, original string, twins long, changed boolean", "original string, n long", "update", "NoTimeout")
+    keyed = stream.select(F.col(path).alias("path"), digest(F.col(content), "sha256").alias("checksum"), F.col(time).alias("__time")).withWatermark("__time", f"{keep_seconds} seconds")
+    keyed = keyed.withColumn("at", F.unix_millis("__time"))
+    return keyed.groupBy("checksum").applyInPandasWithState(update, "checksum string, original string, twins long, changed boolean", "original string, n long, latest long", "update", "EventTimeTimeout")
 
 
 def sessions(stream: DataFrame, time: str, keys: list[str], gap: str) -> DataFrame:
