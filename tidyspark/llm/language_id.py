@@ -19,9 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .wordarrays import row_groups
+
 ORDER = 4
 TOGETHER = 8
 _BITS = np.uint64(16)
@@ -290,7 +293,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"), held.alias("held_out"))
 
 
-def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_chars: int = 1 << 20, **how) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_chars: int = 1 << 18, **how) -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score, cross_entropy, rejected``.
 
     A null text, a text without a letter, and any text if there is nothing to learn from is ``und`` with score 0, and rejected.
@@ -307,22 +310,20 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out = [(doc, h, *told) for doc, h, told in zip(ids, held, _predictions(model.value, batch.column(1).to_pylist(), batch_chars))]
+            out = [(doc, h, *told) for doc, h, told in zip(ids, held, _predictions(model.value, batch.column(1), batch_chars))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _RESULT.types)], schema=_RESULT)
 
     return _prepared(docs, id_col, text_col, lang_col).select("doc_id", "__text", "held_out").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def _predictions(model: Model | None, texts: list[str | None], batch_chars: int) -> Iterator[tuple[str, float, float | None, bool]]:
-    """(language, score, cross-entropy, rejected) of each text."""
-    lo = 0
-    while lo < len(texts):
-        hi, chars = lo, 0
-        while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= batch_chars):
-            chars += len(texts[hi] or "")
-            hi += 1
-        entropy, size = model.entropies(texts[lo:hi]) if model else (None, np.zeros(hi - lo))
+def _predictions(model: Model | None, texts: list[str | None] | pa.Array, batch_chars: int) -> Iterator[tuple[str, float, float | None, bool]]:
+    """(language, score, cross-entropy, rejected) of each text; of a column only some texts are in memory as strings at a time."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    offsets = np.concatenate(([0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    for lo, hi in row_groups(offsets, batch_chars):
+        some = column.slice(lo, hi - lo).to_pylist()
+        entropy, size = model.entropies(some) if model else (None, np.zeros(hi - lo))
         for i in range(hi - lo):
             if size[i] <= 0:
                 yield "und", 0.0, None, True
@@ -330,10 +331,9 @@ def _predictions(model: Model | None, texts: list[str | None], batch_chars: int)
             k = int(entropy[i].argmin())
             score = 1 / float(np.exp(-model.sharpness * (entropy[i] - entropy[i, k])).sum())
             yield model.languages[k], score, float(entropy[i, k]), not model.accepts(k, float(entropy[i, k]), int(size[i]))
-        lo = hi
 
 
-def accepted_documents(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_chars: int = 1 << 20, **how) -> DataFrame:
+def accepted_documents(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_chars: int = 1 << 18, **how) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with ``lang_col`` set to the prediction; the columns stay, whatever else they are named.
 
     Rows whose text is null, empty or without a letter go, as do those that ``identify`` rejects; with nothing to learn from, all go.  Repeated rows stay or go together.
@@ -345,7 +345,7 @@ def accepted_documents(docs: DataFrame, model: Model | None = None, id_col: str
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = list(_predictions(model.value, batch.column(text_at).to_pylist(), batch_chars))
+            told = list(_predictions(model.value, batch.column(text_at), batch_chars))
             arrays = list(batch.columns)
             arrays[lang_at] = pa.array([t[0] for t in told], batch.schema.field(lang_at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array([not t[3] for t in told], pa.bool_()))
