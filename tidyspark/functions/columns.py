@@ -82,9 +82,9 @@ def human_size(size: Column) -> Column:
 
 def human_size_steps(size: Column) -> Column:
     """One decimal, units of 1024 up to Z."""
-    out = F.format_string("%.1f ZB", size / 1024.0**7)
+    out = F.format_string("%.1f ZB", F.bround(size / 1024.0**7, 1))
     for step, unit in reversed(list(enumerate(("", "K", "M", "G", "T", "P", "E")))):
-        out = F.when(F.abs(size) < 1024.0 ** (step + 1), F.format_string(f"%.1f {unit}B", size / 1024.0**step)).otherwise(out)
+        out = F.when(F.abs(size) < 1024.0 ** (step + 1), F.format_string(f"%.1f {unit}B", F.bround(size / 1024.0**step, 1))).otherwise(out)
     return out
 
 

@@ -13,7 +13,7 @@ from .operators import directories, lint, rank, records, relations, sieve, tree
 from .operators.stage import once
 from .plans import parsing, pipeline, query_language, requery
 from .plans.config import Config
-from .sinks import formats
+from .sinks import formats, scripts
 from .sources.results import with_cached
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,20 +147,20 @@ def block_digests_documents(spark, sf_dir):
 # Names.  Parts as records: p_partkey/p_name, the blanks of the name as dots; the content is the brand.
 
 
-def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.as_records(_table(spark, sf_dir, "part"), F.concat_ws("/", F.col("p_partkey"), F.replace(F.col("p_name"), F.lit(" "), F.lit("."))), F.col("p_brand"))
-
-
 _PART = "SELECT *, replace(p_name, ' ', '.') AS name, concat_ws('/', p_partkey, replace(p_name, ' ', '.')) AS path, p_brand AS content FROM part"
 
 
-def _name_sql(key: str) -> str:
-    return f"WITH d AS ({_PART}) SELECT path, n AS twins FROM (SELECT *, count(*) OVER (PARTITION BY content, {key}) AS n FROM d) WHERE n > 1"
+def _name_sql(key: str, content: str = "content") -> str:
+    return f"WITH d AS ({_PART}) SELECT path, n AS twins FROM (SELECT *, count(*) OVER (PARTITION BY {content}, {key}) AS n FROM d) WHERE n > 1"
 
 
-def _name_query(spark, sf_dir, **how) -> DataFrame:
+def _name_query(spark, sf_dir, content: str = "p_brand", **how) -> DataFrame:
     cfg = Config(**how)
-    return sieve.duplicates(parts(spark, sf_dir), cfg).select("path", "twins")
+    found = records.as_records(_table(spark, sf_dir, "part"), F.concat_ws("/", F.col("p_partkey"), F.replace(F.col("p_name"), F.lit(" "), F.lit("."))), F.expr(content))
+    return sieve.duplicates(found, cfg).select("path", "twins")
+
+
+_BRAND_SIZE = "concat(p_brand, '-', p_size)"  # few parts share it, so that names make a difference
 
 
 @query(_name_sql("lower(name)"))
@@ -168,14 +168,14 @@ def match_basename_parts(spark, sf_dir):
     return _name_query(spark, sf_dir, match_basename=True)
 
 
-@query(_name_sql("CASE WHEN contains(name, '.') THEN lower(list_last(string_split(name, '.'))) END"))
+@query(_name_sql("CASE WHEN contains(name, '.') THEN lower(list_last(string_split(name, '.'))) END", _BRAND_SIZE))
 def match_extension_parts(spark, sf_dir):
-    return _name_query(spark, sf_dir, match_extension=True)
+    return _name_query(spark, sf_dir, _BRAND_SIZE, match_extension=True)
 
 
-@query(_name_sql("lower(CASE WHEN contains(name, '.') THEN regexp_replace(name, '[^.]*$', '') ELSE name END)"))
+@query(_name_sql("lower(CASE WHEN contains(name, '.') THEN regexp_replace(name, '[^.]*$', '') ELSE name END)", _BRAND_SIZE))
 def match_stem_parts(spark, sf_dir):
-    return _name_query(spark, sf_dir, match_stem=True)
+    return _name_query(spark, sf_dir, _BRAND_SIZE, match_stem=True)
 
 
 @query(f"""WITH d AS ({_PART}), h AS (SELECT *, first_value(path) OVER w AS head, lower(first_value(name) OVER w) AS head_name, count(*) OVER (PARTITION BY content) AS n FROM d WINDOW w AS (PARTITION BY content ORDER BY lower(name), path)),
@@ -203,10 +203,11 @@ def mtime_window_events(spark, sf_dir):
     return sieve.duplicates(events(spark, sf_dir), Config(mtime_window=86400)).select("path", "island", "twins")
 
 
-@query(f"""WITH d AS ({_EVENT}), t AS (SELECT avg(mtime) AS cut FROM d)
-SELECT path, n AS twins FROM (SELECT *, count(*) OVER w AS n, max(mtime) OVER w AS latest FROM d WINDOW w AS (PARTITION BY content)) WHERE n > 1 AND latest >= 1704067200""")
+@query(f"""WITH d AS ({_EVENT})
+SELECT path, n AS twins FROM (SELECT *, count(*) OVER w AS n, max(mtime) OVER w AS latest FROM d WINDOW w AS (PARTITION BY content)) WHERE n > 1 AND latest >= 1706486400""")
 def newer_than_events(spark, sf_dir):
-    return sieve.duplicates(events(spark, sf_dir), Config(newer_than=parsing.stamp("2024-01-01T00:00:00+00:00"))).select("path", "twins")
+    """Half of the groups have a member of the last two days."""
+    return sieve.duplicates(events(spark, sf_dir), Config(newer_than=parsing.stamp("2024-01-29T00:00:00+00:00"))).select("path", "twins")
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
@@ -264,9 +265,12 @@ def hardlink_once_lines(spark, sf_dir):
     return records.one_per_inode(lines(spark, sf_dir), F.col("path_index")).select("path", "inode")
 
 
-@query(f"WITH d AS ({_LINE}) SELECT path, inode FROM (SELECT *, row_number() OVER (PARTITION BY inode, l_orderkey, list_last(string_split(path, '/')) ORDER BY l_linenumber, path) AS k FROM d) WHERE k = 1")
+@query(f"""WITH d AS ({_LINE}), u AS (SELECT path, inode, l_orderkey, l_linenumber FROM d UNION ALL SELECT concat('again', substr(path, 2)), inode, l_orderkey, l_linenumber - 2 FROM d WHERE l_linenumber % 3 = 0)
+SELECT path, inode FROM (SELECT *, row_number() OVER (PARTITION BY inode, l_orderkey, list_last(string_split(path, '/')) ORDER BY l_linenumber, path) AS k FROM u) WHERE k = 1""")
 def path_doubles_lines(spark, sf_dir):
-    return records.without_path_doubles(lines(spark, sf_dir), F.col("path_index")).select("path", "inode")
+    """A third of the lines is reached by a second way."""
+    once_more = lines(spark, sf_dir).filter("path_index % 3 = 0").withColumn("path", F.concat(F.lit("again"), F.expr("substr(path, 2)"))).withColumn("path_index", F.col("path_index") - 2)
+    return records.without_path_doubles(lines(spark, sf_dir).unionByName(once_more), F.col("path_index")).select("path", "inode")
 
 
 @query(f"WITH d AS ({_LINE}) SELECT path, 2 - count(*) OVER (PARTITION BY inode) AS outer_link_count FROM d")
@@ -309,15 +313,89 @@ def dup_dirs_orders(spark, sf_dir):
     return directories.duplicate_dirs(files, sieve.sieve(files, _NAMED), _NAMED).select("dir", "n_children", "twins")
 
 
-@query(f"""WITH d AS (SELECT DISTINCT path, content, l_orderkey FROM ({_LINE})), s AS (SELECT l_orderkey, list_sort(list(concat(list_last(string_split(path, '/')), '=', content))) AS sig, count(*) AS n FROM d GROUP BY l_orderkey),
+def _numbered_lines(spark, sf_dir) -> DataFrame:
+    """Orders as directories, a file for each line number; every fifth order is tagged."""
+    one = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("content"))
+    return records.as_records(one, F.concat_ws("/", F.lit("o"), "l_orderkey", "l_linenumber"), F.col("content"), is_tagged=F.col("l_orderkey") % 5 == 0)
+
+
+_NUMBERED = "SELECT l_orderkey, l_linenumber, min(concat(l_returnflag, l_linestatus)) AS content FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(concat(l_linenumber, '=', content))) AS sig, count(*) AS n FROM ({_NUMBERED}) GROUP BY l_orderkey),
 t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s)
 SELECT concat('o/', l_orderkey) AS dir, n AS n_children, twins FROM t WHERE twins > 1""")
 def dup_dirs_layout_orders(spark, sf_dir):
-    files = _orders(spark, sf_dir)
+    files = _numbered_lines(spark, sf_dir)
     cfg = Config(rank="a", honour_layout=True)
     return directories.duplicate_dirs(files, sieve.sieve(files, cfg), cfg).select("dir", "n_children", "twins")
 
 
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) * CAST(l_orderkey % 5 = 0 AS INT) AS tagged FROM ({_NUMBERED}) GROUP BY l_orderkey),
+t AS (SELECT *, count(*) OVER w AS twins, row_number() OVER (PARTITION BY sig ORDER BY tagged DESC, CAST(l_orderkey AS VARCHAR)) AS rk, min(tagged) OVER w AS least FROM s WINDOW w AS (PARTITION BY sig))
+SELECT concat('o/', l_orderkey) AS dir, rk = 1 OR tagged > 0 AS is_original FROM t WHERE twins > 1 AND least = 0""")
+def protected_dirs_orders(spark, sf_dir):
+    """With all tagged files kept a directory of these alone is an original, and a group without an untagged one goes."""
+    files = _numbered_lines(spark, sf_dir)
+    cfg = Config(rank="a", keep_all_tagged=True)
+    return directories.duplicate_dirs(files, sieve.sieve(files, cfg), cfg).select("dir", "is_original")
+
+
+def _mirrored(spark, sf_dir) -> DataFrame:
+    """Every seventh order twice, below x and below y."""
+    one = _numbered_lines(spark, sf_dir).select("path", "content").filter("CAST(split(path, '/')[1] AS BIGINT) % 7 = 0")
+    both = one.select(F.explode(F.array(F.lit("x"), F.lit("y"))).alias("top"), "path", "content")
+    return records.as_records(both, F.concat(F.col("top"), F.expr("substr(path, 2)")), F.col("content"))
+
+
+_MIRROR = f"""WITH f AS (SELECT concat('x/', l_orderkey) AS dir, concat('x/', l_orderkey, '/', l_linenumber) AS path, content FROM ({_NUMBERED}) WHERE l_orderkey % 7 = 0),
+s AS (SELECT dir, list_sort(list(content)) AS sig, count(*) AS n FROM f GROUP BY dir), t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins, row_number() OVER (PARTITION BY sig ORDER BY dir) AS rk FROM s),
+l AS (SELECT f.path, f.content FROM f JOIN t USING (dir) WHERE twins = 1 OR rk = 1), m AS (SELECT *, count(*) OVER (PARTITION BY content) AS twins, row_number() OVER (PARTITION BY content ORDER BY list_last(string_split(path, '/')), path) AS rk FROM l)"""
+
+
+@query(f"""{_MIRROR} SELECT dir, n AS n_children, twins, rk = 1 AS is_original FROM t WHERE twins > 1
+UNION ALL SELECT 'x', (SELECT count(*) FROM f), 2, true UNION ALL SELECT 'y', (SELECT count(*) FROM f), 2, false""")
+def dup_dirs_nested_orders(spark, sf_dir):
+    """Of two equal trees one is closed and the other, the original, stays open: its own duplicate directories are reported, too."""
+    files = _mirrored(spark, sf_dir)
+    return directories.duplicate_dirs(files, sieve.sieve(files, _NAMED), _NAMED).select("dir", "n_children", "twins", "is_original")
+
+
+@query(f"{_MIRROR} SELECT path, twins, rk AS rank_in_group, rk = 1 AS is_original FROM m WHERE twins > 1")
+def leftovers_orders(spark, sf_dir):
+    files = _mirrored(spark, sf_dir)
+    members = once(sieve.sieve(files, _NAMED))
+    return directories.leftovers(members, directories.duplicate_dirs(files, members, _NAMED), _NAMED, _group()).select("path", "twins", "rank_in_group", "is_original")
+
+
+@query(f"{_MIRROR} SELECT path, 'unique_file' AS type FROM (SELECT path FROM f UNION ALL SELECT concat('y', substr(path, 2)) FROM f) WHERE path NOT IN (SELECT path FROM m WHERE twins > 1)")
+def unfinished_orders(spark, sf_dir):
+    files = _mirrored(spark, sf_dir)
+    members = once(sieve.sieve(files, _NAMED))
+    left = directories.leftovers(members, directories.duplicate_dirs(files, members, _NAMED), _NAMED, _group())
+    return directories.unfinished(members, left).select("path", "type")
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) AS n FROM ({_NUMBERED}) WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey), t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s)
+SELECT concat('o/', l_orderkey) AS dir, n AS n_children, twins FROM t WHERE twins > 1""")
+def packed_dirs_orders(spark, sf_dir):
+    """Duplicate directories from a stored result without them."""
+    files = _numbered_lines(spark, sf_dir).filter("CAST(split(path, '/')[1] AS BIGINT) % 2 = 0")
+    result = once(sieve.duplicates(files, _NAMED))
+    return requery.packed(files.drop("content"), result, _NAMED).select("dir", "n_children", "twins")
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig FROM ({_NUMBERED}) GROUP BY l_orderkey), t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s)
+SELECT concat_ws('/', 'o', l_orderkey, l_linenumber) AS path, sha256(content) AS checksum, 'duplicate_file' AS type FROM ({_NUMBERED}) JOIN t USING (l_orderkey) WHERE twins > 1""")
+def unpacked_dirs_orders(spark, sf_dir):
+    """Duplicate files from a result with directories."""
+    files = _numbered_lines(spark, sf_dir)
+    members = once(sieve.sieve(files, _NAMED))
+    dirs = once(directories.duplicate_dirs(files, members, _NAMED))
+    inside = directories.parts(members, dirs).select("type", "path", "checksum")
+    return requery.unpacked(inside.unionByName(dirs.select("type", F.col("dir").alias("path"), F.col("signature").alias("checksum")))).select("path", "checksum", "type")
+
+
 @query(f"""WITH d AS (SELECT DISTINCT path, content, l_orderkey FROM ({_LINE})), s AS (SELECT l_orderkey, list_sort(list(content)) AS sig FROM d GROUP BY l_orderkey),
 t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s)
 SELECT path, concat('o/', l_orderkey) AS parent_path FROM d JOIN t USING (l_orderkey) WHERE twins > 1""")
@@ -390,10 +468,17 @@ def in_both_sides_documents(spark, sf_dir):
     return relations.in_both(sieve.sieve(documents(spark, sf_dir), _NAMED), F.col("is_tagged"), ["checksum"]).select("path")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT text) AS contents, false AS is_equal FROM documents")
+@query(f"""WITH d AS ({_DOC}), c AS (SELECT min(text) AS text FROM (SELECT text FROM d GROUP BY text HAVING count(*) > 1)), same AS (SELECT d.text FROM d JOIN c USING (text))
+SELECT 'all' AS asked, count(*) AS n, count(DISTINCT text) AS contents, count(DISTINCT text) = 1 AS is_equal FROM d
+UNION ALL SELECT 'same', count(*), count(DISTINCT text), true FROM same UNION ALL SELECT 'one missing', count(*), count(DISTINCT text), false FROM same""")
 def equal_verdict_documents(spark, sf_dir):
-    found = documents(spark, sf_dir)
-    return relations.equal_verdict(found, 2)
+    """All documents, those of one content, and these with one more asked for."""
+    found = documents(spark, sf_dir).filter("size >= 1")
+    least = found.groupBy("content").agg(F.count("*").alias("n")).filter("n > 1").agg(F.min("content").alias("content"))
+    same = found.join(F.broadcast(least), "content")  # one row
+    n, k = found.count(), same.count()
+    told = [relations.equal_verdict(rows, asked).withColumn("asked", F.lit(name)) for name, rows, asked in (("all", found, n), ("same", same, k), ("one missing", same, k + 1))]
+    return relations.union_results(told).select("asked", "n", "contents", "is_equal")
 
 
 @query("SELECT concat_ws('/', source, lang, doc_id) AS path, strlen(text) AS size FROM documents WHERE (strlen(text) BETWEEN 1024 AND 2048 OR strlen(text) BETWEEN 4096 AND 5120) AND (contains(source, 'rc1'))")
@@ -401,12 +486,149 @@ def query_language_documents(spark, sf_dir):
     return query_language.query(documents(spark, sf_dir), "size:1K-2K,4K-5K RC1").select("path", "size")
 
 
-@query(f"WITH d AS ({_DOC}) SELECT path, sha256(text) AS checksum FROM d WHERE lang = 'de'")
+@query(f"""WITH d AS ({_DOC}), c AS (SELECT path, size, CASE WHEN lang = 'de' THEN sha256(substr(text, 1, 40)) ELSE sha256(text) END AS checksum FROM d)
+SELECT path, checksum, n AS twins FROM (SELECT *, count(*) OVER (PARTITION BY size, checksum) AS n FROM c) WHERE n > 1""")
 def cached_checksums_documents(spark, sf_dir):
-    """Checksums of German documents come from a cache of an earlier run."""
-    found = documents(spark, sf_dir)
-    cache = found.filter(F.contains("path", F.lit("/de/"))).select("dev", "inode", F.lit("sha256").alias("algorithm"), digest(F.col("content"), "sha256").alias("checksum"), "mtime")
-    return with_cached(found, cache, "sha256").filter("cached_checksum IS NOT NULL").select("path", F.col("cached_checksum").alias("checksum"))
+    """Checksums of German documents come from a cache, of their first 40 characters: they are believed and not read again."""
+    found = documents(spark, sf_dir).filter("size >= 1")
+    cache = found.filter(F.contains("path", F.lit("/de/"))).select("dev", "inode", F.lit("sha256").alias("algorithm"), F.sha2(F.substring("content", 1, 40), 256).alias("checksum"), "mtime")
+    return sieve.duplicates(with_cached(found, cache, "sha256"), Config(rank="a")).select("path", "checksum", "twins")
+
+
+@query(f"WITH d AS ({_DOC}) SELECT path, tagged AS is_original FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM d) WHERE n = 1")
+def unique_originals_documents(spark, sf_dir):
+    """With all tagged ones kept, unique documents of the other side are no originals."""
+    return sieve.uniques(documents(spark, sf_dir).filter("size >= 1"), Config(keep_all_tagged=True)).select("path", "is_original")
+
+
+@query(f"WITH d AS ({_DOC}) SELECT path, CASE WHEN same > 1 THEN sha256(text) END AS checksum FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n, count(*) OVER (PARTITION BY size) AS same FROM d) WHERE n = 1")
+def unfinished_checksums_documents(spark, sf_dir):
+    """Unique documents with the checksums of those that had to be read."""
+    return sieve.uniques(documents(spark, sf_dir).filter("size >= 1"), Config(write_unfinished=True)).select("path", "checksum")
+
+
+@query(f"WITH d AS ({_DOC}) SELECT path, n AS twins FROM (SELECT *, count(*) OVER (PARTITION BY text, doc_id % 2) AS n FROM d) WHERE n > 1")
+def symlinks_apart_documents(spark, sf_dir):
+    """Every other document stands for a link: links and files don't match."""
+    found = documents(spark, sf_dir).withColumn("is_symlink", F.expr("CAST(split(path, '/')[2] AS BIGINT) % 2 = 1"))
+    return sieve.duplicates(found.filter("size >= 1"), Config(rank="a")).select("path", "twins")
+
+
+@query(f"""WITH d AS ({_DOC}), s AS (SELECT *, CAST(floor(size * 0.25) AS BIGINT) AS low, CAST(floor(size * 0.75) AS BIGINT) AS high FROM d), c AS (SELECT path, high AS eff_size, low, substr(hex(encode(text)), 1 + 2 * low, 2 * (high - low)) AS part FROM s WHERE low < high)
+SELECT path, eff_size, sha256(unhex(part)) AS checksum FROM (SELECT *, count(*) OVER (PARTITION BY eff_size, low, part) AS n FROM c) WHERE n > 1""")
+def clamped_shares_documents(spark, sf_dir):
+    return sieve.sieve(documents(spark, sf_dir).filter("size >= 1"), Config(clamp_low=parsing.clamp("25%"), clamp_high=parsing.clamp(".75"))).select("path", "eff_size", "checksum")
+
+
+def _ranked(spark, sf_dir) -> DataFrame:
+    """Documents with times, links and roots that differ inside groups."""
+    n = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.when(n % 2 == 0, F.concat("lang", F.lit("/in"))).otherwise(F.col("lang")), n.cast("string"))
+    return records.as_records(_table(spark, sf_dir, "documents").filter("octet_length(text) >= 1"), path, F.col("text"), mtime=(n % 3).cast("double"), link_count=(n % 4 + 1).cast("int"), path_index=(n % 3).cast("int"))
+
+
+_ORDERS = {
+    "mA": "doc_id % 3, base DESC", "MA": "doc_id % 3 DESC, base DESC", "lm": "strlen(base), doc_id % 3", "LM": "strlen(base) DESC, doc_id % 3 DESC", "dA": "doc_id % 2 DESC, base DESC", "Da": "doc_id % 2, base", "ha": "doc_id % 4, base", "Ha": "doc_id % 4 DESC, base",
+    "oA": "doc_id % 4, base DESC", "OA": "doc_id % 4 DESC, base DESC", "pA": "doc_id % 3, base DESC", "Pa": "doc_id % 3 DESC, base", "x<[02468]$>A": "base NOT SIMILAR TO '.*[02468]', base DESC", "X<[02468]$>a": "base SIMILAR TO '.*[02468]', base", "r</in/>A": "doc_id % 2, base DESC",
+    "R</in/>a": "doc_id % 2 DESC, base", "pOma": "doc_id % 3, doc_id % 4 DESC, doc_id % 3, base",
+}
+
+
+def _rank_query(spec: str, order: str) -> None:
+    def run(spark, sf_dir):
+        return sieve.duplicates(_ranked(spark, sf_dir), Config(rank=spec)).select("path", "rank_in_group", "is_original")
+
+    letters = [spec[0], *spec.rpartition(">")[2]] if "<" in spec else list(spec)
+    run.__name__ = "rank" + "".join(f"_{c.lower()}_down" if c.isupper() else f"_{c}" for c in letters) + "_documents"
+    query(f"""WITH d AS (SELECT *, concat_ws('/', source, CASE WHEN doc_id % 2 = 0 THEN concat(lang, '/in') ELSE lang END, CAST(doc_id AS VARCHAR)) AS path, CAST(doc_id AS VARCHAR) AS base FROM documents WHERE strlen(text) >= 1),
+m AS (SELECT *, count(*) OVER (PARTITION BY text) AS n, row_number() OVER (PARTITION BY text ORDER BY {order}, path) AS rk FROM d)
+SELECT path, rk AS rank_in_group, rk = 1 AS is_original FROM m WHERE n > 1""")(run)
+
+
+for _spec, _order in _ORDERS.items():
+    _rank_query(_spec, _order)
+
+
+@query(f"""WITH d AS (SELECT DISTINCT path, content, inode FROM ({_LINE})), m AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY lower(list_last(string_split(path, '/'))), path) = 1 AS orig FROM d)
+SELECT path, max(CAST(orig AS INT)) OVER (PARTITION BY content, inode) = 1 AS is_original FROM m""")
+def keep_hardlinked_lines(spark, sf_dir):
+    single = lines(spark, sf_dir).dropDuplicates(["path"])
+    cfg = Config(rank="a", keep_hardlinked=True)
+    return sieve.duplicates(single, cfg).select("path", "is_original")
+
+
+@query(f"""WITH d AS ({_DOC}), k AS (SELECT *, CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END AS kind, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d), h AS (SELECT * FROM k WHERE n > 1 AND rk = 1)
+SELECT sha256(text) AS checksum, row_number() OVER (ORDER BY kind, size * (n - 1) DESC, path) AS group_rank FROM h""")
+def group_types_documents(spark, sf_dir):
+    """Types come first in the order of groups: other lint, parts of directories, directories, files."""
+    found = once(sieve.duplicates(documents(spark, sf_dir), _NAMED))
+    heads = found.filter("rank_in_group = 1").select("checksum", F.split("path", "/")[1].alias("lang"))
+    kind = F.when(F.col("lang") == "en", "duplicate_file").when(F.col("lang") == "de", "duplicate_dir").when(F.col("lang") == "fr", "part_of_directory").otherwise("emptyfile")
+    typed = found.drop("type").join(heads, "checksum").withColumn("type", kind).drop("lang")
+    return rank.order_groups(typed, "S", _group()).filter("rank_in_group = 1").select("checksum", "group_rank")
+
+
+_TYPES = "['badlink', 'emptydir', 'emptyfile', 'nonstripped', 'baduid', 'badgid', 'badugid']"
+
+
+@query(f"SELECT o_orderkey, {_TYPES}[o_orderkey % 7 + 1] AS type, CAST(o_orderkey % 7 AS INT) AS lint_rank FROM orders WHERE epoch_us(o_orderdate) / 1e6 >= 852076800 AND o_orderkey % 3 <> 0")
+def reported_lint_orders(spark, sf_dir):
+    """Orders as lint of seven types: new enough, and not protected by a tag."""
+    kinds = F.array(*(F.lit(t) for t in parsing.LINT_TYPES[:7]))
+    found = _table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(kinds, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("type"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("mtime"), (F.col("o_orderkey") % 3 == 0).alias("is_tagged"))
+    return lint.reported(found, Config(newer_than=852076800.0, keep_all_tagged=True)).select("o_orderkey", "type", "lint_rank")
+
+
+@query(f"SELECT o_orderkey, CASE {_TYPES}[o_orderkey % 7 + 1] WHEN 'emptydir' THEN 'remove_dir' WHEN 'emptyfile' THEN 'remove' WHEN 'badlink' THEN 'remove' WHEN 'nonstripped' THEN 'strip' WHEN 'baduid' THEN 'set_user' WHEN 'badgid' THEN 'set_group' ELSE 'set_user_and_group' END AS action FROM orders")
+def lint_actions_orders(spark, sf_dir):
+    kinds = F.array(*(F.lit(t) for t in parsing.LINT_TYPES[:7]))
+    return formats.lint_actions(_table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(kinds, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("type"))).select("o_orderkey", "action")
+
+
+@query(f"WITH d AS ({_LINE}) SELECT path, l_linenumber AS line FROM d WHERE l_suppkey % 10 NOT IN (3, 4)")
+def known_devices_lines(spark, sf_dir):
+    """Lines on devices by supplier, two of which hold file systems that are left out."""
+    mounts = spark.range(10).select(F.col("id").alias("dev"), F.col("id").isin(3, 4).alias("is_ignored"))
+    found = lines(spark, sf_dir).withColumn("dev", F.col("l_suppkey") % 10)
+    return records.on_known_devices(found, mounts).select("path", F.col("path_index").alias("line"))
+
+
+@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT path, rk = 1 AS is_original FROM m WHERE n > 1 AND abs(doc_id % 3 * 0.04) <= 0.05")
+def still_there_documents(spark, sf_dir):
+    """A stored result, of which a third has been changed since."""
+    result = sieve.duplicates(documents(spark, sf_dir), _NAMED)
+    now = documents(spark, sf_dir).select("path", (F.expr("CAST(split(path, '/')[2] AS BIGINT) % 3") * 0.04).alias("mtime"))
+    return requery.still_there(result, now).select("path", "is_original")
+
+
+@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT CAST(sum(CASE WHEN rk = 1 THEN 0 WHEN lang = 'de' THEN doc_id % 5 + 1 ELSE 1 END) AS BIGINT) AS duplicates, count(DISTINCT (lang = 'de', text)) AS duplicate_sets, CAST(sum(size) FILTER (rk > 1) AS BIGINT) AS duplicate_bytes FROM m WHERE n > 1")
+def result_statistics_documents(spark, sf_dir):
+    """German rows stand for directories, which count their files."""
+    german = F.contains("path", F.lit("/de/"))
+    result = sieve.duplicates(documents(spark, sf_dir), _NAMED).withColumn("type", F.when(german, "duplicate_dir").otherwise("duplicate_file"))
+    return requery.statistics(result.withColumn("n_children", F.expr("CAST(split(path, '/')[2] AS BIGINT) % 5 + 1")))
+
+
+@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d), l AS (SELECT path, doc_id % 2 = 0 AS is_original FROM d WHERE doc_id % 3 = 0) SELECT path, CASE WHEN l.path LIKE 'src1/%' THEN NOT l.is_original ELSE l.is_original END AS is_original FROM m JOIN l USING (path) WHERE n > 1")
+def allowed_and_toggled_documents(spark, sf_dir):
+    """A result cut down to an allow-list with its own verdicts, of which those of one source are turned over."""
+    number = F.expr("CAST(split(path, '/')[2] AS BIGINT)")
+    allow = documents(spark, sf_dir).filter(number % 3 == 0).select("path", (number % 2 == 0).alias("is_original"))
+    listed = tree.allowed(sieve.duplicates(documents(spark, sf_dir), _NAMED), allow)
+    return tree.toggled(listed, F.startswith("path", F.lit("src1/"))).select("path", "is_original")
+
+
+@query(f"WITH d AS ({_DOC}), c AS (SELECT min(sha256(text)) AS checksum FROM (SELECT text FROM d GROUP BY text HAVING count(*) > 1)) SELECT path FROM d, c WHERE sha256(text) = c.checksum")
+def group_lookup_documents(spark, sf_dir):
+    found = once(sieve.duplicates(documents(spark, sf_dir), _NAMED))
+    return tree.of_group(found, found.agg(F.min("checksum")).first()[0]).select("path")
+
+
+@query("SELECT concat_ws('/', source, lang, doc_id) AS path FROM documents WHERE CAST(doc_id % 4000 AS DOUBLE) * 86400 BETWEEN 8640000 AND 17280000 AND contains(lang, 'e')")
+def query_dates_documents(spark, sf_dir):
+    """Terms of one letter are no filter; dates may be text or seconds."""
+    found = documents(spark, sf_dir).withColumn("mtime", (F.expr("CAST(split(path, '/')[2] AS BIGINT)") % 4000).cast("double") * 86400)
+    return query_language.query(found.filter(F.contains(F.split("path", "/")[1], F.lit("e"))), "mtime:1970-04-11T00:00:00-17280000 x").select("path")
 
 
 # Scalars.
@@ -427,6 +649,18 @@ def human_size_orders(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", C.human_size((F.col("o_orderkey") * 100).cast("long")).alias("human"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN s < 1024 THEN format('{:.1f} B', s) WHEN s < 1048576 THEN format('{:.1f} KB', s / 1024.0) ELSE format('{:.1f} MB', s / 1048576.0) END AS human, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch_us(o_orderdate) AS back,
+CASE WHEN abs(o_totalprice - 100000) <= 5000 THEN 0 WHEN o_totalprice < 100000 THEN -1 ELSE 1 END AS compared, regexp_matches(o_orderpriority, '^[12]') AS urgent, CAST(floor(100 * (o_orderkey % 120) / 120) AS BIGINT) AS percent, to_json(concat(o_orderpriority, '"', chr(10), o_orderstatus)) AS quoted
+FROM (SELECT *, CAST(o_orderkey * 97 AS DOUBLE) AS s FROM orders)""")
+def scalar_functions_orders(spark, sf_dir):
+    stamp = F.col("o_orderdate").cast("timestamp")
+    iso = C.to_iso(stamp)
+    return _table(spark, sf_dir, "orders").select(
+        "o_orderkey", C.human_size_steps((F.col("o_orderkey") * 97).cast("double")).alias("human"), iso.alias("iso"), F.unix_micros(C.from_iso(iso)).alias("back"), C.compare_close(F.col("o_totalprice"), F.lit(100000.0), 5000.0).alias("compared"),
+        C.matches(F.col("o_orderpriority"), "^[12]").alias("urgent"), C.progress_percent(F.col("o_orderkey") % 120, F.lit(120)).cast("long").alias("percent"), C.json_string(F.concat("o_orderpriority", F.lit('"\n'), "o_orderstatus")).alias("quoted"),
+    )
+
+
 # Sinks as plans.
 
 
@@ -445,14 +679,45 @@ def blocks_sink_documents(spark, sf_dir):
     return formats.blocks(sieve.duplicates(documents(spark, sf_dir), _NAMED), _group())
 
 
-@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n, first_value(path) OVER (PARTITION BY text ORDER BY NOT tagged, base, path) AS head FROM d) SELECT path, head AS original_path, CASE WHEN rk = 1 THEN 'keep' ELSE 'hardlink' END AS action FROM m WHERE n > 1")
+_DEVICE = "CAST(substr(source, 4) AS INT) % 3"
+
+
+@query(f"""WITH d AS ({_DOC}), m AS (SELECT *, {_DEVICE} AS dev, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d), h AS (SELECT text, path AS head, dev AS head_dev FROM m WHERE rk = 1)
+SELECT path, head AS original_path, CASE WHEN rk = 1 THEN 'keep' WHEN dev = head_dev AND dev = 0 THEN 'clone' WHEN dev = head_dev THEN 'hardlink' ELSE 'symlink' END AS action FROM m JOIN h USING (text) WHERE n > 1""")
 def action_plan_documents(spark, sf_dir):
-    return formats.actions(sieve.duplicates(documents(spark, sf_dir), _NAMED), _group(), formats.PRESETS["link"]).select("path", "original_path", "action")
+    """Three devices, one of which can share extents."""
+    found = documents(spark, sf_dir).withColumn("dev", F.expr("CAST(substr(split(path, '/')[0], 4) AS INT) % 3").cast("long"))
+    capable = spark.range(1).select(F.col("id").alias("dev"))
+    return formats.actions(sieve.duplicates(found, _NAMED), _group(), formats.PRESETS["clone"], reflink_devices=capable).select("path", "original_path", "action")
+
+
+@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n, first_value(path) OVER (PARTITION BY text ORDER BY NOT tagged, base, path) AS head FROM d) SELECT concat(CASE WHEN rk = 1 THEN 'keep' ELSE 'remove' END, ' ', chr(39), path, chr(39), ' ', chr(39), head, chr(39)) AS value FROM m WHERE n > 1")
+def script_lines_documents(spark, sf_dir):
+    return scripts.script_lines(formats.actions(sieve.duplicates(documents(spark, sf_dir), _NAMED), _group()))
 
 
-@query()
+@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT 'duplicate_file' AS type, path, size, sha256(text) AS checksum, rk = 1 AS is_original, n AS twins, 100 AS progress FROM m WHERE n > 1")
 def json_sink_documents(spark, sf_dir):
-    return formats.json_lines(sieve.duplicates(documents(spark, sf_dir), _NAMED))
+    """The lines of the JSON result, read back."""
+    written = formats.json_lines(sieve.duplicates(documents(spark, sf_dir), _NAMED))
+    return written.select(F.from_json("value", "type string, path string, size long, checksum string, is_original boolean, twins long, progress int").alias("r")).select("r.*")
+
+
+@query(f"""WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d), s AS (SELECT count(*) FILTER (rk > 1) AS duplicates, count(DISTINCT text) AS duplicate_sets, CAST(sum(size) FILTER (rk > 1) AS BIGINT) AS extra FROM m WHERE n > 1)
+SELECT (SELECT count(*) FROM d) AS total_files, duplicates, duplicate_sets, CASE WHEN extra < 512 THEN format('{{:d}} B', extra) WHEN extra < 524288 THEN format('{{:.2f}} KB', extra / 1024.0) ELSE format('{{:.2f}} MB', extra / 1048576.0) END AS size FROM s""")
+def summary_documents(spark, sf_dir):
+    found = documents(spark, sf_dir).filter("size >= 1")
+    return formats.summary(sieve.duplicates(found, _NAMED), _group(), found.count(), [("json", "r.json")]).drop("outputs")
+
+
+@query(f"""WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d),
+s AS (SELECT CAST(sum(size) FILTER (n > 1 AND rk = 1) AS BIGINT) AS original_bytes, CAST(sum(size) FILTER (n > 1 AND rk > 1) AS BIGINT) AS duplicate_bytes, CAST(sum(size) FILTER (n = 1) AS BIGINT) AS unique_bytes, CAST(sum(size) AS BIGINT) AS read_bytes FROM m)
+SELECT original_bytes, duplicate_bytes, unique_bytes, read_bytes, round(duplicate_bytes / read_bytes, 9) AS read_ratio, round(duplicate_bytes / (original_bytes + duplicate_bytes + unique_bytes), 9) AS total_ratio FROM s""")
+def stats_documents(spark, sf_dir):
+    found = documents(spark, sf_dir).filter("size >= 1")
+    members = once(sieve.duplicates(found, _NAMED))
+    told = formats.stats(members, sieve.uniques(found, _NAMED, members), found.select(F.col("size").alias("bytes")))
+    return told.withColumn("read_ratio", F.round("read_ratio", 9)).withColumn("total_ratio", F.round("total_ratio", 9))
 
 
 @query(f"""WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d)
