@@ -131,3 +131,45 @@ def test_file_tree_as_a_run(spark, tmp_path):
     times = spark.createDataFrame([(str(tmp_path / "t/a"), 9.0), (str(tmp_path / "t/b"), 1.0)], "path string, mtime double")
     first = {os.path.relpath(r["dir"], tmp_path): r.is_original for r in directories.duplicate_dirs(own, members, Config(rank="m"), None, None, times).collect()}
     assert first == {"t/a": False, "t/b": True}
+
+
+def test_walk_options(spark, tmp_path):
+    """Links, hidden entries, permissions, devices and roots that are no directories."""
+    for name in ("d/x", "d/.h/y", "d/run"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("text")
+    os.chmod(tmp_path / "d/run", 0o755)
+    os.symlink(tmp_path / "d/x", tmp_path / "d/link")
+    os.symlink("nowhere", tmp_path / "lost")
+    os.symlink(tmp_path / "d", tmp_path / "d/loop")
+    root = [(str(tmp_path / "d"), 0, False)]
+
+    def kinds(roots=root, **how):
+        return {os.path.relpath(r.path, tmp_path): (r.kind, r.is_symlink) for r in fs.read_tree(spark, roots, **how).collect()}
+
+    assert kinds()["d/link"] == ("symlink", True) and kinds()["d/loop"] == ("symlink", True)
+    assert "d/link" not in kinds(symlinks="ignore")
+    followed = kinds(symlinks="follow")
+    assert followed["d/link"] == ("file", False) and "d/loop/loop" not in followed
+    assert kinds([(str(tmp_path / "lost"), 0, True)]) == {"lost": ("badlink", True)}
+    assert kinds([(str(tmp_path / "d/x"), 0, True)]) == {"d/x": ("file", False)}
+    assert kinds()["d/.h"][0] == "skipped" and {r.is_hidden for r in fs.read_tree(spark, root, hidden="partial").filter("path LIKE '%/.h/y'").collect()} == {True}
+    assert kinds(permissions="x")["d/run"][0] == "file" and kinds(permissions="x")["d/x"][0] == "skipped"
+    assert kinds(cross_devices=False)["d/x"][0] == "file"
+    assert "d/x" not in kinds(exclude=[str(tmp_path / "d/x")])
+    assert [r.content for r in fs.with_content(fs.read_tree(spark, root).filter("kind = 'symlink' AND path LIKE '%link'")).collect()] == [str(tmp_path / "d/x").encode()]
+    mounts = fs.mount_table(spark, "22 1 0:21 / /proc rw - proc proc rw\n25 1 8:1 / / rw shared:1 - btrfs /dev/x rw\n")
+    assert {r.fs_type: (r.is_ignored, r.can_reflink) for r in mounts.collect()} == {"proc": (True, False), "btrfs": (False, True)}
+    users, groups = fs.known_ids(spark)
+    assert users.filter("uid = 0").count() == 1 and groups.filter("gid = 0").count() == 1
+
+
+def test_links_are_compared_by_target(spark, tmp_path):
+    (tmp_path / "x").write_text("target")
+    for name in ("a", "b"):
+        os.symlink("x", tmp_path / name)
+    os.symlink("y", tmp_path / "c")
+    (tmp_path / "file").write_text("x")
+    rows = fs.read_tree(spark, [(str(tmp_path), 0, False)]).filter("kind IN ('file', 'symlink', 'badlink')")
+    got = sieve.duplicates(rows, Config(rank="a")).collect()
+    assert sorted(os.path.basename(r.path) for r in got) == ["a", "b"]

@@ -644,9 +644,11 @@ def path_functions_pages(spark, sf_dir):
     )
 
 
-@query("SELECT o_orderkey, CASE WHEN s < 512 THEN format('{:d} B', s) WHEN s < 524288 THEN format('{:.2f} KB', s / 1024.0) ELSE format('{:.2f} MB', s / 1048576.0) END AS human FROM (SELECT o_orderkey, CAST(o_orderkey * 100 AS BIGINT) AS s FROM orders)")
+@query("""SELECT o_orderkey, CASE WHEN s < 512 THEN format('{:d} B', s) WHEN s < 524288 THEN format('{:.2f} KB', s / 1024.0) WHEN s < 536870912 THEN format('{:.2f} MB', s / 1048576.0) ELSE format('{:.2f} GB', s / 1073741824.0) END AS human
+FROM (SELECT o_orderkey, CAST(o_orderkey * 100 * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 10007 END AS BIGINT) AS s FROM orders)""")
 def human_size_orders(spark, sf_dir):
-    return _table(spark, sf_dir, "orders").select("o_orderkey", C.human_size((F.col("o_orderkey") * 100).cast("long")).alias("human"))
+    size = F.col("o_orderkey") * 100 * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(10007)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", C.human_size(size.cast("long")).alias("human"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s < 1024 THEN format('{:.1f} B', s) WHEN s < 1048576 THEN format('{:.1f} KB', s / 1024.0) ELSE format('{:.1f} MB', s / 1048576.0) END AS human, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch_us(o_orderdate) AS back,

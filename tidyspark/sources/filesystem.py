@@ -86,11 +86,12 @@ class TreeReader(DataSourceReader):
 
     def read(self, walk: _Walk) -> Iterator[pa.RecordBatch]:
         try:
-            device = os.stat(walk.root).st_dev
+            root = os.stat(walk.root)
+            device, above = root.st_dev, frozenset({(root.st_dev, root.st_ino)} if walk.depth else ())
         except OSError:
-            device = None
+            device, above = None, frozenset()
         rows = []
-        for row in self._visit(walk, device):
+        for row in self._visit(walk, device, above):
             rows.append(row)
             if len(rows) == 4096:
                 yield self._batch(rows)
@@ -104,8 +105,8 @@ class TreeReader(DataSourceReader):
         fields = [pa.field(n, kinds[t]) for n, t in (x.split() for x in SCHEMA.split(", "))]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
-    def _visit(self, walk: _Walk, device: int | None) -> Iterator[tuple]:
-        stack = [(walk.path, walk.depth, frozenset())]
+    def _visit(self, walk: _Walk, device: int | None, above: frozenset) -> Iterator[tuple]:
+        stack = [(walk.path, walk.depth, above)]
         while stack:
             path, depth, above = stack.pop()
             name = os.path.basename(path)
