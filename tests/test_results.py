@@ -160,6 +160,17 @@ def test_abort_keeps_what_is_written(spark, tmp_path):
         Run(spark).write([("bad", lambda: 1 / 0)])
 
 
+def test_blocks(spark, tmp_path):
+    cfg = Config(rank="a")
+    found = sieve.duplicates(rows(spark, [("a", "x"), ("b", "x"), ("c", "yy"), ("d", "yy"), ("e", "yy")]), cfg)
+    group = sieve.group_keys(cfg)
+    for how, want in (({}, {"a\nb", "c\nd\ne"}), ({"omit_first": True}, {"b", "d\ne"}), ({"same_line": True}, {"a b", "c d e"})):
+        formats.write_blocks(found, group, str(tmp_path / "blocks"), **how)
+        text = (tmp_path / "blocks").read_text()
+        assert set(filter(None, text.split("\n" if "same_line" in how else "\n\n"))) == want
+        (tmp_path / "blocks").unlink()
+
+
 def test_pace():
     pace = formats.Pace(2)
     assert pace.sample(0, 100, now=0) is None

@@ -676,9 +676,9 @@ def uniques_sink_documents(spark, sf_dir):
     return formats.unique_paths(sieve.uniques(documents(spark, sf_dir), _NAMED))
 
 
-@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT concat(string_agg(path, chr(10) ORDER BY rk), chr(10)) AS value FROM m WHERE n > 1 GROUP BY text")
+@query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT sha256(text) AS checksum, rk AS rank_in_group, concat(path, chr(10), CASE WHEN rk = n THEN chr(10) ELSE '' END) AS value FROM m WHERE n > 1")
 def blocks_sink_documents(spark, sf_dir):
-    return formats.blocks(sieve.duplicates(documents(spark, sf_dir), _NAMED), _group())
+    return formats.blocks(sieve.duplicates(documents(spark, sf_dir), _NAMED), _group()).select("checksum", "rank_in_group", "value")
 
 
 _DEVICE = "CAST(substr(source, 4) AS INT) % 3"

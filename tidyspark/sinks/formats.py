@@ -84,10 +84,22 @@ def write_uniques(rows: DataFrame, path: str, print0: bool = False, cfg: Config
 
 
 def blocks(members: DataFrame, group: list[str], omit_first: bool = False, same_line: bool = False) -> DataFrame:
-    """One text per group, its paths by rank; a blank line ends a block."""
+    """Members in the order of groups and ranks with ``value``, the path and what ends it: a blank line ends a block, or a line where blocks are on one.
+
+    A group is a stretch of rows, never one text.
+    """
     shown = members.filter("NOT is_original") if omit_first else members
-    paths = F.transform(F.sort_array(F.collect_list(F.struct("rank_in_group", "path"))), lambda x: x["path"])
-    return shown.groupBy(*group).agg(F.concat(F.array_join(paths, " " if same_line else "\n"), F.lit("" if same_line else "\n")).alias("value")).select("value")
+    last = shown.groupBy(*group).agg(F.max("rank_in_group").alias("__last"))
+    ends = F.when(F.col("rank_in_group") == F.col("__last"), F.lit("\n" if same_line else "\n\n")).otherwise(F.lit(" " if same_line else "\n"))
+    return shown.join(last, group).orderBy(*group, "rank_in_group").select(*group, "rank_in_group", F.concat("path", ends).alias("value"))
+
+
+def write_blocks(members: DataFrame, group: list[str], path: str, omit_first: bool = False, same_line: bool = False) -> None:
+    """All blocks in one local file, streamed by the driver."""
+    backup(path)
+    with open(path, "w") as out:
+        for row in blocks(members, group, omit_first, same_line).toLocalIterator():
+            out.write(row["value"])
 
 
 #: Order in which actions are tried, by preset.
