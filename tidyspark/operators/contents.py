@@ -1,10 +1,10 @@
 """Where the sieve gets digests from, without a content in any shuffle.
 
-``Column`` contents stand in the records: digests are taken where the rows are scanned, and only they travel.  A second scan takes the
-whole digests of records that still have a partner; it finds them by a table of at most ``SLOTS`` hash slots, so that what is
-broadcast has a fixed size.  A record whose slot is shared by chance is hashed in vain, and no more.
+Contents in a column stand in the records: digests are taken where the rows are scanned, and only they travel.  A content that is no longer than
+the first prefix gets its digest at once; of longer ones a second scan takes the digests if they still have a partner.  It finds them by a table of at
+most ``SLOTS`` hash slots, so that what is broadcast has a fixed size.  A record whose slot is shared by chance is hashed in vain, and no more.
 
-``File`` contents are read by path where their task runs, once for each inode: first a prefix, then longer ones, each only of files that
+Contents in files are read by path where their task runs, once for each inode: first a prefix, then longer ones, each only of files that
 still have a partner, and the rest in chunks.  A file without a partner of its size is never opened.
 """
 
@@ -40,13 +40,24 @@ class InColumn:
     reads_files = False
     _keys = ["path", "start", "eff_size", "prefix"]
 
-    def __init__(self, records: DataFrame, prefix_bytes: int):
+    def __init__(self, records: DataFrame, prefix_bytes: int, algorithm: str):
         beginning = F.xxhash64(sliced(F.col("content"), prefix_bytes)) if prefix_bytes else F.lit(0).cast("long")
         self._records = records.withColumn("prefix", F.when(F.col("content").isNotNull(), beginning))
+        self._algorithm = algorithm
+        self._long = (F.col("eff_size") - F.col("start") > prefix_bytes) & F.col("cached_checksum").isNull()
 
     def rows(self) -> DataFrame:
-        """The records without content; ``prefix`` is a hash of its beginning, null if there is none."""
-        return self._records.drop("content")
+        """The records without content; ``prefix`` is a hash of its beginning, null if there is none, and ``checksum`` the digest of a short one."""
+        if self._algorithm == "paranoid":
+            return self._records.drop("content")
+        short = F.when(~self._long & F.col("cached_checksum").isNull(), sliced(F.col("content")))
+        return self._records.withColumn("checksum", digest(short, self._algorithm)).drop("content")
+
+    def known(self, rows: DataFrame) -> DataFrame | None:
+        """The written rows with their checksums, if no content is long."""
+        if self._algorithm == "paranoid" or rows.filter(self._long).limit(1).count():
+            return None
+        return rows
 
     def staged(self, members: DataFrame, alive: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
         return alive(members, F.col("prefix"))
@@ -59,8 +70,9 @@ class InColumn:
 
     def digests(self, members: DataFrame, wanted: Column, algorithm: str) -> DataFrame:
         """Members with ``checksum`` where ``wanted``."""
-        taken = self._of(members.filter(wanted)).select(*self._keys, digest(sliced(F.col("content")), algorithm).alias("checksum"))
-        return members.join(taken.dropDuplicates(self._keys), self._keys, "left")
+        taken = self._of(members.filter(wanted & self._long)).filter(self._long).select(*self._keys, digest(sliced(F.col("content")), algorithm).alias("__digest"))
+        found = members.join(taken.dropDuplicates(self._keys), self._keys, "left")
+        return found.withColumn("checksum", F.coalesce("checksum", "__digest")).drop("__digest")
 
     def compared(self, members: DataFrame, group: list[str]) -> DataFrame:
         """Members whose bytes another one of the group has, with ``checksum``.  Their contents have to travel for that."""
@@ -109,12 +121,15 @@ class InFile:
 
     reads_files = True
 
-    def __init__(self, records: DataFrame, prefix_bytes: int):
+    def __init__(self, records: DataFrame, prefix_bytes: int, algorithm: str = ""):
         self._records, self._prefix_bytes = records, prefix_bytes
 
     def rows(self) -> DataFrame:
         return self._records
 
+    def known(self, rows: DataFrame) -> DataFrame | None:
+        return None
+
     def staged(self, members: DataFrame, alive: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
         """Members that have a partner after prefixes of growing length, as long as there are longer files."""
         step = self._prefix_bytes

@@ -78,8 +78,12 @@ def sieve(records: DataFrame, cfg: Config) -> DataFrame:
     group = size_keys(cfg)
     paranoid = cfg.algorithm == "paranoid"
     ready = newer(effective(records, cfg), cfg)
-    source = (InColumn if "content" in records.columns else InFile)(ready, cfg.prefix_bytes)
+    source = (InColumn if "content" in records.columns else InFile)(ready, cfg.prefix_bytes, cfg.algorithm)
     rows = once(_described(source.rows(), cfg), "records")
+    known = source.known(rows)
+    if known is not None:
+        members = known.withColumn("checksum", F.coalesce("cached_checksum", "checksum")).filter("checksum IS NOT NULL").drop("prefix")
+        return split(qualified(members, cfg, _content_keys(cfg)), cfg, rows)
     some_cached = bool(rows.filter("cached_checksum IS NOT NULL").limit(1).count())
 
     def alive(members: DataFrame, beginning: Column) -> DataFrame:
@@ -157,7 +161,7 @@ def duplicates(records: DataFrame, cfg: Config) -> DataFrame:
 
 
 def _hashed(records: DataFrame, cfg: Config) -> DataFrame:
-    """Records without content, with ``checksum`` where another record has the size: those are the ones that a run comes to read."""
+    """Records without content, with ``checksum`` where another record has the size: those are the ones that a run would have to read."""
     ready = effective(records, cfg)
     shared = ready.drop("content").groupBy("eff_size", "start", "is_symlink").agg((F.count("*") > 1).alias("__shared"))
     algorithm = "sha256" if cfg.algorithm == "paranoid" else cfg.algorithm
