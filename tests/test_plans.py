@@ -69,5 +69,5 @@ def test_streaming_law_of_digests():
     whole = b"1" * 10000
     for name in ("md5", "sha256", "blake2b", "sha3-256"):
         assert len({digests.streamed([whole[i : i + n] for i in range(0, 10000, n)], name) for n in (1, 1024, 4096, 20000)}) == 1
-    assert digests.xor_words(b"abcdefgh12345678") == digests.xor_words(b"12345678abcdefgh")
+    assert digests.xor_words(b"a" * 64 + b"b" * 64) == digests.xor_words(b"b" * 64 + b"a" * 64) != digests.xor_words(b"a" * 128)  # stretches of 64 bytes in any order
     assert C.elapsed(90061.5) == "1d 1h 1m 1.500s"

@@ -48,6 +48,29 @@ def test_digest_values(spark, name):
     assert digests.streamed((raw[k : k + 777] for k in range(0, len(raw), 777)), name) == got[3]
 
 
+@pytest.mark.parametrize("name, empty, lanes, block", [
+    ("blake2bp", "b5ef811a8038f70b628fa8b294daae7492b1ebe343a80eaabbf1f6ae664dd67b9d90b0120791eab81dc96985f28849f6a305186a85501b405114bfa678df9380", 4, 128),
+    ("blake2sp", "dd0e891776933f43c7d032b08a917e25741f8aa9a12c12e1cac8801500f2ca4f", 8, 64),
+])
+def test_parallel_digests(spark, name, empty, lanes, block):
+    """The published digest of nothing, and the tree worked out leaf by leaf."""
+    make, size = (hashlib.blake2b, 64) if name == "blake2bp" else (hashlib.blake2s, 32)
+
+    def known(raw):
+        root = make(digest_size=size, fanout=lanes, depth=2, inner_size=size, node_depth=1, last_node=True)
+        for k in range(lanes):
+            mine = b"".join(raw[at : at + block] for at in range(k * block, len(raw), lanes * block))
+            root.update(make(mine, digest_size=size, fanout=lanes, depth=2, inner_size=size, node_offset=k, last_node=k == lanes - 1).digest())
+        return root.hexdigest()
+
+    assert digests.streamed([], name) == empty
+    for n in (1, block, lanes * block - 1, lanes * block, 5 * lanes * block + 77):
+        raw = bytes(k * 7 % 251 for k in range(n))
+        assert digests.streamed((raw[k : k + 100] for k in range(0, n, 100)), name) == known(raw)
+    df = spark.createDataFrame([("",), (None,), ("x" * 3000,)], "t string")
+    assert [r.d for r in df.select(digests.digest(F.col("t"), name).alias("d")).collect()] == [empty, None, known(b"x" * 3000)]
+
+
 def test_shell_script(spark, tmp_path):
     for name, text in (("a", "same"), ("it's b", "same"), ("c", "same"), ("other", "differs")):
         (tmp_path / name).write_text(text)

@@ -20,8 +20,10 @@ _NATIVE = {
 _HASHLIB = {"sha3-256": "sha3_256", "sha3-384": "sha3_384", "sha3-512": "sha3_512", "blake2b": "blake2b", "blake2s": "blake2s"}
 _SYNONYMS = {"sha3": "sha3-256", "sha-1": "sha1", "sha-256": "sha256", "sha-512": "sha512"}
 #: Known names without an implementation in this environment.
-UNSUPPORTED = ("blake2bp", "blake2sp", "murmur", "metro", "metro256", "metrocrc", "metrocrc256", "highway", "highway64", "highway128", "highway256")
-ALGORITHMS = (*_NATIVE, *_HASHLIB, "paranoid", "cumulative", "ext")
+UNSUPPORTED = ("murmur", "metro", "metro256", "metrocrc", "metrocrc256", "highway", "highway64", "highway128", "highway256")
+#: Parallel forms: hash, lanes, bytes of a block, bytes of the digest.  Fixed values.
+_PARALLEL = {"blake2bp": (hashlib.blake2b, 4, 128, 64), "blake2sp": (hashlib.blake2s, 8, 64, 32)}
+ALGORITHMS = (*_NATIVE, *_HASHLIB, *_PARALLEL, "paranoid", "cumulative", "ext")
 #: From -PPP to -ppp: the digest for each level of caution.
 LANES = 8  # words of eight bytes in the cumulative digest
 LEVELS = {-3: "xxhash", -2: "xxhash", -1: "sha256", 0: "blake2b", 1: "paranoid", 2: "paranoid"}
@@ -51,11 +53,15 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
         return cumulative(raw)
     if name == "ext":
         return F.lower(content.cast("string"))
-    kind = _HASHLIB[name]
+
+    def whole(value: bytes) -> str:
+        state = new_state(name)
+        state.update(value)
+        return state.hexdigest()
 
     @F.pandas_udf(StringType())
     def hashed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hashlib.new(kind, v).hexdigest())
+        return values.map(lambda v: None if v is None else whole(v))
 
     return hashed(raw)
 
@@ -94,11 +100,39 @@ class _Words:
         return "".join(f"{x:016x}" for x in (self.lanes ^ last).tolist())
 
 
+class _Lanes:
+    """A tree of two levels: blocks go to the leaves in turn, and the root hashes the leaves' digests."""
+
+    def __init__(self, make, lanes: int, block: int, size: int):
+        self._block, self._rest, self._size = block, b"", size
+        self._node = lambda **place: make(digest_size=size, fanout=lanes, depth=2, inner_size=size, **place)
+        self._leaves = [self._node(node_offset=k, node_depth=0, last_node=k == lanes - 1) for k in range(lanes)]
+
+    def update(self, chunk: bytes) -> None:
+        raw, step = self._rest + chunk, self._block * len(self._leaves)
+        whole = len(raw) - len(raw) % step
+        if whole:
+            blocks = np.frombuffer(raw[:whole], np.uint8).reshape(-1, len(self._leaves), self._block)
+            for k, leaf in enumerate(self._leaves):
+                leaf.update(blocks[:, k].tobytes())
+        self._rest = raw[whole:]
+
+    def hexdigest(self) -> str:
+        root = self._node(node_offset=0, node_depth=1, last_node=True)
+        for k, leaf in enumerate(self._leaves):
+            last = leaf.copy()
+            last.update(self._rest[k * self._block : (k + 1) * self._block])
+            root.update(last.digest())
+        return root.hexdigest()
+
+
 def new_state(algorithm: str):
     """An object with ``update`` and ``hexdigest``."""
     name = canonical_name(algorithm)
     if name == "cumulative":
         return _Words()
+    if name in _PARALLEL:
+        return _Lanes(*_PARALLEL[name])
     if name == "xxhash":
         import xxhash
 
