@@ -130,7 +130,7 @@ def test_search_recall(spark, n, how, least):
 @pytest.mark.parametrize("kind", ["unit", "one large vector", "skewed"])
 def test_search_recall_with_uneven_norms(spark, kind):
     r = np.random.default_rng(8)
-    x = r.standard_normal((6000, 64))
+    x = r.standard_normal((12_000, 64))  # as many as the smaller check table, and more
     x /= np.linalg.norm(x, axis=1)[:, None]
     if kind == "one large vector":
         x[4321] *= 3
@@ -138,10 +138,10 @@ def test_search_recall_with_uneven_norms(spark, kind):
         x *= r.lognormal(0, 0.5, (len(x), 1))
     x = x.astype(np.float32)
     got = {}
-    for row in nearest.search(table(spark, x), query_every=200).collect():
+    for row in nearest.search(table(spark, x), query_every=400).collect():
         got.setdefault(row.query_id, set()).add(row.vec_id)
-    hit = sum(len(got[q] & {i for _, i in brute_search(x, list(range(len(x))), q, 20)}) for q in range(0, len(x), 200))
-    assert hit >= 0.95 * 20 * 30
+    hit = sum(len(got[q] & {i for _, i in brute_search(x, list(range(len(x))), q, 20)}) for q in range(0, len(x), 400))
+    assert hit >= 0.97 * 20 * 30
 
 
 def test_search_small(spark):
