@@ -88,17 +88,16 @@ def test_block_distances_are_the_same_in_any_batch():
 
 
 def test_fewer_comparisons_than_pairs(monkeypatch):
-    """Random vectors: candidates of all blocks that are compared are below n * n, and none is kept."""
+    """Random vectors: what the boxes of all eight blocks are compared with is less than n * n, though a block is an eighth of a vector."""
     r = np.random.default_rng(12)
-    x = r.standard_normal((20_000, 64)).astype(np.float32)
-    grid = embedding_dedup.Grid.of(64, 0.95, 8, 2)
-    part = grid.turn(x.astype(float))[:, :8]
-    reach = np.sqrt(grid.whole[0]) + 1
+    x = r.standard_normal((20_000, 64))
+    grid = embedding_dedup.Grid.of(64, 0.95, 8, 1)
+    part = grid.turn(x)[:, :8]
     compared = 0
-    for own in embedding_dedup._boxes(part, np.arange(len(x)), 128):
-        low, high = part[own].min(axis=0) - reach, part[own].max(axis=0) + reach
-        compared += len(own) * int(((part >= low) & (part <= high)).all(axis=1).sum())
-    assert 8 * compared < 4 * len(x) ** 2  # of eight coordinates each: half of what all pairs of whole vectors take
+    for own in embedding_dedup._boxes(part, np.arange(len(x)), 64):
+        beside = np.maximum(np.maximum(part[own].min(axis=0) - part, part - part[own].max(axis=0)), 0)
+        compared += len(own) * int(((beside * beside).sum(axis=1) <= grid.whole[0]).sum())
+    assert 8 * compared < len(x) ** 2
 
 
 def test_link_of_empty_table(spark):

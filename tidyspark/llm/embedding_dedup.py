@@ -3,8 +3,8 @@
 Unit vectors with cosine >= t lie within squared distance ``2 - 2t``.  A random rotation spreads that distance over all
 dimensions; split into blocks, some block's part is within the block's share of it.  So each block is range-joined with
 its own radius: vectors go to the grid cell of their first block coordinates (home) and to every further cell within the radius
-(guest).  A cell's task parts its homes into small boxes by halving, compares each box with the vectors that lie within the radius of it in every
-block coordinate, and verifies the candidates exactly, in double precision.  A pair counts in the first block that brings it together, once for
+(guest).  A cell's task parts its homes into small boxes by halving, compares each box with the vectors that lie within the radius of it,
+and verifies the candidates exactly, in double precision.  A pair counts in the first block that brings it together, once for
 each of its two vectors, so link counts need no pair to leave the task, nor to be kept in it: what leaves is which vectors the links connect.
 Rotated coordinates are whole numbers, so that every task comes to the same block distances whatever the order of summation.
 
@@ -121,7 +121,7 @@ def _boxes(part: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray
         todo += [own[: len(own) // 2], own[len(own) // 2 :]]
 
 
-def _compare(threshold: float, blocks: int, axes: int, box: int = 128, pairs: int = 1 << 16):
+def _compare(threshold: float, blocks: int, axes: int, box: int = 64, pairs: int = 1 << 16):
     schema = pa.schema([("cid", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def rows(table: pa.Table) -> pa.Table:
@@ -143,13 +143,16 @@ def _compare(threshold: float, blocks: int, axes: int, box: int = 128, pairs: in
         theirs = np.column_stack([scaled, one, square]).astype(np.float32)
         links, root = np.zeros(len(raw), np.int64), np.arange(len(raw))
         for own in _boxes(part, home, box):
-            low, high = part[own].min(axis=0) - reach, part[own].max(axis=0) + reach
+            least, most = part[own].min(axis=0), part[own].max(axis=0)
+            low, high = least - reach, most + reach
             a, b = np.searchsorted(sides[0], [low[0], high[0]], side="left")[0], np.searchsorted(sides[0], high[0], side="right")
             near = np.arange(a, b)
             for x in range(1, len(sides)):  # within the radius of the box in every coordinate
                 along = sides[x][near] if len(near) < b - a else sides[x][a:b]
                 near = near[(along >= low[x]) & (along <= high[x])]
             near = others[near]
+            beside = np.maximum(np.maximum(least - part[near], part[near] - most), 0)
+            near = near[(beside * beside).sum(axis=1) <= grid.whole[block]]  # and of the box itself
             step = max(1, pairs // len(own))
             for at in range(0, len(near), step):
                 some = near[at : at + step]
