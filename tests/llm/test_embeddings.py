@@ -92,11 +92,13 @@ def test_fewer_comparisons_than_pairs(monkeypatch):
     r = np.random.default_rng(12)
     x = r.standard_normal((20_000, 64))
     grid = embedding_dedup.Grid.of(64, 0.95, 8, 1)
-    part = grid.turn(x)[:, :8]
+    part, every = grid.turn(x)[:, :8], np.arange(len(x))
     compared = 0
-    for own in embedding_dedup._boxes(part, np.arange(len(x)), 64):
-        beside = np.maximum(np.maximum(part[own].min(axis=0) - part, part - part[own].max(axis=0)), 0)
-        compared += len(own) * int(((beside * beside).sum(axis=1) <= grid.whole[0]).sum())
+    for own, near in embedding_dedup._meetings(part, every, every, grid.whole[0], 64):
+        compared += len(own) * len(near)
+        if own[0] % 97 == 0:  # no vector near one of the box is left out
+            gap = part[own][:, None] - part
+            assert set(np.flatnonzero(((gap * gap).sum(axis=2) <= grid.whole[0]).any(axis=0))) <= set(near.tolist())
     assert 8 * compared < len(x) ** 2
 
 

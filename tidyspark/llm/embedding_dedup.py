@@ -121,6 +121,24 @@ def _boxes(part: np.ndarray, rows: np.ndarray, most: int) -> Iterator[np.ndarray
         todo += [own[: len(own) // 2], own[len(own) // 2 :]]
 
 
+def _meetings(part: np.ndarray, homes: np.ndarray, others: np.ndarray, whole: int, box: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Boxes of homes, each with the others whose squared distance from the box is at most ``whole``; found by way of boxes 16 times as large."""
+
+    def close(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        low, high = part[own].min(axis=0)[:, None], part[own].max(axis=0)[:, None]
+        beside = np.maximum(low - at, at - high)
+        np.maximum(beside, 0, out=beside)
+        beside *= beside
+        return beside.sum(axis=0) <= whole
+
+    sides = np.ascontiguousarray(part[others].T)
+    for large in _boxes(part, homes, 16 * box):
+        some = close(large, sides)
+        rows, at = others[some], np.ascontiguousarray(sides[:, some])
+        for own in _boxes(part, large, box):
+            yield own, rows[close(own, at)]
+
+
 def _compare(threshold: float, blocks: int, axes: int, box: int = 64, pairs: int = 1 << 16):
     schema = pa.schema([("cid", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
@@ -132,31 +150,19 @@ def _compare(threshold: float, blocks: int, axes: int, box: int = 64, pairs: int
         length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
         turned = grid.turn(raw)
         part = turned[:, grid.edges[block] : grid.edges[block + 1]]
-        reach, limit = math.sqrt(grid.whole[block]) + 1, np.float32(grid.budget[block] + 1e-5)
+        limit = np.float32(grid.budget[block] + 1e-5)
         others = np.flatnonzero(table["other"].to_numpy())
-        others = others[np.argsort(part[others, 0], kind="stable")]
-        sides = np.ascontiguousarray(part[others].T)
         scaled = part / grid._UNIT
         square = np.einsum("ij,ij->i", scaled, scaled)
         one = np.ones(len(part))
         mine = np.column_stack([-2 * scaled, square, one]).astype(np.float32)  # their product with the others is the squared distance
         theirs = np.column_stack([scaled, one, square]).astype(np.float32)
         links, root = np.zeros(len(raw), np.int64), np.arange(len(raw))
-        for own in _boxes(part, home, box):
-            least, most = part[own].min(axis=0), part[own].max(axis=0)
-            low, high = least - reach, most + reach
-            a, b = np.searchsorted(sides[0], [low[0], high[0]], side="left")[0], np.searchsorted(sides[0], high[0], side="right")
-            near = np.arange(a, b)
-            for x in range(1, len(sides)):  # within the radius of the box in every coordinate
-                along = sides[x][near] if len(near) < b - a else sides[x][a:b]
-                near = near[(along >= low[x]) & (along <= high[x])]
-            near = others[near]
-            beside = np.maximum(np.maximum(least - part[near], part[near] - most), 0)
-            near = near[(beside * beside).sum(axis=1) <= grid.whole[block]]  # and of the box itself
+        for own, near in _meetings(part, home, others, grid.whole[block], box):
             step = max(1, pairs // len(own))
             for at in range(0, len(near), step):
                 some = near[at : at + step]
-                i, j = np.nonzero(mine[own] @ theirs[some].T <= limit)
+                i, j = np.divmod(np.flatnonzero(mine[own] @ theirs[some].T <= limit), len(some))
                 i, j = own[i], some[j]
                 apart = i != j
                 i, j = i[apart], j[apart]
@@ -169,7 +175,10 @@ def _compare(threshold: float, blocks: int, axes: int, box: int = 64, pairs: int
                 i, j = i[first], j[first]
                 np.add.at(links, i, copies[j])
                 if (root[i] != root[j]).any():
-                    root = local_roots(len(raw), np.concatenate([np.arange(len(raw)), i]), np.concatenate([root, j]))
+                    label, place = np.unique(np.concatenate([root[i], root[j]]), return_inverse=True)
+                    new = np.arange(len(raw))
+                    new[label] = label[local_roots(len(label), place[: len(i)], place[len(i) :])]
+                    root = new[root]
         told = np.flatnonzero(links)
         # A vector may be joined by another one's link alone: it is told for its root, too.
         told = np.union1d(told, np.flatnonzero(root != np.arange(len(raw))))
