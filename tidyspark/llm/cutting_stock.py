@@ -78,6 +78,21 @@ class Knapsack:
         return out
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, without the threads of a linear algebra library: those have been seen to wait for ever in a driver's process."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        if pivot != k:
+            work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
 @dataclass
 class Solution:
     patterns: list[tuple[np.ndarray, float]]  # how often each size is in it, and how often it is used
@@ -86,17 +101,18 @@ class Solution:
     entered: int  # patterns that pricing has brought in
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 1e-3, columns: int = 20, refresh: int = 100) -> Solution:
+def solve(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 1e-3, columns: int = 20, refresh: int = 200) -> Solution:
     """Fewest sequences, in fractions, whose patterns hold each size as often as demanded, or more often.
 
     Up to ``columns`` patterns are taken from one knapsack; the inverse of the basis is worked out afresh after every ``refresh`` of them.
     """
     m = len(sizes)
+    times = lambda a, b: np.einsum("ij,j->i", a, b)
     fits = np.floor(width / sizes)
     basis, inverse, use, cost = np.diag(fits), np.diag(1 / fits), demand / fits, np.ones(m)
     bound, entered = float(sizes @ demand) / width, 0
     while True:
-        dual = cost @ inverse
+        dual = times(inverse.T, cost)
         worst = int(dual.argmin())
         if dual[worst] < -1e-9:  # more of that size than demanded would save sequences
             new = [(-np.eye(m)[worst], 0.0)]
@@ -113,9 +129,9 @@ def solve(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 1e-3,
                     new.append((sack.amounts(width - int(sizes[i])) + np.eye(m)[i], 1.0))
         before = entered
         for column, price in new:
-            if (cost @ inverse) @ column <= price + 1e-9:
+            if float(times(inverse.T, cost) @ column) <= price + 1e-9:
                 continue  # one that has entered before makes it useless
-            step = inverse @ column
+            step = times(inverse, column)
             ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
             leave = int(ratio.argmin())
             if not np.isfinite(ratio[leave]):
@@ -128,8 +144,8 @@ def solve(sizes: np.ndarray, demand: np.ndarray, width: int, gap: float = 1e-3,
             inverse[leave] = row
             entered += 1
             if entered % refresh == 0:
-                inverse = np.linalg.inv(basis)
-                use = np.maximum(inverse @ demand, 0)
+                inverse = _inverse(basis)
+                use = np.maximum(times(inverse, demand), 0)
         if entered == before:  # nothing improves it within rounding
             break
     return Solution([(basis[:, k].astype(np.int64), float(use[k])) for k in range(m) if use[k] > 1e-9 and cost[k]], float(cost @ use), bound, entered)
