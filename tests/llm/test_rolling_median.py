@@ -1,0 +1,103 @@
+import datetime
+import math
+import random
+from collections import defaultdict
+from statistics import median
+
+import duckdb
+import pytest
+
+from tidyspark.llm.rolling_median import ORACLE, rolling
+
+SCHEMA = "click_id long, ts timestamp_ntz, kind string, value double, n long, cents string, __at int"
+START = datetime.datetime(2024, 3, 31, 1, 50)  # some zones have no 02:30 on this day
+
+
+def clicks(n=1500, seed=1):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        at = START + datetime.timedelta(microseconds=r.choice([r.randrange(7_200_000_000), 900_000_000 * r.randrange(8), 900_000_000 * r.randrange(8) + 1, 1_000_000 * r.randrange(7200)]))
+        value = r.choice([None, round(r.gauss(20, 9), 2), r.choice([1.0, 2.0, 2.5, -3.0]), 0.005, -0.005, 1e5])
+        rows.append((i, at, r.choice(["a", "a", "a", "b", None, "", "="]), value))
+    rows += [(2000, None, "a", 1.0), (2001, START, "empty", None), (2002, START, "odd", math.nan), (2003, START, "odd", math.inf), (2004, START, "odd", 7.0), (2005, START, "odd", 1e300), (None, START, "b", 3.0)]
+    rows += [rows[3], rows[3], (2004, None, "odd", 9.0)]
+    return [(*x, 1, "x", 2) for x in rows]
+
+
+def brute(rows):
+    """The contract, click by click."""
+    seen = {}
+    for i, at, kind, value, *_ in rows:
+        if at is not None:
+            key = (at, kind is not None, kind or "", value is not None, value or 0)
+            if i not in seen or key < seen[i][0]:
+                seen[i] = (key, at, kind, math.floor(100 * value + 0.5) if value is not None and math.isfinite(value) and abs(value) < 1e15 else None)
+    series = defaultdict(list)
+    for _, at, kind, c in seen.values():
+        if c is not None:
+            series[kind].append((at, c))
+    out = {}
+    for i, (_, at, kind, c) in seen.items():
+        window = [v for t, v in series[kind] if at - datetime.timedelta(minutes=15) < t <= at]
+        if not window:
+            out[i] = (kind, 0, None, None, None)
+            continue
+        m = round(2 * median(window))
+        mad = round(2 * median(abs(2 * v - m) for v in window))
+        out[i] = (kind, len(window), m, mad, None if c is None else 2 * abs(2 * c - m) > 2 * mad)
+    return out
+
+
+def told(df):
+    rows = df.collect()
+    assert len({r.click_id for r in rows}) == len(rows)
+    return {r.click_id: (r.kind, r.n, r.median2, r.mad4, r.far) for r in rows}
+
+
+def test_equals_the_contract(spark):
+    rows = clicks()
+    assert told(rolling(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_times_have_no_zone(spark):
+    rows = clicks(200)
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert told(rolling(df)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_crowded_slots_are_bisected_across_tasks(spark):
+    """A third of all clicks has one instant; no task may take a slot of more than 40 rows."""
+    rows = [(i, START if i % 3 == 0 else at, "a", None if value is None else round(value % 1.0, 2), *rest) for i, at, kind, value, *rest in clicks(240, 5)[:240]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert told(rolling(df, dense=40)) == brute(rows) == told(rolling(df))
+
+
+def test_a_task_takes_whole_cells_from_many_batches(spark):
+    rows = clicks(900, 9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        import tidyspark.llm.rolling_median as module
+
+        held, module._BATCH = module._BATCH, 60
+        assert told(rolling(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    finally:
+        module._BATCH = held
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_equals_sql(spark, tmp_path):
+    df = spark.createDataFrame([r for r in clicks() if r[3] is None or abs(r[3]) < 1e9], SCHEMA)
+    df.write.parquet(str(tmp_path / "c"))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW clicks AS SELECT * FROM read_parquet('{tmp_path}/c/*.parquet')")
+    assert {r[0]: r[1:] for r in base.execute(ORACLE).fetchall()} == told(rolling(df))
+
+
+@pytest.mark.parametrize("some", [[], [(1, None, "a", 1.0, 1, "x", 2)]])
+def test_nothing(spark, some):
+    assert rolling(spark.createDataFrame(some, SCHEMA)).count() == 0

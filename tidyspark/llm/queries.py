@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_format, cutting_stock, embedding_dedup, jaccard_join, language_id, mixing, nearest, personal_data, substring_dedup
+from . import best_fit, chat_format, cutting_stock, embedding_dedup, jaccard_join, language_id, mixing, nearest, personal_data, rolling_median, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_table(spark, sf_dir, "documents"))
 
 
+def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median.rolling(_table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -81,8 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_source_mixing": op9_source_mixing,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_rolling_median": op11_rolling_median,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE}
+    return {"op9_source_mixing": mixing.ORACLE, "op11_rolling_median": rolling_median.ORACLE}
