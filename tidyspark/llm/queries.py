@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_format, cutting_stock, embedding_dedup, jaccard_join, language_id, mixing, nearest, personal_data, rolling_median, substring_dedup
+from . import best_fit, chat_format, cutting_stock, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, personal_data, rolling_median, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_median.rolling(_table(spark, sf_dir, "clicks"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -86,8 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mixing": op9_source_mixing,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_rolling_median": op11_rolling_median,
+        "op12_line_dedup": op12_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE, "op11_rolling_median": rolling_median.ORACLE}
+    return {"op9_source_mixing": mixing.ORACLE, "op11_rolling_median": rolling_median.ORACLE, "op12_line_dedup": line_dedup.ORACLE}
