@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import best_fit, chat_format, cutting_stock, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, personal_data, rolling_median, substring_dedup
+from . import best_fit, chat_format, conversation_repair, cutting_stock, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, nearest, personal_data, rolling_median, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": op10_jaccard_join,
         "op11_rolling_median": op11_rolling_median,
         "op12_line_dedup": op12_line_dedup,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
