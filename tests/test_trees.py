@@ -1,0 +1,128 @@
+"""Walks of trees of any shape, and directories that hold more than the filters let through."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidyspark.operators import lint, records
+from tidyspark.plans import pipeline
+from tidyspark.plans.config import Config
+from tidyspark.sources import filesystem as fs
+
+
+def put(base, **files):
+    for name, text in files.items():
+        path = base / name.replace("__", "/")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+
+
+def dirs(report, base):
+    return {os.path.relpath(r["dir"], base): r.is_original for r in report.directories.collect()}
+
+
+@pytest.fixture
+def small_shares(monkeypatch):
+    monkeypatch.setattr(fs, "_FIRST_SHARE", 4)
+    monkeypatch.setattr(fs, "_LARGEST_SHARE", 32)
+
+
+def test_one_entry_that_holds_all_is_walked_by_many_tasks(spark, tmp_path, small_shares):
+    one = tmp_path / "only/entry"
+    one.mkdir(parents=True)
+    for i in range(400):
+        (one / f"f{i}").write_text("x")
+    for i in range(40):
+        (one / f"d{i}/e").mkdir(parents=True)
+        (one / f"d{i}/e/g").write_text("y")
+    chain = one
+    for i in range(60):
+        chain = chain / "c"
+    chain.mkdir(parents=True)
+    rows = fs.read_tree(spark, [(str(tmp_path), 0, False)])
+    want = {str(tmp_path)} | {os.path.join(d, n) for d, ds, fls in os.walk(tmp_path) for n in (*ds, *fls)}
+    found = [r.path for r in rows.select("path").collect()]
+    assert set(found) == want and len(found) == len(want)
+    by_task = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert len(by_task) >= 16 and max(by_task) <= 100
+
+
+def test_names_that_are_no_text_and_many_roots(spark, tmp_path, small_shares):
+    odd = os.fsencode(tmp_path) + b"/d/\xff\xfe"
+    os.makedirs(odd)
+    with open(odd + b"/f", "wb") as f:
+        f.write(b"1")
+    for i in range(20):
+        put(tmp_path, **{f"r{i}__f": "1"})
+    roots = [(str(tmp_path / f"r{i}"), i, i % 2 == 0) for i in range(20)] + [(str(tmp_path / "d"), 20, False)]
+    rows = fs.read_tree(spark, roots).filter("kind = 'file'").collect()
+    assert sorted((r.path_index, r.is_tagged) for r in rows) == [(i, i % 2 == 0 and i < 20) for i in range(21)]
+
+
+def test_a_loop_ends(spark, tmp_path):
+    put(tmp_path, a__b__f="x")
+    os.symlink(tmp_path / "a", tmp_path / "a/b/up")
+    rows = fs.read_tree(spark, [(str(tmp_path), 0, False)], symlinks="follow")
+    assert sum(r.kind == "file" for r in rows.collect()) == 1 and rows.count() == 5
+
+
+def test_files_that_filters_leave_out_count(spark, tmp_path):
+    """b has one more file than a: too small, too deep, or too large for the run; only c and d are copies."""
+    put(tmp_path, a__f="same", b__f="same", b__more="x", c__f="same", d__f="same", e__f="same", e__s__t__deep="same")
+    tree = fs.read_tree(spark, [(str(tmp_path), 0, False)], hidden="partial", max_depth=2)
+    report = pipeline.run(tree, Config(rank="a", merge_directories=True, size=(2, 100)), [str(tmp_path)])
+    assert dirs(report, tmp_path) == {"a": True, "c": False, "d": False}
+    assert pipeline.run(tree, Config(rank="a", merge_directories=True), [str(tmp_path)]).directories.filter("dir LIKE '%/b' OR dir LIKE '%/e%'").count() == 0
+    report = pipeline.run(tree, Config(rank="a", merge_directories=True, max_depth=2, size=(2, 3)), [str(tmp_path)])
+    assert dirs(report, tmp_path) == {}
+
+
+def test_records_of_a_table_count_whatever_their_size(spark):
+    rows = [("r/a/f", "same"), ("r/b/f", "same"), ("r/b/g", "1"), ("r/c/f", "same"), ("r/c/g", None), ("r/d/f", "same"), ("r/d/.h/i", "unlike"), ("r/e/f", "same"), ("r/e/empty", "")]
+    df = records.as_records(spark.createDataFrame(rows, "path string, content string"), F.col("path"), F.col("content"))
+    report = pipeline.run(df, Config(rank="a", merge_directories=True, size=(2, 100)), ["r"])
+    assert {r["dir"] for r in report.directories.collect()} == {"r/a", "r/e"}
+    counting_empty = Config(rank="a", merge_directories=True, size=(2, 100), types=frozenset({"duplicate_file", "duplicate_dir"}))
+    assert {r["dir"] for r in pipeline.run(df, counting_empty, ["r"]).directories.collect()} == set()
+
+
+def test_a_folder_that_cannot_be_listed(spark, tmp_path):
+    """Its path is longer than the system takes, whoever asks."""
+    put(tmp_path, a__f="same", b__f="same", c__f="same")
+    here = os.getcwd()
+    try:
+        os.chdir(tmp_path / "b")
+        for _ in range(20):
+            os.mkdir("x" * 240)
+            os.chdir("x" * 240)
+    finally:
+        os.chdir(here)
+    tree = fs.read_tree(spark, [(str(tmp_path), 0, False)], hidden="partial")
+    assert tree.filter("kind = 'error'").count() == 1
+    report = pipeline.run(tree, Config(rank="a", merge_directories=True), [str(tmp_path)])
+    assert dirs(report, tmp_path) == {"a": True, "c": False}
+    empty = [r.path for r in lint.empty_dirs_of_tree(tree).collect()]
+    assert empty == []
+    # and a walk that ends above it knows as little
+    shallow = fs.read_tree(spark, [(str(tmp_path), 0, False)], hidden="partial", max_depth=2)
+    assert dirs(pipeline.run(shallow, Config(rank="a", merge_directories=True), [str(tmp_path)]), tmp_path) == {"a": True, "c": False}
+    assert lint.empty_dirs_of_tree(shallow).count() == 0
+
+
+def test_pipes_and_other_kinds_count(spark, tmp_path):
+    put(tmp_path, a__f="same", b__f="same", c__f="same")
+    os.mkfifo(tmp_path / "b/pipe")
+    os.symlink("nowhere", tmp_path / "c/lost")
+    tree = fs.read_tree(spark, [(str(tmp_path), 0, False)], hidden="partial")
+    assert dirs(pipeline.run(tree, Config(rank="a", merge_directories=True), [str(tmp_path)]), tmp_path) == {}
+
+
+def test_a_directory_has_its_own_time(spark, tmp_path):
+    put(tmp_path, a__f="same", b__f="same")
+    os.utime(tmp_path / "a/f", (1, 1))
+    os.utime(tmp_path / "b/f", (2, 2))
+    os.utime(tmp_path / "a", (20, 20))
+    os.utime(tmp_path / "b", (10, 10))
+    tree = fs.read_tree(spark, [(str(tmp_path), 0, False)], hidden="partial")
+    assert dirs(pipeline.run(tree, Config(rank="m", merge_directories=True), [str(tmp_path)]), tmp_path) == {"a": False, "b": True}

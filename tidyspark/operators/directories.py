@@ -1,5 +1,8 @@
 """Duplicate directories: directories all of whose files have a duplicate and whose contents are the same multiset.
 
+What a directory holds is counted apart from what the sieve may look at: files that a filter leaves out, files that can't be read and places that the
+walk didn't enter count, too, and have no duplicate, so no directory above them is a copy.
+
 Every file is exploded to its ancestors, so counts and signatures of all levels come from one aggregation and no level-by-level
 roll-up.  A signature is the number of files and the sums of two independent 64-bit hashes of their digests (with relative paths where the
 layout counts): it tells multisets apart whatever the order, combines before the shuffle, and never gathers the files of a directory.
@@ -22,9 +25,16 @@ from . import rank
 from .stage import once
 
 
+#: Kinds of rows of a walk behind which anything may lie.
+UNKNOWN = ("skipped", "error")
+
+
 def below(files: DataFrame, roots: list[str] | None = None) -> DataFrame:
-    """Each file with each directory above it (``dir``), none above the roots."""
-    out = files.withColumn("dir", F.explode(C.ancestors(F.col("path"))))
+    """Each file with each directory above it (``dir``), none above the roots.  Where ``unknown`` is true the path itself may be a directory."""
+    above = C.ancestors(F.col("path"))
+    if "unknown" in files.columns:
+        above = F.when(F.col("unknown"), F.array_append(above, F.col("path"))).otherwise(above)
+    out = files.withColumn("dir", F.explode(above))
     if roots:
         inside = F.lit(False)
         for root in roots:
@@ -34,22 +44,42 @@ def below(files: DataFrame, roots: list[str] | None = None) -> DataFrame:
     return out
 
 
+def counted(source: DataFrame, cfg: Config) -> DataFrame:
+    """``path, size, is_tagged, mtime, unknown``: what counts for the directories above, once a path, whatever the filters of the run.
+
+    Everything but directories does, and empty files where those are lint of their own don't.  Records of a table without ``kind`` are files; a size that isn't known counts.
+    """
+    kind = F.col("kind") if "kind" in source.columns else F.lit("file")
+    some = kind.isin(*UNKNOWN) | F.col("size").isNull() | (F.col("size") > 0) | F.lit("emptyfile" not in cfg.types)
+    rows = source.filter((kind != "dir") & some).select("path", "size", "is_tagged", "mtime", kind.isin(*UNKNOWN).alias("unknown"))
+    return rows.groupBy("path").agg(F.max("size").alias("size"), F.max("is_tagged").alias("is_tagged"), F.max("mtime").alias("mtime"), F.max("unknown").alias("unknown"))
+
+
+def times(source: DataFrame) -> DataFrame | None:
+    """``path, mtime`` of the directories of a walk."""
+    return source.filter("kind = 'dir'").select("path", "mtime") if "kind" in source.columns else None
+
+
 def signatures(files: DataFrame, members: DataFrame, cfg: Config, roots: list[str] | None = None, errors: DataFrame | None = None) -> DataFrame:
     """``dir, files, size, tagged, all_tagged, mtime, signature`` of directories all of whose files are in ``members``.
 
-    ``files`` has every non-empty file; ``members`` path and checksum of those with a duplicate.  Nothing is known of what lies behind a path of ``errors``, so that no
-    directory above it is a duplicate.
+    ``files`` is what counts (see ``counted``); ``members`` path and checksum of those with a duplicate.  Nothing is known of what lies behind a path of ``errors``, so that no
+    directory at or above it is a duplicate.
     """
+    columns = ["path", "size", "is_tagged", "mtime", "unknown"]
+    if "unknown" not in files.columns:
+        files = files.withColumn("unknown", F.lit(False))
     if errors is not None:
-        unread = errors.select("path", F.lit(0).cast("long").alias("size"), F.lit(False).alias("is_tagged"), F.lit(None).cast("double").alias("mtime"))
-        files = files.select("path", "size", "is_tagged", "mtime").unionByName(unread.dropDuplicates(["path"]))  # a file without a checksum is no duplicate
+        unread = errors.select("path", F.lit(0).cast("long").alias("size"), F.lit(False).alias("is_tagged"), F.lit(None).cast("double").alias("mtime"), F.lit(True).alias("unknown"))
+        files = files.select(*columns).unionByName(unread.dropDuplicates(["path"]))
+    known = members.select("path", "checksum")
     relative = F.substring(F.col("path"), F.length("dir") + 2, F.length("path"))
     item: list[Column] = [F.col("checksum"), *([relative] if cfg.honour_layout else [])]
     halves = [half for salt in (0, 1) for h in [F.xxhash64(F.lit(salt), *item)] for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]  # sums of 32 bits can't overflow
     sums = [F.sum(F.when(F.col("checksum").isNotNull(), half)).alias(f"__s{i}") for i, half in enumerate(halves)]
-    joined = below(files.select("path", "size", "is_tagged", "mtime").join(members.select("path", "checksum"), "path", "left"), roots)
+    joined = below(files.select(*columns).join(known, "path", "left"), roots)
     found = joined.groupBy("dir").agg(
-        F.count("*").alias("files"), F.count("checksum").alias("dupes"), F.sum("size").alias("size"), F.sum(F.col("is_tagged").cast("long")).alias("tagged"), F.min("is_tagged").alias("all_tagged"), F.max("mtime").alias("mtime"), *sums,
+        F.count("*").alias("files"), F.count(F.when(~F.col("unknown"), F.col("checksum"))).alias("dupes"), F.sum("size").alias("size"), F.sum(F.col("is_tagged").cast("long")).alias("tagged"), F.min("is_tagged").alias("all_tagged"), F.max("mtime").alias("mtime"), *sums,
     )
     signature = F.sha2(F.concat_ws("/", "files", *(f"__s{i}" for i in range(len(sums)))), 256)
     return found.filter("files = dupes").withColumn("signature", signature).drop("dupes", *(f"__s{i}" for i in range(len(sums))))

@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType
 from ..functions import columns as C
 from ..plans import parsing
 from ..plans.config import Config
+from .directories import UNKNOWN
 
 
 def type_rank(kind: Column) -> Column:
@@ -51,8 +52,10 @@ def empty_dirs_of_tree(tree: DataFrame) -> DataFrame:
     """Empty directories of a scanned tree (``path, kind``), children before their parents.
 
     Any entry but a directory makes those above it non-empty: files, links, entries that were skipped (hidden, of another device, not permitted) and such as can't be read.
+    A directory that was not entered or can't be listed is not known to be empty.
     """
     found = empty_dirs(tree.filter("kind = 'dir'").dropDuplicates(["path"]), tree.filter("kind <> 'dir'"))
+    found = found.join(tree.filter(F.col("kind").isin(*UNKNOWN)).select("path").distinct(), "path", "left_anti")
     return found.orderBy(F.desc("path"))
 
 

@@ -27,11 +27,12 @@ class Report:
 def run(source: DataFrame, cfg: Config, roots: list[str] | None = None) -> Report:
     """The sieve runs now and once; each part of the report is a plan on its members until it is written.
 
-    Records without a content are files; places that several roots lead to count once.
+    Records without a content are files; places that several roots lead to count once.  Of a walk (rows with a ``kind``) files and links are compared, all else counts for directories only.
     """
     if cfg.merge_directories:
         cfg = cfg.for_directories()
-    files = records.selected(source, cfg)
+    comparable = source.filter(F.col("kind").isin("file", "symlink")) if "kind" in source.columns else source
+    files = records.selected(comparable, cfg)
     if "content" not in files.columns:
         files = records.without_path_doubles(files, rank.order(cfg, found=False))
     group = sieve.group_keys(cfg)
@@ -39,7 +40,7 @@ def run(source: DataFrame, cfg: Config, roots: list[str] | None = None) -> Repor
     found = rank.ranked(rank.mark_originals(members, cfg, group), cfg, group, members).withColumn("type", F.lit("duplicate_file"))
     dirs = parts = None
     if cfg.merge_directories:
-        dirs = directories.duplicate_dirs(files, members, cfg, roots)
+        dirs = once(directories.duplicate_dirs(directories.counted(source, cfg), members, cfg, roots, dir_times=directories.times(source)), "directories")
         parts = directories.parts(files.drop("content"), dirs)
         found = directories.leftovers(members, dirs, cfg, group)
     if cfg.sort_groups:

@@ -341,14 +341,28 @@ def protected_dirs_orders(spark, sf_dir):
     return directories.duplicate_dirs(files, sieve.sieve(files, cfg), cfg).select("dir", "is_original")
 
 
+_SHIPPED = "SELECT l_orderkey, l_linenumber, nullif(min(l_shipmode), 'SHIP') AS content FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) AS n, min(coalesce(strlen(content) >= 4, false)) AS known FROM ({_SHIPPED}) GROUP BY l_orderkey),
+t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s WHERE known)
+SELECT concat('o/', l_orderkey) AS dir, n AS n_children, twins FROM t WHERE twins > 1""")
+def dup_dirs_filtered_orders(spark, sf_dir):
+    """Lines outside the size range, and such as can't be read, have no duplicate but count: an order that holds one is no copy."""
+    one = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.nullif(F.min("l_shipmode"), F.lit("SHIP")).alias("content"))
+    files = records.as_records(one, F.concat_ws("/", F.lit("o"), "l_orderkey", "l_linenumber"), F.col("content"))
+    report = pipeline.run(files, Config(rank="a", merge_directories=True, size=(4, parsing.LONG_MAX)))
+    return report.directories.select("dir", "n_children", "twins")
+
+
 def _mirrored(spark, sf_dir) -> DataFrame:
-    """Every seventh order twice, below x and below y."""
-    one = _numbered_lines(spark, sf_dir).select("path", "content").filter("CAST(split(path, '/')[1] AS BIGINT) % 7 = 0")
+    """Every order twice, below x and below y."""
+    one = _numbered_lines(spark, sf_dir).select("path", "content")
     both = one.select(F.explode(F.array(F.lit("x"), F.lit("y"))).alias("top"), "path", "content")
     return records.as_records(both, F.concat(F.col("top"), F.expr("substr(path, 2)")), F.col("content"))
 
 
-_MIRROR = f"""WITH f AS (SELECT concat('x/', l_orderkey) AS dir, concat('x/', l_orderkey, '/', l_linenumber) AS path, content FROM ({_NUMBERED}) WHERE l_orderkey % 7 = 0),
+_MIRROR = f"""WITH f AS (SELECT concat('x/', l_orderkey) AS dir, concat('x/', l_orderkey, '/', l_linenumber) AS path, content FROM ({_NUMBERED})),
 s AS (SELECT dir, list_sort(list(content)) AS sig, count(*) AS n FROM f GROUP BY dir), t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins, row_number() OVER (PARTITION BY sig ORDER BY dir) AS rk FROM s),
 l AS (SELECT f.path, f.content FROM f JOIN t USING (dir) WHERE twins = 1 OR rk = 1), m AS (SELECT *, count(*) OVER (PARTITION BY content) AS twins, row_number() OVER (PARTITION BY content ORDER BY list_last(string_split(path, '/')), path) AS rk FROM l)"""
 
@@ -376,11 +390,11 @@ def unfinished_orders(spark, sf_dir):
     return directories.unfinished(members, left).select("path", "type")
 
 
-@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) AS n FROM ({_NUMBERED}) WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey), t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s)
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) AS n FROM ({_NUMBERED}) GROUP BY l_orderkey), t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s)
 SELECT concat('o/', l_orderkey) AS dir, n AS n_children, twins FROM t WHERE twins > 1""")
 def packed_dirs_orders(spark, sf_dir):
     """Duplicate directories from a stored result without them."""
-    files = _numbered_lines(spark, sf_dir).filter("CAST(split(path, '/')[1] AS BIGINT) % 2 = 0")
+    files = _numbered_lines(spark, sf_dir)
     result = once(sieve.duplicates(files, _NAMED))
     return requery.packed(files.drop("content"), result, _NAMED).select("dir", "n_children", "twins")
 

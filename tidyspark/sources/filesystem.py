@@ -1,7 +1,8 @@
-"""Records of file trees through a Python data source.
+"""Records of file trees.
 
-Partitions are the roots' first-level entries, so one large tree is walked by many tasks.  Hidden, depth and device limits are
-options and prune the walk itself.  Every executor has to see the trees, as on a shared mount.
+A tree is walked in rounds.  The tasks of a round visit the paths dealt to them and what lies below, until each has spent its share of visits; what they have not come to
+is dealt anew among the tasks of the next round, whose share is larger.  So a tree of any shape is spread within a few rounds: all of it below one entry, one
+directory with millions of files, or a long chain.  Hidden, depth and device limits are options and prune the walk itself.  Every executor has to see the trees, as on a shared mount.
 """
 
 from __future__ import annotations
@@ -9,14 +10,15 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.digests import canonical_name, streamed
+from ..operators.stage import once
 from ..plans import parsing
 
 SCHEMA = (
@@ -54,130 +56,133 @@ def registered(arguments: list[str], default: str = ".") -> tuple[list[Root], li
     return found, unread
 
 
-class _Walk(InputPartition):
-    def __init__(self, path: str, root: str, index: int, tagged: bool, depth: int, only: bool):
-        self.path, self.root, self.index, self.tagged, self.depth, self.only = path, root, index, tagged, depth, only
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.roots = [r for r in options.get("roots", "").split("\0") if r]
-        self.tags = [t == "1" for t in options.get("tagged", "").split(",")] if options.get("tagged") else [False] * len(self.roots)
-        self.hidden, self.symlinks = options.get("hidden", "ignore"), options.get("symlinks", "see")
-        self.max_depth = int(options["max_depth"]) if options.get("max_depth") else None
-        self.crossdev = options.get("cross_devices", "true") == "true"
-        self.permissions = {"r": os.R_OK, "w": os.W_OK, "x": os.X_OK}
-        self.mask = sum(self.permissions[c] for c in options.get("permissions", ""))
-        self.skip = set(filter(None, options.get("exclude", "").split("\0")))
-
-    def partitions(self):
-        out = []
-        for index, (root, tagged) in enumerate(zip(self.roots, self.tags)):
-            if os.path.isdir(root):
-                out.append(_Walk(root, root, index, tagged, 0, True))
-                try:
-                    names = sorted(os.listdir(root))
-                except OSError:
+_ABOVE = "above array<struct<dev:bigint,inode:bigint>>"
+_TODO = f"raw binary, path_index int, depth int, {_ABOVE}"
+_FOUND = f"{SCHEMA}, raw binary, {_ABOVE}"
+_PLACES = pa.list_(pa.struct([("dev", pa.int64()), ("inode", pa.int64())]))
+_FIRST_SHARE, _LARGEST_SHARE = 512, 1 << 20  # visits of a task in the first round, and at most
+
+
+class Walker:
+    """Visits paths below roots."""
+
+    def __init__(self, roots: list[str], tagged: list[bool], hidden: str = "ignore", symlinks: str = "see", max_depth: int | None = None, cross_devices: bool = True, permissions: str = "", exclude: tuple[str, ...] = ()):
+        self.roots, self.tags, self.hidden, self.symlinks, self.max_depth, self.crossdev = roots, tagged, hidden, symlinks, max_depth, cross_devices
+        self.mask = sum({"r": os.R_OK, "w": os.W_OK, "x": os.X_OK}[c] for c in permissions)
+        self.skip = set(exclude)
+        self.devices: dict[int, int | None] = {}
+
+    def walk(self, items: Iterator[tuple], visits: int) -> Iterator[tuple]:
+        """Rows of the items (path, root, depth, places above), and of what lies below them for as many visits; ``todo`` rows of what is left."""
+        for item in items:
+            stack = [item]
+            while stack:
+                row, inside = self._visit(*stack.pop())
+                visits -= 1
+                yield from row
+                if visits > 0:
+                    stack += inside
                     continue
-                out += [_Walk(os.path.join(root, n), root, index, tagged, 1, False) for n in names]
-            else:
-                out.append(_Walk(root, root, index, tagged, 0, False))
-        return out
+                for path, index, depth, above in (*stack, *inside):
+                    yield (*[None] * 3, depth, index, *[None] * 8, "todo", *[None] * 4, os.fsencode(path), above)
+                stack = []
 
-    def read(self, walk: _Walk) -> Iterator[pa.RecordBatch]:
-        try:
-            root = os.stat(walk.root)
-            device, above = root.st_dev, frozenset({(root.st_dev, root.st_ino)} if walk.depth else ())
-        except OSError:
-            device, above = None, frozenset()
-        rows = []
-        for row in self._visit(walk, device, above):
-            rows.append(row)
-            if len(rows) == 4096:
-                yield self._batch(rows)
-                rows = []
-        if rows:
-            yield self._batch(rows)
-
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-        fields = [pa.field(n, kinds[t]) for n, t in (x.split() for x in SCHEMA.split(", "))]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
-
-    def _visit(self, walk: _Walk, device: int | None, above: frozenset) -> Iterator[tuple]:
-        stack = [(walk.path, walk.depth, above)]
-        while stack:
-            path, depth, above = stack.pop()
-            name = os.path.basename(path)
-            hidden = depth > 0 and any(p.startswith(".") for p in os.path.relpath(path, walk.root).split("/"))
-            if path in self.skip or self.max_depth is not None and depth > self.max_depth:
-                continue
-            if depth and name.startswith(".") and self.hidden == "ignore":
-                yield self._row(path, depth, walk, hidden=True, kind="skipped")
-                continue
+    def _device(self, index: int) -> int | None:
+        if index not in self.devices:
             try:
-                own = os.lstat(path)
-                link = stat.S_ISLNK(own.st_mode)
-                exists = not link or os.path.exists(path)
-                if link and (self.symlinks == "follow" or depth == 0) and exists:
-                    own, link = os.stat(path), False
+                self.devices[index] = os.stat(self.roots[index]).st_dev
             except OSError:
-                yield self._row(path, depth, walk, kind="error")
-                continue
-            if not exists:
-                yield self._row(path, depth, walk, own, True, hidden, "badlink", False)
-            elif link:
-                if self.symlinks == "see":
-                    yield self._row(path, depth, walk, own, True, hidden, "symlink")
-            elif stat.S_ISDIR(own.st_mode):
-                if not self.crossdev and own.st_dev != device:
-                    yield self._row(path, depth, walk, own, False, hidden, "skipped")
-                    continue
-                yield self._row(path, depth, walk, own, False, hidden, "dir")
-                here = (own.st_dev, own.st_ino)
-                if walk.only or here in above:  # the root's entries are partitions of their own; a loop ends
-                    continue
-                try:
-                    stack += [(os.path.join(path, n), depth + 1, above | {here}) for n in sorted(os.listdir(path), reverse=True)]
-                except OSError:
-                    yield self._row(path, depth, walk, kind="error")
-            elif stat.S_ISREG(own.st_mode):
-                fine = not self.mask or os.access(path, self.mask)
-                yield self._row(path, depth, walk, own, False, hidden, "file" if fine else "skipped")
+                self.devices[index] = None
+        return self.devices[index]
+
+    def _visit(self, path: str, index: int, depth: int, above: list[tuple[int, int]]) -> tuple[list[tuple], list[tuple]]:
+        """The rows of one path, and the items inside it."""
+        row = lambda *a, **k: self._row(path, depth, index, *a, **k)
+        hidden = depth > 0 and any(p.startswith(".") for p in os.path.relpath(path, self.roots[index]).split("/"))
+        if path in self.skip:
+            return [], []
+        if depth and os.path.basename(path).startswith(".") and self.hidden == "ignore":
+            return [row(hidden=True, kind="skipped")], []
+        try:
+            own = os.lstat(path)
+            link = stat.S_ISLNK(own.st_mode)
+            exists = not link or os.path.exists(path)
+            if link and (self.symlinks == "follow" or depth == 0) and exists:
+                own, link = os.stat(path), False
+        except OSError:
+            return [row(kind="error")], []
+        if not exists:
+            return [row(own, True, hidden, "badlink", False)], []
+        if link:
+            return [row(own, True, hidden, "symlink")] if self.symlinks == "see" else [], []
+        if stat.S_ISREG(own.st_mode):
+            fine = not self.mask or os.access(path, self.mask)
+            return [row(own, False, hidden, "file" if fine else "skipped")], []
+        if not stat.S_ISDIR(own.st_mode) or not self.crossdev and own.st_dev != self._device(index):
+            return [row(own, False, hidden, "skipped")], []
+        found, here = [row(own, False, hidden, "dir")], (own.st_dev, own.st_ino)
+        if here in above:  # a loop ends
+            return found, []
+        if depth == self.max_depth:
+            return [*found, row(own, False, hidden, "skipped")], []
+        try:
+            names = sorted(os.listdir(path), reverse=True)
+        except OSError:
+            return [*found, row(kind="error")], []
+        return found, [(os.path.join(path, n), index, depth + 1, [*above, here]) for n in names]
 
-    @staticmethod
-    def _row(path, depth, walk, own=None, link=False, hidden=False, kind="file", exists=True) -> tuple:
+    def _row(self, path: str, depth: int, index: int, own=None, link: bool = False, hidden: bool = False, kind: str = "file", exists: bool = True) -> tuple:
         try:
             parent = os.stat(os.path.dirname(path) or ".").st_ino
         except OSError:
             parent = None
         shown = path.encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace")
+        tagged = self.tags[index]
         if own is None:
-            return (shown, None, None, depth, walk.index, None, None, parent, None, link, walk.tagged, hidden, None, kind, None, None, None, None)
-        return (shown, own.st_size, own.st_mtime_ns / 1e9, depth, walk.index, own.st_dev, own.st_ino, parent, own.st_nlink, link, walk.tagged, hidden, None, kind, own.st_mode, own.st_uid, own.st_gid, exists)
+            return (shown, None, None, depth, index, None, None, parent, None, link, tagged, hidden, None, kind, *[None] * 6)
+        return (shown, own.st_size, own.st_mtime_ns / 1e9, depth, index, own.st_dev, own.st_ino, parent, own.st_nlink, link, tagged, hidden, None, kind, own.st_mode, own.st_uid, own.st_gid, exists, None, None)
+
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [pa.field(n, kinds[t]) for n, t in (x.split() for x in SCHEMA.split(", "))] + [pa.field("raw", pa.binary()), pa.field("above", _PLACES)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "file_tree"
 
-    def schema(self):
-        return SCHEMA
+def _round(todo: DataFrame, walker: Walker, visits: int) -> DataFrame:
+    """The written rows of one round; ``todo`` rows are for the next one."""
+    waiting, parallel = todo.count(), todo.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(waiting, max(4 * parallel, waiting >> 16)))
 
-    def reader(self, schema):
-        return TreeReader(self.options)
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = ((os.fsdecode(raw), index, depth, [(x["dev"], x["inode"]) for x in above]) for b in batches for raw, index, depth, above in zip(*(c.to_pylist() for c in b.columns)))
+        rows: list[tuple] = []
+        for row in walker.walk(items, visits):
+            rows.append(row)
+            if len(rows) == 4096:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
 
+    return once(todo.repartition(tasks).mapInArrow(visited, _FOUND), "walk")
 
-def read_tree(spark: SparkSession, roots: list[tuple[str, int, bool]], **options) -> DataFrame:
-    """One row per entry: kind is file, symlink, dir, badlink, skipped (left out, but makes its directory non-empty) or error."""
-    spark.dataSource.register(TreeSource)
-    reader = spark.read.format("file_tree").option("roots", "\0".join(r[0] for r in roots)).option("tagged", ",".join("01"[r[2]] for r in roots))
-    for name, value in options.items():
-        if value not in (None, ""):
-            reader = reader.option(name, "\0".join(value) if isinstance(value, (list, tuple)) else str(value).lower() if isinstance(value, bool) else value)
-    return reader.load()
+
+def read_tree(spark: SparkSession, roots: list[tuple[str, int, bool]], hidden: str = "ignore", symlinks: str = "see", max_depth: int | None = None, cross_devices: bool = True, permissions: str = "", exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One row per entry: kind is file, symlink, dir, badlink, skipped (left out, but makes its directory non-empty) or error.
+
+    A directory at ``max_depth`` has a row of each kind, dir and skipped, as nothing is known of its inside; one that can't be listed is dir and error.
+    Sockets, pipes and devices are skipped.  The walk runs now, in rounds; the rows are read from what it has written.
+    """
+    walker = Walker([r[0] for r in roots], [bool(r[2]) for r in roots], hidden, symlinks, max_depth, cross_devices, permissions, tuple(exclude))
+    todo = spark.createDataFrame([(os.fsencode(path), index, 0, []) for index, path in enumerate(walker.roots)], _TODO)
+    rounds, visits = [], _FIRST_SHARE
+    while not rounds or not todo.isEmpty():
+        found = _round(todo, walker, visits)
+        rounds.append(found.filter("kind <> 'todo'").drop("raw", "above"))
+        todo = found.filter("kind = 'todo'").select("raw", "path_index", "depth", "above")
+        visits = min(8 * visits, _LARGEST_SHARE)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def read_range(path: str, start: int = 0, length: int | None = None, link: bool = False) -> bytes | None:
