@@ -341,15 +341,16 @@ def protected_dirs_orders(spark, sf_dir):
     return directories.duplicate_dirs(files, sieve.sieve(files, cfg), cfg).select("dir", "is_original")
 
 
-_SHIPPED = "SELECT l_orderkey, l_linenumber, nullif(min(l_shipmode), 'SHIP') AS content FROM lineitem GROUP BY ALL"
+_PILED = "SELECT l_orderkey, l_linenumber, CASE WHEN q < 4 THEN repeat('ab', CAST(q AS INT)) END AS content FROM (SELECT l_orderkey, l_linenumber, CAST(min(l_quantity) AS BIGINT) % 5 AS q FROM lineitem GROUP BY ALL)"
 
 
-@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) AS n, min(coalesce(strlen(content) >= 4, false)) AS known FROM ({_SHIPPED}) GROUP BY l_orderkey),
+@query(f"""WITH s AS (SELECT l_orderkey, list_sort(list(content)) AS sig, count(*) AS n, min(coalesce(strlen(content) >= 4, false)) AS known FROM ({_PILED}) WHERE content IS NULL OR content <> '' GROUP BY l_orderkey),
 t AS (SELECT *, count(*) OVER (PARTITION BY sig) AS twins FROM s WHERE known)
 SELECT concat('o/', l_orderkey) AS dir, n AS n_children, twins FROM t WHERE twins > 1""")
 def dup_dirs_filtered_orders(spark, sf_dir):
-    """Lines outside the size range, and such as can't be read, have no duplicate but count: an order that holds one is no copy."""
-    one = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.nullif(F.min("l_shipmode"), F.lit("SHIP")).alias("content"))
+    """Lines outside the size range, and such as can't be read, have no duplicate but count: an order that holds one is no copy.  Empty ones don't count."""
+    one = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_quantity").cast("long") % 5).cast("int").alias("q"))
+    one = one.withColumn("content", F.when(F.col("q") < 4, F.expr("repeat('ab', q)")))
     files = records.as_records(one, F.concat_ws("/", F.lit("o"), "l_orderkey", "l_linenumber"), F.col("content"))
     report = pipeline.run(files, Config(rank="a", merge_directories=True, size=(4, parsing.LONG_MAX)))
     return report.directories.select("dir", "n_children", "twins")
