@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..plans.config import Config
+from . import document
 
 _ELEMENT = ("id", "type", "progress", "checksum", "path", "size", "depth", "inode", "disk_id", "is_original", "n_children", "twins", "parent_path", "hardlink_of", "mtime")
 
@@ -31,7 +32,7 @@ def json_lines(rows: DataFrame, unique: bool = False) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str, header: dict | None = None, footer: dict | None = None, oneline: bool = False, unique: bool = False, no_body: bool = False) -> None:
-    """``oneline``: a directory of documents, one a line, written by the tasks.  Otherwise one array in one local file, streamed by the driver.
+    """``oneline``: a directory of documents, one a line, written by the tasks.  Otherwise one array in one file, written in segments by the tasks (see ``document``).
 
     With ``rank_in_group`` and ``group_rank`` in the rows the array has them in that order.  ``no_body`` leaves the elements out.
     """
@@ -42,21 +43,9 @@ def write_json(rows: DataFrame, path: str, header: dict | None = None, footer: d
         lines.write.mode("overwrite").text(path)
         return
     backup(path)
-    with open(path, "w") as out:
-        first = True
-        for text in _framed(lines, header, footer):
-            out.write(("[\n" if first else ",\n") + text)
-            first = False
-        out.write("[]\n" if first else "\n]\n")
-
-
-def _framed(lines: DataFrame, header: dict | None, footer: dict | None) -> Iterator[str]:
-    if header is not None:
-        yield json.dumps({"progress": 0, **header})
-    for row in lines.toLocalIterator():
-        yield row[0]
-    if footer is not None:
-        yield json.dumps({"aborted": False, "progress": 100, **footer})
+    before = [json.dumps({"progress": 0, **header})] if header is not None else []
+    after = [json.dumps({"aborted": False, "progress": 100, **footer})] if footer is not None else []
+    document.write(lines, path, "[\n", ",\n", "\n]\n", before, after, empty="[]\n")
 
 
 def csv_rows(rows: DataFrame, unique: bool = False) -> DataFrame:
@@ -95,11 +84,9 @@ def blocks(members: DataFrame, group: list[str], omit_first: bool = False, same_
 
 
 def write_blocks(members: DataFrame, group: list[str], path: str, omit_first: bool = False, same_line: bool = False) -> None:
-    """All blocks in one local file, streamed by the driver."""
+    """All blocks in one file, written in segments by the tasks."""
     backup(path)
-    with open(path, "w") as out:
-        for row in blocks(members, group, omit_first, same_line).toLocalIterator():
-            out.write(row["value"])
+    document.write(blocks(members, group, omit_first, same_line).select("value"), path)
 
 
 #: Order in which actions are tried, by preset.
@@ -125,12 +112,19 @@ def actions(members: DataFrame, group: list[str], handlers: tuple[str, ...] = PR
     same_file = same_device & (F.col("inode") == F.col("__o.inode"))
     sharing = F.coalesce(F.col("__can"), F.lit(False)) & same_device
     shared = same_file | F.coalesce(F.col("__extents") == F.col("__o.__extents"), F.lit(False))
-    accepts: dict[str, Column] = {"cmd": F.lit(command is not None), "clone": sharing & F.lit(can_clone), "reflink": sharing, "hardlink": same_device, "symlink": F.lit(True), "remove": F.lit(True)}
+    single = F.col("type") != "duplicate_dir" if "type" in members.columns else F.lit(True)  # a directory can't be a link of another's contents
+    accepts: dict[str, Column] = {"cmd": F.lit(command is not None), "clone": single & sharing & F.lit(can_clone), "reflink": single & sharing, "hardlink": single & same_device, "symlink": single, "remove": F.lit(True)}
     done = {"clone": shared, "reflink": shared, "hardlink": same_file}
     chain = F.coalesce(*(F.when(accepts[h], F.when(done[h], "skip").otherwise(h) if h in done else F.lit(h)) for h in handlers), F.lit("skip"))
     return out.withColumn("action", F.when(F.col("is_original"), "keep").otherwise(chain)).withColumn("original_path", F.col("__o.path")).drop("__o", "__can", "__extents")
 
 
+def directory_actions(dirs: DataFrame, handlers: tuple[str, ...] = PRESETS["default"], command: str | None = None) -> DataFrame:
+    """The same for reported directories (``dir, signature``); only a command and ``remove`` accept them."""
+    nowhere = F.lit(None).cast("long")
+    return actions(dirs.select(F.col("dir").alias("path"), "*").withColumn("dev", nowhere).withColumn("inode", nowhere), ["signature"], handlers, command)
+
+
 #: Actions for other lint.
 LINT_ACTIONS = {"emptydir": "remove_dir", "emptyfile": "remove", "badlink": "remove", "nonstripped": "strip", "baduid": "set_user", "badgid": "set_group", "badugid": "set_user_and_group"}
 
@@ -140,14 +134,20 @@ def lint_actions(lint: DataFrame) -> DataFrame:
     return lint.withColumn("action", table[F.col("type")])
 
 
+def pretty_lines(rows: DataFrame) -> DataFrame:
+    """Text for people, in order: a headline per type, then its rows by path."""
+    heads = rows.select("type").distinct().select("type", F.lit("").alias("path"), F.concat(F.lit("# "), F.replace("type", F.lit("_"), F.lit(" ")), F.lit(":")).alias("value"), F.lit(0).alias("__row"))
+    lines = rows.select("type", "path", F.concat(F.lit("    "), F.when(F.col("is_original"), "ls").otherwise("rm"), F.lit(" "), F.col("path")).alias("value"), F.lit(1).alias("__row"))
+    return heads.unionByName(lines).orderBy("type", "__row", "path").select("value")
+
+
 def pretty(rows: DataFrame) -> Iterator[str]:
-    """Text for people: a headline per type, then the rows; streamed by the driver."""
-    last = None
-    for r in rows.select("type", "path", "is_original").orderBy("type", "path").toLocalIterator():
-        if r["type"] != last:
-            yield f"# {r['type'].replace('_', ' ')}:"
-            last = r["type"]
-        yield f"    {'ls' if r['is_original'] else 'rm'} {r['path']}"
+    """The lines for a terminal, one after the other."""
+    return (r["value"] for r in pretty_lines(rows).toLocalIterator())
+
+
+def write_pretty(rows: DataFrame, path: str) -> None:
+    document.write(pretty_lines(rows).select(F.concat("value", F.lit("\n")).alias("value")), path)
 
 
 def summary(members: DataFrame, group: list[str], total_files: int, outputs: list[tuple[str, str]] = ()) -> DataFrame:

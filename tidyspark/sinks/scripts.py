@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import document
 
 _HEAD = r"""#!/bin/sh
 # Planned actions, one a line.  Without -x they are only shown.
@@ -27,9 +28,25 @@ act() {
     printf '%s\n' "$*"
     [ -z "$run" ] || "$@" || failed=$((failed + 1))
 }
+# What a directory holds, whatever the names: digests of its files and targets of its links.
+contents() {
+    find "$1" -type f -size +0c -exec sh -c 'for f; do sha256sum <"$f" || echo "$f"; done' sh {} + | sort
+    find "$1" -type l -exec sh -c 'for f; do readlink -n -- "$f" | sha256sum; done' sh {} + | sort
+    find "$1" ! -type f ! -type l ! -type d
+}
+equal() {
+    if [ -d "$1" ] && [ ! -L "$1" ]; then
+        [ -d "$2" ] || return 1
+        case "$2/" in "$1"/*) return 1 ;; esac
+        case "$1/" in "$2"/*) return 1 ;; esac
+        [ "$(contents "$1")" = "$(contents "$2")" ]
+    else
+        cmp -s -- "$1" "$2"
+    fi
+}
 # A duplicate goes only while its original is there and still has the same content.
 still_same() {
-    [ -e "$2" ] && [ ! "$1" -ef "$2" ] && cmp -s -- "$1" "$2" && return
+    [ -e "$2" ] && [ ! "$1" -ef "$2" ] && equal "$1" "$2" && return
     [ -z "$run" ] && return
     printf 'kept, as its original has changed: %s\n' "$1" >&2
     failed=$((failed + 1))
@@ -37,7 +54,13 @@ still_same() {
 }
 keep() { :; }
 skip() { :; }
-remove() { if [ -z "$2" ] || still_same "$1" "$2"; then act rm -f -- "$1"; fi; }
+remove() {
+    if [ -z "$2" ]; then
+        act rm -f -- "$1"
+    elif still_same "$1" "$2"; then
+        if [ -d "$1" ] && [ ! -L "$1" ]; then act rm -rf -- "$1"; else act rm -f -- "$1"; fi
+    fi
+}
 remove_dir() { act rmdir -- "$1"; }
 replaced() { act mv -f -- "$2.tidy" "$2"; }
 clone() { if still_same "$1" "$2"; then act cp --reflink=always -p -- "$2" "$1.tidy" && replaced "$2" "$1"; fi; }
@@ -104,12 +127,8 @@ def _executable(path: str) -> None:
 
 
 def write_script(planned: DataFrame, path: str, command: str | None = None) -> None:
-    """A shell script of all planned actions, streamed by the driver."""
-    with open(path, "w") as out:
-        out.write(_HEAD)
-        for row in script_lines(planned, command).toLocalIterator():
-            out.write(row[0] + "\n")
-        out.write(_TAIL)
+    """A shell script of all planned actions, written in segments by the tasks."""
+    document.write(script_lines(planned, command).select(F.concat("value", F.lit("\n")).alias("value")), path, _HEAD, "", _TAIL)
     _executable(path)
 
 
