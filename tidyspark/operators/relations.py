@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.digests import digest
+from ..plans.config import Config
+from . import directories
 
 
 def union_results(results: list[DataFrame]) -> DataFrame:
@@ -46,6 +48,25 @@ def equal_verdict(records: DataFrame, asked: int) -> DataFrame:
     return found.select("n", "contents", good.alias("is_equal"))
 
 
+def equal_entries(entries: DataFrame, asked: DataFrame, honour_layout: bool = False) -> DataFrame:
+    """``ask, n, is_equal`` for each question of ``asked`` (ask, path): whether all its paths, two or more, are there and equal.
+
+    ``entries`` are records with ``checksum`` (null for what can't be read) and, of a walk, ``kind``.  Files are equal by content, links by target, directories by the multiset
+    of what they hold, hidden and empty files among it (with names, if the layout counts).  A directory equals no file, one that holds nothing or something that can't be read equals none;
+    links of one file are equal whether or not it can be read.
+    """
+    everything = Config(types=frozenset({"duplicate_file", "duplicate_dir"}), honour_layout=honour_layout)
+    known = entries.filter("checksum IS NOT NULL")
+    dirs = directories.signatures(directories.counted(entries, everything), known.select("path", "checksum").dropDuplicates(["path"]), everything)
+    kind = F.col("kind") if "kind" in entries.columns else F.lit("file")
+    single = entries.filter(kind != "dir").select("path", F.when(F.col("checksum").isNotNull(), F.concat_ws("/", F.lit("file"), "is_symlink", "size", "checksum")).alias("__key"), F.struct("dev", "inode").alias("__file"))
+    whole = dirs.select(F.col("dir").alias("path"), F.concat_ws("/", F.lit("dir"), "signature").alias("__key"), F.lit(None).cast(single.schema["__file"].dataType).alias("__file"))
+    found = asked.join(single.unionByName(whole).dropDuplicates(["path"]), "path", "left").groupBy("ask")
+    told = found.agg(F.count("*").alias("n"), F.count("__key").alias("__read"), F.count_distinct("__key").alias("__keys"), F.count("__file").alias("__known"), F.count_distinct("__file").alias("__files"))
+    same = ((F.col("__keys") == 1) & (F.col("__read") == F.col("n"))) | ((F.col("__files") == 1) & (F.col("__known") == F.col("n")))
+    return told.select("ask", "n", ((F.col("n") >= 2) & same).alias("is_equal"))
+
+
 #: Fixed codes of link relations.
 REFLINK, NONE, NOT_FILE, WRONG_SIZE, MAYBE_REFLINK, SAME_FILE, PATH_DOUBLE, HARDLINK, SYMLINK, XDEV, ERROR = 0, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import columns as C
 from ..operators import directories, rank, relations, sieve
@@ -47,18 +49,62 @@ def with_groups(rows: DataFrame) -> DataFrame:
     if "position" not in rows.columns:
         return rows.withColumn("checksum", F.coalesce("checksum", F.concat(F.lit("none "), F.xxhash64("type", "path").cast("string"))))
     bare, known = rows.filter("checksum IS NULL"), rows.filter("checksum IS NOT NULL")
-    # The last original before a row: one for all rows of a group, found in the order of positions.
-    order = Window.partitionBy("source_idx", "type").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begin = F.last(F.when(F.col("is_original"), F.col("position")), ignorenulls=True).over(order)
+    # The last original before a row: one for all rows of a group, found in the order of positions.  A result's rows are ordered in ranges across
+    # tasks; a window looks through one range, and what is open at its end is handed on by a row for each range.
+    kind = ["source_idx", "type"]
+    placed = rank.in_ranges(bare, [F.col("source_idx"), F.col("type"), F.col("position")])
+    begins = F.when(F.col("is_original"), F.struct("position"))
+    inside = Window.partitionBy(*kind, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = placed.groupBy(*kind, "__part").agg(F.max(begins).alias("__end"))
+    earlier = Window.partitionBy(*kind).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*kind, "__part", F.last("__end", ignorenulls=True).over(earlier).alias("__open"))
+    begin = F.coalesce(F.last(begins, ignorenulls=True).over(inside), F.col("__open"))["position"]
     named = F.concat_ws(" ", F.lit("none"), "source_idx", F.coalesce(begin, F.lit(-1)))
-    return known.unionByName(bare.withColumn("checksum", named))
+    return known.unionByName(placed.join(ends, [*kind, "__part"]).withColumn("checksum", named).select(*known.columns))
+
+
+#: With more roots than this a trie is searched; with fewer a chain of comparisons stays in the JVM.
+_CHAINED = 16
+
+
+def _trie(roots: list[tuple[str, int, bool]]) -> dict:
+    """Components of the roots as nested dictionaries; under None what a root has, the first of equal ones."""
+    trie: dict = {}
+    for root, ordinal, tag in sorted(roots, key=lambda r: r[1], reverse=True):
+        node = trie
+        for part in root.rstrip("/").split("/"):
+            node = node.setdefault(part, {})
+        node[None] = (ordinal, tag)
+    return trie
+
+
+def _longest(trie: dict, path: str) -> tuple[int | None, bool | None]:
+    node, found = trie, (None, None)
+    for part in path.split("/"):
+        node = node.get(part)
+        if node is None:
+            break
+        found = node.get(None, found)
+    return found
 
 
 def assigned(rows: DataFrame, roots: list[tuple[str, int, bool]]) -> DataFrame:
-    """Rows below a root, with ordinal and tag of the longest root above; component bounds count.
+    """Rows below a root, with ordinal and tag of the longest root above; component bounds count, and of equal roots the first.
 
-    The roots are a command line's: a chain of comparisons, no join.
+    The roots are a command line's, or a list's.
     """
+    if len(roots) > _CHAINED:
+        trie = _trie(roots)
+
+        def looked_up(batches):
+            for b in batches:
+                found = [_longest(trie, p) for p in b.column("path").to_pylist()]
+                kept = [f[0] is not None for f in found]
+                table = b.append_column("path_index", pa.array([f[0] for f in found], pa.int32())).append_column("is_tagged", pa.array([f[1] for f in found], pa.bool_()))
+                yield table.filter(pa.array(kept))
+
+        rows = rows.drop("path_index", "is_tagged").filter("path IS NOT NULL")
+        return rows.mapInArrow(looked_up, StructType([*rows.schema.fields, StructField("path_index", IntegerType()), StructField("is_tagged", BooleanType())]))
     path, index, tagged = F.col("path"), F.lit(None).cast("int"), F.lit(None).cast("boolean")
     for root, ordinal, tag in sorted(roots, key=lambda r: (len(r[0]), -r[1])):
         clean = root.rstrip("/")

@@ -496,6 +496,27 @@ def equal_verdict_documents(spark, sf_dir):
     return relations.union_results(told).select("asked", "n", "contents", "is_equal")
 
 
+@query(f"""WITH s AS (SELECT l_orderkey AS o, list_sort(list(content)) AS sig, min(content) AS least, count(*) AS n FROM ({_NUMBERED}) GROUP BY l_orderkey),
+p AS (SELECT s.*, lead(o) OVER (ORDER BY o) AS o2, lead(sig) OVER (ORDER BY o) AS sig2 FROM s)
+SELECT concat('dirs ', o) AS ask, 2 AS n, sig = sig2 AS is_equal FROM p WHERE o2 IS NOT NULL
+UNION ALL SELECT concat('mixed ', o), 2, false FROM s UNION ALL SELECT concat('missing ', o), 2, false FROM s UNION ALL SELECT concat('alone ', o), 1, false FROM s""")
+def equal_entries_orders(spark, sf_dir):
+    """Each order's directory against the next one's, against its own first line, against nothing, and alone."""
+    files = _numbered_lines(spark, sf_dir)
+    orders = files.select(F.expr("CAST(split(path, '/')[1] AS BIGINT)").alias("o")).distinct()
+    following = rank.in_ranges(orders, [F.col("o")])
+    ends = following.groupBy("__part").agg(F.min("o").alias("__first"))
+    ends = ends.withColumn("__next", F.lead("__first").over(Window.orderBy("__part"))).drop("__first")  # a row for each range
+    following = following.join(ends, "__part").withColumn("o2", F.coalesce(F.lead("o").over(Window.partitionBy("__part").orderBy("__at")), "__next"))
+    at = lambda c: F.concat_ws("/", F.lit("o"), c)
+    told = lambda name, *paths: F.array(*(F.struct(F.concat_ws(" ", F.lit(name), "o").alias("ask"), p.alias("path")) for p in paths))
+    pairs = following.filter("o2 IS NOT NULL").select(F.explode(told("dirs", at("o"), at("o2"))).alias("x"))
+    first = files.groupBy(F.expr("CAST(split(path, '/')[1] AS BIGINT)").alias("o")).agg(F.min("path").alias("line"))
+    others = first.select(F.explode(F.concat(told("mixed", at("o"), F.col("line")), told("missing", at("o"), F.concat(at("o"), F.lit("/none"))), told("alone", at("o")))).alias("x"))
+    asked = pairs.unionByName(others).select("x.*")
+    return relations.equal_entries(files.withColumn("checksum", digest(F.col("content"), "sha256")), asked)
+
+
 @query("SELECT concat_ws('/', source, lang, doc_id) AS path, strlen(text) AS size FROM documents WHERE (strlen(text) BETWEEN 1024 AND 2048 OR strlen(text) BETWEEN 4096 AND 5120) AND (contains(source, 'rc1'))")
 def query_language_documents(spark, sf_dir):
     return query_language.query(documents(spark, sf_dir), "size:1K-2K,4K-5K RC1").select("path", "size")

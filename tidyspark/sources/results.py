@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rank import in_ranges
 from ..plans import parsing
 
 RESULT_SCHEMA = (
@@ -20,8 +21,10 @@ def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The elements of a result, with their place in it."""
-    return read_document(spark, path, lines).filter("path IS NOT NULL").select(*_ELEMENT, F.monotonically_increasing_id().alias("position"))
+    """The elements of a result, with their place in it (``position``: they are read once, in ranges of files and of places in a file, and written so)."""
+    read = read_document(spark, path, lines).filter("path IS NOT NULL").select(*_ELEMENT, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    placed = in_ranges(read, [F.col("__file"), F.col("__block"), F.col("__id")])
+    return placed.select(*_ELEMENT, F.col("__at").alias("position"))
 
 
 def read_header(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
