@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-_PHI = 0.6180339887498949
+PHI = 0.6180339887498949
 _CELLS = 4096
 
 
@@ -52,11 +52,11 @@ def _buckets(n: int, rows: int = 50_000) -> int:
     return max(1, -(-n // rows))
 
 
-def schedule(shares: DataFrame, slots: int, chunk: int = 50_000) -> DataFrame:
+def schedule(shares: DataFrame, slots: int, chunk: int = 50_000, step: float = PHI) -> DataFrame:
     """``__source, slot, rank``: the source of each slot and which of that source's slots it is.
 
     ``shares`` has ``__source`` and ``__quota``, how many slots the source gets.  Slots beyond the quota are left out; the few
-    that the points leave a source short of its quota follow at the end of the schedule.
+    that the points leave a source short of its quota follow at the end of the schedule.  ``step`` is the way from one point to the next.
     """
     spark = shares.sparkSession
     whole = Window.orderBy("__source")
@@ -67,7 +67,7 @@ def schedule(shares: DataFrame, slots: int, chunk: int = 50_000) -> DataFrame:
     cells = spans.select("__source", "__quota", "__low", "__high", F.explode(F.sequence(F.floor(F.col("__low") * _CELLS), F.least(F.floor(F.col("__high") * _CELLS), F.lit(_CELLS - 1)))).alias("__cell"))
     high, low_bits = F.floor((F.col("id") + 1) / (1 << 20)), (F.col("id") + 1) % (1 << 20)
     point = F.expr("__x - floor(__x)")
-    points = spark.range(slots).withColumn("__x", high * ((_PHI * (1 << 20)) % 1) + low_bits * _PHI).select(F.col("id").alias("slot"), point.alias("__point"))
+    points = spark.range(slots).withColumn("__x", high * ((step * (1 << 20)) % 1) + low_bits * step).select(F.col("id").alias("slot"), point.alias("__point"))
     points = points.withColumn("__cell", F.floor(F.col("__point") * _CELLS))
     dealt = points.join(cells, "__cell").filter("__point >= __low AND __point < __high").select("__source", "__quota", "slot", F.floor(F.col("slot") / chunk).alias("__chunk"))
     counts = dealt.groupBy("__source", "__chunk").agg(F.count("*").alias("__n"))
@@ -83,11 +83,12 @@ def schedule(shares: DataFrame, slots: int, chunk: int = 50_000) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_passes: int = 3, block_words: int = 1024
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_passes: int = 3, block_words: int = 1024, step: float = PHI
 ) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken, first_slot`` and ``__text_hash``.
+    """One row per input row: ``doc_id, size, source_size, target, taken, first_slot, slots`` and ``__text_hash``.
 
-    A null or empty text has size 0 and is never taken.  Null is a source like any other, the last one.  Repeated rows are
+    ``slots`` has the place in the schedule of the block in which each pass over the document begins, ``first_slot`` the first of them (null for a document that isn't taken): in the order of slots
+    every stretch of the mix has each source near its share.  A null or empty text has size 0 and is never taken.  An empty table has no rows.  Null is a source like any other, the last one.  Repeated rows are
     documents of their own.  The order of documents hangs on their ids alone, so reruns agree.  Other columns play no part.
     """
     text = F.col(text_col)
@@ -113,38 +114,42 @@ def mix(
     parts = parts.withColumn("__a", F.col("__from") + F.col("__pass") * F.col("source_size")).withColumn("__b", F.least(F.col("__a") + F.col("size"), "__words"))
     parts = parts.withColumn("rank", F.explode(F.sequence(F.floor(F.col("__a") / block_words), F.floor((F.col("__b") - 1) / block_words))))
     words = F.least(F.col("__b"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("__a"), F.col("rank") * block_words)
-    taken = parts.join(schedule(share, slots), ["__source", "rank"]).groupBy("__source", "__from", "size").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"))
+    begins = [F.min(F.when((F.col("__pass") == j) & (F.col("rank") == F.floor(F.col("__a") / block_words)), F.col("slot"))).alias(f"__slot{j}") for j in range(most_passes)]
+    taken = parts.join(schedule(share, slots, step=step), ["__source", "rank"]).groupBy("__source", "__from", "size").agg(F.sum(words).alias("taken"), *begins)
+    taken = taken.withColumn("slots", F.filter(F.array(*(F.col(f"__slot{j}") for j in range(most_passes))), lambda x: x.isNotNull()))
     # (source, place in its stream) names a row; rows of size 0 share a place but are never taken
     found = placed.join(taken, ["__source", "__from", "size"], "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "__text_hash")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("slots")[0].alias("first_slot"), "slots", "__text_hash")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document taken k times and a part is k whole rows and one row with
     the first words of its text; documents that are not taken go, as do null, empty and blank texts, which have no words.
 
-    Null ids, sources and character counts stay null.  Repeated rows are taken each on its own.  An empty table stays empty.  Columns may have any names but ``__id``,
-    ``__text_hash``, ``__nth``, ``__size``, ``__taken`` and ``__part``.
+    The rows are in the order of the schedule, by the slot in which they begin, in ranges: a partition holds a stretch of slots, so written as it is the mix can be read from its front, with each
+    source near its share at any point.  Null ids, sources and character counts stay null.  Repeated rows are taken each on its own.  An empty table stays empty.  Columns may have any names but ``__id``,
+    ``__text_hash``, ``__nth``, ``__size``, ``__taken``, ``__slots``, ``__pass``, ``__slot`` and ``__part``.
     """
     keys = ["__id", "__text_hash"]
-    counted = mix(docs, id_col, text_col, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), "__text_hash", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    counted = mix(docs, id_col, text_col, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), "__text_hash", F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("slots").alias("__slots"))
     nth = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))  # noqa: E731  repeated rows are alike, so any order of them will do
     counted = counted.withColumn("__nth", nth(F.col("__taken").desc()))
     rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__nth", nth(F.lit(1)))
     same = rows["__id"].eqNullSafe(counted["__id"]) & (rows["__text_hash"] == counted["__text_hash"]) & (rows["__nth"] == counted["__nth"])
-    rows = rows.join(counted, same).select(*(rows[c] for c in docs.columns), counted["__size"], counted["__taken"])
-    rest = (F.col("__taken") % F.col("__size")).cast("int")
+    rows = rows.join(counted, same).select(*(rows[c] for c in docs.columns), counted["__size"], counted["__taken"], counted["__slots"], counted["__text_hash"])
     first_words = F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("__part")), ""))
-    copies = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("__taken") / F.col("__size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__part", F.explode(copies))
+    rows = rows.select("*", F.posexplode("__slots").alias("__pass", "__slot"))
+    left = F.col("__taken") - F.col("__pass") * F.col("__size")
+    rows = rows.withColumn("__part", F.when(left < F.col("__size"), left).otherwise(0).cast("int"))
     rows = rows.withColumn(text_col, F.when(F.col("__part") > 0, first_words).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
         rows = rows.withColumn(chars_col, F.when(F.col("__part") > 0, F.char_length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return rows.select(*docs.columns)
+    placed = rows.repartitionByRange("__slot", "__text_hash").sortWithinPartitions("__slot", "__text_hash", "__pass")
+    return placed.select(*docs.columns)
 
 
-ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
                   md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w,
              row_number() OVER (ORDER BY source ASC NULLS LAST) AS nr FROM d GROUP BY source),
@@ -152,10 +157,19 @@ l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(source_size * 3) OV
              / CAST(sum(w) OVER (ORDER BY source_size * 3 / w, nr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM s),
 f AS (SELECT level FROM l WHERE level * w <= source_size * 3 ORDER BY source_size * 3 / w, nr LIMIT 1),
 t AS (SELECT source, source_size, least(CAST(source_size * 3 AS DOUBLE), (SELECT level FROM f) * w) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+u AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nr, CAST(round(target) AS BIGINT) AS words, (CAST(round(target) AS BIGINT) + 1023) // 1024 AS quota FROM t),
+z AS (SELECT CAST(sum(quota) AS BIGINT) AS slots FROM u),
+v AS (SELECT *, coalesce(sum(target) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS low FROM u WHERE target > 0),
+y AS (SELECT *, coalesce(lead(low) OVER (ORDER BY nr), 1) AS high FROM v),
+x AS (SELECT slot, (slot + 1) // 1048576 * CAST('{(PHI * (1 << 20)) % 1!r}' AS DOUBLE) + (slot + 1) % 1048576 * CAST('{PHI!r}' AS DOUBLE) AS x FROM (SELECT unnest(range(slots)) AS slot FROM z)),
+g AS (SELECT y.nr, slot, quota, row_number() OVER (PARTITION BY y.nr ORDER BY slot) - 1 AS rank FROM x JOIN y ON x - floor(x) >= low AND x - floor(x) < high),
+h AS (SELECT nr, count(*) AS had FROM g GROUP BY nr),
+e AS (SELECT nr, slot, rank FROM g WHERE rank < quota UNION ALL
+      SELECT nr, (SELECT slots FROM z) + rank, rank FROM (SELECT y.nr, unnest(range(coalesce(had, 0), quota)) AS rank FROM y LEFT JOIN h USING (nr))),
+p AS (SELECT d.doc_id, d.size, u.source_size, u.target, u.words, u.nr,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS b
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE CAST(words // source_size * size + greatest(0, least(b, words % source_size) - (b - size)) AS BIGINT) END AS taken
-FROM p
+       CASE WHEN source_size = 0 THEN 0 ELSE CAST(words // source_size * size + greatest(0, least(b, words % source_size) - (b - size)) AS BIGINT) END AS taken, e.slot AS first_slot
+FROM p LEFT JOIN e ON e.nr = p.nr AND e.rank = (b - size) // 1024 AND size > 0 AND b - size < words
 """
