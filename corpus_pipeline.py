@@ -27,7 +27,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for, in the order of the schedule, so that any front part of the rows as written has each source near its share."""
     return mixing.mixed_documents(docs)
 
 
