@@ -46,6 +46,21 @@ def test_encoder_equals_tokenizer():
         assert [plain[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [reference_ids(t, False) for t in part]
 
 
+SPELLED = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>b<|startoftext|><|endoftext|>", "<|EndOfText|> <|endoftext| >", "x <|startoftext|>\n\n<|endoftext|>. y", "plain"]
+
+
+def test_special_tokens_that_a_text_spells_out(spark):
+    """The plain call of the tokenizer makes them control ids; the safe one does not."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    df = spark.createDataFrame([(k, t, "clash", 0) for k, t in enumerate(SPELLED)], SCHEMA)
+    for control_ids, ids in ((True, lambda t: plain.encode(t, add_special_tokens=False).ids + [1]), (False, reference_ids)):
+        got = {x.doc_id: (x.doc_tokens, x.ids_crc32) for x in pack(df, PATH, control_ids=control_ids).collect()}
+        assert got == {k: (len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for k, t in enumerate(SPELLED)}
+    assert plain.encode(SPELLED[0], add_special_tokens=False).ids != reference_ids(SPELLED[0], False)
+
+
 def test_room_tree_and_best_fit():
     r = random.Random(2)
     tree, have = RoomTree(100), Counter()

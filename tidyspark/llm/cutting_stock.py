@@ -28,11 +28,11 @@ from .wordarrays import row_groups, utf8
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, batch_bytes: int = 1 << 20) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, width: int, end_id: int, batch_bytes: int = 1 << 20, control_ids: bool = False) -> DataFrame:
     """Cut each document's ids, with ``end_id`` behind them, at multiples of ``width``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(tokenizer_path)
+        encoder = WordEncoder.of(tokenizer_path, control_ids)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
@@ -182,15 +182,17 @@ def plan(histogram: dict[int, int], width: int, **how) -> list[tuple[tuple[tuple
     return found
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, bins: int = 256, bucket_rows: int = 4096, **how) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2048, end_id: int = 1, bins: int = 256, bucket_rows: int = 4096, control_ids: bool = False, **how) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
+    With ``control_ids`` a special token that a text spells out becomes its id, as the tokenizer called with its defaults has it; without, it is ordinary text, so that control ids never come from a text.
+
     A null or empty text has the end id alone; a text of any length is cut into pieces.  Rows with the same id are documents of their own.  Other columns of the input
     play no part, whatever their names.  An empty table has no rows.  Sequence ids run from 0 without gaps.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
     grain = max(1, width // bins)
-    cut = scratch.table(pieces(docs, tokenizer_path, width, end_id), "pieces")
+    cut = scratch.table(pieces(docs, tokenizer_path, width, end_id, control_ids=control_ids), "pieces")
     room = width // grain
     cut = cut.withColumn("__bin", F.least(F.ceil(F.col("length") / grain), F.lit(room)).cast("int"))  # the last bin fills a sequence
     histogram = {r["__bin"]: r["count"] for r in cut.groupBy("__bin").count().collect()}  # at most width / grain rows

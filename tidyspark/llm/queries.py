@@ -46,7 +46,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cutting_stock.pack(_table(spark, sf_dir, "documents"), tokenizer())
+    return cutting_stock.pack(_table(spark, sf_dir, "documents"), tokenizer(), control_ids=True)
 
 
 #: Schemas of the tools that conversations may call.

@@ -26,20 +26,22 @@ def _byte_characters() -> list[str]:
 class WordEncoder:
     """Not thread-safe; one per Python worker."""
 
-    _kept: dict[str, WordEncoder] = {}
+    _kept: dict[tuple[str, bool], WordEncoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
-
-    def __init__(self, path: str, most_words: int = 400_000):
+    def of(cls, path: str, control_ids: bool = False) -> WordEncoder:
+        key = (path, control_ids)
+        if key not in cls._kept:
+            cls._kept[key] = cls(path, control_ids=control_ids)
+        return cls._kept[key]
+
+    def __init__(self, path: str, most_words: int = 400_000, control_ids: bool = False):
+        """``control_ids``: a special token that a text spells out becomes its id, as the tokenizer does by default; otherwise it is ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not control_ids
         self.model = self.tokenizer.model
         self.as_bytes = str.maketrans(dict(enumerate(_byte_characters())))
         self.marks = {m: self.slow(m) for m in (".", ",")}
