@@ -178,6 +178,41 @@ def test_few_vectors_are_verified():
     assert block.verified <= 0.02 * len(x) * 16
 
 
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_recall_in_many_dimensions(dim):
+    r = np.random.default_rng(dim)
+    x = r.standard_normal((16384, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    block = nearest.NormRanges(np.arange(len(x)), x, 20, m=None, runs=32, share=0.01, least=100)
+    hit = 0
+    for q in range(0, len(x), 1024):
+        near = x @ x[q]
+        near[q] = -1
+        hit += len(set(block.best(q, x[q])[0].tolist()) & set(np.argsort(-near)[:20].tolist()))
+    assert hit >= 0.95 * 20 * 16
+    assert block.verified <= 0.02 * len(x) * 16
+
+
+HUGE = "vec_id long, embedding array<double>"
+
+
+def test_vectors_of_any_norm_are_searched(spark):
+    rows = [(0, [1e200, 0.0]), (20, [1e-200, 1e-200]), (40, [1.0, 1.0]), (1, [1e200, 1e199]), (2, [-1e300, 1e300]), (3, [2e-200, 0.0]), (4, [3.0, 0.0]), (5, [0.0, 0.0]), (6, [float("inf"), 0.0]), (7, [5e-324, 0.0])]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, HUGE)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    with np.errstate(all="ignore"):
+        for q, v in rows[:3]:
+            want = sorted(((float((np.array(w) * np.array(v)).sum()), i) for i, w in rows if i not in (q, 5, 6)), key=lambda x: (-x[0], x[1]))
+            assert [(s, i) for _, i, s in sorted(got[q])] == want, q
+
+
+def test_vectors_of_any_norm_are_linked(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2.0, 2.1]), (3, [3e-200, 3e-200]), (4, [-1e300, 1e300]), (5, [-1.0, 1.0]), (6, [0.0, 0.0]), (7, [5e-324, 0.0]), (8, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link(spark.createDataFrame(rows, HUGE)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
 def test_collisions_of_all_windows():
     r = np.random.default_rng(10)
     x = r.standard_normal((500, 12))

@@ -47,8 +47,10 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             out = []
             for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 vec = np.array([], float) if values is None or any(v is None for v in values) else np.array(values, float)
-                norm = math.sqrt(float(vec @ vec)) if np.isfinite(vec).all() else 0.0
-                if norm > 0 and math.isfinite(norm):
+                largest = float(np.abs(vec).max()) if len(vec) and np.isfinite(vec).all() else 0.0
+                if largest and not 1e-100 < largest < 1e100:  # its square may be no double; a power of two changes no angle
+                    vec = np.ldexp(vec, -math.frexp(largest)[1])
+                if largest:
                     raw = (vec + 0.0).astype("<f8").tobytes()  # + 0.0 makes -0.0 equal to 0.0
                     short = np.abs(vec).max() < 3e38 and (vec.astype("<f4") == vec).all()
                     out.append((vec_id, hashlib.blake2b(raw, digest_size=16).digest(), len(vec), vec.astype("<f4").tobytes() if short else raw))
