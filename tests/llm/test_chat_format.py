@@ -180,3 +180,31 @@ def test_canonical_and_schema():
     assert violations({"a": 1, "c": 2}, TOOLS["add"]) == ["$.c: unknown"] and violations(True, {"type": "integer"}) == ["$: not integer"]
     assert violations([1, "x"], {"type": "array", "items": {"type": "number"}, "maxItems": 1}) == ["$: length", "$[1]: not number"]
     assert parse("assistant", '{"a": NaN}')[0] == '{"a": NaN}' and parse("user", "{}") == ("{}", [], None)
+
+
+@pytest.mark.parametrize(
+    "schema, good, bad",
+    [
+        ({"pattern": "^[a-z]+$"}, ["abc"], ["a1", ""]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["x", 4], [2]),
+        ({"oneOf": [{"minimum": 0}, {"multipleOf": 2}]}, [1, -2], [2, -1]),
+        ({"allOf": [{"minimum": 0}, {"exclusiveMaximum": 5}], "not": {"const": 3}}, [0, 4.5], [5, -1, 3]),
+        ({"exclusiveMinimum": 1, "multipleOf": 0.1}, [1.1, 2, 1.3], [1, 1.15]),
+        ({"uniqueItems": True, "prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1, 2], []], [["a", 1, 1.0], [1], ["a", "b"]]),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": {"type": "string"}, "minProperties": 1}, [{"x1": 1, "y": "s"}], [{}, {"x1": "s"}, {"y": 1}]),
+        ({"propertyNames": {"maxLength": 2}, "additionalProperties": True}, [{"ab": 1}], [{"abc": 1}]),
+        ({"items": False}, [[]], [[1]]),
+    ],
+)
+def test_words_of_schemas(schema, good, bad):
+    from tidyspark.llm.chat_format import checked, violations
+
+    assert [violations(v, checked(schema)) for v in good] == [[] for _ in good]
+    assert all(violations(v, schema) for v in bad)
+
+
+def test_a_schema_with_an_unknown_word_is_an_error(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for schema in ({"$ref": "#/x"}, {"properties": {"a": {"items": {"minContains": 1}}}}, {"anyOf": [{"if": {}}]}):
+        with pytest.raises(ValueError, match="unknown word"):
+            format_chats(df, {"tool": schema})

@@ -17,6 +17,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,10 +36,39 @@ def _is(kind: str, value) -> bool:
     return isinstance(value, _KINDS.get(kind, object))
 
 
-def violations(value, schema: dict, path: str = "$") -> list[str]:
-    """What a value breaks of a JSON schema: type, enum, const, required, properties, additionalProperties, items, and the length and size limits."""
-    if isinstance(value, dict) and set(value) == {"$result"}:
-        return []  # another call's result, known only when the tool runs
+#: Words of a JSON schema that assert something, and such as only describe.
+_ASSERTING = frozenset(
+    "type enum const required properties patternProperties additionalProperties propertyNames minProperties maxProperties items prefixItems minItems maxItems uniqueItems minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf allOf anyOf oneOf not".split()
+)
+_DESCRIBING = frozenset("title description default examples deprecated readOnly writeOnly format $schema $id $comment".split())
+
+
+def checked(schema: dict | bool) -> dict | bool:
+    """The schema itself; a ValueError if it has a word that ``violations`` does not know, as ``$ref``."""
+    if isinstance(schema, bool):
+        return schema
+    for word in schema:
+        if word not in _ASSERTING and word not in _DESCRIBING:
+            raise ValueError(f"unknown word in a schema: {word}")
+    inner = [*schema.get("properties", {}).values(), *schema.get("patternProperties", {}).values(), *schema.get("allOf", []), *schema.get("anyOf", []), *schema.get("oneOf", []), *schema.get("prefixItems", [])]
+    inner += [schema[w] for w in ("items", "not", "additionalProperties", "propertyNames") if w in schema]
+    for one in inner:
+        checked(one)
+    for pattern in (schema.get("pattern", ""), *schema.get("patternProperties", {})):
+        re.compile(pattern)
+    return schema
+
+
+def _multiple(value, step) -> bool:
+    return (Fraction(value) / Fraction(str(step))).denominator == 1 if isinstance(value, int) else (Fraction(repr(value)) / Fraction(str(step))).denominator == 1
+
+
+def violations(value, schema: dict | bool, path: str = "$") -> list[str]:
+    """What a value breaks of a JSON schema, by the words that ``checked`` lets pass; a reference to another call's result breaks nothing, as it is known only when the tool runs."""
+    if isinstance(value, dict) and set(value) == {"$result"} or schema is True:
+        return []
+    if schema is False:
+        return [f"{path}: nothing is allowed"]
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(k, value) for k in kinds):
@@ -48,22 +78,40 @@ def violations(value, schema: dict, path: str = "$") -> list[str]:
         out.append(f"{path}: not in enum")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{path}: not the constant")
+    for one in schema.get("allOf", []):
+        out += violations(value, one, path)
+    if "anyOf" in schema and all(violations(value, one, path) for one in schema["anyOf"]):
+        out.append(f"{path}: none of anyOf")
+    if "oneOf" in schema and (fit := sum(not violations(value, one, path) for one in schema["oneOf"])) != 1:
+        out.append(f"{path}: {fit} of oneOf")
+    if "not" in schema and not violations(value, schema["not"], path):
+        out.append(f"{path}: not allowed")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{path}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        out += [f"{path}: length"] if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", math.inf) else []
         for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{path}.{k}: unknown")
+            if "propertyNames" in schema:
+                out += violations(k, schema["propertyNames"], f"{path}.{k}")
+            fitting = [known[k]] if k in known else []
+            fitting += [one for pattern, one in patterns.items() if re.search(pattern, k)]
+            for one in fitting:
+                out += violations(value[k], one, f"{path}.{k}")
+            if not fitting and schema.get("additionalProperties", True) is not True:
+                out += [f"{path}.{k}: unknown"] if schema["additionalProperties"] is False else violations(value[k], schema["additionalProperties"], f"{path}.{k}")
     elif isinstance(value, list):
         out += [f"{path}: length"] if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf) else []
+        out += [f"{path}: repeats"] if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value) else []
+        first = schema.get("prefixItems", [])
         for i, x in enumerate(value):
-            out += violations(x, schema.get("items", {}), f"{path}[{i}]")
+            out += violations(x, first[i] if i < len(first) else schema.get("items", {}), f"{path}[{i}]")
     elif isinstance(value, str):
         out += [f"{path}: length"] if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf) else []
+        out += [f"{path}: pattern"] if "pattern" in schema and not re.search(schema["pattern"], value) else []
     elif isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"{path}: size"] if not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf) else []
+        fits = schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf) and schema.get("exclusiveMinimum", -math.inf) < value < schema.get("exclusiveMaximum", math.inf)
+        out += [] if fits else [f"{path}: size"]
+        out += [f"{path}: no multiple"] if "multipleOf" in schema and not _multiple(value, schema["multipleOf"]) else []
     return out
 
 
@@ -250,8 +298,10 @@ def format_chats(
     Null texts have null content, empty ones empty content; null roles and turns are kept, a null turn stands first; rows with a null conversation are one conversation.
     Repeated rows stay, each with its own calls and links, and are told apart by nothing but their place.  Texts of any length are read whole.  A text that is no
     JSON object, has numbers beyond doubles, or is nested deeper than ``DEEPEST`` levels is plain.  An empty table has no rows; other columns play no part,
-    whatever their names.
+    whatever their names.  A schema with a word that isn't known (``$ref``) is an error, as its arguments would pass unseen.
     """
+    for schema in (schemas or {}).values():
+        checked(schema)
     columns = (conv_col, turn_col, role_col, text_col)
     key = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)).cast("string")
     picked = df.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), key.alias("message_id"))
