@@ -26,6 +26,7 @@ from . import scratch
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _FLUSH = 1 << 20  # bit positions that a task holds
+_SALTS = 32
 
 
 def line_key(line: bytes, least: int = 20) -> bytes | None:
@@ -153,7 +154,9 @@ def dedup_lines(
     found = scratch.table(texts.mapInArrow(pairs, "doc_id long, __row binary, __key binary"), "suspects")
     holders = found.groupBy("__key", "doc_id").agg(F.count("*").alias("__n"))  # first by document, so no key is hot
     repeated = holders.groupBy("__key").agg(F.count("*").alias("__docs"), F.max("doc_id").alias("__keeper")).filter(F.col("__docs") >= least_docs)
-    lost = found.join(repeated, "__key").filter(~F.col("doc_id").eqNullSafe(F.col("__keeper")))
+    salt = F.pmod(F.xxhash64("__row"), F.lit(_SALTS)).cast("int")  # a line of a third of all documents is joined by many tasks
+    repeated = repeated.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    lost = found.withColumn("__salt", salt).join(repeated, ["__key", "__salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("__keeper")))
     lost = lost.groupBy("doc_id", "__row").agg(F.collect_set("__key").alias("__lost"))  # at most the lines of one text
     lost = scratch.table(lost, "lost")
 
