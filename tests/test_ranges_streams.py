@@ -1,0 +1,145 @@
+"""Trees as streams, equal ranges of files, symbol tables by range, refined queries, and figures of the writing pass."""
+
+import os
+import random
+import struct
+import time
+
+from pyspark.sql import functions as F
+
+from tidyspark.operators import lint, rank, records, relations, sieve
+from tidyspark.plans import query_language
+from tidyspark.plans.config import Config
+from tidyspark.sinks import formats
+from tidyspark.sources.tree_stream import stream_tree
+
+
+def run(spark, tmp_path, **how):
+    """One run of a query that is started anew each time, with the same checkpoint; the names of the files it has read."""
+    found: list[str] = []
+    stream = stream_tree(spark, [(str(tmp_path / "t"), 0, False)], delay=0.2, **how)
+    query = stream.writeStream.foreachBatch(lambda rows, _: found.extend(r.path for r in rows.select("path").collect())).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    return sorted(os.path.relpath(p, tmp_path / "t") for p in found)
+
+
+def test_a_growing_tree(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"t/d{i % 3}/e").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"t/d{i % 3}/e/f{i}").write_text("x")
+    (tmp_path / "t/top").write_text("x")
+    time.sleep(0.5)
+    first = run(spark, tmp_path, parts=7)
+    assert first == sorted([f"d{i % 3}/e/f{i}" for i in range(30)] + ["top"])
+    (tmp_path / "old").write_text("y")
+    os.utime(tmp_path / "old", (1, 1))
+    os.rename(tmp_path / "old", tmp_path / "t/moved")  # older than all by its own time
+    (tmp_path / "t/d9").mkdir()
+    (tmp_path / "t/d9/new").write_text("z")
+    (tmp_path / "t/top").write_text("changed")
+    time.sleep(0.5)
+    assert run(spark, tmp_path, parts=7) == ["d9/new", "moved", "top"]
+    time.sleep(0.3)
+    assert run(spark, tmp_path) == []
+
+
+def test_only_what_comes_later(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/before").write_text("x")
+    time.sleep(0.1)
+    since = time.time()
+    time.sleep(0.1)
+    (tmp_path / "t/after").write_text("x")
+    time.sleep(0.5)
+    assert run(spark, tmp_path, since=since) == ["after"]
+
+
+def test_equal_ranges(spark, tmp_path):
+    r = random.Random(3)
+    block, want, pairs = 16, {}, []
+    for k, (n, m, changes) in enumerate([(1000, 1000, 0), (1000, 1000, 5), (3000, 2500, 40), (10, 10, 1), (0, 5, 0), (64, 64, 64), (257, 256, 0)]):
+        a = bytes(r.randrange(256) for _ in range(n))
+        b = bytearray((a + bytes(m))[:m])
+        for _ in range(changes):
+            b[r.randrange(m)] ^= 255
+        names = [str(tmp_path / f"{k}{s}") for s in "ab"]
+        for name, raw in zip(names, (a, b)):
+            with open(name, "wb") as f:
+                f.write(raw)
+        pairs.append((*names, n, m))
+        end = min(n, m)
+        same = [(s, min(block, end - s)) for s in range(0, end, block) if a[s : min(s + block, end)] == bytes(b[s : min(s + block, end)])]
+        merged = []
+        for s, size in same:
+            if merged and sum(merged[-1]) == s:
+                merged[-1] = (merged[-1][0], merged[-1][1] + size)
+            else:
+                merged.append((s, size))
+        want[names[0]] = merged
+    pairs.append((str(tmp_path / "none"), pairs[0][1], 5, 5))
+    df = spark.createDataFrame(pairs, "a string, b string, size_a long, size_b long")
+    for node in (16, 64, 1024):
+        got = {}
+        for x in relations.equal_ranges(df, block, node).orderBy("start").collect():
+            got.setdefault(x.a, []).append((x.start, x.length))
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def elf(symbols, filler):
+    head = bytearray(64)
+    head[:6] = b"\x7fELF\x02\x01"
+    place = 64 + filler
+    struct.pack_into("<Q", head, 40, place)
+    struct.pack_into("<HH", head, 58, 64, 3)
+    table = bytearray(3 * 64)
+    struct.pack_into("<I", table, 2 * 64 + 4, 2 if symbols else 3)
+    return bytes(head), place, bytes(table)
+
+
+def test_symbols_are_looked_up_by_range(spark, tmp_path):
+    rows = []
+    for name, symbols in (("with", True), ("without", False)):
+        head, place, table = elf(symbols, 1 << 33)  # far more than could be read
+        with open(tmp_path / name, "wb") as f:
+            f.write(head)
+            f.seek(place)
+            f.write(table)
+        rows.append((str(tmp_path / name), 0o755, False))
+        read = []
+
+        def part(start, n, head=head, place=place, table=table, read=read):
+            read.append(n)
+            return head[start : start + n] if start < 64 else table[start - place : start - place + n]
+
+        assert lint.symbols_in(part) == symbols and sum(read) == 64 + 3 * 64
+    (tmp_path / "text").write_text("#!/bin/sh")
+    rows += [(str(tmp_path / "text"), 0o755, False), (str(tmp_path / "none"), 0o755, False), (str(tmp_path / "with"), 0o644, False)]
+    found = lint.nonstripped(spark.createDataFrame(rows, "path string, mode int, is_symlink boolean")).collect()
+    assert [(os.path.basename(r.path), r.mode) for r in found] == [("with", 0o755)]
+
+
+def test_a_narrower_query_reads_the_wider_ones_result(spark):
+    rows = spark.createDataFrame([(f"home/{w}/file{i}", i, 1, 0.0) for i, w in enumerate(["music", "musical", "muse", "other"] * 5)], "path string, size long, twins long, mtime double")
+    asked = query_language.Refined(rows)
+    wide, narrow = asked.query("mus"), asked.query("musi")
+    files = lambda df: set(df.inputFiles())
+    assert files(wide) and files(narrow) and asked._known[-1][0].narrows(asked._known[0][0])
+    assert sorted(r.path for r in narrow.collect()) == sorted(r.path for r in query_language.query(rows, "musi").collect())
+    told = spark.createDataFrame([("home/musxx", 1, 1, 0.0)], "path string, size long, twins long, mtime double")
+    asked._known[0] = (asked._known[0][0], told)  # what it reads now tells where from
+    assert [r.path for r in asked.query("musx").collect()] == ["home/musxx"]
+    assert asked.query("mus") is told and asked.query("size:3").count() == 1
+    assert asked.query("other").count() == 5
+
+
+def test_figures_come_with_the_writing(spark, tmp_path):
+    df = records.as_records(spark.createDataFrame([(f"p{i:03d}", "c" * (1 + i % 7)) for i in range(100)], "path string, content string"), F.col("path"), F.col("content"))
+    cfg = Config(rank="a")
+    group = sieve.group_keys(cfg)
+    members = sieve.duplicates(df, cfg)
+    figures = formats.Figures()
+    formats.write_json(members, str(tmp_path / "r.json"), figures=figures)
+    got = figures.get()
+    want = rank.totals(members, cfg, group).first()
+    assert {k: got[k] for k in ("duplicates", "duplicate_sets", "original_bytes", "duplicate_bytes")} == {k: want[k] for k in ("duplicates", "duplicate_sets", "original_bytes", "duplicate_bytes")}
+    assert got["rows"] == 100

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -101,3 +103,48 @@ def block_digests(records: DataFrame, block: int = 16384) -> DataFrame:
     steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / block).cast("int")))
     out = records.select("path", raw.alias("__raw"), F.explode(steps).alias("block"))
     return out.select("path", "block", F.sha2(F.substring("__raw", (F.col("block") * block + 1).cast("int"), F.lit(block)), 256).alias("checksum"))
+
+
+def _stretches(a: bytes, b: bytes, at: int, block: int) -> list[tuple[int, int]]:
+    """Equal stretches of two byte ranges as (start, length), in whole blocks; a node whose bytes are equal isn't looked into, others are halved."""
+    out, stack = [], [(0, max(len(a), len(b)))]
+    while stack:
+        lo, hi = stack.pop()
+        if a[lo:hi] == b[lo:hi]:
+            if out and out[-1][0] + out[-1][1] == at + lo:
+                out[-1] = (out[-1][0], out[-1][1] + hi - lo)
+            else:
+                out.append((at + lo, hi - lo))
+        elif hi - lo > block:
+            middle = lo + max(block, (hi - lo) // 2 // block * block)
+            stack += [(middle, hi), (lo, middle)]
+    return out
+
+
+def equal_ranges(pairs: DataFrame, block: int = 1 << 14, node: int = 1 << 24) -> DataFrame:
+    """``a, b, start, length``: the longest stretches of whole blocks (the last may be shorter) in which two files, ``a`` and ``b`` of sizes ``size_a`` and ``size_b``, are equal.
+
+    Files are compared node by node, each by a task that reads that range of both, so one pair of large files is spread; a node that differs is halved down to blocks.  A pair of which
+    one can't be read has no stretch; neither has what lies beyond the end of the shorter file.
+    """
+
+    from ..sources.filesystem import read_range
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, at, shorter in zip(*(c.to_pylist() for c in batch.columns)):
+                one, other = (read_range(p, at, min(node, shorter - at)) for p in (a, b))
+                if one is not None and other is not None and one and other:
+                    out += [(a, b, start, n) for start, n in _stretches(one, other, at, block)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["a", "b", "start", "length"])
+
+    shorter = F.least("size_a", "size_b")
+    starts = F.when(shorter > 0, F.sequence(F.lit(0).cast("long"), shorter - 1, F.lit(node).cast("long")))
+    nodes = pairs.select("a", "b", F.explode(starts).alias("at"), shorter.cast("long").alias("shorter"))
+    found = nodes.repartition("a", "b", "at").mapInArrow(compared, "a string, b string, start long, length long")
+    order = Window.partitionBy("a", "b").orderBy("start")  # a few rows for each node
+    fresh = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order) != F.col("start"), F.lit(True))
+    islands = found.withColumn("__island", F.sum(fresh.cast("long")).over(order))
+    return islands.groupBy("a", "b", "__island").agg(F.min("start").alias("start"), F.sum("length").alias("length")).drop("__island")

@@ -13,6 +13,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stage import once
+
 _STEPS = {unit: 1024**k for k, unit in enumerate("BKMGTP")}
 _DAY = r"\d{4}-\d{2}-\d{2}(?:T[0-9:]+Z?)?"
 
@@ -80,3 +82,24 @@ def parse(text: str) -> Query:
 
 def query(rows: DataFrame, text: str, **columns: str) -> DataFrame:
     return rows.filter(parse(text).condition(**columns))
+
+
+class Refined:
+    """Queries on one table, each a refinement of an earlier one where it can be: it reads that one's written result instead of the table."""
+
+    def __init__(self, rows: DataFrame, most: int = 16, **columns: str):
+        self._rows, self._most, self._columns = rows, most, columns
+        self._known: list[tuple[Query, DataFrame]] = []
+
+    def query(self, text: str) -> DataFrame:
+        asked = parse(text)
+        for known, found in self._known:
+            if known == asked:
+                return found
+        wider = [(known, found) for known, found in self._known if asked.narrows(known)]
+        base = max(wider, key=lambda x: len(x[0].text))[1] if wider else self._rows
+        found = once(base.filter(asked.condition(**self._columns)), "query")
+        self._known.append((asked, found))
+        if len(self._known) > self._most:
+            self._known.pop(0)  # its files stay until the application ends, as its reader may have it still
+        return found

@@ -8,7 +8,7 @@ import time
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -27,16 +27,39 @@ def elements(rows: DataFrame, unique: bool = False) -> DataFrame:
     return rows.select(*(F.col(c).alias(c) if c in has else given.get(c, F.lit(None)).alias(c) for c in _ELEMENT))
 
 
+class Figures:
+    """What a summary and statistics tell of the rows of a result, gathered while these are written: no job of its own.
+
+    ``of`` gives the rows to write in place of others; a sort has to come before it, as its sampling would count rows twice.  The figures are there once the rows have been written.
+    """
+
+    def __init__(self):
+        self._seen = Observation()
+
+    def of(self, members: DataFrame) -> DataFrame:
+        extra = ~F.col("is_original")
+        size = lambda when: F.coalesce(F.sum(F.when(when, F.col("size"))), F.lit(0)).cast("long")
+        ones = lambda when: F.coalesce(F.sum(when.cast("long")), F.lit(0))
+        return members.observe(
+            self._seen, F.count(F.lit(1)).alias("rows"), ones(extra).alias("duplicates"), ones(F.col("rank_in_group") == 1).alias("duplicate_sets"), size(F.col("is_original")).alias("original_bytes"), size(extra).alias("duplicate_bytes")
+        )
+
+    def get(self) -> dict[str, int]:
+        return self._seen.get
+
+
 def json_lines(rows: DataFrame, unique: bool = False) -> DataFrame:
     return elements(rows, unique).select(F.to_json(F.struct(*_ELEMENT)).alias("value"))
 
 
-def write_json(rows: DataFrame, path: str, header: dict | None = None, footer: dict | None = None, oneline: bool = False, unique: bool = False, no_body: bool = False) -> None:
+def write_json(rows: DataFrame, path: str, header: dict | None = None, footer: dict | None = None, oneline: bool = False, unique: bool = False, no_body: bool = False, figures: Figures | None = None) -> None:
     """``oneline``: a directory of documents, one a line, written by the tasks.  Otherwise one array in one file, written in segments by the tasks (see ``document``).
 
-    With ``rank_in_group`` and ``group_rank`` in the rows the array has them in that order.  ``no_body`` leaves the elements out.
+    With ``rank_in_group`` and ``group_rank`` in the rows the array has them in that order.  ``no_body`` leaves the elements out.  ``figures`` are gathered on the way.
     """
-    lines = json_lines(rows.orderBy(*order) if (order := [c for c in ("group_rank", "checksum", "rank_in_group") if c in rows.columns]) and not oneline else rows, unique)
+    order = [c for c in ("group_rank", "checksum", "rank_in_group") if c in rows.columns]
+    rows = rows.orderBy(*order) if order and not oneline else rows
+    lines = json_lines(figures.of(rows) if figures else rows, unique)
     if no_body:
         lines = lines.limit(0)
     if oneline:
