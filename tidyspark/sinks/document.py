@@ -26,19 +26,32 @@ class Segment(WriterCommitMessage):
     values: int
 
 
+def _folder(path: str, run: str) -> str:
+    return f"{path}.segments-{run}"
+
+
+def _removed(folder: str) -> None:
+    """Under another name first, so that no task that still runs can begin a segment in it."""
+    gone = f"{folder}.gone"
+    try:
+        os.rename(folder, gone)
+    except FileNotFoundError:
+        return
+    shutil.rmtree(gone, ignore_errors=True)
+
+
 class DocumentWriter(DataSourceArrowWriter):
     """``opening``, the values with ``separator`` between them, ``closing``; ``before`` and ``after`` are further values, ``empty`` is the whole text if there are none."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.folder = f"{self.path}.segments-{options['run']}"
+        self.folder = _folder(self.path, options["run"])
         self.shape = json.loads(options["shape"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Segment:
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         separator, values = self.shape["separator"], 0
-        os.makedirs(self.folder, exist_ok=True)
         with open(os.path.join(self.folder, name), "w", encoding="utf-8", newline="") as out:
             for batch in iterator:
                 for value in batch.column(0).to_pylist():
@@ -48,7 +61,7 @@ class DocumentWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Segment | None]) -> None:
         shape, parts = self.shape, [s for s in sorted((m for m in messages if m), key=lambda m: m.partition) if s.values]
-        whole = f"{self.folder}.whole"
+        whole = os.path.join(self.folder, "whole")
         with open(whole, "wb") as out:
             if not (parts or shape["before"] or shape["after"]):
                 out.write(shape["empty"].encode())
@@ -65,10 +78,10 @@ class DocumentWriter(DataSourceArrowWriter):
                         shutil.copyfileobj(segment, out, 1 << 24)
                 out.write(shape["closing"].encode())
         os.replace(whole, self.path)
-        shutil.rmtree(self.folder, ignore_errors=True)
+        _removed(self.folder)
 
     def abort(self, messages: list[Segment | None]) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        _removed(self.folder)
 
 
 class DocumentSource(DataSource):
@@ -87,4 +100,9 @@ def write(values: DataFrame, path: str, opening: str = "", separator: str = "",
     """
     shape = {"opening": opening, "separator": separator, "closing": closing, "before": before or [], "after": after or [], "empty": opening + closing if empty is None else empty}
     values.sparkSession.dataSource.register(DocumentSource)
-    values.write.format("one_document").mode("append").option("path", os.path.abspath(path)).option("run", uuid.uuid4().hex).option("shape", json.dumps(shape)).save()
+    path, run = os.path.abspath(path), uuid.uuid4().hex
+    os.makedirs(_folder(path, run))  # here, so that a task can't bring it back after an abort
+    try:
+        values.write.format("one_document").mode("append").option("path", path).option("run", run).option("shape", json.dumps(shape)).save()
+    finally:
+        _removed(_folder(path, run))
