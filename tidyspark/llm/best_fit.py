@@ -84,7 +84,8 @@ def pack_sequences(
     restart at ``position_resets``; ``doc_ids`` and ``starts`` tell which ids of which document each segment holds, so that
     the cut is lossless.  ``ids_crc32`` covers the unpadded ids as unsigned 32-bit.
 
-    A null or empty text has the end id alone.  Rows with the same id are documents of their own.  Other columns play no part.
+    A null or empty text has the end id alone.  Rows with the same id are documents of their own.  Other columns play no part.  An empty table has no rows.  Each partition of the input is packed on its own, so which documents
+    share a sequence hangs on the input's partitions; that each id lies in one place does not.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
 

@@ -192,7 +192,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
 
 
 def redacted_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The rows of ``docs`` with personal data replaced in the text; the columns and the rows stay, ``n_chars`` follows the text."""
+    """The rows of ``docs`` with personal data replaced in the text; the columns and the rows stay, ``n_chars`` follows the text.
+
+    Null texts stay null and empty ones empty; texts of any length are read whole; repeated rows stay, each redacted alike; an empty table stays empty.  Other columns may have any names.
+    """
     columns = docs.columns
     place = columns.index(text_col)
     count = columns.index(chars_col) if chars_col in columns else None
