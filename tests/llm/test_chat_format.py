@@ -175,6 +175,20 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert [r.turn for r in got] == [n - k for k in range(n)] and made.count("new") <= 8
 
 
+@pytest.mark.parametrize("turn", [lambda k: 2000 - k, lambda k: k * 7919 % 2000])
+def test_chains_through_many_cuts_take_few_rounds(spark, monkeypatch, turn):
+    n, made = 2000, []
+    monkeypatch.setattr(chat_format.scratch, "table", lambda df, name, real=chat_format.scratch.table: made.append(name) or real(df, name))
+    rows = [(7, turn(k), "assistant", call(f"k{k}", a={"$result": f"k{k - 1}"} if k else 0)) for k in range(n)]
+    got = run(spark, rows, bucket_turns=500, most_calls=8)
+    latest, want = -1, []
+    for k in range(n):
+        latest = max(latest, turn(k))
+        want.append((latest, k, turn(k)))
+    assert [r.turn for r in got] == [t for _, _, t in sorted(want)] and made.count("new") <= 14
+    assert {r.status for r in got} == {"unanswered"}
+
+
 def test_canonical_and_schema():
     assert canonical({"b": 1.0, "a": [{"y": "é", "x": None}]}) == '{"a":[{"x":null,"y":"é"}],"b":1}'
     assert violations({"a": 1, "c": 2}, TOOLS["add"]) == ["$.c: unknown"] and violations(True, {"type": "integer"}) == ["$: not integer"]

@@ -8,7 +8,9 @@ validated against JSON schemas, and each message is serialised as canonical JSON
 
 Conversations are never gathered: a message is a row throughout, and places in a conversation are prefix sums over turn ranges.  Calls are
 ordered in rounds: a task takes the open calls of a stretch of turns and settles all that need nothing open elsewhere; from round to round the
-stretches double, so chains settle in a few rounds however long they are.
+stretches double as long as they hold no more than ``most_calls`` open ones, and what needs a message that waits for a single other one comes to need that
+other, so chains settle in a few rounds however long they are and however they are cut.  Only where messages need several open ones each, all along a
+conversation that is cut, a round settles one cut.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -221,71 +224,112 @@ _SETTLED = pa.schema([("__conv", pa.string()), ("message_id", pa.string()), ("ti
 def _settle(table: pa.Table) -> pa.Table:
     """The messages of one stretch that can be settled: times and levels.
 
-    A row is a message with calls and one message it needs, with the time of the answer it waits for (null for none); ``need_time`` is null if that one is not
-    settled, and ``near`` tells whether it is among the messages of this table then.
+    A row is a message with calls, when (``at``) and at what level it may be ready for all that is settled, and one message it needs that isn't (null if there is none),
+    with the time of the answer it waits for (null for none) and how many levels it stands higher; ``near`` tells whether the needed one is among the messages of this table.
     """
     time: dict[str, int] = {}
     level: dict[str, int] = {}
-    behind: dict[str, list[tuple[str, int | None]]] = {}
+    behind: dict[str, list[tuple[str, int | None, int]]] = {}
     unmet: dict[str, int] = {}
-    for message, own, need, answer, need_time, need_level, near in zip(*(table[c].to_pylist() for c in ("message_id", "time", "need", "answer_at", "need_time", "need_level", "near"))):
-        time.setdefault(message, own)
-        level.setdefault(message, 0)
+    for message, at, high, need, answer, lift, near in zip(*(table[c].to_pylist() for c in ("message_id", "at", "level", "need", "answer_at", "lift", "near"))):
+        time[message], level[message] = at, high
         unmet.setdefault(message, 0)
-        if need_time is not None:
-            time[message] = max(time[message], need_time, need_time if answer is None else answer)
-            level[message] = max(level[message], need_level + 1)
-        else:
+        if need is not None:
             unmet[message] += 1
             if near:
-                behind.setdefault(need, []).append((message, answer))
+                behind.setdefault(need, []).append((message, answer, lift))
     ready = [m for m, n in unmet.items() if not n]
     for message in ready:  # grows while it is read
-        for other, answer in behind.get(message, ()):
+        for other, answer, lift in behind.get(message, ()):
             time[other] = max(time[other], time[message], time[message] if answer is None else answer)
-            level[other] = max(level[other], level[message] + 1)
+            level[other] = max(level[other], level[message] + lift)
             unmet[other] -= 1
             if not unmet[other]:
                 ready.append(other)
     return pa.table([[table["__conv"][0].as_py()] * len(ready), ready, [time[m] for m in ready], [level[m] for m in ready]], schema=_SETTLED)
 
 
+def _told(waiting: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What waits and what it waits for, once ``new`` messages are settled: those become bounds on the time and level of all that need them."""
+    keys = ["__conv", "message_id"]
+    found = new.select("__conv", F.col("message_id").alias("need"), F.col("time").alias("__t"), F.col("level").alias("__l"))
+    met = scratch.table(edges.join(waiting.select(*keys), keys, "left_semi").join(found, ["__conv", "need"], "left"), "met")
+    bounds = met.filter("__t IS NOT NULL").groupBy(*keys).agg(F.max(F.greatest("__t", "answer_at")).alias("__at"), F.max(F.col("__l") + F.col("lift")).alias("__high"))
+    waiting = waiting.join(bounds, keys, "left").withColumn("at", F.greatest("at", "__at")).withColumn("level", F.greatest("level", "__high")).drop("__at", "__high")
+    return scratch.table(waiting, "bounded"), met.filter("__t IS NULL").drop("__t", "__l")
+
+
+def _hopped(waiting: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What needs a message that itself waits for one other alone now needs that other: chains halve, wherever they are cut.
+
+    A message ready no earlier than x and than another one is as good as a bound x and the other one for all that need it, so times and levels stay exact.
+    """
+    keys = ["__conv", "message_id"]
+    single = edges.groupBy(*keys).agg(F.count("*").alias("__n"), F.first("need").alias("__via"), F.first("answer_at").alias("__answer"), F.first("lift").alias("__lift")).filter("__n = 1")
+    single = single.join(waiting.select(*keys, F.col("at").alias("__at"), F.col("level").alias("__level")), keys).withColumnRenamed("message_id", "need").drop("__n")
+    far = edges.join(single, ["__conv", "need"], "left")
+    far = scratch.table(far.select(*keys, F.coalesce("__via", "need").alias("need"), F.greatest("answer_at", "__answer", "__at").alias("answer_at"), (F.col("lift") + F.coalesce("__lift", F.lit(0))).cast("int").alias("lift"), (F.col("__level") + F.col("lift")).alias("__high")), "hopped")
+    raised = far.groupBy(*keys).agg(F.max("__high").alias("__high"))
+    waiting = waiting.join(raised, keys, "left").withColumn("level", F.greatest("level", "__high")).drop("__high")
+    return waiting, far.groupBy(*keys, "need").agg(F.max("answer_at").alias("answer_at"), F.max("lift").alias("lift"))
+
+
+def _placed(waiting: DataFrame, stretch: int, rounds: int, most_nodes: int) -> DataFrame:
+    """``waiting`` with the task that each message goes to: the stretch of this round, if it holds few enough, or else the last one that did, or else a run of turns of a first stretch.
+
+    Runs are cut by counts of each turn, so a window holds at most ``stretch`` rows; one turn with more messages than ``most_nodes`` is dealt by hash.
+    """
+    wide = F.floor(F.col("time") / (stretch << min(rounds, 47)))
+    fits = waiting.groupBy("__conv", wide.alias("__wide")).agg((F.count("*") <= most_nodes).alias("__fits"))
+    waiting = waiting.drop("__run", "__deal").withColumn("__wide", wide).join(fits, ["__conv", "__wide"])
+    first = F.floor(F.col("time") / stretch)
+    turns = waiting.filter("NOT __fits AND __width = 0").groupBy("__conv", first.alias("__first"), "time").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__conv", "__first").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.select("__conv", "time", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / most_nodes).alias("__run"), F.ceil(F.col("__n") / most_nodes).alias("__deals"))
+    waiting = waiting.join(turns, ["__conv", "time"], "left")
+    kept = F.when(F.col("__width") > 0, F.col("__stretch"))
+    place = {
+        "__stretch": F.when(F.col("__fits"), F.col("__wide")).otherwise(F.coalesce(kept, first)),
+        "__deal": F.when(F.col("__fits") | (F.col("__width") > 0), 0).otherwise(F.pmod(F.xxhash64("message_id"), F.col("__deals"))),
+        "__run": F.when(F.col("__fits") | (F.col("__width") > 0), 0).otherwise(F.col("__run")),
+        "__width": F.when(F.col("__fits"), rounds + 1).otherwise(F.col("__width")),
+    }
+    return waiting.select("__conv", "message_id", "time", "at", "level", *(c.alias(name) for name, c in place.items()))
+
+
 def _ordered(nodes: DataFrame, edges: DataFrame, stretch: int, most_nodes: int) -> DataFrame:
     """``__conv, message_id, time, level, late``: when each message is ready, how many stand behind one another until it, and whether it waits for a cycle.
 
     ``nodes`` has ``__conv, message_id, time``; ``edges`` ``__conv, message_id, need, answer_at``: the message that it needs, and when the answer is there.
+    A round settles what needs nothing open outside its stretch, and then lets all that is left look past single needs.
     """
     keys = ["__conv", "message_id"]
     needy = edges.select(*keys).distinct()
-    state = nodes.join(needy, keys, "left_anti").withColumn("level", F.lit(0))
+    settled = [nodes.join(needy, keys, "left_anti").withColumn("level", F.lit(0))]
     if not edges.limit(1).count():
-        return state.withColumn("late", F.lit(False))
-    state = scratch.table(state, "settled")
-    at = F.floor(F.col("time") / stretch)
-    waiting = nodes.join(needy, keys, "left_semi").withColumn("__stretch", at).withColumn("__width", F.lit(0))
-    crowd = waiting.groupBy("__conv", "__stretch").agg(F.ceil(F.count("*") / most_nodes).alias("__parts"))
-    waiting = scratch.table(waiting.join(crowd, ["__conv", "__stretch"]).withColumn("__part", F.pmod(F.xxhash64("message_id"), F.col("__parts"))).drop("__parts"), "waiting")
-    place = ["__stretch", "__width", "__part"]
-    for rounds in range(1, 1 << 62):
-        done = state.select("__conv", F.col("message_id").alias("need"), F.col("time").alias("need_time"), F.col("level").alias("need_level"))
+        return settled[0].withColumn("late", F.lit(False))
+    new = settled[0] = scratch.table(settled[0], "settled")
+    waiting = nodes.join(needy, keys, "left_semi").withColumns({"at": F.col("time"), "level": F.lit(0), "__stretch": F.lit(0).cast("long"), "__width": F.lit(0)})
+    edges, place = edges.withColumn("lift", F.lit(1)), ["__stretch", "__width", "__run", "__deal"]
+    for rounds in range(1 << 62):
+        waiting, edges = _told(waiting, edges, new)
+        if rounds:
+            waiting, edges = _hopped(waiting, edges)
+        waiting = scratch.table(_placed(waiting, stretch, rounds, most_nodes), "waiting")
         where = waiting.select("__conv", F.col("message_id").alias("need"), F.struct(*place).alias("__there"))
-        pairs = waiting.join(edges, keys).join(done, ["__conv", "need"], "left").join(where, ["__conv", "need"], "left")
+        pairs = waiting.join(edges, keys, "left").join(where, ["__conv", "need"], "left")
         pairs = pairs.withColumn("near", F.coalesce(F.struct(*place) == F.col("__there"), F.lit(False))).drop("__there")
         new = scratch.table(pairs.groupBy("__conv", *place).applyInArrow(_settle, "__conv string, message_id string, time long, level int"), "new")
         if not new.limit(1).count():  # what waits for no cycle has something among it that needs nothing open
             break
-        state = scratch.table(state.unionByName(new), "settled")
-        left = waiting.join(new.select(*keys), keys, "left_anti")
-        if rounds < 48:  # stretches double, but for those that would hold too many calls
-            wide = F.floor(F.col("time") / (stretch << rounds))
-            many = left.groupBy("__conv", wide.alias("__wide")).agg((F.count("*") <= most_nodes).alias("__fits"))
-            left = left.withColumn("__wide", wide).join(many, ["__conv", "__wide"])
-            left = left.select(*nodes.columns, *(F.when(F.col("__fits"), new_place).otherwise(F.col(old)).alias(old) for old, new_place in zip(place, (F.col("__wide"), F.lit(rounds), F.lit(0)))))
-        waiting = scratch.table(left, "waiting")
+        settled.append(new)
+        if len(settled) > 32:
+            settled = [scratch.table(reduce(DataFrame.unionByName, settled), "settled")]
+        waiting = waiting.join(new.select(*keys), keys, "left_anti")
         if not waiting.limit(1).count():
             break
     late = waiting.select(*keys, "time", F.lit(0).alias("level"), F.lit(True).alias("late"))
-    return state.select(*keys, "time", "level", F.lit(False).alias("late")).unionByName(late)
+    return reduce(DataFrame.unionByName, settled).select(*keys, "time", "level", F.lit(False).alias("late")).unionByName(late)
 
 
 def format_chats(
