@@ -173,3 +173,18 @@ def test_links_are_compared_by_target(spark, tmp_path):
     rows = fs.read_tree(spark, [(str(tmp_path), 0, False)]).filter("kind IN ('file', 'symlink', 'badlink')")
     got = sieve.duplicates(rows, Config(rank="a")).collect()
     assert sorted(os.path.basename(r.path) for r in got) == ["a", "b"]
+
+
+def test_own_outputs_are_no_part_of_a_walk(spark, tmp_path):
+    """Files and folders that results go to are left out, also by way of a linked root; what has the same content stays."""
+    tree = tmp_path / "t"
+    (tree / "d").mkdir(parents=True)
+    (tree / "table.parquet").mkdir()
+    for name in ("r.json", "copy.json", "d/do.sh", "d/x", "table.parquet/part-0"):
+        (tree / name).write_text("same")
+    (tmp_path / "way").symlink_to(tree)
+    outputs = [parsing.output(x) for x in (f"json:{tree}/r.json", f"{tree}/d/do.sh", "summary", f"csv:{tree}/table.parquet", f"py:{tree}/not-yet.py")]
+    for root in (tree, tmp_path / "way"):
+        found = fs.read_tree(spark, [(str(root), 0, False)], outputs=outputs)
+        assert {r.path[len(str(root)) :] for r in found.filter("kind = 'file'").collect()} == {"/copy.json", "/d/x"}
+    assert fs.read_tree(spark, [(str(tree), 0, False)], outputs=[parsing.output("json")]).filter("kind = 'file'").count() == 5

@@ -7,6 +7,7 @@ directory with millions of files, or a long chain.  Hidden, depth and device lim
 
 from __future__ import annotations
 
+import contextlib
 import os
 import stat
 from collections.abc import Iterator
@@ -66,10 +67,11 @@ _FIRST_SHARE, _LARGEST_SHARE = 512, 1 << 20  # visits of a task in the first rou
 class Walker:
     """Visits paths below roots."""
 
-    def __init__(self, roots: list[str], tagged: list[bool], hidden: str = "ignore", symlinks: str = "see", max_depth: int | None = None, cross_devices: bool = True, permissions: str = "", exclude: tuple[str, ...] = ()):
+    def __init__(self, roots: list[str], tagged: list[bool], hidden: str = "ignore", symlinks: str = "see", max_depth: int | None = None, cross_devices: bool = True, permissions: str = "", exclude: tuple[str, ...] = (), outputs: tuple[str, ...] = ()):
         self.roots, self.tags, self.hidden, self.symlinks, self.max_depth, self.crossdev = roots, tagged, hidden, symlinks, max_depth, cross_devices
         self.mask = sum({"r": os.R_OK, "w": os.W_OK, "x": os.X_OK}[c] for c in permissions)
         self.skip = set(exclude)
+        self.outputs, self.own = outputs, None
         self.devices: dict[int, int | None] = {}
 
     def walk(self, items: Iterator[tuple], visits: int) -> Iterator[tuple]:
@@ -95,6 +97,16 @@ class Walker:
                 self.devices[index] = None
         return self.devices[index]
 
+    def _written(self, found: os.stat_result) -> bool:
+        """Whether that is one of the outputs, by whatever path; they are looked up once a task, as numbers of devices hold for one machine."""
+        if self.own is None:
+            self.own = set()
+            for path in self.outputs:
+                with contextlib.suppress(OSError):  # not written yet
+                    at = os.stat(path)
+                    self.own.add((at.st_dev, at.st_ino))
+        return (found.st_dev, found.st_ino) in self.own
+
     def _visit(self, path: str, index: int, depth: int, above: list[tuple[int, int]]) -> tuple[list[tuple], list[tuple]]:
         """The rows of one path, and the items inside it."""
         row = lambda *a, **k: self._row(path, depth, index, *a, **k)
@@ -111,6 +123,8 @@ class Walker:
                 own, link = os.stat(path), False
         except OSError:
             return [row(kind="error")], []
+        if self._written(own):
+            return [], []
         if not exists:
             return [row(own, True, hidden, "badlink", False)], []
         if link:
@@ -168,13 +182,14 @@ def _round(todo: DataFrame, walker: Walker, visits: int) -> DataFrame:
     return once(todo.repartition(tasks).mapInArrow(visited, _FOUND), "walk")
 
 
-def read_tree(spark: SparkSession, roots: list[tuple[str, int, bool]], hidden: str = "ignore", symlinks: str = "see", max_depth: int | None = None, cross_devices: bool = True, permissions: str = "", exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def read_tree(spark: SparkSession, roots: list[tuple[str, int, bool]], hidden: str = "ignore", symlinks: str = "see", max_depth: int | None = None, cross_devices: bool = True, permissions: str = "", exclude: list[str] | tuple[str, ...] = (), outputs: list[tuple[str, str]] | tuple = ()) -> DataFrame:
     """One row per entry: kind is file, symlink, dir, badlink, skipped (left out, but makes its directory non-empty) or error.
 
     A directory at ``max_depth`` has a row of each kind, dir and skipped, as nothing is known of its inside; one that can't be listed is dir and error.
-    Sockets, pipes and devices are skipped.  The walk runs now, in rounds; the rows are read from what it has written.
+    ``outputs``, as ``parsing.output`` tells them, are where the results go: what is there already, a file or a folder, is no part of the walk, by whatever path it is
+    reached.  Sockets, pipes and devices are skipped.  The walk runs now, in rounds; the rows are read from what it has written.
     """
-    walker = Walker([r[0] for r in roots], [bool(r[2]) for r in roots], hidden, symlinks, max_depth, cross_devices, permissions, tuple(exclude))
+    walker = Walker([r[0] for r in roots], [bool(r[2]) for r in roots], hidden, symlinks, max_depth, cross_devices, permissions, tuple(exclude), tuple(os.path.abspath(place) for _, place in outputs if place not in ("stdout", "stderr")))
     todo = spark.createDataFrame([(os.fsencode(path), index, 0, []) for index, path in enumerate(walker.roots)], _TODO)
     rounds, visits = [], _FIRST_SHARE
     while not rounds or not todo.isEmpty():
