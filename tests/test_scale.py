@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidyspark.operators import contents, directories, rank, records, relations, sieve, stage
+from tidyspark.plans import pipeline
 from tidyspark.plans.config import Config
 from tidyspark.sources import filesystem as fs
 
@@ -184,3 +185,27 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         stage.shared_dir(Session)
+
+
+def test_a_run_leaves_no_stage_behind(spark, tmp_path):
+    folder = stage.shared_dir(spark)
+    before = set(os.listdir(folder))
+    cfg = Config(rank="a", merge_directories=True, sort_groups="a")
+    with stage.passing():
+        report = pipeline.run(rows(spark, [("r/a/f", "same"), ("r/b/f", "same"), ("r/c/f", "same"), ("r/c/g", "other")]), cfg, ["r"])
+        with stage.passing():
+            stage.once(spark.range(3), "inner")
+            inside = set(os.listdir(folder))
+        left = set(os.listdir(folder))
+        assert left < inside and before < left  # the inner block ended with its own table alone
+        report.directories.write.parquet(str(tmp_path / "dirs"))
+        report.duplicates.write.parquet(str(tmp_path / "files"))
+    assert set(os.listdir(folder)) == before
+    assert {r["dir"] for r in spark.read.parquet(str(tmp_path / "dirs")).collect()} == {"r/a", "r/b"}
+    with pytest.raises(ZeroDivisionError), stage.passing():
+        stage.once(spark.range(3), "failing")
+        1 / 0
+    assert set(os.listdir(folder)) == before
+    kept = stage.once(spark.range(3), "kept")
+    assert kept.count() == 3 and set(os.listdir(folder)) > before
+    stage.forget(kept)

@@ -3,18 +3,22 @@
 The rows are written below ``spark.checkpoint.dir``, the folder that all machines of a cluster see, so neither a long
 lineage nor a lost executor makes earlier stages run again.  A session on one machine without the setting gets a folder of its own; on a
 cluster that would be a different disk on each machine, so there the setting has to be made.  The files go when the application ends, and
-earlier where ``forget`` is called.
+earlier where ``forget`` is called or a block of ``passing`` ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
+_passing: ContextVar[list | None] = ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,8 @@ def once(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(place)
     path, system = _path(spark, place)
     system.deleteOnExit(path)
+    if (places := _passing.get()) is not None:
+        places.append((system, path))
     return spark.read.schema(schema).parquet(place)
 
 
@@ -50,3 +56,19 @@ def forget(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path, system = _path(df.sparkSession, file.rpartition("/")[0])
         system.delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """What this thread writes inside the block by ``once`` is deleted when the block ends, also by an error: plans on it are to be written or collected inside.
+
+    An inner block ends with its own tables alone.  A long session holds no more than its open blocks that way.
+    """
+    places: list = []
+    token = _passing.set(places)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for system, path in places:
+            system.delete(path, True)
