@@ -64,6 +64,16 @@ def test_few_slots_change_nothing(spark, monkeypatch):
     assert {r.path for r in got} == {p for p, c in pairs if c == "text 0"}
 
 
+def test_unequal_contents_that_share_a_mark(spark, monkeypatch):
+    monkeypatch.setattr(contents, "mark", lambda content: F.hex(F.substring(content, 1, 1)))
+    df = rows(spark, [(f"d/{i:02}", f"{'ab'[i % 2]} {i % 5}") for i in range(40)] + [("e/1", "c 1"), ("e/2", "c 1"), ("e/3", "d 1")])
+    want = sieve.duplicates(df, Config(rank="a")).select("path", "is_original").collect()
+    got = sieve.duplicates(df, Config(rank="a", algorithm="paranoid")).select("path", "is_original", "checksum").collect()
+    assert len(want) == 42 and {(r.path, r.is_original) for r in got} == {(r.path, r.is_original) for r in want}
+    names = {r.path: r.checksum for r in got}
+    assert len(set(names.values())) == 11 and names["d/00"] == names["d/10"] != names["d/02"] and names["e/1"] == "63"
+
+
 def test_hot_groups_are_sorted_across_tasks(spark, monkeypatch):
     pairs = [(f"d{i % 3}/{random.Random(i).random():.9f}", "hot" if i % 4 else f"rare {i % 20}") for i in range(600)]
     cfg = Config(rank="a", mtime_window=2.5)

@@ -34,6 +34,11 @@ def sliced(content: Column, most: int | None = None) -> Column:
     return F.substring(content.cast("binary"), (F.col("start") + 1).cast("int"), length.cast("int"))
 
 
+def mark(content: Column) -> Column:
+    """What contents are sorted by before their bytes are compared."""
+    return F.sha2(content, 256)
+
+
 class InColumn:
     """Contents in the column ``content`` of records that have ``start`` and ``eff_size``."""
 
@@ -75,11 +80,21 @@ class InColumn:
         return found.withColumn("checksum", F.coalesce("checksum", "__digest")).drop("__digest")
 
     def compared(self, members: DataFrame, group: list[str]) -> DataFrame:
-        """Members whose bytes another one of the group has, with ``checksum``.  Their contents have to travel for that."""
-        taken = self._of(members).select(*self._keys, sliced(F.col("content")).alias("__content"))
-        whole = members.join(taken, self._keys)
-        alive = whole.groupBy(*group, "__content").agg(F.count("*").alias("__n")).filter("__n >= 2").drop("__n")
-        return whole.join(alive, [*group, "__content"], "left_semi").withColumn("checksum", F.sha2("__content", 256)).drop("__content")
+        """Members with content and ``checksum``, which equals another one's of the group where the bytes do, and only there.
+
+        Contents travel once for that, in a grouping that combines before the shuffle; members take part by digest.  Where unequal contents share a
+        digest, all but one of them get a longer name, and the members concerned find theirs by content.
+        """
+        of_content = ["start", "eff_size", "checksum"]
+        taken = self._of(members).select(*self._keys, sliced(F.col("content")).alias("__content")).withColumn("checksum", mark(F.col("__content")))
+        contents = taken.groupBy(*of_content, "__content").agg(F.min("path").alias("__head"))
+        shared = once(contents.groupBy(*of_content).agg(F.count("*").alias("__n"), F.min("__head").alias("__first")).filter("__n > 1").drop("__n"), "shared")
+        told = members.drop("checksum").join(taken.drop("__content").dropDuplicates(self._keys), self._keys)
+        if not shared.limit(1).count():
+            return told
+        named = contents.join(shared, of_content).withColumn("__name", F.when(F.col("__head") != F.col("__first"), F.concat_ws(":", "checksum", "__head")))
+        renamed = taken.join(named, [*of_content, "__content"]).select(*self._keys, "__name").dropDuplicates(self._keys)
+        return told.join(renamed, self._keys, "left").withColumn("checksum", F.coalesce("__name", "checksum")).drop("__name")
 
 
 def _chunks(path: str, link: bool, start: int, length: int, chunk: int = 1 << 20):
