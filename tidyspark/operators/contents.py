@@ -87,12 +87,13 @@ class InColumn:
         """
         of_content = ["start", "eff_size", "checksum"]
         taken = self._of(members).select(*self._keys, sliced(F.col("content")).alias("__content")).withColumn("checksum", mark(F.col("__content")))
-        contents = taken.groupBy(*of_content, "__content").agg(F.min("path").alias("__head"))
-        shared = once(contents.groupBy(*of_content).agg(F.count("*").alias("__n"), F.min("__head").alias("__first")).filter("__n > 1").drop("__n"), "shared")
-        told = members.drop("checksum").join(taken.drop("__content").dropDuplicates(self._keys), self._keys)
+        shared = once(taken.groupBy(*of_content, "__content").count().groupBy(*of_content).count().filter("count > 1").drop("count"), "shared")
+        told = members.drop("checksum").join(taken.select(*self._keys, "checksum").distinct(), self._keys)
         if not shared.limit(1).count():
             return told
-        named = contents.join(shared, of_content).withColumn("__name", F.when(F.col("__head") != F.col("__first"), F.concat_ws(":", "checksum", "__head")))
+        heads = taken.join(shared, of_content, "left_semi").groupBy(*of_content, "__content").agg(F.min("path").alias("__head"))
+        named = heads.join(heads.groupBy(*of_content).agg(F.min("__head").alias("__first")), of_content)
+        named = named.withColumn("__name", F.when(F.col("__head") != F.col("__first"), F.concat_ws(":", "checksum", "__head")))
         renamed = taken.join(named, [*of_content, "__content"]).select(*self._keys, "__name").dropDuplicates(self._keys)
         return told.join(renamed, self._keys, "left").withColumn("checksum", F.coalesce("__name", "checksum")).drop("__name")
 
