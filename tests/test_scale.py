@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidyspark.functions import digests
 from tidyspark.operators import contents, directories, rank, records, relations, sieve, stage
 from tidyspark.plans import pipeline
 from tidyspark.plans.config import Config
@@ -219,3 +220,65 @@ def test_a_run_leaves_no_stage_behind(spark, tmp_path):
     kept = stage.once(spark.range(3), "kept")
     assert kept.count() == 3 and set(os.listdir(folder)) > before
     stage.forget(kept)
+
+
+def test_chained_digests():
+    raw = random.Random(1).randbytes(1_200_000)
+    for name in ("sha256-chain", "BLAKE2B-chain", "sha3-chain"):
+        for length in (0, 5, 1 << 14, (1 << 14) + 1, 1 << 20, len(raw)):
+            whole = digests.streamed([raw[:length]], name)
+            assert whole == digests.streamed([raw[i : min(i + 999, length)] for i in range(0, length, 999)], name)
+            assert (whole == digests.streamed([raw[:length]], name.lower().removesuffix("-chain"))) == (length <= 1 << 14)
+            for at in (b for b in digests.LINKS if b <= length):
+                again = digests.new_state(name, at, digests.streamed([raw[:at]], name))
+                again.update(raw[at:length])
+                assert again.hexdigest() == whole
+    for name in ("xxhash-chain", "paranoid-chain", "-chain"):
+        with pytest.raises(ValueError):
+            digests.canonical_name(name)
+
+
+def test_stages_of_a_chain_read_nothing_twice(spark, tmp_path, monkeypatch):
+    """What an earlier stage has read is overwritten before the next one: only a stage that reads it again can see that."""
+    big = random.Random(2).randbytes((1 << 20) + 70_000)
+    late = big[:-1] + bytes([big[-1] ^ 1])
+    middle = big[:500_000] + b"\0\1" + big[500_002:]
+    expected = {"big1", "big2", "mid1", "mid2"}
+    real = contents.once
+
+    def run(algorithm, spoil):
+        for name, text in {"big1": big, "big2": big, "late": late, "middle": middle, "mid1": big[:90_000], "mid2": big[:90_000], "short": big[:16384]}.items():
+            (tmp_path / name).write_bytes(text)
+        files = fs.read_tree(spark, [(str(tmp_path), 0, False)]).filter("kind = 'file'")
+        seen = []
+
+        def spoiling(df, name):
+            out = real(df, name)
+            if spoil and name == "survivors":
+                seen.append(name)
+                done = [0, 1 << 14, 1 << 20][min(len(seen), 3) - 1]
+                with open(tmp_path / "big2", "r+b") as f:
+                    f.write(b"#" * done)
+            return out
+
+        monkeypatch.setattr(contents, "once", spoiling)
+        got = sieve.duplicates(files, Config(algorithm=algorithm, rank="a")).select("path", "checksum").collect()
+        return {os.path.relpath(r.path, tmp_path): r.checksum for r in got}
+
+    plain = run("blake2b", False)
+    chained = run("blake2b-chain", False)
+    assert set(plain) == set(chained) == expected
+    assert chained["big1"] == digests.streamed([big], "blake2b-chain") and chained["mid2"] == digests.streamed([big[:90_000]], "blake2b-chain")
+    assert run("blake2b-chain", True) == chained
+    assert set(run("blake2b", True)) == {"mid1", "mid2"}
+
+
+def test_columns_and_files_have_the_same_chain(spark, tmp_path):
+    text = "abc " * 20_000
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(text)
+    files = fs.read_tree(spark, [(str(tmp_path), 0, False)]).filter("kind = 'file'")
+    cfg = Config(algorithm="sha256-chain", rank="a")
+    want = digests.streamed([text.encode()], "sha256-chain")
+    assert {r.checksum for r in sieve.duplicates(files, cfg).collect()} == {want}
+    assert {r.checksum for r in sieve.duplicates(rows(spark, [("a", text), ("b", text)]), cfg).collect()} == {want}

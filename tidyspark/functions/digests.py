@@ -1,6 +1,7 @@
 """Content digests as lower-case hex.
 
-md5, sha1, sha2 and xxhash64 run in the JVM; the other algorithms of hashlib through an Arrow UDF.
+md5, sha1, sha2 and xxhash64 run in the JVM; the other algorithms of hashlib through an Arrow UDF.  A cryptographic digest with ``-chain`` after its
+name can be taken up where an earlier reader stopped: the stages of the sieve read each byte of a file once with it.
 """
 
 from __future__ import annotations
@@ -24,14 +25,21 @@ UNSUPPORTED = ("murmur", "metro", "metro256", "metrocrc", "metrocrc256", "highwa
 #: Parallel forms: hash, lanes, bytes of a block, bytes of the digest.  Fixed values.
 _PARALLEL = {"blake2bp": (hashlib.blake2b, 4, 128, 64), "blake2sp": (hashlib.blake2s, 8, 64, 32)}
 ALGORITHMS = (*_NATIVE, *_HASHLIB, *_PARALLEL, "paranoid", "cumulative", "ext")
+#: Ending of a chained digest's name, the digests that can be chained, and the bytes at which their links end.
+CHAIN, CHAINABLE = "-chain", (*(name for name in _NATIVE if name != "xxhash"), *_HASHLIB)
+LINKS = (1 << 14, 1 << 20, 1 << 26)
 #: From -PPP to -ppp: the digest for each level of caution.
 LANES = 8  # words of eight bytes in the cumulative digest
 LEVELS = {-3: "xxhash", -2: "xxhash", -1: "sha256", 0: "blake2b", 1: "paranoid", 2: "paranoid"}
 
 
 def canonical_name(name: str) -> str:
-    low = _SYNONYMS.get(name.lower(), name.lower())
-    if low in ALGORITHMS:
+    low = name.lower()
+    chained, low = low.endswith(CHAIN), low.removesuffix(CHAIN)
+    low = _SYNONYMS.get(low, low)
+    if chained and low in CHAINABLE:
+        return low + CHAIN
+    if low in ALGORITHMS and not chained:
         return low
     raise ValueError(f"{name} has no implementation here" if low in UNSUPPORTED else f"unknown digest {name}")
 
@@ -126,9 +134,39 @@ class _Lanes:
         return root.hexdigest()
 
 
-def new_state(algorithm: str):
-    """An object with ``update`` and ``hexdigest``."""
+class _Chain:
+    """A digest that can be taken up again: each link is the digest of the last link's hex digits and of its own range, and the last link stands for the content.
+
+    Ranges end at ``LINKS``, so a content up to the first of them has the plain digest.  ``at`` and ``link`` say how far an earlier reader came.
+    """
+
+    def __init__(self, name: str, at: int = 0, link: str = ""):
+        self._name, self._at, self._link, self._state = name, at, link, None
+
+    def update(self, chunk: bytes) -> None:
+        chunk = memoryview(chunk)
+        while chunk:
+            if self._state is None:
+                self._state = hashlib.new(_HASHLIB.get(self._name, self._name), self._link.encode())
+            end = next((b for b in LINKS if b > self._at), None)
+            part = chunk if end is None else chunk[: end - self._at]
+            self._state.update(part)
+            self._at += len(part)
+            chunk = chunk[len(part) :]
+            if self._at == end:
+                self._link, self._state = self._state.hexdigest(), None
+
+    def hexdigest(self) -> str:
+        if self._state is None and self._at:
+            return self._link
+        return (self._state or hashlib.new(_HASHLIB.get(self._name, self._name))).hexdigest()
+
+
+def new_state(algorithm: str, at: int = 0, link: str = ""):
+    """An object with ``update`` and ``hexdigest``; of a chained digest it goes on at byte ``at``, one of ``LINKS``, with the link that ends there."""
     name = canonical_name(algorithm)
+    if name.endswith(CHAIN):
+        return _Chain(name.removesuffix(CHAIN), at, link)
     if name == "cumulative":
         return _Words()
     if name in _PARALLEL:

@@ -5,7 +5,8 @@ the first prefix gets its digest at once; of longer ones a second scan takes the
 most ``SLOTS`` hash slots, so that what is broadcast has a fixed size.  A record whose slot is shared by chance is hashed in vain, and no more.
 
 Contents in files are read by path where their task runs, once for each inode: first a prefix, then longer ones, each only of files that
-still have a partner, and the rest in chunks.  A file without a partner of its size is never opened.
+still have a partner, and the rest in chunks.  A file without a partner of its size is never opened.  A chained digest goes on where the last stage stopped;
+with others a stage reads the shorter prefix again.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.digests import digest, new_state
+from ..functions.digests import CHAIN, LINKS, canonical_name, digest, new_state
 from .stage import once
 
 SLOTS = 1 << 18
@@ -110,22 +111,27 @@ def _chunks(path: str, link: bool, start: int, length: int, chunk: int = 1 << 20
 
 
 def _read(files: DataFrame, algorithm: str | None, most: int | None) -> DataFrame:
-    """``dev, inode, start, eff_size, found``: the digest (blake2b without an algorithm) of the range, of its first ``most`` bytes if that is given; null if it can't be read."""
+    """``dev, inode, start, eff_size, found``: the digest (blake2b without an algorithm) of the range, of its first ``most`` bytes if that is given; null if it can't be read.
+
+    With columns ``__at`` and ``__link`` a chained digest goes on behind the first ``__at`` bytes.
+    """
 
     def rows(batches):
         for b in batches:
             out = []
-            for path, link, start, end in zip(*(b.column(c).to_pylist() for c in ("path", "is_symlink", "start", "eff_size"))):
-                state = new_state(algorithm) if algorithm else hashlib.blake2b(digest_size=16)
+            for path, link, start, end, at, before in zip(*(b.column(c).to_pylist() for c in ("path", "is_symlink", "start", "eff_size", "__at", "__link"))):
+                state = new_state(algorithm, at, before) if algorithm else hashlib.blake2b(digest_size=16)
                 try:
-                    for block in _chunks(path, link, start, end - start if most is None else min(most, end - start)):
+                    for block in _chunks(path, link, start + at, (end - start if most is None else min(most, end - start)) - at):
                         state.update(block)
                     out.append(state.hexdigest())
                 except OSError:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _FILE), pa.array(out, pa.string())], names=[*_FILE, "found"])
 
-    heads = files.groupBy(*_FILE).agg(F.min("path").alias("path"), F.min("is_symlink").alias("is_symlink"))
+    if "__link" not in files.columns:
+        files = files.withColumn("__at", F.lit(0).cast("long")).withColumn("__link", F.lit(""))
+    heads = files.groupBy(*_FILE).agg(*(F.min(c).alias(c) for c in ("path", "is_symlink", "__at", "__link")))
     return heads.mapInArrow(rows, "dev long, inode long, start long, eff_size long, found string")
 
 
@@ -139,6 +145,7 @@ class InFile:
 
     def __init__(self, records: DataFrame, prefix_bytes: int, algorithm: str = ""):
         self._records, self._prefix_bytes = records, prefix_bytes
+        self._chain = algorithm if algorithm and canonical_name(algorithm).endswith(CHAIN) else None
 
     def rows(self) -> DataFrame:
         return self._records
@@ -147,22 +154,39 @@ class InFile:
         return None
 
     def staged(self, members: DataFrame, alive: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
-        """Members that have a partner after prefixes of growing length, as long as there are longer files."""
-        step = self._prefix_bytes
-        while 0 < step <= LONGEST_PREFIX:
+        """Members that have a partner after prefixes of growing length, as long as there are longer files.
+
+        The prefixes of a chained digest end where its links do, whatever the first one's length; ``prefix_bytes=0`` means one stage for it, too.
+        """
+        if self._chain:
+            members = members.withColumn("__at", F.lit(0).cast("long")).withColumn("__link", F.lit(""))
+        for step in self._steps():
             members = once(members, "survivors")
             longer = (F.col("eff_size") - F.col("start") > step) & F.col("cached_checksum").isNull()
             if not members.filter(longer).limit(1).count():
                 break
-            found = _read(members.filter(longer), None, step)
+            found = _read(members.filter(longer), self._chain, step)
             told = members.join(found, _FILE, "left").filter(~longer | F.col("found").isNotNull())
+            if self._chain:
+                told = told.withColumn("__at", F.when(longer, F.lit(step).cast("long")).otherwise(F.col("__at"))).withColumn("__link", F.coalesce("found", "__link"))
             members = alive(told, F.coalesce("found", F.lit(""))).drop("found")
-            step *= STAGE_GROWTH
         return members
 
+    def _steps(self) -> list[int]:
+        if not self._prefix_bytes:
+            return []
+        if self._chain:
+            return list(LINKS)
+        steps = [self._prefix_bytes]
+        while steps[-1] * STAGE_GROWTH <= LONGEST_PREFIX:
+            steps.append(steps[-1] * STAGE_GROWTH)
+        return [s for s in steps if s <= LONGEST_PREFIX]
+
     def digests(self, members: DataFrame, wanted: Column, algorithm: str) -> DataFrame:
+        """Members with ``checksum`` where ``wanted``."""
         members = once(members, "survivors")
-        return members.join(_read(members.filter(wanted), algorithm, None).withColumnRenamed("found", "checksum"), _FILE, "left")
+        found = _read(members.filter(wanted), algorithm, None).withColumnRenamed("found", "checksum")
+        return members.join(found, _FILE, "left").drop("__at", "__link")
 
     def compared(self, members: DataFrame, group: list[str]) -> DataFrame:
         """Members that have the same bytes as the first of their digest; both files are read side by side, where the task runs."""
