@@ -61,6 +61,8 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
         return cumulative(raw)
     if name == "ext":
         return F.lower(content.cast("string"))
+    if name.removesuffix(CHAIN) in _NATIVE:
+        return F.when(content.isNotNull(), chained(raw, name.removesuffix(CHAIN)))
 
     def whole(value: bytes) -> str:
         state = new_state(name)
@@ -74,6 +76,14 @@ def digest(content: Column, algorithm: str = "sha256") -> Column:
     return hashed(raw)
 
 
+def chained(raw: Column, name: str) -> Column:
+    """The chained form of a digest of the JVM: a link for each range that the content reaches."""
+    link, length = _NATIVE[name](F.substring(raw, 1, LINKS[0])), F.octet_length(raw)
+    for low, high in zip(LINKS, (*LINKS[1:], (1 << 31) - 1)):
+        link = F.when(length > low, _NATIVE[name](F.concat(link.cast("binary"), F.substring(raw, low + 1, high - low)))).otherwise(link)
+    return link
+
+
 def xor_words(raw: bytes) -> str:
     state = _Words()
     state.update(raw)

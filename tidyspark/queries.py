@@ -96,6 +96,16 @@ def paranoid_documents(spark, sf_dir):
     return _shown(sieve.duplicates(documents(spark, sf_dir), Config(rank="a", algorithm="paranoid")))
 
 
+@query(f"""WITH d AS ({_DOC}), t AS (SELECT path, size, encode(text) AS raw FROM d),
+        l1 AS (SELECT *, sha256(array_slice(raw, 1, 16384)) AS link1 FROM t),
+        l2 AS (SELECT *, CASE WHEN size > 16384 THEN sha256(encode(link1) || array_slice(raw, 16385, 1048576)) ELSE link1 END AS link2 FROM l1),
+        l3 AS (SELECT *, CASE WHEN size > 1048576 THEN sha256(encode(link2) || array_slice(raw, 1048577, 67108864)) ELSE link2 END AS link3 FROM l2),
+        l4 AS (SELECT *, CASE WHEN size > 67108864 THEN sha256(encode(link3) || array_slice(raw, 67108865, size)) ELSE link3 END AS checksum FROM l3)
+        SELECT path, size, checksum FROM (SELECT *, count(*) OVER (PARTITION BY size, checksum) AS n FROM l4) WHERE n > 1""")
+def chained_documents(spark, sf_dir):
+    return sieve.sieve(documents(spark, sf_dir), Config(algorithm="sha256-chain")).select("path", "size", "checksum")
+
+
 @query(_members_sql())
 def prefix_sieve_documents(spark, sf_dir):
     return _shown(sieve.duplicates(documents(spark, sf_dir), Config(rank="a", prefix_bytes=64)))
