@@ -12,6 +12,8 @@ from tidyspark.plans import pipeline
 from tidyspark.plans.config import Config
 from tidyspark.sinks import document, formats, scripts
 from tidyspark.sources import filesystem as fs
+from tidyspark.sources.results import with_marks
+from tidyspark.streaming import incremental
 
 
 def numbers(spark, n=1000, parts=7):
@@ -88,3 +90,65 @@ def test_the_script_removes_an_equal_directory(spark, tmp_path):
     (base / "c/more").write_text("new since then")
     done = subprocess.run([script, "-x"], capture_output=True, text=True)
     assert done.returncode == 1 and "original has changed" in done.stderr and sorted(os.listdir(base)) == ["a", "c"]
+
+
+def test_script_options(spark, tmp_path):
+    base, script = tmp_path / "t", str(tmp_path / "do.sh")
+    copies = ("o/original", "d/deep/er/copy", "d/full/copy", "d/full/other one")
+
+    def fresh():
+        for name in copies:
+            (base / name).parent.mkdir(parents=True, exist_ok=True)
+            (base / name).write_text("different" if "other" in name else "same")
+        for folder in ("d/deep/er", "d/deep", "d/full", "d"):
+            os.utime(base / folder, (1e9, 1e9))
+
+    def run(*options, answers="", code=0):
+        done = subprocess.run([script, *options], input=answers, capture_output=True, text=True)
+        assert done.returncode == code, done.stderr
+        return done.stdout, {os.path.relpath(os.path.join(folder, x), base) for folder, _, files in os.walk(base) for x in files}
+
+    fresh()
+    cfg = Config(rank="d")
+    found = sieve.duplicates(fs.read_tree(spark, [(str(base), 0, False)]).filter("kind = 'file'"), cfg)
+    scripts.write_script(formats.actions(found, sieve.group_keys(cfg)), script)
+    lines = [x for x in open(script).read().splitlines() if x.startswith(("keep ", "remove "))]
+    assert [x.split()[0] for x in lines].count("remove") == 2 and "deep" not in [x for x in lines if x.startswith("keep")][0]
+    gone = {x.split("'")[1].removeprefix(f"{base}/") for x in lines if x.startswith("remove")}
+
+    for options in ((), ("-n",), ("-x", "-n", "-c"), ("-k", "-c")):
+        shown, left = run(*options)
+        assert left == set(copies) and shown.count("rm -f") == 2
+    assert run("-x", "-i", answers="no\nNo\n")[1] == run("-x", "-i")[1] == set(copies)
+    assert len(run("-x", "-i", answers="n\ny\n")[1]) == 3
+    fresh()
+    assert run("-x", "-q") == ("", set(copies) - gone) and (base / "d/deep/er").is_dir() and os.stat(base / "d/deep/er").st_mtime > 1e9
+    fresh()
+    assert run("-x", "-k")[1] == set(copies) - gone and os.stat(base / "d/deep/er").st_mtime == 1e9
+    fresh()
+    assert run("-xck")[1] == set(copies) - gone and sorted(os.listdir(base / "d")) == ["full"] and os.stat(base / "d").st_mtime == 1e9
+    assert "usage" in run("-h")[0]
+    run("-z", code=2)
+    run("file", code=2)
+
+
+def test_marks_of_what_is_deduplicated(spark, tmp_path):
+    rows = [("a", 1, 5.0, "x", True, 1), ("b", 2, 5.0, "x", False, 2), ("c", 3, 5.0, "x", False, 3), ("d", 4, 5.0, "x", False, 4), ("e", 5, 5.0, None, False, 5)]
+    found = spark.createDataFrame(rows, "path string, inode long, mtime double, checksum string, is_original boolean, rank_in_group int").withColumn("dev", F.lit(7).cast("long")).withColumn("g", F.lit(1))
+    capable, cache = spark.createDataFrame([(7,)], "dev long"), str(tmp_path / "cache")
+
+    def plan(df, handlers=("clone", "hardlink")):
+        return formats.actions(df, ["g"], handlers, reflink_devices=capable)
+
+    def told(df):
+        return {r.path: r.action for r in df.collect()}
+
+    first = plan(found)
+    assert told(first) == {"a": "keep", "b": "clone", "c": "clone", "d": "clone", "e": "clone"}
+    incremental.mark_deduplicated(first, cache, "sha256")
+    incremental.mark_deduplicated(first.filter("path = 'b'"), cache, "sha256")
+    later = found.withColumn("mtime", F.when(F.col("path") == "c", 6.0).otherwise(F.col("mtime"))).withColumn("checksum", F.when(F.col("path") == "d", "y").otherwise(F.col("checksum")))
+    marks = incremental.read_cache(spark, cache)
+    assert told(plan(with_marks(later, marks, "sha256"))) == {"a": "keep", "b": "skip", "c": "clone", "d": "clone", "e": "clone"}
+    assert told(plan(with_marks(later, marks, "sha256"), ("hardlink",)))["b"] == "hardlink"  # a mark is of extents, not of links
+    assert told(plan(with_marks(later, marks, "md5")))["b"] == "clone"

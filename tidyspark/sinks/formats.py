@@ -120,7 +120,7 @@ def actions(members: DataFrame, group: list[str], handlers: tuple[str, ...] = PR
     """Adds ``action`` and ``original_path``: what a script would do with each row.  Nothing is done to a file here.
 
     The first handler that accepts a row wins: clone and reflink need a capable device on both sides (``reflink_devices``: dev), clone a kernel that can, too; hardlink the
-    original's device; cmd a command; symlink and remove always accept.  A row that shares the original's extents already (``extents``) needs no clone or reflink, and one that
+    original's device; cmd a command; symlink and remove always accept.  A row that shares the original's extents already (``extents``, or the mark ``is_deduplicated``) needs no clone or reflink, and one that
     is a link of the original's file no hardlink: these handlers accept it and skip it.
     """
     extents = F.col("extents") if "extents" in members.columns else F.lit(None).cast("string")
@@ -135,6 +135,8 @@ def actions(members: DataFrame, group: list[str], handlers: tuple[str, ...] = PR
     same_file = same_device & (F.col("inode") == F.col("__o.inode"))
     sharing = F.coalesce(F.col("__can"), F.lit(False)) & same_device
     shared = same_file | F.coalesce(F.col("__extents") == F.col("__o.__extents"), F.lit(False))
+    if "is_deduplicated" in members.columns:
+        shared |= F.coalesce("is_deduplicated", F.lit(False))
     single = F.col("type") != "duplicate_dir" if "type" in members.columns else F.lit(True)  # a directory can't be a link of another's contents
     accepts: dict[str, Column] = {"cmd": F.lit(command is not None), "clone": single & sharing & F.lit(can_clone), "reflink": single & sharing, "hardlink": single & same_device, "symlink": single, "remove": F.lit(True)}
     done = {"clone": shared, "reflink": shared, "hardlink": same_file}

@@ -16,18 +16,76 @@ from . import document
 
 _HEAD = r"""#!/bin/sh
 # Planned actions, one a line.  Without -x they are only shown.
-run=
-for argument in "$@"; do
-    case "$argument" in
-        -x) run=1 ;;
-        *) echo "usage: $0 [-x]" >&2; exit 2 ;;
+usage() {
+    echo "usage: $0 [-x] [-n] [-i] [-c] [-k] [-q]"
+    echo "  -x  do it          -n  only show it, whatever else is given"
+    echo "  -i  ask before each removal; yes begins with y"
+    echo "  -c  remove folders, too, that a removal leaves empty"
+    echo "  -k  folders keep their times when something in them goes"
+    echo "  -q  show nothing but failures"
+}
+run= only_show= ask= clean= times= quiet=
+while getopts xnickqh option; do
+    case "$option" in
+        x) run=1 ;;
+        n) only_show=1 ;;
+        i) ask=1 ;;
+        c) clean=1 ;;
+        k) times=1 ;;
+        q) quiet=1 ;;
+        h) usage; exit 0 ;;
+        *) usage >&2; exit 2 ;;
     esac
 done
+shift $((OPTIND - 1))
+[ $# -eq 0 ] || { usage >&2; exit 2; }
+[ -z "$only_show" ] || run=
+if [ -n "$run" ] && [ -n "$times" ]; then
+    stamp=$(mktemp) || exit 2
+    trap 'rm -f -- "$stamp"' EXIT
+fi
 failed=0
+show() { [ -n "$quiet" ] || printf '%s\n' "$*"; }
 act() {
-    printf '%s\n' "$*"
+    show "$@"
     [ -z "$run" ] || "$@" || failed=$((failed + 1))
 }
+above() {
+    folder=.
+    case "$1" in */*) folder=${1%/*}; [ -n "$folder" ] || folder=/ ;; esac
+}
+# Runs a command that changes what a folder lists; with -k the folder has its time back after that.
+inside() {
+    place=$1
+    shift
+    [ -z "$times" ] || touch -r "$place" -- "$stamp"
+    "$@"
+    code=$?
+    [ -z "$times" ] || touch -r "$stamp" -- "$place"
+    return $code
+}
+# A removal: the path, then the command.
+take() {
+    if [ -n "$run" ] && [ -n "$ask" ]; then
+        printf 'remove %s? ' "$1" >&2
+        answer=
+        read -r answer
+        case "$answer" in [yY]*) ;; *) return ;; esac
+    fi
+    above "$1"
+    shift
+    show "$@"
+    [ -n "$run" ] || return
+    if ! inside "$folder" "$@"; then
+        failed=$((failed + 1))
+        return
+    fi
+    while [ -n "$clean" ] && [ "$folder" != / ] && [ "$folder" != . ]; do
+        empty=$folder
+        above "$empty"
+        inside "$folder" rmdir -- "$empty" 2>/dev/null || break
+    done
+}
 # What a directory holds, whatever the names: digests of its files and targets of its links.
 contents() {
     find "$1" -type f -size +0c -exec sh -c 'for f; do sha256sum <"$f" || echo "$f"; done' sh {} + | sort
@@ -56,12 +114,12 @@ keep() { :; }
 skip() { :; }
 remove() {
     if [ -z "$2" ]; then
-        act rm -f -- "$1"
+        take "$1" rm -f -- "$1"
     elif still_same "$1" "$2"; then
-        if [ -d "$1" ] && [ ! -L "$1" ]; then act rm -rf -- "$1"; else act rm -f -- "$1"; fi
+        if [ -d "$1" ] && [ ! -L "$1" ]; then take "$1" rm -rf -- "$1"; else take "$1" rm -f -- "$1"; fi
     fi
 }
-remove_dir() { act rmdir -- "$1"; }
+remove_dir() { take "$1" rmdir -- "$1"; }
 replaced() { act mv -f -- "$2.tidy" "$2"; }
 clone() { if still_same "$1" "$2"; then act cp --reflink=always -p -- "$2" "$1.tidy" && replaced "$2" "$1"; fi; }
 reflink() { clone "$@"; }

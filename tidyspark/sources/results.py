@@ -14,6 +14,8 @@ RESULT_SCHEMA = (
 )
 _ELEMENT = ("id", "type", "progress", "checksum", "path", "size", "depth", "inode", "disk_id", "is_original", "n_children", "twins", "parent_path", "hardlink_of", "mtime")
 
+DEDUPLICATED = ":deduplicated"  # after the algorithm's name, in a cache: what a file held when it got its original's extents
+
 
 def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A whole result, header and footer among it: a JSON array, or a document a line."""
@@ -39,6 +41,13 @@ def with_cached(records: DataFrame, cache: DataFrame, algorithm: str, tolerance:
     return out.withColumn("cached_checksum", F.when(fresh, F.col("__checksum")).otherwise(F.col("cached_checksum"))).drop("__then", "__checksum")
 
 
+def with_marks(members: DataFrame, cache: DataFrame, algorithm: str, tolerance: float = 1e-6) -> DataFrame:
+    """Adds ``is_deduplicated``: a mark in the cache has the member's checksum, and its time still agrees.  ``formats.actions`` then plans no clone or reflink for it."""
+    marks = cache.filter(F.col("algorithm") == algorithm + DEDUPLICATED).select("dev", "inode", F.col("mtime").alias("__then"), F.col("checksum").alias("__marked"))
+    same = (F.col("__marked") == F.col("checksum")) & (F.abs(F.col("mtime") - F.col("__then")) <= tolerance)
+    return members.join(marks, ["dev", "inode"], "left").withColumn("is_deduplicated", F.coalesce(same, F.lit(False))).drop("__then", "__marked")
+
+
 def read_stamp(path: str) -> float:
     """The time in the first line of a file."""
     with open(path) as f:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.digests import digest
 from ..plans import parsing
 from ..plans.config import Config
-from ..sources.results import read_stamp
+from ..sources.results import DEDUPLICATED, read_stamp
 
 
 def since(cfg: Config, stamp_file: str) -> Config:
@@ -35,6 +35,12 @@ def write_cache(members: DataFrame, path: str, algorithm: str, cfg: Config, uniq
     return True
 
 
+def mark_deduplicated(planned: DataFrame, path: str, algorithm: str) -> None:
+    """Note in a cache which files got the extents of their original: those planned to be cloned or reflinked, to be called when that is done."""
+    marked = planned.filter(F.col("action").isin("clone", "reflink") & F.col("checksum").isNotNull())
+    marked.select("dev", "inode", F.lit(algorithm + DEDUPLICATED).alias("algorithm"), "checksum", "mtime").dropDuplicates(["dev", "inode"]).write.mode("append").parquet(path)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The latest entry of each file and algorithm."""
     rows = spark.read.parquet(path)
