@@ -7,6 +7,8 @@ Byte comparison alone moves contents, of records whose digest has a partner.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,9 +180,11 @@ def _hashed(records: DataFrame, cfg: Config) -> DataFrame:
 def uniques(records: DataFrame, cfg: Config, members: DataFrame | None = None) -> DataFrame:
     """Records without a partner; with ``keep_all_tagged`` (``_untagged``) those of the other side are no originals.
 
+    A partner is one whatever its tag and age: a group that is not reported for these has no unique record.  Where ``members`` are given, records that are none of them count as unique.
     With ``write_unfinished`` they have a checksum if they had to be read.
     """
-    members = sieve(records, cfg) if members is None else members
+    if members is None:
+        members = sieve(records, replace(cfg, must_match_tagged=False, must_match_untagged=False, keep_all_tagged=False, keep_all_untagged=False, newer_than=None))
     others = members.select("path").distinct()
     if cfg.write_unfinished:
         out = _hashed(records, cfg).join(others, "path", "left_anti").withColumn("type", F.lit("unique_file"))
