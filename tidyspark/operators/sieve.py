@@ -54,7 +54,7 @@ def qualified(records: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
         asked += [F.min(name).alias("__low"), F.max(name).alias("__high")]
         rule &= F.col("__low") != F.col("__high")
     counts = records.groupBy(*group).agg(*asked)
-    return records.join(counts.filter(rule).select(*group), group, "left_semi")
+    return rank.with_groups(records, counts, group, rule)
 
 
 def prepared(records: DataFrame, cfg: Config) -> DataFrame:
@@ -92,10 +92,10 @@ def sieve(records: DataFrame, cfg: Config) -> DataFrame:
         """Members that share size, names and beginning with another one."""
         members = members.withColumn("__begin", beginning.cast("string"))
         if some_cached:  # a group in which a checksum is cached can't be told apart by beginnings: its members share one
-            cached = members.groupBy(*group).agg(F.count("cached_checksum").alias("__cached"))
-            members = members.join(cached, group).withColumn("__begin", F.when(F.col("__cached") > 0, F.lit("")).otherwise(F.col("__begin"))).drop("__cached")
-        few = members.groupBy(*group, "__begin").agg(F.count("*").alias("__n")).filter("__n >= 2").drop("__n")
-        return members.join(few, [*group, "__begin"], "left_semi").drop("__begin")
+            cached = members.groupBy(*group).agg(F.count("*").alias("__n"), F.count("cached_checksum").alias("__cached"))
+            members = rank.with_groups(members, cached, group, F.lit(True), "__cached").withColumn("__begin", F.when(F.col("__cached") > 0, F.lit("")).otherwise(F.col("__begin"))).drop("__cached")
+        begun = [*group, "__begin"]
+        return rank.with_groups(members, members.groupBy(*begun).agg(F.count("*").alias("__n")), begun, F.col("__n") >= 2).drop("__begin")
 
     members = source.staged(qualified(rows, cfg, group) if source.reads_files else rows, alive)
     if paranoid:
@@ -120,8 +120,8 @@ def split(members: DataFrame, cfg: Config, rows: DataFrame) -> DataFrame:
     """Groups of equal content, cut by differing basenames and by gaps in time, and qualified again.  ``rows`` is the written table that the members are of."""
     keys = _content_keys(cfg)
     if cfg.differing_basename:
-        heads = members.groupBy(*keys).agg(F.min_by(F.struct("path"), rank.order(cfg)).alias("__head"))
-        members = members.join(heads, keys)
+        heads = members.groupBy(*keys).agg(F.count("*").alias("__n"), F.min_by(F.struct("path"), rank.order(cfg)).alias("__head"))
+        members = rank.with_groups(members, heads, keys, F.lit(True), "__head")
         same = (C.fold_case(C.basename(F.col("path"))) == C.fold_case(C.basename(F.col("__head.path")))) & (F.col("path") != F.col("__head.path"))
         members = members.filter(~same).drop("__head")
     if cfg.mtime_window >= 0:
@@ -140,9 +140,9 @@ def islands(members: DataFrame, keys: list[str], window: float, many_rows: bool
     upto = Window.unboundedPreceding, Window.currentRow
     if many_rows:
         members = once(members, "members")
-    if not many_rows or not rank.has_hot_group(members, keys):
-        return summed(members, gap, by_time.rowsBetween(*upto))
-    few, many = rank.sized(members, keys)
+    few, many = rank.cut_by_heat(members, keys, members) if many_rows else (members, None)
+    if many is None:
+        return summed(few, gap, by_time.rowsBetween(*upto))
     # A group that is sorted across tasks: gaps within a part, gaps between parts, and their sums over the parts before.
     placed = rank.in_ranges(many, [*map(F.col, keys), F.col("mtime"), F.col("path")])
     inside = Window.partitionBy(*keys, "__part").orderBy("__at")
@@ -151,8 +151,8 @@ def islands(members: DataFrame, keys: list[str], window: float, many_rows: bool
     parts = Window.partitionBy(*keys).orderBy("__part")
     ends = ends.withColumn("__gap", far(F.col("__from"), F.lag("__to").over(parts)))
     ends = ends.withColumn("__before", F.sum(F.col("__gap") + F.col("__gaps")).over(parts.rowsBetween(*upto)) - F.col("__gaps")).select(*keys, "__part", "__before")
-    many = local.join(ends, [*keys, "__part"]).withColumn("island", F.col("island") + F.col("__before")).drop("__part", "__at", "__before")
-    return summed(few, gap, by_time.rowsBetween(*upto)).unionByName(many).drop("twins")
+    many = local.join(F.broadcast(ends), [*keys, "__part"]).withColumn("island", F.col("island") + F.col("__before")).drop("__part", "__at", "__before")
+    return summed(few, gap, by_time.rowsBetween(*upto)).unionByName(many)
 
 
 def duplicates(records: DataFrame, cfg: Config) -> DataFrame:
@@ -165,15 +165,16 @@ def duplicates(records: DataFrame, cfg: Config) -> DataFrame:
 def _hashed(records: DataFrame, cfg: Config) -> DataFrame:
     """Records without content, with ``checksum`` where another record has the size: those are the ones that a run would have to read."""
     ready = effective(records, cfg)
-    shared = ready.drop("content").groupBy("eff_size", "start", "is_symlink").agg((F.count("*") > 1).alias("__shared"))
+    keys = ["eff_size", "start", "is_symlink"]
+    shared = ready.drop("content").groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__shared", F.col("__n") > 1)
     algorithm = "sha256" if cfg.algorithm == "paranoid" else cfg.algorithm
     if "content" in records.columns:
         told = ready.withColumn("checksum", F.coalesce("cached_checksum", digest(sliced(F.col("content")), algorithm))).drop("content")
     else:
-        sized = ready.join(shared.filter("__shared").drop("__shared"), ["eff_size", "start", "is_symlink"], "left_semi")
+        sized = rank.with_groups(ready, shared, keys, F.col("__shared"))
         read = InFile(ready, 0).digests(sized, F.col("cached_checksum").isNull(), algorithm).select("path", F.coalesce("cached_checksum", "checksum").alias("checksum"))
         told = ready.join(read.dropDuplicates(["path"]), "path", "left")
-    told = told.join(shared, ["eff_size", "start", "is_symlink"])
+    told = rank.with_groups(told, shared, keys, F.lit(True), "__shared")
     return told.withColumn("checksum", F.when(F.col("__shared"), F.col("checksum"))).drop("__shared", "start", "eff_size")
 
 
