@@ -91,15 +91,16 @@ def qualified(dirs: DataFrame, cfg: Config) -> DataFrame:
     chain = dirs.select(F.col("dir").alias("__child"), F.col("signature"), F.col("files"), C.dirname(F.col("dir")).alias("__parent"))
     if not cfg.honour_layout:
         same = dirs.select(F.col("dir").alias("__parent"), "signature", "files")
-        inner = chain.join(same, ["__parent", "signature", "files"]).select(F.col("__child").alias("dir"))
+        only = chain.groupBy("__parent", "signature", "files").agg(F.min("__child").alias("dir"), F.count("*").alias("__n")).filter("__n = 1")  # a child with all of its parent's files is alone in having them
+        inner = once(only.join(same, ["__parent", "signature", "files"]).select("dir"), "inner")
         dirs = dirs.join(inner, "dir", "left_anti")
-    counts = dirs.groupBy("signature").agg(F.count("*").alias("twins"), F.max(F.col("tagged") > 0).alias("__some"), F.min(F.col("tagged") > 0).alias("__every"))
+    counts = dirs.groupBy("signature").agg(F.count("*").alias("twins"), F.count("*").alias("__n"), F.max(F.col("tagged") > 0).alias("__some"), F.min(F.col("tagged") > 0).alias("__every"))
     rule = F.col("twins") >= 2
     if cfg.needs_tagged:
         rule &= F.col("__some")
     if cfg.needs_untagged:
         rule &= ~F.col("__every")
-    return dirs.join(counts.filter(rule).select("signature", "twins"), "signature")
+    return rank.with_groups(dirs, counts, ["signature"], rule, "twins")
 
 
 def marked(dirs: DataFrame, cfg: Config) -> DataFrame:
@@ -117,20 +118,26 @@ def settled(dirs: DataFrame, cfg: Config) -> DataFrame:
     All but the first of a reported group are closed: no directory below them is reported.  What is left of a group is ranked anew, so
     every group has an original; a group with fewer than two left is none.
     """
-    above = dirs.select(F.col("dir").alias("above"))
-    nested = once(dirs.select("dir", "signature", F.explode(C.ancestors(F.col("dir"))).alias("above")).join(above, "above"), "nested")
-    if not nested.limit(1).count():
+    above = F.explode(C.ancestors(F.col("dir"))).alias("above")
+    own = lambda rows: rows.select(F.col("dir").alias("above"), F.lit(True).alias("__own"))
+    some = F.col("__own").isNotNull()
+    counts = once(dirs.select(above).groupBy("above").agg(F.count("*").alias("__n")).join(own(dirs), "above", "left").filter(some | (F.col("__n") > rank.HOT_ROWS)), "above")
+    if not counts.filter(some).limit(1).count():
         return marked(dirs, cfg)
+    nested = once(rank.with_groups(dirs.select("dir", "signature", above), counts, ["above"], some), "nested")
+    counts = counts.filter(some).drop("__own")
+    below_any = lambda rows: rank.with_groups(nested, counts.join(own(rows), "above", "left"), ["above"], some)
     found = []
     left = dirs
     while left.limit(1).count():
-        waiting = nested.join(left.select(F.col("dir").alias("above")), "above", "left_semi").join(left.select("dir"), "dir", "left_semi").select("signature").distinct()
-        ready = once(left.join(waiting, "signature", "left_anti"), "ready")
+        waiting = below_any(left).join(left.select("dir"), "dir", "left_semi").select("signature", F.lit(True).alias("__waits")).distinct()
+        groups = left.groupBy("signature").agg(F.count("*").alias("__n")).join(waiting, "signature", "left")
+        left = once(rank.with_groups(left, groups, ["signature"], F.lit(True), "__waits"), "left")
+        ready = left.filter("__waits IS NULL").drop("__waits")
         done = once(marked(ready, cfg), "settled")
         found.append(done)
-        closed = done.filter("rank_in_group > 1").select(F.col("dir").alias("above"))
-        inside = nested.join(closed, "above", "left_semi").select("dir").distinct()
-        left = once(left.join(waiting, "signature", "left_semi").join(inside, "dir", "left_anti"), "left")
+        inside = below_any(done.filter("rank_in_group > 1")).select("dir").distinct()
+        left = once(left.filter("__waits").drop("__waits").join(inside, "dir", "left_anti"), "left")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -144,26 +151,28 @@ def duplicate_dirs(files: DataFrame, members: DataFrame, cfg: Config, roots: lis
     if cfg.hidden == "partial":  # hidden directories are not reported, and what is left of their groups is ranked without them
         twins = once(twins.filter(~F.startswith(C.basename(F.col("dir")), F.lit("."))), "twins")
     found = settled(twins, cfg)
-    some = found.groupBy("signature").agg(F.min("is_original").alias("__all")).filter("NOT __all").select("signature")  # groups of protected directories alone go
-    found = found.join(some, "signature", "left_semi")
+    if cfg.keep_all_tagged or cfg.keep_all_untagged:  # groups of protected directories alone go
+        found = rank.with_groups(found, found.groupBy("signature").agg(F.count("*").alias("__n"), F.min("is_original").alias("__all")), ["signature"], ~F.col("__all"))
     return found.select("dir", "signature", F.col("files").alias("n_children"), "size", "mtime", "depth", "twins", "rank_in_group", "is_original", F.lit("duplicate_dir").alias("type"))
 
 
 def parts(files: DataFrame, dirs: DataFrame) -> DataFrame:
     """``part_of_directory`` rows: every file below a reported directory, with ``parent_path``."""
-    inside = below(files).join(dirs.select("dir", "is_original"), "dir")
+    inside = below(files)
+    inside = rank.met(inside, dirs.select("dir", "is_original"), ["dir"], rank.hot_keys(inside, ["dir"]))
     return inside.withColumnRenamed("dir", "parent_path").withColumn("type", F.lit("part_of_directory"))
 
 
 def leftovers(members: DataFrame, dirs: DataFrame, cfg: Config, group: list[str]) -> DataFrame:
     """Duplicate files outside the reported directories that are closed, grouped and ranked anew; hidden ones go in partial mode."""
     closed = dirs.filter("rank_in_group > 1").select("dir")
-    covered = below(members.select("path")).join(closed, "dir", "left_semi").select("path").distinct()
+    inside = below(members.select("path"))
+    covered = rank.met(inside, closed, ["dir"], rank.hot_keys(inside, ["dir"]), "left_semi").select("path").distinct()
     left = members.join(covered, "path", "left_anti")
     if cfg.hidden == "partial":
         left = left.filter(~F.col("is_hidden"))
-    few = left.groupBy(*group).agg(F.count("*").alias("__n")).filter("__n >= 2").select(*group)
-    left = once(left.join(few, group, "left_semi"), "leftovers")
+    left = once(left, "uncovered")
+    left = once(rank.with_groups(left, left.groupBy(*group).agg(F.count("*").alias("__n")), group, F.col("__n") >= 2), "leftovers")
     return rank.ranked(rank.mark_originals(left, cfg, group), cfg, group, left).withColumn("type", F.lit("duplicate_file"))
 
 
