@@ -64,8 +64,9 @@ def equal_entries(entries: DataFrame, asked: DataFrame, honour_layout: bool = Fa
     single = entries.filter(kind != "dir").select("path", F.when(F.col("checksum").isNotNull(), F.concat_ws("/", F.lit("file"), "is_symlink", "size", "checksum")).alias("__key"), F.struct("dev", "inode").alias("__file"))
     whole = dirs.select(F.col("dir").alias("path"), F.concat_ws("/", F.lit("dir"), "signature").alias("__key"), F.lit(None).cast(single.schema["__file"].dataType).alias("__file"))
     found = asked.join(single.unionByName(whole).dropDuplicates(["path"]), "path", "left").groupBy("ask")
-    told = found.agg(F.count("*").alias("n"), F.count("__key").alias("__read"), F.count_distinct("__key").alias("__keys"), F.count("__file").alias("__known"), F.count_distinct("__file").alias("__files"))
-    same = ((F.col("__keys") == 1) & (F.col("__read") == F.col("n"))) | ((F.col("__files") == 1) & (F.col("__known") == F.col("n")))
+    one = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
+    told = found.agg(F.count("*").alias("n"), one("__key").alias("__content"), one("__file").alias("__links"))
+    same = F.coalesce(F.col("__content"), F.lit(False)) | F.coalesce(F.col("__links"), F.lit(False))
     return told.select("ask", "n", ((F.col("n") >= 2) & same).alias("is_equal"))
 
 
