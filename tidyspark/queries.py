@@ -600,7 +600,7 @@ SELECT path, max(CAST(orig AS INT)) OVER (PARTITION BY content, inode) = 1 AS is
 def keep_hardlinked_lines(spark, sf_dir):
     single = lines(spark, sf_dir).dropDuplicates(["path"])
     cfg = Config(rank="a", keep_hardlinked=True)
-    return sieve.duplicates(single, cfg).select("path", "is_original")
+    return rank.mark_originals(once(sieve.sieve(single, cfg), "members"), cfg, _group(cfg)).select("path", "is_original")
 
 
 @query(f"""WITH d AS ({_DOC}), k AS (SELECT *, CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END AS kind, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d), h AS (SELECT * FROM k WHERE n > 1 AND rk = 1)
