@@ -33,19 +33,23 @@ def dirname(path: Column) -> Column:
 
 def path_depth(path: Column) -> Column:
     """Number of slashes, a trailing one not counted."""
-    return F.size(F.split(F.regexp_replace(path, "/+$", ""), "/")) - 1
+    return _slashes(F.rtrim(path, F.lit("/")))
+
+
+def _slashes(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
 
 
 def is_hidden(path: Column) -> Column:
     """Whether any component begins with a dot."""
-    return F.rlike(path, F.lit(r"(^|/)\."))
+    return F.startswith(path, F.lit(".")) | F.contains(path, F.lit("/."))
 
 
 def ancestors(path: Column) -> Column:
     """All proper ancestor directories, outermost first; the file system's root is none."""
-    parts = F.split(path, "/")
-    steps = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(steps, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")), lambda a: a != "")
+    n = _slashes(path)
+    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(steps, lambda i: F.call_function("substring_index", path, F.lit("/"), i)), lambda a: a != "")
 
 
 def fold_case(text: Column) -> Column:
