@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ..operators.stage import forget as drop
-from ..operators.stage import once as table
+from ..operators.stage import written as table
 
 __all__ = ["drop", "table"]
