@@ -37,7 +37,7 @@ def test_settings_come_back(spark, tmp_path):
     df = table(spark, tmp_path, 2000)
     old = {name: spark.conf.get(name) for name in (PARTITIONS, *stage.TASK_READS)}
     with pytest.raises(ZeroDivisionError), stage.fitted(df):
-        assert int(spark.conf.get(PARTITIONS)) == stage.tasks(df) > 4 and spark.conf.get("spark.sql.files.maxPartitionBytes") == str(1 << 24)
+        assert int(spark.conf.get(PARTITIONS)) == stage.tasks(df) > 4 and spark.conf.get("spark.sql.files.maxPartitionBytes") == str(1 << 23)
         raise ZeroDivisionError
     assert old == {name: spark.conf.get(name) for name in old}
     spark.conf.set(PARTITIONS, "1000")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 PARTITIONS = "spark.sql.shuffle.partitions"
 TASK_BYTES = 1 << 22  # of compressed input for each task of a shuffle; rows of paths and digests take ten bytes in a file and two hundred in a sort
-TASK_READS = {"spark.sql.files.maxPartitionBytes": 1 << 24, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 1 << 23}  # the most that a task reads of a file, and of small partitions put together
+TASK_READS = {"spark.sql.files.maxPartitionBytes": 1 << 23, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 1 << 23}  # the most that a task reads of a file, and of small partitions put together
 _own: list[str] = []
 _sizes: dict[str, int] = {}  # bytes of the tables written here, by folder
 _fitting = threading.Lock()  # settings are the session's, so one plan at a time is written with its own
