@@ -280,6 +280,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = _linked(docs, id_col, text_col, extra=("cid", "component"), **how).filter("kept")
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("cid").alias("__cid")).agg(F.max(F.col("n_links") > 0).alias("__linked"), F.first("component").alias("component"))
+    found = scratch.table(found, "kept")  # read four times below; its plan is long
     one = found.filter("__linked").groupBy("__id", "component").agg(F.min("__cid").alias("__cid")).select("__id", "__cid", F.lit(True).alias("__linked"))
     stays = found.filter("NOT __linked").select("__id", "__cid", "__linked").unionByName(one).select(F.col("__id").alias("__kept_id"), F.col("__cid").alias("__kept_cid"), "__linked")
     classed = _classed(docs, id_col, text_col)

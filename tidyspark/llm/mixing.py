@@ -7,6 +7,10 @@ again and again.  A source's last slot is cut where its target is reached.
 
 Ranks and stream offsets are prefix sums in two levels (inside hash buckets or slot ranges, then over those), so that a
 source with a third of all rows is spread over many tasks.
+
+Places, schedule and what is taken of each document are written before they are joined: they have some numbers a row, and in one plan
+their stages are planned and sent out side by side, which the driver's memory has to hold.  What has rows by bucket, slot or document is
+joined by sorting, never sent through the driver to all tasks, however small it is.
 """
 
 from __future__ import annotations
@@ -74,7 +78,7 @@ def schedule(shares: DataFrame, slots: int, chunk: int = 50_000, step: float = P
     before = Window.partitionBy("__source").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     inside = Window.partitionBy("__source", "__chunk").orderBy("slot")
-    ranked = dealt.withColumn("__nth", F.row_number().over(inside)).join(counts, ["__source", "__chunk"])
+    ranked = dealt.withColumn("__nth", F.row_number().over(inside)).join(counts.hint("merge"), ["__source", "__chunk"])
     ranked = ranked.withColumn("rank", F.col("__before") + F.col("__nth") - 1).filter("rank < __quota").select("__source", "slot", "rank")
     had = counts.groupBy("__source").agg(F.sum("__n").alias("__had"))
     short = spans.join(had, "__source", "left").withColumn("__had", F.coalesce("__had", F.lit(0))).filter("__had < __quota")
@@ -105,8 +109,8 @@ def mix(
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__source", "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__key", "doc_id", "size", "__text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("__to", F.sum("size").over(inside)).join(sums, ["__source", "__bucket"])
-    placed = placed.withColumn("__from", F.col("__base") + F.col("__to") - F.col("size"))
+    placed = placed.withColumn("__to", F.sum("size").over(inside)).join(sums.hint("merge"), ["__source", "__bucket"])
+    placed = scratch.table(placed.withColumn("__from", F.col("__base") + F.col("__to") - F.col("size")).drop("__bucket", "__base", "__to", "__key", "source"), "placed")
 
     # The document's words in each pass of the endless stream that the target reaches, and the blocks they lie in.
     passes = F.filter(F.sequence(F.lit(0), F.lit(most_passes - 1)), lambda j: F.col("__from") + j * F.col("source_size") < F.col("__words"))
@@ -115,10 +119,11 @@ def mix(
     parts = parts.withColumn("rank", F.explode(F.sequence(F.floor(F.col("__a") / block_words), F.floor((F.col("__b") - 1) / block_words))))
     words = F.least(F.col("__b"), (F.col("rank") + 1) * block_words) - F.greatest(F.col("__a"), F.col("rank") * block_words)
     begins = [F.min(F.when((F.col("__pass") == j) & (F.col("rank") == F.floor(F.col("__a") / block_words)), F.col("slot"))).alias(f"__slot{j}") for j in range(most_passes)]
-    taken = parts.join(schedule(share, slots, step=step), ["__source", "rank"]).groupBy("__source", "__from", "size").agg(F.sum(words).alias("taken"), *begins)
+    dealt = scratch.table(schedule(share, slots, step=step), "schedule")
+    taken = parts.join(dealt.hint("merge"), ["__source", "rank"]).groupBy("__source", "__from", "size").agg(F.sum(words).alias("taken"), *begins)
     taken = taken.withColumn("slots", F.filter(F.array(*(F.col(f"__slot{j}") for j in range(most_passes))), lambda x: x.isNotNull()))
     # (source, place in its stream) names a row; rows of size 0 share a place but are never taken
-    found = placed.join(taken, ["__source", "__from", "size"], "left")
+    found = placed.join(taken.hint("merge"), ["__source", "__from", "size"], "left")
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("slots")[0].alias("first_slot"), "slots", "__text_hash")
 
 
@@ -133,10 +138,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["__id", "__text_hash"]
     counted = mix(docs, id_col, text_col, **how).filter("taken > 0").select(F.col("doc_id").alias("__id"), "__text_hash", F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("slots").alias("__slots"))
     nth = lambda by: F.row_number().over(Window.partitionBy(*keys).orderBy(by))  # noqa: E731  repeated rows are alike, so any order of them will do
-    counted = counted.withColumn("__nth", nth(F.col("__taken").desc()))
+    counted = scratch.table(counted.withColumn("__nth", nth(F.col("__taken").desc())), "taken")
     rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text_hash", F.xxhash64(text_col)).withColumn("__nth", nth(F.lit(1)))
     same = rows["__id"].eqNullSafe(counted["__id"]) & (rows["__text_hash"] == counted["__text_hash"]) & (rows["__nth"] == counted["__nth"])
-    rows = rows.join(counted, same).select(*(rows[c] for c in docs.columns), counted["__size"], counted["__taken"], counted["__slots"], counted["__text_hash"])
+    rows = rows.join(counted.hint("merge"), same).select(*(rows[c] for c in docs.columns), counted["__size"], counted["__taken"], counted["__slots"], counted["__text_hash"])
     first_words = F.rtrim(F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("__part")), ""))
     rows = rows.select("*", F.posexplode("__slots").alias("__pass", "__slot"))
     left = F.col("__taken") - F.col("__pass") * F.col("__size")
