@@ -162,6 +162,13 @@ def duplicates(records: DataFrame, cfg: Config) -> DataFrame:
     return rank.ranked(rank.mark_originals(members, cfg, group), cfg, group, members).withColumn("type", F.lit("duplicate_file"))
 
 
+def _readable(records: DataFrame, cfg: Config) -> DataFrame:
+    """Without the records that the sieve has nothing to compare of: their content is null, and no cached checksum stands for it."""
+    if "content" not in records.columns:
+        return records
+    return records.filter("content IS NOT NULL" if cfg.algorithm == "paranoid" else "content IS NOT NULL OR cached_checksum IS NOT NULL")
+
+
 def _hashed(records: DataFrame, cfg: Config) -> DataFrame:
     """Records without content, with ``checksum`` where another record has the size: those are the ones that a run would have to read."""
     ready = effective(records, cfg)
@@ -169,7 +176,7 @@ def _hashed(records: DataFrame, cfg: Config) -> DataFrame:
     shared = ready.drop("content").groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__shared", F.col("__n") > 1)
     algorithm = "sha256" if cfg.algorithm == "paranoid" else cfg.algorithm
     if "content" in records.columns:
-        told = ready.withColumn("checksum", F.coalesce("cached_checksum", digest(sliced(F.col("content")), algorithm))).drop("content")
+        told = _readable(ready, cfg).withColumn("checksum", F.coalesce("cached_checksum", digest(sliced(F.col("content")), algorithm))).drop("content")
     else:
         sized = rank.with_groups(ready, shared, keys, F.col("__shared"))
         read = InFile(ready, 0).digests(sized, F.col("cached_checksum").isNull(), algorithm).select("path", F.coalesce("cached_checksum", "checksum").alias("checksum"))
@@ -182,14 +189,12 @@ def uniques(records: DataFrame, cfg: Config, members: DataFrame | None = None) -
     """Records without a partner; with ``keep_all_tagged`` (``_untagged``) those of the other side are no originals.
 
     A partner is one whatever its tag and age: a group that is not reported for these has no unique record.  Where ``members`` are given, records that are none of them count as unique.
-    With ``write_unfinished`` they have a checksum if they had to be read.
+    Only what is compared can be unique: a record with a null content or an empty slice is not.  With ``write_unfinished`` they have a checksum if they had to be read.
     """
     if members is None:
         members = sieve(records, replace(cfg, must_match_tagged=False, must_match_untagged=False, keep_all_tagged=False, keep_all_untagged=False, newer_than=None))
     others = members.select("path").distinct()
-    if cfg.write_unfinished:
-        out = _hashed(records, cfg).join(others, "path", "left_anti").withColumn("type", F.lit("unique_file"))
-    else:
-        out = records.drop("content").join(others, "path", "left_anti").withColumn("type", F.lit("unique_file"))
+    compared = _hashed(records, cfg) if cfg.write_unfinished else _readable(effective(records, cfg), cfg).drop("content", "start", "eff_size")
+    out = compared.join(others, "path", "left_anti").withColumn("type", F.lit("unique_file"))
     original = F.lit(True) if not (cfg.keep_all_tagged or cfg.keep_all_untagged) else (F.col("is_tagged") if cfg.keep_all_tagged else ~F.col("is_tagged"))
     return out.withColumn("is_original", original)

@@ -40,6 +40,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.as_records(_table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", "doc_id"), F.col("text"), is_tagged=F.col("source").isin("src0", "src1"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have a text; a null or empty one is none."""
+    return documents(spark, sf_dir).filter("size >= 1")
+
+
 _DOC = "SELECT *, concat_ws('/', source, lang, doc_id) AS path, strlen(text) AS size, source IN ('src0', 'src1') AS tagged, lower(CAST(doc_id AS VARCHAR)) AS base FROM documents WHERE strlen(text) >= 1"
 _RANK = "row_number() OVER (PARTITION BY text ORDER BY NOT tagged, base, path)"
 _NAMED = Config(rank="a")
@@ -120,7 +125,7 @@ def clamped_dups_documents(spark, sf_dir):
 
 @query(f"WITH d AS ({_DOC}) SELECT path, size FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM d) WHERE n = 1")
 def unique_documents(spark, sf_dir):
-    return sieve.uniques(documents(spark, sf_dir), Config()).select("path", "size")
+    return sieve.uniques(texts(spark, sf_dir), Config()).select("path", "size")
 
 
 @query(f"WITH d AS ({_DOC}) SELECT path, size FROM (SELECT *, count(*) OVER (PARTITION BY size) AS n FROM d) WHERE n > 1")
