@@ -47,7 +47,7 @@ def against_sql(spark, folder, name, documents):
     return sorted(map(tuple, found.select(*columns).collect())), sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["unique_documents"])
+@pytest.mark.parametrize("name", ["unique_documents", "uniques_sink_documents"])
 def test_documents_without_a_text_are_not_unique(spark, tmp_path, name):
     got, want = against_sql(spark, tmp_path, name, ODD)
     assert got == want and len(got) == 3

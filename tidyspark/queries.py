@@ -724,7 +724,7 @@ def csv_rows_documents(spark, sf_dir):
 
 @query(f"WITH d AS ({_DOC}), m AS (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT path AS value FROM m WHERE n = 1")
 def uniques_sink_documents(spark, sf_dir):
-    return formats.unique_paths(sieve.uniques(documents(spark, sf_dir), _NAMED))
+    return formats.unique_paths(sieve.uniques(texts(spark, sf_dir), _NAMED))
 
 
 @query(f"WITH d AS ({_DOC}), m AS (SELECT *, {_RANK} AS rk, count(*) OVER (PARTITION BY text) AS n FROM d) SELECT sha256(text) AS checksum, rk AS rank_in_group, concat(path, chr(10), CASE WHEN rk = n THEN chr(10) ELSE '' END) AS value FROM m WHERE n > 1")
